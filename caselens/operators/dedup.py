@@ -102,8 +102,8 @@ def near_dup_groups(
     text: str,
     threshold: float = 0.8,
     shingle_size: int = 3,
-    bands: int = 20,
-    rows_per_band: int = 6,
+    bands: int = 24,
+    rows_per_band: int = 5,
     seed: int = 7,
     hot_rows: int = 1_000_000,
 ) -> DataFrame:

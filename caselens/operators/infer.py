@@ -130,7 +130,6 @@ def generate_resumable(
         part = todo.where(F.pmod(F.xxhash64(case_id), F.lit(slices)) == i) if slices > 1 else todo
         results = generate(part, case_id=case_id, **options)
         append_table(results.withColumn("run", F.lit(run)), path)
-        # A later run of this loop must not read what this slice has appended.
     return latest_results(read_results(spark, path, schema=schema), case_id=case_id)
 
 

@@ -53,25 +53,26 @@ def topic_filter(df: DataFrame, *, text: str, stem: str, ignore_case: bool = Fal
 
 
 def zero_fill(
-    counts: DataFrame, *, month: str = "month", values: Sequence[str], by: Sequence[str] = (),
+    counts: DataFrame, *, month: str = "month", values: Sequence[str], by: Sequence[str] = (), step: str = "month",
 ) -> DataFrame:
-    """Add the empty months between the first and the last one of the table.
+    """Add the empty months (or days) between the first and the last one of the table.
 
     Works on aggregated counts. The bounds read the counted values too, so that
     Spark reuses the exchange of the counts instead of scanning again.
     """
+    interval = F.expr(f"interval 1 {step}")
     if by:
         seen = F.when(F.coalesce(*values).isNotNull(), F.col(month))
         first = counts.agg(F.min(seen)).scalar()
         last = counts.agg(F.max(seen)).scalar()
         keys = counts.groupBy(*by).agg(F.max(values[0]).alias("_any")).drop("_any")
-        calendar = keys.withColumn(month, F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
+        calendar = keys.withColumn(month, F.explode(F.sequence(first, last, interval)))
         filled = calendar.join(counts, [*by, month], "left")
         return filled.na.fill(0, list(values))
     # One global series: a row per month at most, so one task is enough.
     following = F.lead(month).over(Window.orderBy(month))
-    until = F.coalesce(F.add_months(following, -1), F.col(month))
-    steps = F.sequence(month, until, F.expr("interval 1 month"))
+    until = F.coalesce((following - interval).cast("date"), F.col(month))
+    steps = F.sequence(month, until, interval)
     spaced = counts.withColumn("_steps", steps).select("*", F.posexplode("_steps").alias("_gap", "_month"))
     kept = {v: F.when(F.col("_gap") == 0, F.col(v)).otherwise(0) for v in values}
     return spaced.withColumns(kept).withColumn(month, F.col("_month")).drop("_steps", "_gap", "_month")
