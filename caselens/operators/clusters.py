@@ -145,15 +145,16 @@ def stability(df: DataFrame, *, first: str, second: str) -> DataFrame:
     def pairs(c: str):
         return F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0.0))
 
-    total = cells.agg(F.sum("n").alias("n"), pairs("n").alias("both"))
+    total = cells.agg(F.sum("n").alias("n"), pairs("n").alias("same_pairs"))
     rows = cells.groupBy(first).agg(F.sum("n").alias("m")).agg(pairs("m")).scalar()
     cols = cells.groupBy(second).agg(F.sum("n").alias("m")).agg(pairs("m")).scalar()
-    expected = F.col("a") * F.col("b") / (F.col("n") * (F.col("n") - 1) / 2)
-    top = (F.col("a") + F.col("b")) / 2
-    return (total.select("n", "both", rows.alias("a"), cols.alias("b"))
+    expected = F.col("first_pairs") * F.col("second_pairs") / (F.col("n") * (F.col("n") - 1) / 2)
+    top = (F.col("first_pairs") + F.col("second_pairs")) / 2
+    return (total
+            .select("n", "same_pairs", rows.alias("first_pairs"), cols.alias("second_pairs"))
             .withColumn("expected", F.when(F.col("n") > 1, expected))
             .select(
-                F.col("n").cast("bigint").alias("n_rows"), "both", "a", "b",
+                F.col("n").cast("bigint").alias("n_rows"), "same_pairs", "first_pairs", "second_pairs",
                 F.when(top == F.col("expected"), F.lit(1.0))
-                .otherwise((F.col("both") - F.col("expected")) / (top - F.col("expected")))
+                .otherwise((F.col("same_pairs") - F.col("expected")) / (top - F.col("expected")))
                 .alias("adjusted_rand")))

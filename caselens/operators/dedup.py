@@ -131,16 +131,17 @@ def near_dup_groups(
     open_ = materialize(buckets.join(shared, "b", "left_semi"), "open")
 
     links, n_leads = None, 1
-    while not open_.isEmpty():
+    while n_open := open_.count():
         leads = materialize(
             open_.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("id")))
             .where(F.col("place") <= n_leads).select("b", F.col("id").alias("lead")), "leads")
         led = materialize(
-            salted_lookup(open_, leads, key="b", spread_by=["id"], hot_rows=hot_rows)
+            salted_lookup(open_, leads, key="b", spread_by=["id"], hot_rows=hot_rows, n_facts=n_open)
             .where("id > lead").select("b", "id", "lead"), "led")
         pairs = led.select("id", "lead").distinct().join(sets, "id")
         lead_sets = sets.select(F.col("id").alias("lead"), F.col("shingles").alias("lead_shingles"))
-        both = salted_lookup(pairs, lead_sets, key="lead", spread_by=["id"], hot_rows=hot_rows)
+        both = salted_lookup(
+            pairs, lead_sets, key="lead", spread_by=["id"], hot_rows=hot_rows, n_facts=n_open * n_leads)
         common = F.size(F.array_intersect("shingles", "lead_shingles"))
         jaccard = common / (F.size("shingles") + F.size("lead_shingles") - common)
         linked = materialize(both.where(jaccard >= threshold).select("id", "lead"), "links")

@@ -14,19 +14,19 @@ from caselens.operators.joins import salted_lookup
 from caselens.runtime import materialize
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, **split) -> DataFrame:
     """Link every larger neighbour of a node to the node's least neighbour."""
     up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     least = (edges.unionByName(up).groupBy("u").agg(F.min("v").alias("m"))
              .select("u", F.least("u", "m").alias("m")))
-    return (salted_lookup(up, least, key="u", spread_by=["v"], hot_rows=hot_rows)
+    return (salted_lookup(up, least, key="u", spread_by=["v"], **split)
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, **split) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = (salted_lookup(edges, least, key="u", spread_by=["v"], hot_rows=hot_rows)
+    moved = (salted_lookup(edges, least, key="u", spread_by=["v"], **split)
              .where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
     return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
@@ -47,7 +47,9 @@ def components(
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        stars = materialize(_small_star(_large_star(stars, hot_rows), hot_rows), "edges")
+        # A step never adds edges, so their number bounds the rows of every lookup.
+        split = {"hot_rows": hot_rows, "n_facts": mark[0]}
+        stars = materialize(_small_star(_large_star(stars, **split), **split), "edges")
         before, mark = mark, _mark(stars)
         if mark == before:
             break

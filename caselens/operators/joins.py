@@ -17,13 +17,18 @@ def salted_lookup(
     spread_by: Sequence[str],
     how: str = "inner",
     hot_rows: int = 1_000_000,
+    n_facts: int | None = None,
 ) -> DataFrame:
-    """Join many ``facts`` to a ``dim`` with one row per key, hot keys split.
+    """Join many ``facts`` to a ``dim`` with few rows per key, hot keys split.
 
     A key with more than ``hot_rows`` facts is cut into parts of about that
-    size; its one ``dim`` row is repeated per part. There are at most
+    size; its ``dim`` rows are repeated per part. There are at most
     ``count(facts) / hot_rows`` hot keys, which bounds the broadcast list.
+    Where the caller knows that there are no more than ``hot_rows`` facts, no
+    key can be hot and the join is a plain one.
     """
+    if n_facts is not None and n_facts <= hot_rows:
+        return facts.join(dim, key, how)
     hot = F.broadcast(
         facts.where(F.col(key).isNotNull()).groupBy(key).count()
         .where(F.col("count") > hot_rows)

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from caselens.plans import cleaning, labelling, trends  # noqa: F401
+from caselens.plans import cleaning, clusters, labelling, retrieval, streams, trends  # noqa: F401
 from caselens.plans.registry import QUERIES, SQL  # noqa: F401

@@ -209,6 +209,11 @@ SELECT month, state_id, printf('In %s, the state of %s (%s) reported %d {STEM}-r
     month, state_name, state_id, n) AS content, 'complaint_summary' AS source
 FROM m JOIN names USING (state_id)""")
 def summary_sentences(spark, sf_dir):
+    return month_state_docs(spark, sf_dir)
+
+
+def month_state_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sentence per month and state."""
     named = geo.attach_state_name(_month_states(spark, sf_dir)).na.drop(subset=["state_name"])
     docs = trends.summary_sentences(
         named.withColumn("topic", F.lit(STEM)), template=rules.SUMMARY_TEMPLATE,
