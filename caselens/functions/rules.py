@@ -72,5 +72,5 @@ PII_RULES = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
     ("secret", r"(?i)(?:api_?key|token|secret|password)[ ]*[:=][ ]*[\"']?[A-Za-z0-9_-]{8,}[\"']?", "[SECRET]"),
     ("long_number", r"[0-9]{12,}", "[NUMBER]"),
-    ("phone", r"\+?[0-9]{0,2}[ .-]?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", "[PHONE]"),
+    ("phone", r"(?:\+?[0-9]{1,2}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", "[PHONE]"),
 ]

@@ -62,7 +62,8 @@ def keyword_tags(
     compares with the tags regardless of case. ``match='first_word'`` is
     triggered by the first word alone and compares the phrase as written with
     the lower-cased tags, so phrases holding capitals always count as new.
-    Each rule is one literal pattern in the plan: none is compiled per row.
+    Each rule is one literal pattern in the plan: none is compiled per row, and
+    a plain substring test spares most texts the pattern.
     """
     if match not in ("phrase", "first_word"):
         raise ValueError(f"unknown match: {match}")
@@ -76,7 +77,7 @@ def keyword_tags(
             stem, known = re.escape(keyword.split()[0].lower()), keyword
         else:
             stem, known = r"\s+".join(re.escape(w) for w in keyword.lower().split()), keyword.lower()
-        hit = text.rlike(rf"(?U)\b{stem}\w*\b") & ~F.array_contains(present, known)
+        hit = text.contains(keyword.split()[0].lower()) & text.rlike(rf"(?U)\b{stem}") & ~F.array_contains(present, known)
         found.append(F.when(hit, F.lit(labels.get(keyword, keyword))))
     return F.array_compact(F.array(*found))
 

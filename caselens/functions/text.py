@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that counts as white space in Unicode text; the same class
-# reads alike in Java and RE2.
-WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-      r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# Every character that counts as white space in Unicode text, as a class body
+# that reads alike in Java and RE2, and as the characters themselves.
+_WS_BUT_SPACE = (r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                 r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+WS = rf"[ {_WS_BUT_SPACE}]"
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def _col(c: Column | str) -> Column:
@@ -16,11 +18,12 @@ def _col(c: Column | str) -> Column:
 
 
 def trim_ws(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"\A{WS}+|{WS}+\z", "")
+    return F.trim(_col(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"{WS}+", " ")
+    # A single space, by far the usual case, is no match.
+    return F.regexp_replace(_col(c), f"{WS}{{2,}}|[{_WS_BUT_SPACE}]", " ")
 
 
 def words(c: Column | str) -> Column:
@@ -37,7 +40,7 @@ def is_blank(c: Column | str) -> Column:
 def mask_tokens_removed(c: Column | str, mask: str = "X", min_run: int = 2) -> Column:
     """Masks standing as whole words, in any case, removed; runs of spaces collapsed."""
     gone = F.regexp_replace(_col(c), rf"(?iU)\b{mask}{{{min_run},}}\b", "")
-    return trim_ws(F.regexp_replace(gone, " +", " "))
+    return trim_ws(F.regexp_replace(gone, "  +", " "))
 
 
 def masks_removed_anywhere(c: Column | str, mask: str = "X", min_run: int = 2) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caselens.functions import rules
-from caselens.functions.text import WS, _col, collapse_ws, trim_ws, words
+from caselens.functions.text import _col, collapse_ws, trim_ws, words
 
 
 def theme_cleaned(
@@ -44,16 +44,13 @@ def theme_unless_generic(c: Column | str, generic: list[str] | None = None) -> C
     return F.when(F.lower(trim_ws(c)).isin(generic), F.lit("")).otherwise(c)
 
 
-_WS_RUN = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", WS) + "+")
-
-
 def accept_theme(policy: str = "truncate"):
     """Worker-side check of one reply: the cleaned theme, '' to ask again."""
     low, high = rules.THEME_WORD_RANGE
 
     def accept(reply: str) -> str:
         phrase = re.split(r"[.:\n]", re.sub(r"[*_`]+", "", reply or ""), maxsplit=1)[0]
-        found = [w for w in _WS_RUN.split(phrase) if w]
+        found = phrase.split()
         theme = " ".join(found)
         if policy == "range":
             return theme if low <= len(found) <= high else ""

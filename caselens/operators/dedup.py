@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from caselens.functions.text import digest, words
 from caselens.operators.graph import components
 from caselens.operators.joins import salted_lookup
-from caselens.runtime import materialize, spread
+from caselens.runtime import materialize
 
 
 def dedup_exact(df: DataFrame, *, text: str, case_id: str) -> DataFrame:
@@ -57,13 +57,12 @@ def dedup_stats(df: DataFrame, *, text: str) -> DataFrame:
 def shingled(df: DataFrame, *, text: str, size: int = 3) -> DataFrame:
     """Add ``shingles``: hashes of the distinct word runs; short texts count whole."""
     w = F.col("_words")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(w) - size + 1),
-        lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
-    short = F.array(F.xxhash64(F.array_join(w, " ")))
+    runs = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)]))
+    whole = F.array(F.xxhash64(F.array_join(w, " ")))
+    long_enough = F.size(w) >= size
+    shingles = F.when(long_enough, F.slice(runs, 1, F.size(w) - (size - 1))).otherwise(whole)
     return (df.withColumn("_words", words(F.lower(text)))
-            .withColumn("shingles", F.array_distinct(F.when(F.size(w) >= size, runs).otherwise(short)))
-            .drop("_words"))
+            .withColumn("shingles", F.array_distinct(shingles)).drop("_words"))
 
 
 def _band_keys(rows_per_band: int, bands: int, seed: int):
@@ -122,7 +121,7 @@ def near_dup_groups(
     firsts = copies.groupBy("d").agg(F.min("id").alias("rep"))
     distinct = dedup_exact(keyed, text="t", case_id="id")
     sets = materialize(
-        shingled(spread(distinct), text="t", size=shingle_size).select("id", "shingles"), "shingles")
+        shingled(distinct, text="t", size=shingle_size).select("id", "shingles"), "shingles")
 
     buckets = materialize(sets.mapInPandas(
         _band_keys(rows_per_band, bands, seed), "id bigint, band int, bucket bigint")

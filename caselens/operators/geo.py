@@ -11,7 +11,7 @@ from caselens.functions import rules
 from caselens.functions.places import city_state, zip5
 from caselens.operators.joins import map_values, salted_lookup
 from caselens.operators.trends import top_n
-from caselens.runtime import small_enough
+from caselens.runtime import materialize, small_enough
 
 
 def attach_place(
@@ -38,6 +38,18 @@ def attach_state_name(df: DataFrame, *, state: str = "state_id", output: str = "
     return map_values(df, rules.STATE_NAMES, key=state, output=output)
 
 
-def restrict_to_top(df: DataFrame, *, by: Sequence[str], n: int = 20) -> DataFrame:
-    """Rows of the n most frequent keys. The key list has n rows, so it is broadcast."""
-    return df.join(F.broadcast(top_n(df, by=by, n=n).select(*by)), list(by), "left_semi")
+def restrict_to_top(
+    df: DataFrame, *, by: Sequence[str], n: int = 20, value: str | None = None,
+) -> DataFrame:
+    """Rows of the n most frequent keys. The key list has n rows, so it is broadcast.
+
+    On counts, ``value`` names the count: the keys are then ranked by its sum.
+    The counts are written once, so that ranking them does not count again.
+    """
+    if value is None:
+        best = top_n(df, by=by, n=n)
+    else:
+        df = materialize(df, "counts")
+        total = df.na.drop(subset=list(by)).groupBy(*by).agg(F.sum(value).alias("_total"))
+        best = total.orderBy(F.desc("_total"), *by).limit(n)
+    return df.join(F.broadcast(best.select(*by)), list(by), "left_semi")

@@ -16,17 +16,12 @@ def profile(df: DataFrame, *, columns: Sequence[str] | None = None, exact: bool
     (column, value) counts.
     """
     names = list(columns or df.columns)
+    if not exact:
+        return _estimated(df, names)
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in names]))
     long = df.select(cells.alias("cell")).select("cell.*")
     empty = F.length(F.trim("value")) == 0
-    if not exact:
-        return long.groupBy("column_name").agg(
-            F.count("*").alias("n_rows"),
-            F.count_if(F.col("value").isNull()).alias("n_null"),
-            F.count_if(empty).alias("n_blank"),
-            F.approx_count_distinct("value").alias("n_distinct"),
-            F.lit(None).cast("bigint").alias("n_repeated"))
     # Long values travel as digests.
     key = F.when(F.col("value").isNull(), None).otherwise(F.sha2("value", 256))
     per_value = (long.groupBy("column_name", key.alias("d"), F.coalesce(empty, F.lit(False)).alias("blank"))
@@ -39,3 +34,18 @@ def profile(df: DataFrame, *, columns: Sequence[str] | None = None, exact: bool
         total(F.col("blank")).alias("n_blank"),
         F.count_if(has).alias("n_distinct"),
         F.count_if(has & (F.col("n") > 1)).alias("n_repeated"))
+
+
+def _estimated(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One aggregate over all columns, then one row per column."""
+    facts = []
+    for c in names:
+        text = F.col(c).cast("string")
+        facts.append(F.struct(
+            F.lit(c).alias("column_name"),
+            F.count("*").alias("n_rows"),
+            F.count_if(text.isNull()).alias("n_null"),
+            F.count_if(F.length(F.trim(text)) == 0).alias("n_blank"),
+            F.approx_count_distinct(c).alias("n_distinct"),
+            F.lit(None).cast("bigint").alias("n_repeated")))
+    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))

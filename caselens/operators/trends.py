@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions.dates import month_of
 from caselens.functions.text import _col
+from caselens.runtime import materialize
 
 
 def _no_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,14 +37,14 @@ def with_month(df: DataFrame, *, date: str, output: str = "month") -> DataFrame:
 def topic_rows(df: DataFrame, *, tags: Column | str, stem: str, regex: bool = False, output: str = "tag") -> DataFrame:
     """One row per tag that contains the stem. Tags are lower case already.
 
-    The test runs on the array first, so rows without a hit never reach the
-    explode.
+    Rows without a hit are filtered by the array first: that filter moves below
+    joins to the table the tags come from.
     """
     def on_topic(t: Column) -> Column:
-        return t.rlike(stem) if regex else t.contains(stem)
+        return F.coalesce(t.rlike(stem) if regex else t.contains(stem), F.lit(False))
 
-    hits = F.filter(_col(tags), lambda t: F.coalesce(on_topic(t), F.lit(False)))
-    return df.withColumn(output, F.explode(hits))
+    hits = F.filter(_col(tags), on_topic)
+    return df.where(F.exists(_col(tags), on_topic)).withColumn(output, F.explode(hits))
 
 
 def topic_filter(df: DataFrame, *, text: str, stem: str, ignore_case: bool = False) -> DataFrame:
@@ -57,18 +58,17 @@ def zero_fill(
 ) -> DataFrame:
     """Add the empty months (or days) between the first and the last one of the table.
 
-    Works on aggregated counts. The bounds read the counted values too, so that
-    Spark reuses the exchange of the counts instead of scanning again.
+    Works on aggregated counts. With ``by`` every key gets the months of the
+    whole table; the counts are then written once, so that their source is not
+    read again for the bounds and the keys.
     """
     interval = F.expr(f"interval 1 {step}")
     if by:
-        seen = F.when(F.coalesce(*values).isNotNull(), F.col(month))
-        first = counts.agg(F.min(seen)).scalar()
-        last = counts.agg(F.max(seen)).scalar()
-        keys = counts.groupBy(*by).agg(F.max(values[0]).alias("_any")).drop("_any")
-        calendar = keys.withColumn(month, F.explode(F.sequence(first, last, interval)))
-        filled = calendar.join(counts, [*by, month], "left")
-        return filled.na.fill(0, list(values))
+        counts = materialize(counts, "counts")
+        first = counts.agg(F.min(month)).scalar()
+        last = counts.agg(F.max(month)).scalar()
+        calendar = counts.select(*by).distinct().withColumn(month, F.explode(F.sequence(first, last, interval)))
+        return calendar.join(counts, [*by, month], "left").na.fill(0, list(values))
     # One global series: a row per month at most, so one task is enough.
     following = F.lead(month).over(Window.orderBy(month))
     until = F.coalesce((following - interval).cast("date"), F.col(month))
@@ -88,18 +88,19 @@ def monthly_series(df: DataFrame, *, date: str, case_id: str, by: Sequence[str]
 
 
 def pivot_counts(
-    df: DataFrame, *, rows: str, columns: str, values: Sequence[object] | None = None,
+    df: DataFrame, *, rows: str, columns: str, values: Sequence[object] | None = None, value: str | None = None,
 ) -> DataFrame:
-    """Counts with one column per value, 0 where a pair is absent.
+    """Counts (or sums of ``value``) with one column per value, 0 where a pair is absent.
 
     Without ``values`` Spark first looks for the distinct ones (one more job).
     """
-    counts = count_by(df, by=[rows, columns])
-    wide = counts.groupBy(rows).pivot(columns, None if values is None else list(values)).sum("n")
+    if value is None:
+        df, value = count_by(df, by=[rows, columns]), "n"
+    wide = df.groupBy(rows).pivot(columns, None if values is None else list(values)).sum(value)
     return wide.na.fill(0)
 
 
-def share_and_rank(counts: DataFrame, *, part: str, key: str, value: str = "n") -> DataFrame:
+def share_and_rank(counts: DataFrame, *, part: str, value: str = "n") -> DataFrame:
     """Share of the part's total and rank within it, over aggregated counts."""
     within = Window.partitionBy(part)
     return (counts

@@ -138,13 +138,23 @@ kept AS (SELECT * FROM placed WHERE city_state IN (SELECT city_state FROM best))
 
 
 def top_placed(spark, sf_dir):
-    return geo.restrict_to_top(placed_months(spark, sf_dir), by=["city_state"], n=20)
+    """Counts per month and place, for the top places."""
+    counts = trends.count_by(placed_months(spark, sf_dir), by=["month", "city_state", "state_id"])
+    return geo.restrict_to_top(counts, by=["city_state"], n=20, value="n")
 
 
 @query("month_city_counts", f"""
 WITH {_TOP_PLACED} SELECT month, city_state, count(*) AS n FROM kept GROUP BY month, city_state""")
 def month_city_counts(spark, sf_dir):
-    return trends.count_by(top_placed(spark, sf_dir), by=["month", "city_state"])
+    return top_placed(spark, sf_dir).drop("state_id")
+
+
+@query("top_city_rows", f"""
+WITH {_TOP_PLACED} SELECT city_state, count(*) AS n, count(DISTINCT case_id) AS n_cases FROM kept GROUP BY city_state""")
+def top_city_rows(spark, sf_dir):
+    rows = geo.restrict_to_top(placed(spark, sf_dir), by=["city_state"], n=20)
+    per_case = rows.groupBy("city_state", "case_id").agg(F.count("*").alias("n"))
+    return per_case.groupBy("city_state").agg(F.sum("n").alias("n"), F.count("*").alias("n_cases"))
 
 
 @query("geo_month_pivot", f"""
@@ -152,7 +162,8 @@ WITH {_TOP_PLACED}
 SELECT city_state, {', '.join(f"count(*) FILTER (WHERE month = '{m}') AS " + '"' + m + '"' for m in MONTHS)}
 FROM kept GROUP BY city_state""")
 def geo_month_pivot(spark, sf_dir):
-    return trends.pivot_counts(top_placed(spark, sf_dir), rows="city_state", columns="month", values=MONTHS)
+    return trends.pivot_counts(
+        top_placed(spark, sf_dir), rows="city_state", columns="month", values=MONTHS, value="n")
 
 
 _STATES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -163,7 +174,8 @@ WITH {_TOP_PLACED}
 SELECT month, {', '.join(f"count(*) FILTER (WHERE state_id = '{s}') AS " + '"' + s + '"' for s in _STATES)}
 FROM kept GROUP BY month""")
 def month_geo_pivot(spark, sf_dir):
-    return trends.pivot_counts(top_placed(spark, sf_dir), rows="month", columns="state_id", values=_STATES)
+    return trends.pivot_counts(
+        top_placed(spark, sf_dir), rows="month", columns="state_id", values=_STATES, value="n")
 
 
 @query("geo_month_share", f"""
@@ -172,8 +184,8 @@ SELECT month, city_state, n, round(n / sum(n) OVER (PARTITION BY month), 6) AS s
   CAST(dense_rank() OVER (PARTITION BY month ORDER BY n DESC) AS INTEGER) AS rank
 FROM c""")
 def geo_month_share(spark, sf_dir):
-    counts = trends.count_by(top_placed(spark, sf_dir), by=["month", "city_state"])
-    return trends.share_and_rank(counts, part="month", key="city_state").withColumn("share", F.round("share", 6))
+    shares = trends.share_and_rank(top_placed(spark, sf_dir).drop("state_id"), part="month")
+    return shares.withColumn("share", F.round("share", 6))
 
 
 _CODES = list(rules.STATE_NAMES)[:20] + ["PR", "GU", "VI", "AS", "MP"]
