@@ -76,7 +76,11 @@ def fit_topics(
     df: DataFrame, *, text: str, k: int = 10, vocabulary: int = 1 << 14, min_docs: float = 2.0,
     max_docs: float = 0.5, max_iter: int = 10, seed: int = 42,
 ) -> PipelineModel:
-    """Latent Dirichlet allocation over word counts."""
+    """Latent Dirichlet allocation over word counts.
+
+    Terms in fewer than ``min_docs`` or more than ``max_docs`` cases are left
+    out; below 1 the limits are shares, else numbers of cases.
+    """
     return Pipeline(stages=[
         CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=vocabulary, minDF=min_docs, maxDF=max_docs),
         LDA(featuresCol="_tf", k=k, maxIter=max_iter, seed=seed, optimizer="online"),
@@ -94,13 +98,9 @@ def topic_of(model: PipelineModel, df: DataFrame, *, text: str) -> DataFrame:
 
 def topic_terms(model: PipelineModel, k: int = 10) -> DataFrame:
     """The k strongest terms of each topic."""
-    vocabulary = model.stages[0].vocabulary
-    lookup = F.array(*[F.lit(w) for w in vocabulary]) if len(vocabulary) <= 256 else None
     described = model.stages[1].describeTopics(k)
-    rows = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    rows = rows.select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("term_no"),
-                       F.col("t.termWeights").alias("weight"))
-    if lookup is not None:
-        return rows.select("topic", "rank", lookup[F.col("term_no")].alias("term"), "weight")
-    names = rows.sparkSession.createDataFrame(list(enumerate(vocabulary)), "term_no int, term string")
-    return rows.join(names, "term_no").select("topic", "rank", "term", "weight")
+    rows = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t"))
+    names = described.sparkSession.createDataFrame(
+        list(enumerate(model.stages[0].vocabulary)), "term_no int, term string")
+    return (rows.join(F.broadcast(names), F.col("t.termIndices") == F.col("term_no"))
+            .select("topic", (F.col("place") + 1).alias("rank"), "term", F.col("t.termWeights").alias("weight")))

@@ -154,7 +154,7 @@ def test_classifier_and_topics(spark):
     model = evaluate.fit_classifier(train, text="t", label="label", dims=256)
     scored = evaluate.classify(model, test.drop("label"), text="t").join(df.select("id", "label"), "id")
     assert evaluate.errors(scored, actual="label", predicted="predicted").count() == 0
-    topics = evaluate.fit_topics(df, text="t", k=2, min_docs=1, max_docs=1.0, max_iter=20)
+    topics = evaluate.fit_topics(df, text="t", k=2, min_docs=1, max_docs=0.99, max_iter=20)
     assert evaluate.topic_terms(topics, 3).count() == 6
     assert evaluate.topic_of(topics, df, text="t").where("size(topic_weights) = 2").count() == 120
 
