@@ -17,6 +17,16 @@ from caselens.operators.sampling import sample_per_group
 from caselens.runtime import broadcast_if_small, materialize
 
 
+def touching(cells: DataFrame, *, dims: int) -> DataFrame:
+    """``(src, dst)`` nodes of cells of one level whose cubes share a corner."""
+    half = [s for s in itertools.product((-1, 0, 1), repeat=dims) if s > (0,) * dims]
+    steps = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in half])
+    moved = (cells.select("level", F.col("node").alias("src"), "cube", F.explode(steps).alias("step"))
+             .select("level", "src", F.zip_with("cube", "step", lambda a, b: a + b).alias("cube")))
+    return (moved.join(cells.select("level", "cube", F.col("node").alias("dst")), ["level", "cube"])
+            .select("src", "dst"))
+
+
 def density_clusters(
     df: DataFrame,
     *,
@@ -42,13 +52,7 @@ def density_clusters(
         points.groupBy("cube").agg(F.count("*").alias("n"), F.min("id").alias("cube_id"))
         .where(F.col("n") >= min_pts), "dense")
 
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=dims) if s > (0,) * dims]
-    around = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in s]) for s in steps])
-    shifted = dense.select(
-        F.col("cube_id").alias("src"), "cube", F.explode(around).alias("step")).select(
-        "src", F.zip_with("cube", "step", lambda a, b: a + b).alias("cube"))
-    links = shifted.join(dense.select("cube", F.col("cube_id").alias("dst")), "cube").select("src", "dst")
-
+    links = touching(dense.select(F.lit(0).alias("level"), "cube", F.col("cube_id").alias("node")), dims=dims)
     roots = dense.join(
         components(links, hot_rows=hot_rows).withColumnRenamed("id", "cube_id"), "cube_id", "left")
     roots = roots.select("cube", "n", F.coalesce("component", "cube_id").alias("root"))
@@ -68,6 +72,11 @@ def cluster_count(df: DataFrame, *, cluster: str = "cluster") -> DataFrame:
         F.count("*").alias("n_values"))
 
 
+def label_list(df: DataFrame, *, label: str) -> DataFrame:
+    """Distinct labels in order, with their number of cases."""
+    return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label)
+
+
 def noise_report(df: DataFrame, *, case_id: str, cluster: str = "cluster", examples: int = 5) -> DataFrame:
     """Size and share of the noise, with the least keys as examples."""
     is_noise = F.col(cluster) == -1

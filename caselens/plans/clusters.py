@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.operators import clusters, evaluate, graph, vectors
+from caselens.operators import clusters, evaluate, graph, hierarchy, vectors
 from caselens.plans.registry import query, table
 from caselens.runtime import spread
 
@@ -39,6 +39,13 @@ def reduced_density_clusters(spark, sf_dir):
         reduced, case_id="vec_id", vector="reduced", cell=0.2, dims=5, min_pts=3, min_size=10)
 
 
+@query("hierarchy_clusters")
+def hierarchy_clusters(spark, sf_dir):
+    """Density found per cluster, on the reduced vectors."""
+    reduced = vectors.reduce_dims(table(spark, sf_dir, "embeddings"), vector="embedding", k=3)
+    return hierarchy.density_hierarchy(reduced, case_id="vec_id", vector="reduced", dims=3, min_size=20, levels=6)
+
+
 @query("connected_parts", """
 SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand) AS component FROM part""")
 def connected_parts(spark, sf_dir):
@@ -74,6 +81,11 @@ def cluster_count(spark, sf_dir):
     return clusters.cluster_count(labelled(spark, sf_dir))
 
 
+@query("label_list", "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang")
+def label_list(spark, sf_dir):
+    return clusters.label_list(table(spark, sf_dir, "documents").select(F.col("lang").alias("label")), label="label")
+
+
 @query("noise_report", f"""
 WITH {_LABELLED}, least AS (SELECT vec_id FROM c WHERE cluster = -1 ORDER BY vec_id LIMIT 5)
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE cluster = -1) AS n_noise,

@@ -20,7 +20,7 @@ from caselens.functions.dates import month_label, parse_date
 from caselens.functions.tagging import line_tags_strict
 from caselens.functions.text import text_after_last
 from caselens.functions.themes import accept_theme
-from caselens.operators import clean, clusters, dedup, geo, infer, joins, tags, trends, vectors
+from caselens.operators import clean, clusters, dedup, geo, hierarchy, infer, joins, tags, trends, vectors
 
 TAG_INSTRUCTION = "List two or three short keyword tags for this complaint on one numbered line, separated by commas."
 THEME_INSTRUCTION = "Give a theme for this complaint: a title of three to seven words, nothing else."
@@ -122,12 +122,16 @@ class TopicReport:
 
 
 def cluster_cases(
-    embedded: DataFrame, *, cell: float, min_pts: int = 5, min_size: int = 30, dims: int = 5,
+    embedded: DataFrame, *, min_size: int = 30, min_pts: int = 5, dims: int = 5, cell: float | None = None,
 ) -> DataFrame:
-    """Cases with ``embedding`` to cases with ``cluster``; -1 is noise."""
+    """Cases with ``embedding`` to cases with ``cluster``; -1 is noise.
+
+    Without ``cell`` the density of each cluster is found by itself.
+    """
     reduced = vectors.reduce_dims(embedded, vector="embedding", k=dims)
-    found = clusters.density_clusters(
-        reduced, case_id="case_id", vector="reduced", cell=cell, dims=dims, min_pts=min_pts, min_size=min_size)
+    common = dict(case_id="case_id", vector="reduced", dims=dims, min_pts=min_pts, min_size=min_size)
+    found = (hierarchy.density_hierarchy(reduced, **common) if cell is None
+             else clusters.density_clusters(reduced, cell=cell, **common))
     return joins.attach(embedded, found, case_id="case_id")
 
 

@@ -188,6 +188,16 @@ def geo_month_share(spark, sf_dir):
     return shares.withColumn("share", F.round("share", 6))
 
 
+@query("top_state_per_month", f"""
+WITH {_PLACED}, c AS (SELECT month, state_id, count(*) AS n FROM placed GROUP BY 1, 2),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY month ORDER BY n DESC) AS r FROM c)
+SELECT month, state_id, n FROM r WHERE r = 1""")
+def top_state_per_month(spark, sf_dir):
+    """Which state leads a month: the part of a question that needs no model."""
+    counts = trends.count_by(placed_months(spark, sf_dir), by=["month", "state_id"])
+    return trends.share_and_rank(counts, part="month").where("rank = 1").select("month", "state_id", "n")
+
+
 _CODES = list(rules.STATE_NAMES)[:20] + ["PR", "GU", "VI", "AS", "MP"]
 
 

@@ -78,7 +78,8 @@ def test_clusters_and_indicators(spark):
     rows = [(i, f"case {i}", [float(x) for x in rng.normal(5.0 * (i % 2), 0.05, 6)], datetime.datetime(2024, 1 + i % 2, 3))
             for i in range(80)]
     embedded = spark.createDataFrame(rows, "case_id bigint, narrative string, embedding array<double>, ts timestamp")
-    clustered = flows.cluster_cases(embedded, cell=1.0, dims=2)
+    clustered = flows.cluster_cases(embedded, dims=2)
+    assert flows.cluster_cases(embedded, cell=1.0, dims=2).where("cluster >= 0").count() > 70
     named = flows.name_case_clusters(clustered, factory=lambda: (lambda ps: ["Theme: Late fees" for _ in ps]))
     assert {r.label for r in named.collect()} <= {"Late fees", "Noise/Outlier"} and named.count() == 80
     assert named.where("cluster >= 0").select("cluster").distinct().count() == 2

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caselens.operators import clusters, evaluate, profile, vectors
+from caselens.operators import clusters, evaluate, hierarchy, profile, vectors
 
 
 def frame(spark, matrix, start=0):
@@ -165,3 +165,40 @@ def test_profile(spark):
     assert tuple(exact["s"])[1:] == (4, 1, 1, 2, 1) and tuple(exact["n"])[1:] == (4, 1, 0, 3, 0)
     rough = {r.column_name: r for r in profile.profile(df).collect()}
     assert tuple(rough["s"])[1:5] == (4, 1, 1, 2) and rough["s"].n_repeated is None
+
+
+def varied(seed=11):
+    """Blobs of different density and two close ones; the last two need a finer grid."""
+    rng = np.random.default_rng(seed)
+    blobs = [(0.0, 0.6, 400), (12.0, 0.1, 150), (20.0, 0.02, 100), (20.4, 0.02, 100)]
+    parts = [rng.normal(c, s, (n, 2)) for c, s, n in blobs]
+    noise = rng.uniform(-5, 25, (25, 2))
+    truth = [i for i, b in enumerate(blobs) for _ in range(b[2])] + [-1] * 25
+    return np.vstack([*parts, noise]), truth
+
+
+def test_hierarchy_finds_blobs_of_any_density(spark):
+    points, truth = varied()
+    df = frame(spark, points).repartition(5)
+    got = clusters_of(hierarchy.density_hierarchy(df, case_id="id", vector="v", dims=2, min_size=30, min_pts=4))
+    assert len(got) == len(truth) and set(got.values()) == {-1, 0, 1, 2, 3}
+    named = {}
+    for i, t in enumerate(truth):
+        named.setdefault(t, []).append(got[i])
+    tops = {t: max(set(v), key=v.count) for t, v in named.items()}
+    assert len({tops[t] for t in range(4)}) == 4 and tops[0] == 0 and -1 not in {tops[t] for t in range(4)}
+    assert sum(got[i] == tops[t] for i, t in enumerate(truth) if t >= 0) > 0.85 * 750
+
+
+def clusters_of(df):
+    return {r.id: r.cluster for r in df.collect()}
+
+
+def test_hierarchy_without_structure_is_noise(spark):
+    flat = frame(spark, np.random.default_rng(2).uniform(0, 1, (400, 2)))
+    options = dict(case_id="id", vector="v", dims=2, min_size=60, min_pts=4, levels=5)
+    assert set(clusters_of(hierarchy.density_hierarchy(flat, **options)).values()) == {-1}
+    one = clusters_of(hierarchy.density_hierarchy(flat, allow_single=True, hot_rows=20, **options))
+    assert list(one.values()).count(0) > 350
+    same = frame(spark, np.ones((50, 2)))
+    assert set(clusters_of(hierarchy.density_hierarchy(same, allow_single=True, **options | {"min_size": 30})).values()) == {0}
