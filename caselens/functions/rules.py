@@ -67,10 +67,13 @@ NULL_TOKENS = [
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Personal data, replaced in this order: (type, pattern, placeholder).
+# Personal data, replaced in this order: (type, pattern, placeholder, sign).
+# The sign is a short pattern that every hit contains; texts without it are
+# spared the full pattern.
 PII_RULES = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    ("secret", r"(?i)(?:api_?key|token|secret|password)[ ]*[:=][ ]*[\"']?[A-Za-z0-9_-]{8,}[\"']?", "[SECRET]"),
-    ("long_number", r"[0-9]{12,}", "[NUMBER]"),
-    ("phone", r"(?:\+?[0-9]{1,2}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", "[PHONE]"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]", "@"),
+    ("secret", r"(?i)(?:api_?key|token|secret|password)[ ]*[:=][ ]*[\"']?[A-Za-z0-9_-]{8,}[\"']?", "[SECRET]", "[:=]"),
+    ("long_number", r"[0-9]{12,}", "[NUMBER]", "[0-9]{12}"),
+    ("phone", r"(?:\+?[0-9]{1,2}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", "[PHONE]",
+     "[0-9]{3}[ .-][0-9]{4}"),
 ]

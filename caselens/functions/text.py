@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that counts as white space in Unicode text, as a class body
-# that reads alike in Java and RE2, and as the characters themselves.
-_WS_BUT_SPACE = (r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-                 r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
-WS = rf"[ {_WS_BUT_SPACE}]"
+# A run of Unicode white space, as a pattern and as the characters themselves.
+# The cheap range comes first: it turns most characters away by one comparison.
+WS_RUN = r"(?U)[[^!-~]&&[\s\x1c-\x1f]]+"
 WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
@@ -22,13 +20,12 @@ def trim_ws(c: Column | str) -> Column:
 
 
 def collapse_ws(c: Column | str) -> Column:
-    # A single space, by far the usual case, is no match.
-    return F.regexp_replace(_col(c), f"{WS}{{2,}}|[{_WS_BUT_SPACE}]", " ")
+    return F.regexp_replace(_col(c), WS_RUN, " ")
 
 
 def words(c: Column | str) -> Column:
     """White-space separated words; no empty ones."""
-    return F.filter(F.split(_col(c), f"{WS}+"), lambda w: w != "")
+    return F.filter(F.split(_col(c), WS_RUN), lambda w: w != "")
 
 
 def is_blank(c: Column | str) -> Column:

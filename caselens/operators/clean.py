@@ -43,13 +43,14 @@ def remove_masks_anywhere(
 
 
 def scrub_pii(
-    df: DataFrame, *, text: str, pii_rules: Sequence[tuple[str, str, str]] = tuple(rules.PII_RULES),
+    df: DataFrame, *, text: str, pii_rules: Sequence[tuple[str, str, str, str]] = tuple(rules.PII_RULES),
 ) -> DataFrame:
     """Replace personal data by typed placeholders; add one hit count per type."""
-    for kind, pattern, placeholder in pii_rules:
+    for kind, pattern, placeholder, sign in pii_rules:
+        has_sign = F.col(text).rlike(sign)
         hits = F.size(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-        df = df.withColumn(f"n_{kind}", hits)
-        df = df.withColumn(text, F.regexp_replace(text, pattern, placeholder))
+        df = df.withColumn(f"n_{kind}", F.when(has_sign, hits).otherwise(0)).withColumn(
+            text, F.when(F.col(f"n_{kind}") > 0, F.regexp_replace(text, pattern, placeholder)).otherwise(F.col(text)))
     return df
 
 

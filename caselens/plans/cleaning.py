@@ -67,7 +67,7 @@ def blank_rows(spark, sf_dir):
         F.sum(F.length("text")).alias("n_chars_filled"))
 
 
-_PII = [(k, p.replace("'", "''"), r) for k, p, r in rules.PII_RULES]
+_PII = [(k, p.replace("'", "''"), r) for k, p, r, _ in rules.PII_RULES]
 
 
 def _pii_sql() -> str:
@@ -88,7 +88,7 @@ def pii_scrub(spark, sf_dir):
 
 
 def _long_counts(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"n_{k}": F.col(f"n_{k}").cast("bigint") for k, _, _ in rules.PII_RULES})
+    return df.withColumns({f"n_{k}": F.col(f"n_{k}").cast("bigint") for k, *_ in rules.PII_RULES})
 
 
 @query("pii_counts", f"""{_pii_sql()}
@@ -99,7 +99,7 @@ def pii_counts(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
     found = _long_counts(clean.scrub_pii(docs, text="text"))
     return found.groupBy("source").agg(
-        *[F.sum(f"n_{k}").alias(f"n_{k}") for k, _, _ in rules.PII_RULES], F.count("*").alias("n_rows"))
+        *[F.sum(f"n_{k}").alias(f"n_{k}") for k, *_ in rules.PII_RULES], F.count("*").alias("n_rows"))
 
 
 @query("stamped_rows", """
