@@ -137,10 +137,11 @@ def near_dup_groups(
         led = materialize(
             salted_lookup(open_, leads, key="b", spread_by=["id"], hot_rows=hot_rows, n_facts=n_open)
             .where("id > lead").select("b", "id", "lead"), "led")
-        pairs = led.select("id", "lead").distinct().join(sets, "id")
         lead_sets = sets.select(F.col("id").alias("lead"), F.col("shingles").alias("lead_shingles"))
+        # A text has at most bands * n_leads pairs; its leader may have any number.
         both = salted_lookup(
-            pairs, lead_sets, key="lead", spread_by=["id"], hot_rows=hot_rows, n_facts=n_open * n_leads)
+            led.select("id", "lead").distinct(), lead_sets, key="lead", spread_by=["id"],
+            hot_rows=hot_rows, n_facts=n_open * n_leads).join(sets, "id")
         common = F.size(F.array_intersect("shingles", "lead_shingles"))
         jaccard = common / (F.size("shingles") + F.size("lead_shingles") - common)
         linked = materialize(both.where(jaccard >= threshold).select("id", "lead"), "links")

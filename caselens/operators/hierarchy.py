@@ -99,8 +99,11 @@ def density_hierarchy(
     # One row per cluster: few, and none smaller than min_size.
     numbers = chosen.select("grp", (F.row_number().over(
         Window.orderBy(F.desc("size"), "first")) - 1).cast("int").alias("cluster"))
-    labelled = grouped.join(numbers, "grp").select("level", "cube", "cluster")
-    fine = ancestors.join(labelled, ["level", "cube"]).select(F.col("fine").alias("cube"), "cluster")
+    labelled = grouped.join(numbers, "grp").select(F.struct("level", "cube").alias("cell"), "cluster")
+    # A wide cube holds many of the finest ones, so this join may be skewed as well.
+    fine = salted_lookup(
+        ancestors.select("fine", F.struct("level", "cube").alias("cell")), labelled,
+        key="cell", spread_by=["fine"], hot_rows=hot_rows).select(F.col("fine").alias("cube"), "cluster")
     return (salted_lookup(points, fine, key="cube", spread_by=["id"], how="left", hot_rows=hot_rows)
             .select(F.col("id").alias(case_id), F.coalesce("cluster", F.lit(-1)).alias("cluster")))
 

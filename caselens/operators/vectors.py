@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,9 +79,10 @@ def _unit(rows) -> np.ndarray:
 def _best(query_ids: np.ndarray, q: np.ndarray, base_ids: np.ndarray, b: np.ndarray, k: int) -> pd.DataFrame:
     """The k best base rows of each query, ties to the lesser key."""
     found = []
-    for start in range(0, len(b), 2048):
-        ids = base_ids[start:start + 2048]
-        scores = np.round(q @ b[start:start + 2048].T, 12)
+    step = max(64, 4_000_000 // max(len(q), 1))  # bounds the score matrix
+    for start in range(0, len(b), step):
+        ids = base_ids[start:start + step]
+        scores = np.round(q @ b[start:start + step].T, 12)
         if scores.shape[1] > k:
             bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
             rows, cols = np.nonzero(scores >= bound)
@@ -136,7 +136,8 @@ def top_k(
     if len(held) <= max_queries:
         partial = _scan(b, held, wanted, schema)
     else:
-        partial = _blocks(q, b, wanted, block_rows, schema)
+        one = F.lit(0).alias("cell")
+        partial = _blocks(q.select("*", one), b.select("*", one), wanted, block_rows, schema)
     if exclude_self:
         partial = partial.where("query_id <> base_id")
     return _merged(partial, k)
@@ -162,24 +163,35 @@ def _scan(base: DataFrame, held: list, k: int, schema: str) -> DataFrame:
 
 
 def _blocks(queries: DataFrame, base: DataFrame, k: int, block_rows: int, schema: str) -> DataFrame:
-    n_q = math.ceil(queries.count() / block_rows)
-    n_b = math.ceil(base.count() / block_rows)
+    """Match every query with the base rows of its cell.
 
-    def block(key: str, n: int):
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    Cells are cut into blocks of about ``block_rows`` queries and base rows by
+    a hash of the key; each pair of blocks is one task, however full a cell is.
+    """
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    # One row per cell; cells that only one side has match nothing.
+    sizes = F.broadcast(blocks(queries, "n_q").join(blocks(base, "n_b"), "cell"))
 
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def place(key: str, n: str):
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
 
-    left = queries.withColumn("qb", block("query_id", n_q)).withColumn("bb", every(n_b))
-    right = base.withColumn("bb", block("base_id", n_b)).withColumn("qb", every(n_q))
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    group = ["cell", "qb", "bb"]
+    left = queries.join(sizes, "cell").select(
+        "query_id", "v", "cell", place("query_id", "n_q").alias("qb"), every("n_b").alias("bb"))
+    right = base.join(sizes, "cell").select(
+        "base_id", "v", "cell", place("base_id", "n_b").alias("bb"), every("n_q").alias("qb"))
 
     def match(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or bs.empty:
             return pd.DataFrame({"query_id": qs["query_id"][:0], "base_id": bs["base_id"][:0], "score": []})
         return _best(qs["query_id"].to_numpy(), _unit(qs["v"]), bs["base_id"].to_numpy(), _unit(bs["v"]), k)
 
-    return left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(match, schema)
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(match, schema)
 
 
 def coarse_cells(
@@ -191,6 +203,11 @@ def coarse_cells(
     return model.transform(held).drop("_v"), [c.tolist() for c in model.clusterCenters()]
 
 
+def _nearest_cells(unit: np.ndarray, centre: np.ndarray, probes: int) -> np.ndarray:
+    distance = (unit ** 2).sum(axis=1)[:, None] - 2 * unit @ centre.T + (centre ** 2).sum(axis=1)
+    return np.argsort(distance, axis=1, kind="stable")[:, :probes]
+
+
 def top_k_probed(
     queries: DataFrame,
     index: DataFrame,
@@ -202,25 +219,37 @@ def top_k_probed(
     k: int = 5,
     probes: int = 4,
     max_queries: int = 4096,
+    block_rows: int = 20_000,
 ) -> DataFrame:
     """Approximate top k: each query looks at its ``probes`` nearest cells only.
 
-    With the index stored by ``cell`` the other cells' files are not read. A
+    With the index stored by ``cell`` the other cells' files are not read, and a
     large cell needs no special care: its rows stay spread over their files.
+    More than ``max_queries`` queries are matched block by block in each cell.
     """
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
-    held = q.limit(max_queries + 1).collect()
-    if len(held) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: use top_k, or ask in parts")
+    b = index.select(F.col(base_id).alias("base_id"), F.col(vector).alias("v"), "cell")
     schema = _names(queries, index, query_id, base_id)
+    centre = np.asarray(centres)
+    held = q.limit(max_queries + 1).collect()
     if not held:
         return _merged(index.sparkSession.createDataFrame([], schema), k)
+    if len(held) > max_queries:
+        key_type = queries.schema[query_id].dataType.simpleString()
+        vector_type = queries.schema[vector].dataType.simpleString()
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf.assign(cell=list(_nearest_cells(_unit(pdf["v"]), centre, probes)))
+
+        near = q.mapInPandas(assign, f"query_id {key_type}, v {vector_type}, cell array<int>")
+        asked = near.withColumn("cell", F.explode("cell"))
+        return _merged(_blocks(asked, b, k, block_rows, schema), k)
+
     unit = _unit([r["v"] for r in held])
-    centre = np.asarray(centres)
-    distance = ((unit[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2)
-    near = np.argsort(distance, axis=1, kind="stable")[:, :probes]
     asked = np.zeros((len(held), len(centre)), dtype=bool)
-    np.put_along_axis(asked, near, True, axis=1)
+    np.put_along_axis(asked, _nearest_cells(unit, centre, probes), True, axis=1)
     shared = index.sparkSession.sparkContext.broadcast(
         (np.asarray([r["query_id"] for r in held]), unit, asked))
 
@@ -236,9 +265,7 @@ def top_k_probed(
                 yield _trim(pd.concat(found), k)
 
     probed = [int(c) for c in np.flatnonzero(asked.any(axis=0))]
-    base = (index.where(F.col("cell").isin(probed))
-            .select(F.col(base_id).alias("base_id"), F.col(vector).alias("v"), "cell"))
-    return _merged(base.mapInPandas(run, schema), k)
+    return _merged(b.where(F.col("cell").isin(probed)).mapInPandas(run, schema), k)
 
 
 def recall(exact: DataFrame, approx: DataFrame) -> DataFrame:

@@ -43,13 +43,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where a scan has fewer splits than the session has cores.
+    """Use all cores where a scan has far fewer splits than the session has cores.
 
-    Large inputs already have more splits than cores and pass unchanged. Meant
+    Large inputs have more splits than cores and pass without a shuffle. Meant
     for plain scans: counting the splits of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
