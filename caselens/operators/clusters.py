@@ -93,8 +93,12 @@ def label_clusters(
     df: DataFrame, labels: DataFrame, *, cluster: str = "cluster", label: str = "label",
     noise_label: str = rules.NOISE_LABEL, max_broadcast: int = 200_000,
 ) -> DataFrame:
-    """Attach cluster labels; clusters without one (noise) get ``noise_label``."""
-    return (df.join(broadcast_if_small(labels, max_broadcast), cluster, "left")
+    """Attach cluster labels; clusters without one (noise) get ``noise_label``.
+
+    The labels are written first: a model that names them is asked once.
+    """
+    stored = materialize(labels.select(cluster, label), "labels")
+    return (df.join(broadcast_if_small(stored, max_broadcast), cluster, "left")
             .na.fill(noise_label, [label]))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from caselens.functions.text import _col, trim_ws
 from caselens.operators.joins import pending
-from caselens.sources.tables import append_table, read_results
+from caselens.runtime import new_path
+from caselens.sources.tables import append_table, read_results, write_table
 
 Generate = Callable[[list[str]], list[str]]
 
@@ -82,7 +83,9 @@ def generate(
     number of partitions. ``accept`` turns a reply into the output, '' to ask
     again. Cases whose ``subject`` (default: prompt) is blank are not asked.
     Status: ``ok``, ``empty`` (no accepted reply), ``error``, ``blank``. Spark may
-    run a task twice; a model may then be asked twice, results stay unique.
+    run a task twice; a model may then be asked twice, results stay unique. The
+    result is lazy, so every action asks again: write it, or use
+    ``generate_resumable``, before using it more than once.
     """
     key_type = df.schema[case_id].dataType.simpleString()
     subject_text = F.col(subject or prompt)
@@ -117,7 +120,9 @@ def generate_resumable(
     """Answer the cases without a finished result, appending to the table at ``path``.
 
     Each slice of the keys is one atomic append, so a run that dies keeps the
-    slices before it. Returns one row per key, the latest try.
+    slices before it. The open cases are found once and stored by slice, so
+    slices cost no further reads of ``df``. Returns one row per key, its latest
+    try.
     """
     spark = df.sparkSession
     key_type = df.schema[case_id].dataType.simpleString()
@@ -125,9 +130,17 @@ def generate_resumable(
               "error string, run int")
     before = read_results(spark, path, schema=schema)
     run = (before.agg(F.max("run")).first()[0] or 0) + 1
-    todo = pending(df, before, case_id=case_id, done=done)
-    for i in range(slices):
-        part = todo.where(F.pmod(F.xxhash64(case_id), F.lit(slices)) == i) if slices > 1 else todo
+    asked = list(dict.fromkeys(c for c in (case_id, options["prompt"], options.get("subject")) if c))
+    todo = pending(df.select(*asked), before, case_id=case_id, done=done)
+    if slices > 1:
+        held = new_path(spark, "pending")
+        sliced = todo.withColumn("_slice", F.pmod(F.xxhash64(case_id), F.lit(slices)).cast("int"))
+        write_table(sliced, held, partition_by=["_slice"])
+        stored = spark.read.schema(sliced.schema).parquet(held)
+        parts = [stored.where(F.col("_slice") == i) for i in range(slices)]
+    else:
+        parts = [todo]
+    for part in parts:
         results = generate(part, case_id=case_id, **options)
         append_table(results.withColumn("run", F.lit(run)), path)
     return latest_results(read_results(spark, path, schema=schema), case_id=case_id)

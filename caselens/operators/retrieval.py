@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caselens.operators.infer import Generate, generate
 from caselens.operators.vectors import encode_text, top_k
+from caselens.runtime import small_enough
 from caselens.sources.tables import append_table, write_table
 
 
@@ -101,12 +102,20 @@ def assemble_context(
 
 def retrieve(
     model: PipelineModel, questions: DataFrame, index: DataFrame, *, question_id: str, question: str, k: int = 5,
+    max_questions: int = 4096,
 ) -> DataFrame:
-    """The k best documents per question with their content."""
+    """The k best documents per question with their content.
+
+    Up to ``max_questions`` questions have a bounded number of hits, which are
+    broadcast to the index; the contents are then read in place, not shuffled.
+    """
     asked = encode_text(model, questions, text=question)
-    hits = top_k(asked, index, query_id=question_id, base_id="doc_id", vector="embedding", k=k)
-    found = hits.join(index.select(F.col("doc_id").alias("base_id"), "content", "metadata"), "base_id")
-    return found
+    hits = top_k(asked, index, query_id=question_id, base_id="doc_id", vector="embedding", k=k,
+                 max_queries=max_questions)
+    if small_enough(questions, max_questions):
+        hits = F.broadcast(hits)
+    return index.select(F.col("doc_id").alias("base_id"), "content", "metadata").join(hits, "base_id").select(
+        "query_id", "rank", "score", "base_id", "content", "metadata")
 
 
 def answer(
@@ -120,7 +129,10 @@ def answer(
     instruction: str = "Answer the question from the context only.",
     k: int = 5,
 ) -> DataFrame:
-    """Retrieve, put the context and the question into a prompt, and ask the model."""
+    """Retrieve, put the context and the question into a prompt, and ask the model.
+
+    Lazy, as ``generate`` is: write the result before using it more than once.
+    """
     context = assemble_context(
         retrieve(model, questions, index, question_id=question_id, question=question, k=k))
     prompts = questions.join(context.withColumnRenamed("query_id", question_id), question_id, "left")

@@ -197,7 +197,11 @@ def _blocks(queries: DataFrame, base: DataFrame, k: int, block_rows: int, schema
 def coarse_cells(
     base: DataFrame, *, vector: str, cells: int, seed: int = 42, max_iter: int = 10,
 ) -> tuple[DataFrame, list[list[float]]]:
-    """Give every vector its nearest of ``cells`` centres; also return the centres."""
+    """Give every vector its nearest of ``cells`` centres; also return the centres.
+
+    Stored with ``write_table(..., partition_by=["cell"])`` the result is an
+    index whose cells ``top_k_probed`` reads one by one.
+    """
     held = base.withColumn("_v", array_to_vector(vector))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="cell").fit(held)
     return model.transform(held).drop("_v"), [c.tolist() for c in model.clusterCenters()]
