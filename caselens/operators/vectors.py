@@ -71,27 +71,53 @@ def kmeans(df: DataFrame, *, vector: str, k: int, seed: int = 42, output: str =
 
 
 def _unit(rows) -> np.ndarray:
-    m = np.asarray([np.asarray(r, dtype=np.float64) for r in rows])
+    m = np.concatenate(list(rows)).astype(np.float64).reshape(len(rows), -1)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(length == 0, 1.0, length)
 
 
-def _best(query_ids: np.ndarray, q: np.ndarray, base_ids: np.ndarray, b: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best base rows of each query, ties to the lesser key."""
-    found = []
-    step = max(64, 4_000_000 // max(len(q), 1))  # bounds the score matrix
-    for start in range(0, len(b), step):
-        ids = base_ids[start:start + step]
-        scores = np.round(q @ b[start:start + step].T, 12)
-        if scores.shape[1] > k:
-            bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-            rows, cols = np.nonzero(scores >= bound)
-        else:
-            rows, cols = np.nonzero(np.ones(scores.shape, dtype=bool))
-        found.append(pd.DataFrame({"query_id": query_ids[rows], "base_id": ids[cols], "score": scores[rows, cols]}))
-    if not found:
-        return pd.DataFrame({"query_id": query_ids[:0], "base_id": base_ids[:0], "score": np.empty(0)})
-    return _trim(pd.concat(found, ignore_index=True), k)
+class _Best:
+    """The k best base rows of each query so far, ties to the lesser key.
+
+    Products in single precision find the rows that may be among the best; only
+    those are scored exactly. The margin covers the rounding of the products.
+    """
+
+    def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = query_ids, q, k
+        self.rough_q = q.astype(np.float32)
+        self.margin = 2 * (q.shape[1] * 1.2e-7 + 1e-6)
+        self.bound = np.full(len(q), -np.inf, dtype=np.float32)
+        self.found: list[pd.DataFrame] = []
+        self.n_found = 0
+
+    def add(self, base_ids: np.ndarray, b: np.ndarray) -> _Best:
+        step = max(64, 4_000_000 // len(self.q))  # bounds the score matrix
+        for start in range(0, len(b), step):
+            part = b[start:start + step]
+            rough = self.rough_q @ part.astype(np.float32).T
+            if np.isneginf(self.bound).any() and len(part) > self.k:
+                slice_bound = -np.partition(-rough, self.k - 1, axis=1)[:, self.k - 1] - self.margin
+                self.bound = np.maximum(self.bound, slice_bound)
+            rows, cols = np.nonzero(rough >= self.bound[:, None])
+            score = np.round(np.einsum("ij,ij->i", self.q[rows], part[cols]), 12)
+            self.found.append(pd.DataFrame({
+                "query_id": self.ids[rows], "base_id": base_ids[start + cols], "score": score, "at": rows}))
+            self.n_found += len(rows)
+            if self.n_found > 8 * self.k * len(self.q) + 100_000:
+                self._shrink()
+        return self
+
+    def _shrink(self) -> None:
+        kept = _trim(pd.concat(self.found, ignore_index=True), self.k)
+        worst = kept.groupby("at")["score"].agg(["min", "size"])
+        full = worst[worst["size"] == self.k]
+        self.bound[full.index] = np.maximum(self.bound[full.index], full["min"].to_numpy() - self.margin)
+        self.found, self.n_found = [kept], 0
+
+    def result(self) -> pd.DataFrame:
+        self._shrink()
+        return self.found[0].drop(columns="at")
 
 
 def _trim(hits: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -150,14 +176,13 @@ def _scan(base: DataFrame, held: list, k: int, schema: str) -> DataFrame:
         (np.asarray([r["query_id"] for r in held]), _unit([r["v"] for r in held])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        kept = None
+        best = None
         for pdf in batches:
             if len(pdf):
-                hits = _best(ids, q, pdf["base_id"].to_numpy(), _unit(pdf["v"]), k)
-                kept = hits if kept is None else _trim(pd.concat([kept, hits]), k)
-        if kept is not None:
-            yield kept
+                best = best or _Best(*shared.value, k)
+                best.add(pdf["base_id"].to_numpy(), _unit(pdf["v"]))
+        if best:
+            yield best.result()
 
     return base.mapInPandas(run, schema)
 
@@ -189,7 +214,8 @@ def _blocks(queries: DataFrame, base: DataFrame, k: int, block_rows: int, schema
     def match(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or bs.empty:
             return pd.DataFrame({"query_id": qs["query_id"][:0], "base_id": bs["base_id"][:0], "score": []})
-        return _best(qs["query_id"].to_numpy(), _unit(qs["v"]), bs["base_id"].to_numpy(), _unit(bs["v"]), k)
+        best = _Best(qs["query_id"].to_numpy(), _unit(qs["v"]), k)
+        return best.add(bs["base_id"].to_numpy(), _unit(bs["v"])).result()
 
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(match, schema)
 
@@ -259,14 +285,15 @@ def top_k_probed(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, qm, wanted = shared.value
+        best: dict[int, _Best] = {}
         for pdf in batches:
-            found = []
             for cell, rows in pdf.groupby("cell"):
                 who = wanted[:, cell]
-                if who.any():
-                    found.append(_best(ids[who], qm[who], rows["base_id"].to_numpy(), _unit(rows["v"]), k))
-            if found:
-                yield _trim(pd.concat(found), k)
+                if cell not in best:
+                    best[cell] = _Best(ids[who], qm[who], k)
+                best[cell].add(rows["base_id"].to_numpy(), _unit(rows["v"]))
+        for part in best.values():
+            yield part.result()
 
     probed = [int(c) for c in np.flatnonzero(asked.any(axis=0))]
     return _merged(b.where(F.col("cell").isin(probed)).mapInPandas(run, schema), k)
