@@ -55,12 +55,13 @@ def density_clusters(
     links = touching(dense.select(F.lit(0).alias("level"), "cube", F.col("cube_id").alias("node")), dims=dims)
     roots = dense.join(
         components(links, hot_rows=hot_rows).withColumnRenamed("id", "cube_id"), "cube_id", "left")
-    roots = roots.select("cube", "n", F.coalesce("component", "cube_id").alias("root"))
+    roots = materialize(roots.select("cube", "n", F.coalesce("component", "cube_id").alias("root")), "roots")
     sizes = roots.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") >= min_size)
     # One row per cluster: few, and none smaller than min_size.
     numbers = sizes.select(
         "root", (F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1).cast("int").alias("cluster"))
-    named = roots.join(numbers, "root").select("cube", "cluster")
+    named = salted_lookup(
+        roots, numbers, key="root", spread_by=["cube"], hot_rows=hot_rows, n_facts=roots.count()).select("cube", "cluster")
     return (salted_lookup(points, named, key="cube", spread_by=["id"], how="left", hot_rows=hot_rows)
             .select(F.col("id").alias(case_id), F.coalesce("cluster", F.lit(-1)).alias("cluster")))
 

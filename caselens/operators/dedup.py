@@ -127,7 +127,8 @@ def near_dup_groups(
         _band_keys(rows_per_band, bands, seed), "id bigint, band int, bucket bigint")
         .select(F.xxhash64("band", "bucket").alias("b"), "id"), "buckets")
     shared = buckets.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
-    open_ = materialize(buckets.join(shared, "b", "left_semi"), "open")
+    open_ = materialize(salted_lookup(
+        buckets, shared, key="b", spread_by=["id"], how="left_semi", hot_rows=hot_rows, n_facts=buckets.count()), "open")
 
     links, n_leads = None, 1
     while n_open := open_.count():

@@ -99,7 +99,9 @@ def density_hierarchy(
     # One row per cluster: few, and none smaller than min_size.
     numbers = chosen.select("grp", (F.row_number().over(
         Window.orderBy(F.desc("size"), "first")) - 1).cast("int").alias("cluster"))
-    labelled = grouped.join(numbers, "grp").select(F.struct("level", "cube").alias("cell"), "cluster")
+    labelled = salted_lookup(
+        grouped, numbers, key="grp", spread_by=["node"], hot_rows=hot_rows, n_facts=grouped.count()).select(
+        F.struct("level", "cube").alias("cell"), "cluster")
     # A wide cube holds many of the finest ones, so this join may be skewed as well.
     fine = salted_lookup(
         ancestors.select("fine", F.struct("level", "cube").alias("cell")), labelled,

@@ -28,31 +28,34 @@ def render_numbered(instruction: str, texts: Column | str, cue: str = "") -> Col
     return F.concat(F.lit(instruction + "\n\n"), F.array_join(lines, "\n"), F.lit("\n\n" + cue if cue else ""))
 
 
-def _caller(model: Generate, accept: Callable[[str], str] | None, max_attempts: int, backoff: float):
+def _caller(
+    model: Generate, last: Generate | None, accept: Callable[[str], str] | None, max_attempts: int, backoff: float,
+):
     """Answer a slice of prompts as ``(output, status, attempts, error)`` each."""
+    tries = [model] * max_attempts + ([last] if last else [])
 
-    def ask(prompts: list[str]) -> list[str]:
+    def ask(model: Generate, prompts: list[str]) -> list[str]:
         replies = list(model(prompts))
         if len(replies) != len(prompts):
             raise ValueError(f"{len(replies)} replies for {len(prompts)} prompts")
         return ["" if r is None else str(r) for r in replies]
 
-    def once(prompts: list[str]) -> list[tuple[str, str | None]]:
+    def once(model: Generate, prompts: list[str]) -> list[tuple[str, str | None]]:
         # A failed batch is asked again one by one, so that one bad row fails alone.
         try:
-            return [(r, None) for r in ask(prompts)]
+            return [(r, None) for r in ask(model, prompts)]
         except Exception as failed:
             if len(prompts) == 1:
                 return [("", f"{type(failed).__name__}: {failed}")]
-        return [once([p])[0] for p in prompts]
+        return [once(model, [p])[0] for p in prompts]
 
     def answer(prompts: list[str]) -> list[tuple[str, str, int, str | None]]:
         results: list = [None] * len(prompts)
         left = list(range(len(prompts)))
-        for attempt in range(1, max_attempts + 1):
+        for attempt, model in enumerate(tries, 1):
             if attempt > 1 and backoff:
                 time.sleep(backoff * 2 ** (attempt - 2))
-            for i, (reply, error) in zip(left, once([prompts[i] for i in left])):
+            for i, (reply, error) in zip(left, once(model, [prompts[i] for i in left])):
                 output = accept(reply) if accept and error is None else reply
                 status = "error" if error else "ok" if output else "empty"
                 results[i] = (output, status, attempt, error)
@@ -70,6 +73,7 @@ def generate(
     case_id: str,
     prompt: str,
     factory: Callable[[], Generate],
+    last_factory: Callable[[], Generate] | None = None,
     subject: str | None = None,
     accept: Callable[[str], str] | None = None,
     max_attempts: int = 3,
@@ -81,7 +85,8 @@ def generate(
 
     ``factory`` builds the model once per partition; ``concurrency`` is the
     number of partitions. ``accept`` turns a reply into the output, '' to ask
-    again. Cases whose ``subject`` (default: prompt) is blank are not asked.
+    again, ``max_attempts`` times and then once the model of ``last_factory``
+    (one that does not sample, say). Cases whose ``subject`` (default: prompt) is blank are not asked.
     Status: ``ok``, ``empty`` (no accepted reply), ``error``, ``blank``. Spark may
     run a task twice; a model may then be asked twice, results stay unique. The
     result is lazy, so every action asks again: write it, or use
@@ -100,7 +105,7 @@ def generate(
             results: list = [("", "blank", 0, None)] * len(pdf)
             todo = [i for i, p in enumerate(pdf["_prompt"]) if isinstance(p, str)]
             if todo and answer is None:
-                answer = _caller(factory(), accept, max_attempts, backoff)
+                answer = _caller(factory(), last_factory and last_factory(), accept, max_attempts, backoff)
             for start in range(0, len(todo), batch_size):
                 part = todo[start:start + batch_size]
                 for i, result in zip(part, answer([pdf["_prompt"].iat[i] for i in part])):

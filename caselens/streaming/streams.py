@@ -37,7 +37,8 @@ def _first_of_each(key: str):
 def stream_dedup(stream: DataFrame, *, text: str, time: str | None = None, within: str | None = None) -> DataFrame:
     """First row of every distinct text of a stream, with its ``digest``.
 
-    The state is one 32-byte key per distinct text. With ``time`` and ``within``
+    The state is one 32-byte key per distinct text; for large streams keep it in
+    the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). With ``time`` and ``within``
     keys expire behind the watermark, and only copies that close are dropped.
     """
     keyed = stream.where(F.col(text).isNotNull()).withColumn("digest", digest(text))

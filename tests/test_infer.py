@@ -82,6 +82,12 @@ def test_empty_and_repeated_replies(cases):
     assert {(got[i].output, got[i].status) for i in range(40)} == {("", "empty")}
 
 
+def test_the_last_model_is_asked_at_the_end(cases):
+    got = ask(cases, failing, last_factory=lambda: (lambda prompts: ["Last word" for _ in prompts]), max_attempts=2)
+    assert (got[7].output, got[7].status, got[7].attempts) == ("Last word", "ok", 3)
+    assert (got[6].output, got[6].attempts, got[41].status) == ("Good theme", 1, "blank")
+
+
 def test_wrong_number_of_replies(cases):
     assert {ask(cases, wrong_length)[i].output for i in range(40)} == {"Good theme"}
 
