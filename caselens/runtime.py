@@ -46,14 +46,21 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where a scan has far fewer splits than the session has cores.
+    """Use all cores where a small scan has fewer splits than the session has cores.
 
-    Large inputs have more splits than cores and pass without a shuffle. Meant
-    for plain scans: counting the splits of a plan with shuffles would run them.
+    The input must be small for the cores, so the shuffle costs each of them
+    next to nothing; large inputs pass without one. Meant for plain scans:
+    counting the splits of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > cores * SPREAD_BYTES_PER_CORE or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
