@@ -1,0 +1,87 @@
+"""One query per operator, over the whole table, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caselens.llm import exact, mixing
+from caselens.llm.registry import QUERIES, SQL, query, table  # noqa: F401
+
+# --- 1 ----------------------------------------------------------------------------------------------------------------
+
+#: Quality as a weight: labelled good, not labelled, labelled bad.
+WEIGHTS = {1: 4.0, None: 2.0, 0: 1.0}
+
+
+def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``_weight`` from ``labels`` (one row per labelled document)."""
+    known = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
+    weight = F.when(F.col("_quality") == 1, WEIGHTS[1]).when(F.col("_quality") == 0, WEIGHTS[0]).otherwise(WEIGHTS[None])
+    return docs.join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("_weight", weight).drop("_id", "_quality")
+
+
+_REFILL = """
+f{n} AS (SELECT *, extra = 0 AND size <= gap AS o FROM g{m}),
+r{n} AS (SELECT *, sum(size) OVER (PARTITION BY source, o ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM f{n}),
+e{n} AS (SELECT * REPLACE (CASE WHEN o AND run <= gap THEN 1 ELSE extra END AS extra) FROM r{n}),
+g{n} AS (SELECT * EXCLUDE (o, run) REPLACE (room - inside - sum(size * extra) OVER (PARTITION BY source) AS gap) FROM e{n}),"""
+
+SQL["op1_mix_sources"] = r"""
+WITH k AS (
+  SELECT d.doc_id, d.source, CAST(coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    -ln((CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+    / CASE q.quality WHEN 1 THEN 4.0::DOUBLE WHEN 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS key
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) q USING (doc_id)),
+n AS (SELECT 4 * greatest(1, ceil(count(*) / 100000.0)) AS cells FROM k),
+rws AS (SELECT k.*, least(floor((1 - exp(-key)) * cells), cells - 1) AS cell, cells FROM k, n),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM rws GROUP BY 1),
+num AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w,
+  row_number() OVER (ORDER BY source NULLS LAST) AS i FROM src),
+rm AS (SELECT *, source_size * 3.0::DOUBLE / w AS most FROM num),
+lv AS (SELECT *, (sum(source_size) OVER () * 1.0::DOUBLE - coalesce(sum(source_size) OVER
+    (ORDER BY most, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3.0::DOUBLE)
+  / sum(w) OVER (ORDER BY most, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM rm),
+tg AS (SELECT source, source_size, coalesce(least(source_size * 3.0::DOUBLE,
+    (SELECT min(level) FROM lv WHERE level <= most) * w), source_size * 3.0::DOUBLE) AS target FROM lv),
+pl AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM tg),
+ro AS (SELECT *, greatest(target - epochs * source_size, 0) AS room FROM pl),
+ct AS (SELECT source, cell, sum(size) AS words, count(*) AS rows FROM rws GROUP BY 1, 2),
+cu AS (SELECT *, sum(words) OVER p AS to_words, sum(rows) OVER p AS to_rows FROM ct
+  WINDOW p AS (PARTITION BY source ORDER BY cell ROWS UNBOUNDED PRECEDING)),
+cb AS (SELECT cu.*, ro.* EXCLUDE (source), coalesce(max(to_rows) FILTER (to_words <= room) OVER (PARTITION BY cu.source), 0) AS before
+  FROM cu JOIN ro ON cu.source IS NOT DISTINCT FROM ro.source),
+en AS (SELECT source, source_size, target, epochs, room,
+  coalesce(min(cell) FILTER (to_words > room), 1e9) AS low,
+  coalesce(min(cell) FILTER (to_words > room AND to_rows >= before + 20000), 1e9) AS high,
+  coalesce(max(to_words) FILTER (to_words <= room), 0) AS inside FROM cb GROUP BY ALL),
+j AS (SELECT rws.*, en.* EXCLUDE (source) FROM rws JOIN en ON rws.source IS NOT DISTINCT FROM en.source),
+g0 AS (SELECT *, 0 AS extra, room - inside AS gap FROM j WHERE cell BETWEEN low AND high),
+r1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM g0),
+e1 AS (SELECT * REPLACE (CASE WHEN run <= gap THEN 1 ELSE 0 END AS extra) FROM r1),
+g1 AS (SELECT * EXCLUDE (run) REPLACE (room - inside - sum(size * extra) OVER (PARTITION BY source) AS gap) FROM e1),""" + "".join(
+    _REFILL.format(n=n, m=n - 1) for n in range(2, 6)) + """
+u AS (SELECT doc_id, source, size, source_size, target, epochs + extra AS times FROM g5
+  UNION ALL SELECT doc_id, source, size, source_size, target, epochs + CASE WHEN cell < low THEN 1 ELSE 0 END
+  FROM j WHERE NOT (cell BETWEEN low AND high))
+SELECT doc_id, source, size, source_size, target, CAST(times AS INTEGER) AS times, CAST(size * times AS BIGINT) AS taken FROM u"""
+
+
+@query("op1_mix_sources")
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, weight=F.col("_weight"))
+
+
+# --- 8 ----------------------------------------------------------------------------------------------------------------
+
+@query("op8_exact_dedup", r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""")
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower half of the ids is the first batch and becomes a snapshot, the upper half comes in later."""
+    docs = table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    middle = None if low is None else (low + high) // 2
+    return exact.dedup(docs, [F.col("doc_id") <= F.lit(middle)])
