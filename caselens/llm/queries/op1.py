@@ -1,14 +1,10 @@
-"""One query per operator, over the whole table, and the SQL that gives the same rows."""
-
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import decontam, exact, mixing, tokens
-from caselens.llm.registry import QUERIES, SQL, query, table  # noqa: F401
-
-# --- 1 ----------------------------------------------------------------------------------------------------------------
+from caselens.llm import mixing
+from caselens.llm.registry import SQL, query, table
 
 #: Quality as a weight: labelled good, not labelled, labelled bad.
 WEIGHTS = {1: 4.0, None: 2.0, 0: 1.0}
@@ -71,57 +67,3 @@ SELECT doc_id, source, size, source_size, target, CAST(times AS INTEGER) AS time
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixing.mix(docs, weight=F.col("_weight"))
-
-
-# --- 4 ----------------------------------------------------------------------------------------------------------------
-
-@query("op4_decontaminate", r"""
-WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
-  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(i) WHERE len(w) > 0),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-sizes AS (SELECT DISTINCT n FROM win),
-grams AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) t(i)),
-hit AS (SELECT DISTINCT grams.doc_id, i, n, item_id FROM grams JOIN (SELECT DISTINCT item_id, n, g FROM win) USING (n, g)),
-pos AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(range(0, n)) t(k) GROUP BY 1),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""")
-def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-# --- 6 ----------------------------------------------------------------------------------------------------------------
-
-#: Tokenizer of the token queries: a file of the public tokenizers package, its number of ids and the end id.
-TOKENIZER, VOCABULARY, END_ID = "byte_bpe_50k.json", 50_257, 2
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
-
-@query("op6_token_files")
-def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return tokens.read(spark, tokens.tokenize(docs, tokenizer_path(), end_id=END_ID, vocabulary=VOCABULARY))
-
-
-# --- 8 ----------------------------------------------------------------------------------------------------------------
-
-@query("op8_exact_dedup", r"""
-WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
-g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""")
-def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lower half of the ids is the first batch and becomes a snapshot, the upper half comes in later."""
-    docs = table(spark, sf_dir, "documents")
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = None if low is None else (low + high) // 2
-    return exact.dedup(docs, [F.col("doc_id") <= F.lit(middle)])
