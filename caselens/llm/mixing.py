@@ -68,20 +68,21 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    weight: Column | None = None,
+    weights: DataFrame | None = None,
     pattern: tuple[float, ...] = (1.0, 2.0, 3.0),
     share: float = 1.0,
     most: float = 3.0,
-    cell_rows: int = 100_000,
-    pool_rows: int = 20_000,
+    cell_rows: int = 20_000,
+    pool_rows: int = 2_000,
     refills: int = 4,
 ) -> DataFrame:
     """How often each document enters the mix.
 
     Returns one row per row of ``docs``: ``doc_id, source, size, source_size,
-    target, times, taken`` (``taken = size * times`` words). ``weight`` is the
-    document's quality (default 1); null counts as 1, and 0 or less is drawn
-    after all others. A part of a document is never taken: the draw takes the
+    target, times, taken`` (``taken = size * times`` words). ``weights`` holds
+    the quality of documents, ``doc_id, weight`` (the largest of a repeated
+    id); it is joined when the texts are gone. Without a row, or null, it is 1;
+    0 or less is drawn after all others. A part of a document is never taken: the draw takes the
     longest prefix of the sorted rows that fits, then fills the gap with later
     rows that fit, ``refills`` times, out of the next ``pool_rows`` rows or so.
     Cells hold about ``cell_rows / 4`` rows of the whole table at most.
@@ -89,10 +90,15 @@ def mix(
     Null or blank texts have no words and a null ``doc_id`` is an ordinary
     value. Rows equal in id and size are interchangeable. No rows give no rows.
     """
-    quality = F.coalesce(weight if weight is not None else F.lit(1.0), F.lit(1.0)).cast("double")
-    key = F.when(quality > 0, -F.ln(unit(F.col(doc_id))) / quality).otherwise(F.lit(float("inf")))
-    rows = materialize(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key")), "keys")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    if weights is not None:
+        known = weights.groupBy(F.col("doc_id").alias("_id")).agg(F.max("weight").alias("_weight"))
+        rows = materialize(rows, "sizes").join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    else:
+        rows = rows.withColumn("_weight", F.lit(1.0))
+    quality = F.coalesce("_weight", F.lit(1.0)).cast("double")
+    key = F.when(quality > 0, -F.ln(unit(F.col("doc_id"))) / quality).otherwise(F.lit(float("inf")))
+    rows = materialize(rows.select("doc_id", "source", "size", key.alias("key")), "keys")
     n = rows.count()
     # 1 - exp(-key) rises with the key and is even on (0, 1) at weight 1.
     cells = 4 * max(1, -(-n // cell_rows))

@@ -6,15 +6,12 @@ from pyspark.sql import functions as F
 from caselens.llm import mixing
 from caselens.llm.registry import SQL, query, table
 
-#: Quality as a weight: labelled good, not labelled, labelled bad.
-WEIGHTS = {1: 4.0, None: 2.0, 0: 1.0}
+#: Quality as a weight: labelled good and labelled bad; 1 where there is no label.
+GOOD, BAD = 2.0, 0.5
 
 
-def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``_weight`` from ``labels`` (one row per labelled document)."""
-    known = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"))
-    weight = F.when(F.col("_quality") == 1, WEIGHTS[1]).when(F.col("_quality") == 0, WEIGHTS[0]).otherwise(WEIGHTS[None])
-    return docs.join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("_weight", weight).drop("_id", "_quality")
+def quality_weights(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, BAD).alias("weight"))
 
 
 _REFILL = """
@@ -27,9 +24,9 @@ SQL["op1_mix_sources"] = r"""
 WITH k AS (
   SELECT d.doc_id, d.source, CAST(coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     -ln((CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
-    / CASE q.quality WHEN 1 THEN 4.0::DOUBLE WHEN 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS key
+    / CASE q.quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) q USING (doc_id)),
-n AS (SELECT 4 * greatest(1, ceil(count(*) / 100000.0)) AS cells FROM k),
+n AS (SELECT 4 * greatest(1, ceil(count(*) / 20000.0)) AS cells FROM k),
 rws AS (SELECT k.*, least(floor((1 - exp(-key)) * cells), cells - 1) AS cell, cells FROM k, n),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM rws GROUP BY 1),
 num AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w,
@@ -49,7 +46,7 @@ cb AS (SELECT cu.*, ro.* EXCLUDE (source), coalesce(max(to_rows) FILTER (to_word
   FROM cu JOIN ro ON cu.source IS NOT DISTINCT FROM ro.source),
 en AS (SELECT source, source_size, target, epochs, room,
   coalesce(min(cell) FILTER (to_words > room), 1e9) AS low,
-  coalesce(min(cell) FILTER (to_words > room AND to_rows >= before + 20000), 1e9) AS high,
+  coalesce(min(cell) FILTER (to_words > room AND to_rows >= before + 2000), 1e9) AS high,
   coalesce(max(to_words) FILTER (to_words <= room), 0) AS inside FROM cb GROUP BY ALL),
 j AS (SELECT rws.*, en.* EXCLUDE (source) FROM rws JOIN en ON rws.source IS NOT DISTINCT FROM en.source),
 g0 AS (SELECT *, 0 AS extra, room - inside AS gap FROM j WHERE cell BETWEEN low AND high),
@@ -65,5 +62,4 @@ SELECT doc_id, source, size, source_size, target, CAST(times AS INTEGER) AS time
 
 @query("op1_mix_sources")
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, weight=F.col("_weight"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=quality_weights(table(spark, sf_dir, "labels")))
