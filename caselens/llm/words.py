@@ -14,8 +14,8 @@ import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they can be divided by
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def classes(*ranges: tuple[int, int]) -> np.ndarray:
@@ -45,15 +45,17 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse, modulo 2**64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(n, SLICE_BYTES + (1 << 16))
-        inverse = pow(_BASE, -1, 1 << 64)
-        for key, base in (("up", _BASE), ("down", inverse)):
-            table = np.full(size, base, np.uint64)
+        tables = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            table = np.full(size, b, np.uint64)
             table[0] = 1
-            _POWERS[key] = np.multiply.accumulate(table)
-    return _POWERS["up"], _POWERS["down"]
+            tables.append(np.multiply.accumulate(table))
+        _POWERS[base] = (tables[0], tables[1])
+    return _POWERS[base]
 
 
 @dataclass
@@ -65,9 +67,9 @@ class Words:
     ends: np.ndarray
     offsets: np.ndarray  # words before each text, and the total
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word, the same wherever the word stands."""
-        up, down = _powers(len(self.data) + 1)
+    def hashes(self, *, second: bool = False) -> np.ndarray:
+        """One 64-bit hash per word, the same wherever the word stands; ``second`` is another one."""
+        up, down = _powers(len(self.data) + 1, _BASES[second])
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:len(self.data)], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts])
@@ -147,3 +149,41 @@ def within(offsets: np.ndarray, size: int) -> np.ndarray:
         at = offsets[1:-1] - k
         ok[at[(at >= 0) & (at < n)]] = False
     return ok
+
+
+class Lookup:
+    """Positions of 64-bit keys in a fixed array of distinct keys, for many keys at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        self.bits = max(10, int(4 * len(keys)).bit_length())
+        self.tables = []
+        left = np.arange(len(keys))
+        for turn in range(2):
+            table = np.full(1 << self.bits, -1, np.int32)
+            slot = self._slot(self.keys[left], turn)
+            table[slot] = left
+            self.tables.append(table)
+            left = left[table[slot] != left]
+        order = np.argsort(self.keys[left])
+        self.rest, self.rest_keys = left[order], self.keys[left][order]
+
+    def _slot(self, keys: np.ndarray, turn: int) -> np.ndarray:
+        return ((keys >> np.uint64(64 - self.bits)) if turn == 0 else (keys & np.uint64((1 << self.bits) - 1))).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 where it is not in the array."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        out = self.tables[0][self._slot(keys, 0)].astype(np.int64)
+        out[self.keys[out] != keys] = -1
+        miss = np.flatnonzero(out < 0)
+        second = self.tables[1][self._slot(keys[miss], 1)].astype(np.int64)
+        second[self.keys[second] != keys[miss]] = -1
+        out[miss] = second
+        if len(self.rest):
+            miss = miss[second < 0]
+            at = np.minimum(np.searchsorted(self.rest_keys, keys[miss]), len(self.rest) - 1)
+            hit = self.rest_keys[at] == keys[miss]
+            out[miss[hit]] = self.rest[at[hit]]
+        return out
