@@ -15,8 +15,8 @@ A document lies in one block; a block closes at ``block_ids`` ids.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,136 +26,159 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselens.llm import huffman
-from caselens.llm.words import slices, texts_buffer
+from caselens.llm import words as W
 from caselens.runtime import materialize, new_path
 
 BLOCK_IDS = 1 << 18
-PART_IDS = 1 << 24
+PART_IDS = 1 << 23
 
-_BAD, _NONE, _END = 0, 1, 2  # rows of the piece table
+_MARKS = W.classes((0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x21, 0x21), (0x3F, 0x3F))  # , . : ; ! ?
+_ALPHA = W.classes((0x41, 0x5A), (0x61, 0x7A))
+_SEEN = W.classes((0x21, 0x7E))  # ASCII that is no white space
+_LEAD = W.classes((0xC3, 0xC5))  # first bytes of U+00C0 to U+017F: letters but for two signs, no white space
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts (UTF-8, cut by ``offsets``) can be cut without a change of their ids: byte positions, text starts included.
+
+    For byte-level tokenizers with the usual pattern (a word takes the one
+    space before it; letters, digits, marks and white space part) and no
+    normaliser: before a single space between two characters of which one is
+    surely no white space, between a letter and a mark or line break, and
+    behind a mark or a single line break before a letter.
+    """
+    n = len(data)
+    pad = np.zeros(n + 4, np.uint8)  # pad[i + 2] is byte i; zeros count as white space
+    pad[2:n + 2] = data
+    here, back, ahead = pad[2:n + 2], pad[1:n + 1], pad[3:n + 3]
+    lead = _LEAD[here]
+    sign = lead & ((ahead == 0x97) | (ahead == 0xB7)) & (here == 0xC3)
+    letter_start = _ALPHA[here] | (lead & ~sign)
+    seen_start = _SEEN[here] | lead
+    # Of the character that ends right before each byte.
+    before_lead = np.zeros(n, bool)
+    before_lead[2:] = lead[:-2]
+    before_sign = np.zeros(n, bool)
+    before_sign[2:] = sign[:-2]
+    letter_end = _ALPHA[back] | (before_lead & ~before_sign)
+    seen_end = _SEEN[back] | before_lead
+    seen_next = np.zeros(n, bool)
+    seen_next[:-1] = seen_start[1:]
+    cut = (here == 0x20) & (back > 0x20) & (ahead > 0x20) & (seen_end | seen_next)
+    cut |= _MARKS[here] & letter_end
+    cut |= _MARKS[back] & letter_start
+    line = here == 0x0A
+    cut |= line & seen_end
+    lone = np.zeros(n, bool)
+    lone[1:] = (line & seen_end)[:-1]
+    cut |= lone & letter_start
+    # The bytes next to the ends of a text look at another text.
+    inner = offsets[1:-1]
+    for at in (inner - 1, inner, inner + 1):
+        cut[at[(at >= 0) & (at < n)]] = False
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    cut[starts] = True
+    return np.flatnonzero(cut)
 
 
 class PieceEncoder:
-    """Encode texts piece by piece, each distinct piece once.
+    """Encode texts piece by piece, each distinct piece once (see ``cuts``).
 
-    Only for byte-level tokenizers with the usual pattern (a word takes the one
-    space before it) and without a normaliser: there, a cut before a single
-    space between two characters that are no white space never changes the ids.
-    Neither does a cut around a line break between such characters, or between
-    a word and one mark after it. Texts with other white space are encoded whole.
+    Pieces are known by two 64-bit hashes; were two pieces ever to share the
+    first, the second tells, and the text is encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, young_pieces: int = 600_000):
+    def __init__(self, path: str, end_id: int, most_pieces: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.limit = young_pieces
-        # Rows by piece: "word" for a word behind a space, "word " for one that stands bare. Pieces not seen since
-        # the last turnover are in `old`, and forgotten at the next one.
-        self.rows: dict[str, int] = {" ": _NONE}
-        self.old: dict[str, int] = {}
-        self.flat = array("I", [end_id])
-        self.ends = array("q", [0, 0, 1])  # row r is flat[ends[r - 1]:ends[r]]
-
-    def _turn_over(self) -> None:
-        row = np.fromiter(self.rows.values(), np.int64, len(self.rows))
-        ids, count = self._gather(row)
-        known = np.where(row == _BAD, _BAD, np.arange(len(row)) + 3)
-        known[row == _NONE] = _NONE
-        self.old, self.rows = dict(zip(self.rows, known.tolist(), strict=True)), {" ": _NONE}
-        self.flat = array("I", np.concatenate([[self.end_id], ids]).astype(np.uint32).tobytes())
-        self.ends = array("q", np.concatenate([[0, 0, 1], 1 + np.cumsum(count)]).astype(np.int64).tobytes())
-
-    def _gather(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the rows one after the other, and how many each has."""
-        ends = np.array(self.ends, np.int64)
-        start = ends[np.maximum(row - 1, 0)]
-        count = np.where(row == _BAD, 0, ends[row] - start)
-        before = np.cumsum(count) - count
-        flat = np.array(self.flat, np.uint32)
-        return flat[np.repeat(start - before, count) + np.arange(int(count.sum()))], count
+        self.most = most_pieces
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted, with the row of each
+        self.key_rows = np.zeros(0, np.int64)
+        self.checks = np.zeros(1, np.uint64)  # by row: second hash, where its ids start, how many they are
+        self.start = np.zeros(1, np.int64)
+        self.count = np.zeros(1, np.int64)  # row 0 has no ids
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.near_keys = np.zeros(1 << 20, np.uint64)  # the last piece seen of each slot
+        self.near_rows = np.zeros(1 << 20, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cores(self, piece: str, bare: str) -> list[str]:
-        head, line, tail = piece.partition("\n")
-        if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return [*self._cores(head, bare), "\n ", *self._cores(tail, " ")]
-        word = piece[:-1]
-        if piece[-1] in ".,;:!?" and word.isalpha() and max(word) < "\u0250":
-            return [word + bare, piece[-1] + " "]
-        return [piece + bare]
-
-    def _learn(self, missing: set[str]) -> None:
-        rows, old, flat, ends = self.rows, self.old, self.flat, self.ends
-        parts = {}
-        for key in missing:
-            if key in old:
-                rows[key] = old[key]
-                continue
-            piece = key.removesuffix(" ")
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                rows[key] = _BAD
-            else:
-                parts[key] = self._cores(piece, " " if len(key) > len(piece) else "")
-        cores = {c for cs in parts.values() for c in cs}
-        seen = {c: old[c] for c in cores if c in old and old[c] != _BAD}
-        seen |= {c: rows[c] for c in cores if c in rows and rows[c] != _BAD}
-        new = list(cores.difference(seen))
-        for core, ids in zip(new, self._encode([c[:-1] if c[-1] == " " else " " + c for c in new]), strict=True):
-            flat.extend(ids)
-            seen[core] = len(ends)
-            ends.append(len(flat))
-        for key, cs in parts.items():
-            if len(cs) == 1:
-                rows[key] = seen[cs[0]]
-                continue
-            for c in cs:
-                row = seen[c]
-                flat.extend(flat[ends[row - 1]:ends[row]])
-            rows[key] = len(ends)
-            ends.append(len(flat))
-        rows.update((c, seen[c]) for c in cores if c != "\n ")
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, sizes)`` of the texts, each with the end id."""
-        if len(self.rows) > self.limit:
-            self._turn_over()
-        pieces: list[str] = []
-        firsts: list[str] = []
-        sizes = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            first, *rest = text.split(" ")
-            firsts.append((first if first or not rest else "\n") + " ")  # a text that starts with a space is encoded whole
-            pieces.extend(rest)
-            sizes[i] = len(rest)
-        missing = set(pieces)
-        missing.update(firsts)
-        missing.difference_update(self.rows)
-        self._learn(missing)
-        rest = np.fromiter(map(self.rows.__getitem__, pieces), np.int64, len(pieces))
-        lead = np.fromiter(map(self.rows.__getitem__, firsts), np.int64, len(firsts))
-
-        end = np.cumsum(sizes + 2)  # first piece, others, end id
-        row = np.full(int(end[-1]) if len(end) else 0, _END, np.int64)
-        is_rest = np.ones(len(row), bool)
-        is_rest[end - 1] = False
-        is_rest[end - sizes - 2] = False
-        row[is_rest] = rest
-        row[end - sizes - 2] = lead
-
-        ids, count = self._gather(row)
-        total = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], end])]
-        bad = np.zeros(len(texts), bool)
-        if (row == _BAD).any():
-            bad[np.repeat(np.arange(len(texts)), sizes + 2)[row == _BAD]] = True
-        if not bad.any():
-            return ids, np.diff(total)
-        whole = iter(self._encode([t for t, b in zip(texts, bad, strict=True) if b]))
-        runs = [np.array([*next(whole), self.end_id], np.uint32) if bad[i] else ids[total[i]:total[i + 1]]
-                for i in range(len(texts))]
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Rows of new pieces; ``keys`` are sorted."""
+        counts, flats = [], []
+        for i in range(0, len(texts), 2_000):  # an encoding takes far more memory than its ids
+            ids = self._encode(texts[i:i + 2_000])
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts[-1].sum())))
+        count, flat = np.concatenate(counts), np.concatenate(flats)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used:self.used + len(flat)] = flat
+        rows = len(self.count) + np.arange(len(count))
+        self.start = np.concatenate([self.start, self.used + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.checks = np.concatenate([self.checks, checks])
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.key_rows = np.insert(self.key_rows, at, rows)
+        return rows
+
+    def _rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        slot = (keys >> np.uint64(44)).astype(np.int64)
+        row = np.where(self.near_keys[slot] == keys, self.near_rows[slot], 0)
+        far = np.flatnonzero(row == 0)
+        if len(far):
+            distinct, first, which = np.unique(keys[far], return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+            found = np.zeros(len(distinct), np.int64)
+            found[known] = self.key_rows[at[known]]
+            new = np.flatnonzero(~known)
+            if len(new):
+                raw = data.tobytes()
+                one = far[first[new]]
+                texts = [raw[a:b].decode("utf-8") for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+                found[new] = self._learn(distinct[new], checks[one], texts)
+            row[far] = found[which]
+            self.near_keys[slot[far]] = keys[far]
+            self.near_rows[slot[far]] = row[far]
+        return row
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, sizes)`` of the texts that ``offsets`` cut ``data`` (UTF-8) into, each with the end id."""
+        if len(self.keys) > self.most:
+            self._clear()
+        start = cuts(data, offsets) if len(data) else np.zeros(0, np.int64)
+        end = np.append(start[1:], len(data)) if len(start) else start
+        pieces = W.Words(data, start, end, np.searchsorted(start, offsets))
+        keys, checks = pieces.hashes(), pieces.hashes(second=True)
+        row = self._rows(data, start, end, keys, checks)
+        # The ids of all pieces, each text followed by the end id.
+        count = self.count[row]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ends = total[pieces.offsets[1:]] + np.arange(1, len(offsets))
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        ids[ends - 1] = self.end_id
+        inside = np.ones(len(ids), bool)
+        inside[ends - 1] = False
+        ids[inside] = self.flat[np.repeat(self.start[row] - total[:-1], count) + np.arange(int(total[-1]))]
+        sizes = np.diff(ends, prepend=0)
+        wrong = np.flatnonzero(self.checks[row] != checks)
+        if not len(wrong):
+            return ids, sizes
+        bad = set(np.searchsorted(pieces.offsets, wrong, "right") - 1)
+        runs = np.split(ids, ends[:-1])
+        for i in bad:
+            text = data[offsets[i]:offsets[i + 1]].tobytes().decode("utf-8")
+            runs[i] = np.array([*self._encode([text])[0], self.end_id], np.uint32)
         return np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
 
 
@@ -171,10 +194,11 @@ def encode(docs: DataFrame, path: str, *, end_id: int, doc_id: str = "doc_id", t
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, end_id)
         for batch in rows:
-            texts, names = batch.column(1), batch.column(0)
-            _, offsets = texts_buffer(texts)
-            for a, b in slices(offsets):
-                ids, sizes = encoder([t or "" for t in texts.slice(a, b - a).to_pylist()])
+            names = batch.column(0)
+            texts, offsets = W.texts_buffer(batch.column(1))
+            for a, b in W.slices(offsets, 1 << 20):
+                part = offsets[a:b + 1]
+                ids, sizes = encoder(texts[part[0]:part[-1]], part - part[0])
                 if len(ids) and int(ids.max()) >> (8 * width):
                     raise ValueError(f"an id does not fit {width} bytes")
                 data = ids.astype(kind).tobytes()
@@ -195,11 +219,11 @@ def id_counts(encoded: DataFrame, vocabulary: int, width: int = 2) -> np.ndarray
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in rows:
-            for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_buffer(), kind), minlength=vocabulary) if len(
-                    value.as_buffer()) > vocabulary else 0
-            small = b"".join(v.as_py() for v in batch.column(0) if len(v.as_buffer()) <= vocabulary)
-            total += np.bincount(np.frombuffer(small, kind), minlength=vocabulary)
+            ids = batch.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1]
+            for a, b in W.slices(ends - ends[0]):
+                own = np.frombuffer(ids.buffers()[2], np.uint8)[ends[a]:ends[b]]
+                total += np.bincount(own.view(kind) if own.ctypes.data % width == 0 else own.copy().view(kind), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
