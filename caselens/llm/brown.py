@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from caselens.llm import words as W
 from caselens.llm.quality import remainder
+from caselens.llm.vocabulary import endings, levels_of, most_frequent, word_counts
 from caselens.runtime import materialize
 
 #: Words shipped to the tasks at most; words and endings that are clustered; classes besides that of the end.
@@ -33,50 +34,6 @@ SHIPPED, TYPES, ENDINGS, CLASSES = 1 << 18, 2_048, 1_022, 64
 _FLUSH = 2_000_000
 
 
-def endings(words: W.Words) -> np.ndarray:
-    """The last three bytes of each word as one number; shorter words have zeros in front."""
-    out = np.zeros(len(words.starts), np.int64)
-    for k in range(1, 4):
-        at = words.ends - k
-        out |= np.where(at >= words.starts, words.data[np.maximum(at, 0)], 0).astype(np.int64) << (8 * (k - 1))
-    return out
-
-
-def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of a task, flushed when they are many."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def sums() -> tuple[np.ndarray, ...]:
-        keys, tail, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        return distinct, tail[first], np.bincount(which, n, minlength=len(distinct)).astype(np.int64)
-
-    def flush() -> pa.RecordBatch:
-        keys, tail, n = sums()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(n)], ["word", "ending", "n"])
-
-    size = 0
-    for batch in rows:
-        for _, _, words in W.batches(batch.column(0)):
-            keys, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-            held.append((keys, endings(words)[first], n))
-            size += len(keys)
-            if size > _FLUSH:
-                held = [sums()]
-                size = len(held[0][0])
-                if size > _FLUSH // 2:
-                    yield flush()
-                    held, size = [], 0
-    if held:
-        yield flush()
-
-
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """``word`` (64-bit hash), ``ending`` and ``n`` of every word."""
-    return (docs.select(F.col(text).alias("text")).mapInArrow(_count, "word long, ending int, n long")
-            .groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")))
-
-
 @dataclass
 class Types:
     """Type of each word: one of ``words`` (by hash), else its ending, else the last but one; the last is the end."""
@@ -233,19 +190,10 @@ def train(docs: DataFrame, *, text: str = "text", shipped: int = SHIPPED, types:
     spark = docs.sparkSession
     counts = materialize(word_counts(docs, text), "word-counts")
     texts = docs.count()
-    log2 = F.floor(F.log2("n") * 8 + 1e-9).cast("int")
-    levels = counts.groupBy(log2.alias("level")).agg(
-        F.count("*").alias("words"), F.sum("n").alias("tokens"), F.count_if(F.col("n") == 1).alias("once"),
-        F.count_if(F.col("n") == 2).alias("twice")).orderBy(F.desc("level")).collect()  # at most 8 * 64 rows
+    levels = levels_of(counts)
     total = sum(r["tokens"] for r in levels) + texts
     distinct = sum(r["words"] for r in levels) + (1 if texts else 0)
-    held, least = 0, 1 << 30
-    for r in levels:
-        held += r["words"]
-        if held > shipped:
-            break
-        least = r["level"]
-    top = counts.where(log2 >= least).toArrow()  # at most `shipped` rows
+    top = most_frequent(counts, shipped, levels)
     by = np.lexsort((top["word"].to_numpy(), -top["n"].to_numpy()))
     words, n, ending = (top[c].to_numpy()[by] for c in ("word", "n", "ending"))
     head = words[:types]
