@@ -48,7 +48,8 @@ def targets(
     rows = sizes.withColumn("_n", F.row_number().over(order)).withColumn(
         "_w", F.element_at(weights, (F.pmod(F.col("_n") - 1, F.lit(len(pattern))) + 1).cast("int")))
     # The sources that stop are those of the least room per weight. With the first k of them stopped, the others
-    # share the rest at `level`; the first k at which the next one is not above its room is the answer.
+    # share the rest at `level`; the first k at which the next one is not above its room is the answer. From there on
+    # the levels fall, so it is the highest one that is not above its room.
     rows = rows.withColumn("_room", F.col("source_size") * F.lit(most) / F.col("_w"))
     by_room = Window.orderBy("_room", "_n")
     before = by_room.rowsBetween(Window.unboundedPreceding, -1)
@@ -56,7 +57,7 @@ def targets(
     total = F.sum("source_size").over(Window.partitionBy()) * F.lit(share)
     rows = rows.withColumn(
         "_level", (total - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * F.lit(most)) / F.sum("_w").over(onward))
-    level = F.min(F.when(F.col("_level") <= F.col("_room"), F.col("_level"))).over(Window.partitionBy())
+    level = F.max(F.when(F.col("_level") <= F.col("_room"), F.col("_level"))).over(Window.partitionBy())
     capped = F.col("source_size") * F.lit(most)
     target = F.when(level.isNull(), capped).otherwise(F.least(capped, level * F.col("_w")))
     return rows.withColumn("target", target).select("source", "source_size", "target")

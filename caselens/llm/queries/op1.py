@@ -36,7 +36,7 @@ lv AS (SELECT *, (sum(source_size) OVER () * 1.0::DOUBLE - coalesce(sum(source_s
     (ORDER BY most, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3.0::DOUBLE)
   / sum(w) OVER (ORDER BY most, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM rm),
 tg AS (SELECT source, source_size, coalesce(least(source_size * 3.0::DOUBLE,
-    (SELECT min(level) FROM lv WHERE level <= most) * w), source_size * 3.0::DOUBLE) AS target FROM lv),
+    (SELECT max(level) FROM lv WHERE level <= most) * w), source_size * 3.0::DOUBLE) AS target FROM lv),
 pl AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM tg),
 ro AS (SELECT *, greatest(target - epochs * source_size, 0) AS room FROM pl),
 ct AS (SELECT source, cell, sum(size) AS words, count(*) AS rows FROM rws GROUP BY 1, 2),
