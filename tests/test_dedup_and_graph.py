@@ -64,10 +64,53 @@ def test_near_duplicates_against_brute_force(spark):
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame(rows + [(999, None)], "id bigint, t string")
     for hot_rows in (1_000_000, 10):
-        got = dedup.near_dup_groups(df, case_id="id", text="t", threshold=0.6, bands=40, rows_per_band=3, hot_rows=hot_rows)
+        got = dedup.near_dup_groups(df, case_id="id", text="t", threshold=0.6, hot_rows=hot_rows)
         assert {r.id: r.group_id for r in got.collect()} == brute_groups(rows, 0.6)
 
 
+def changed(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"x{rng.random()}"
+    return words
+
+
+def test_chains_and_neighbours_apart(spark):
+    """x is near A and y, y is not near A: all three are one group, whatever the order of the keys."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(25):
+        base = [f"v{rng.random()}" for _ in range(100)]
+        near = changed(rng, base, 3)
+        rows += [" ".join(base), " ".join(near), " ".join(changed(rng, near, 4)), " ".join(changed(rng, base, 12))]
+    form = [f"f{i}" for i in range(150)]
+    rows += [" ".join(changed(rng, form, rng.choice([2, 5, 6, 7, 9]))) for _ in range(60)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    want = brute_groups(rows, 0.8)
+    for how in ({}, {"hot_rows": 7}, {"max_star_rounds": 0}):
+        got = dedup.near_dup_groups(df, case_id="id", text="t", threshold=0.8, **how)
+        assert {r.id: r.group_id for r in got.collect()} == want
+
+
+def test_form_letters_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(6)
+    form = [f"f{i}" for i in range(200)]
+    rows = [(i, " ".join(changed(rng, form, 8))) for i in range(5_000)]
+    compared = []
+    similar = dedup._similar
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return similar(pairs, *args)
+
+    monkeypatch.setattr(dedup, "_similar", counted)
+    got = dedup.near_dup_groups(spark.createDataFrame(rows, "id bigint, t string"), case_id="id", text="t", threshold=0.8)
+    assert got.select("group_id").distinct().count() > 4_900
+    assert sum(compared) <= 3 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(3)
     ids = rng.sample(range(10_000, 99_999), 1300)
