@@ -20,12 +20,14 @@ exact set similarity joins", 2015), as a self-join without an index to probe:
   cost: keys sent, and documents that share a key by chance because a subset
   holds no rare n-gram.
 
-Documents with a common key are candidates; those are verified on the n-gram
-sets. Equal sets are one class, of which one document stands for all. Within a
-key, candidates are compared with one leader first; documents found connected
-need no comparison any more; at last all pairs of a key that are still in
-different components are compared. Every link between different components is
-therefore found, and no pair within one is asked for.
+Documents with a common key are candidates. A sketch of each set (the parity of
+its n-grams over 1,024 cells) bounds the difference of two sets from below; what
+passes is verified on the n-gram sets. Equal sets are one class, of which one
+document stands for all. Within a key, candidates are compared with one leader
+first; documents found connected need no comparison any more; at last the
+sketches of all members of a key that are still in different components are
+compared, in blocks. Every link between different components is therefore
+found, and no pair within one is asked for.
 """
 
 from __future__ import annotations
@@ -47,9 +49,11 @@ from caselens.runtime import broadcast_if_small, materialize
 #: Keys in one bucket of the exchange, on average.
 BUCKET_KEYS = 1 << 20
 #: An n-gram in more than this share of the documents is not rare.
-HOT_SHARE = 0.005
+HOT_SHARE = 0.001
 #: Cost of one candidate, in keys sent.
 CANDIDATE_COST = 20.0
+#: 64-bit words of a sketch; members of a key that are compared in one block; rows of a group of blocks.
+SKETCH, BLOCK, GROUP_ROWS = 16, 2_048, 50_000
 
 
 def _u64(x: int) -> np.uint64:
@@ -98,23 +102,36 @@ class Scheme:
         return limit.differences(size + top)
 
 
+def _blunt(load: float, skipped: float) -> float:
+    """Share of the segments whose subset is kept and shared by chance, one without a rare n-gram counted as one.
+
+    Rare n-grams fall on segments as ``load`` on average, and the poorest ``skipped`` of the segments are left out.
+    """
+    none, one = math.exp(-load), load * math.exp(-load)
+    return max(0.0, none - skipped) + 0.02 * max(0.0, min(one, none + one - skipped))
+
+
 def allocate(most: int, size: int, rare_share: float, docs: int) -> tuple[int, int]:
     """``(exact, near)`` segments of least estimated cost for sets of up to ``size`` elements.
 
-    ``docs`` documents are in the scheme, and ``rare_share`` of their n-grams are rare.
+    ``docs`` documents are in the scheme, and ``rare_share`` of their n-grams
+    are rare; documents with half that share, and of half the size, count as much.
     """
     best, choice = math.inf, (most + 1, 0)
+    weight = CANDIDATE_COST * min(1.0, math.log1p(docs) / 10)
     for near in sorted({0, 1, 2, (most + 1) // 4, (most + 1) // 2}):
         rest = most - 2 * near + 1  # keys of exact segments
-        for spare in (0.05, 0.1, 0.2, 0.4, 0.8, 1.6) if rest > 0 else (0.0,):
+        for spare in (0.1, 0.25, 0.5, 1.0, 2.0) if rest > 0 else (0.0,):
             exact = rest + math.ceil(rest * spare) if rest > 0 else 0
-            load = size / (exact + near)
-            rare = load * rare_share
-            empty = math.exp(-rare)
-            keys = near * (1 + load) + max(rest, 0)
-            # A subset with no rare n-gram, or in a neighbourhood with one at most, is shared by chance.
-            blunt = near * (empty + load * empty * (1 + rare)) + max(0.0, exact * empty - (exact - rest))
-            cost = keys + CANDIDATE_COST * blunt * min(1.0, math.log1p(docs) / 10)
+            cost = 0.0
+            for part in (1.0, 0.5):  # of the size; the differences fall with it
+                own = max(rest, 0) if part == 1 else max(0, most // 2 - 2 * near + 1)
+                load = part * size / (exact + near)
+                cost += near * (1 + load) + own
+                for share in (rare_share, rare_share / 2):
+                    rare = load * share
+                    sparse = math.exp(-rare) * (1 + load * (1 + rare))  # a subset or a neighbour of it without a rare n-gram
+                    cost += weight / 2 * (exact * _blunt(rare, 1 - own / exact if exact else 0.0) + near * sparse)
             if cost < best:
                 best, choice = cost, (exact, near)
     return choice
@@ -254,7 +271,7 @@ def keys_of(sets: Sets, plan: list[Scheme], hot: np.ndarray, limit: Limit) -> tu
 def _signatures(n: int):
     """Size and identity of every set; per batch the n-grams that many of its distinct sets hold."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in W.smaller(rows):
             seen: set[tuple[int, int]] = set()
             values: list[np.ndarray] = []
             out = []
@@ -283,21 +300,12 @@ def _signatures(n: int):
     return run
 
 
-def _rare_counts(n: int, hot: np.ndarray):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for _, _, sets in text_sets(batch.column(0), n):
-                sizes = sets.sizes()
-                held = np.isin(sets.values, hot)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sizes), pa.array(np.bincount(sets.owner()[held], minlength=len(sizes)))], ["n", "n_hot"])
-    return run
-
-
 def _pack(bucket: np.ndarray, keys: np.ndarray, ids: np.ndarray, shared: bool) -> Iterator[pa.RecordBatch]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket, keys, ids = bucket[order], keys[order], ids[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     end = np.append(first[1:], len(bucket))
     yield pa.RecordBatch.from_arrays(
         [pa.array(bucket[first].astype(np.int32)), pa.array([shared] * len(first), pa.bool_()),
@@ -310,8 +318,8 @@ def _emit(n: int, plan: list[Scheme], hot: np.ndarray, limit: Limit, buckets: in
     """Keys of a batch. Where documents of the batch share one, they are listed here and one of them goes on."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in rows:
-            if len(seen) > 1_000_000:
+        for batch in W.smaller(rows):
+            if len(seen) > 200_000:
                 seen.clear()
             all_keys, all_ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             names = batch.column(0).to_numpy(zero_copy_only=False)
@@ -359,28 +367,61 @@ def _meet(group: pa.Table) -> pa.Table:
     return pa.table({"key": keys.view(np.int64), "id": ids})
 
 
-def _verify(limit: Limit):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            a, b = batch.column(2), batch.column(3)
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if limit.num * len(y) <= limit.den * len(x):
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    good[i] = limit.linked(int((y[at] == x).sum()), len(x), len(y))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(good))
-    return run
+def sketches(sets: Sets) -> np.ndarray:
+    """Parity of the number of n-grams in each of ``64 * SKETCH`` cells, one row of words per set.
+
+    Two sets differ in at least as many elements as their sketches differ in bits.
+    """
+    cells = 64 * SKETCH
+    cell = (W.mix(sets.values ^ _u64(0xA4093822299F31D0)) % _u64(cells)).astype(np.int64)
+    odd = np.bincount(sets.owner() * cells + cell, minlength=(len(sets.offsets) - 1) * cells) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, cells), axis=1).view(np.uint64)
 
 
 def links(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
-    """The pairs ``src, dst`` whose sets (``id, grams``) are similar enough."""
+    """The pairs ``src, dst`` whose sets (``id, n, sketch, grams``) are similar enough."""
+    left = sets.select(F.col("id").alias("src"), F.col("n").alias("n_a"), F.col("sketch").alias("a"))
+    right = sets.select(F.col("id").alias("dst"), F.col("n").alias("n_b"), F.col("sketch").alias("b"))
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = apart * (limit.den + limit.num) <= (F.col("n_a") + F.col("n_b")) * (limit.den - limit.num)
+    close = materialize(pairs.join(left, "src").join(right, "dst").where(near).select("src", "dst").distinct(), "close")
     left = sets.select(F.col("id").alias("src"), F.col("grams").alias("a"))
     right = sets.select(F.col("id").alias("dst"), F.col("grams").alias("b"))
-    return (pairs.join(left, "src").join(right, "dst").select("src", "dst", "a", "b")
-            .mapInArrow(_verify(limit), "src long, dst long"))
+    common = F.size(F.array_intersect("a", "b"))
+    return (close.join(left, "src").join(right, "dst")
+            .where((common > 0) & (common * limit.den >= (F.size("a") + F.size("b") - common) * limit.num))
+            .select("src", "dst").distinct())
+
+
+def _across(limit: Limit):
+    """Pairs of a block in different components whose sketches are near enough."""
+    def run(group: pa.Table) -> pa.Table:
+        key, ident, part = group["block"].to_numpy(), group["id"].to_numpy(), group["component"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, ident, part = key[order], ident[order], part[order]
+        size = group["n"].to_numpy()[order]
+        words = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)[order]
+        n = len(key)
+        count = np.searchsorted(key, key, "right") - np.arange(n) - 1
+        total = np.concatenate([[0], np.cumsum(count)])
+        out: list[np.ndarray] = []
+        done = 0
+        while done < n:
+            end = max(done + 1, int(np.searchsorted(total, total[done] + 500_000, "right")) - 1)
+            i = np.repeat(np.arange(done, end), count[done:end])
+            j = i + 1 + np.arange(len(i)) - (total[i] - total[done])
+            done = end
+            other = part[i] != part[j]
+            i, j = i[other], j[other]
+            for k in range(0, len(i), 100_000):
+                x, y = i[k:k + 100_000], j[k:k + 100_000]
+                apart = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int64)
+                near = apart * (limit.den + limit.num) <= (size[x] + size[y]) * (limit.den - limit.num)
+                pair = np.sort(np.stack([ident[x[near]], ident[y[near]]], 1), axis=1)
+                out.append(np.unique(pair, axis=0))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
+    return run
 
 
 def near_duplicates(
@@ -415,14 +456,11 @@ def near_duplicates(
     hot_rows_found = (listed.groupBy(F.col("h.hot").alias("gram")).agg(F.sum("h.times").alias("times"))
                       .where(F.col("times") >= max(8, n_rows * HOT_SHARE / 2)).select("gram").toArrow())
     hot = np.sort(hot_rows_found["gram"].to_numpy().view(np.uint64))
-    # Statistics of the bands: all documents; the share of rare n-grams over all of them too.
-    if len(hot):
-        counted = rows.select("text").mapInArrow(_rare_counts(n, hot), "n long, n_hot long")
-    else:
-        counted = signed.select("n", F.lit(0).cast("long").alias("n_hot"))
-    bands = {r["band"]: (r["docs"], 1 - r["hot"] / r["grams"]) for r in counted.where("n > 0").groupBy(
-        F.floor(F.log2("n") + 1e-9).cast("int").alias("band")).agg(
-        F.count("*").alias("docs"), F.sum("n_hot").alias("hot"), F.sum("n").alias("grams")).collect()}
+    # The share of rare n-grams is taken over all documents, as it only steers the allocation.
+    held = listed.agg(F.sum("h.times")).first()[0] or 0
+    rare = max(0.02, 1 - held / max(total or 0, 1))
+    bands = {r["band"]: (r["docs"], rare) for r in signed.where("n > 0").groupBy(
+        F.floor(F.log2("n") + 1e-9).cast("int").alias("band")).agg(F.count("*").alias("docs")).collect()}
     plan = schemes(limit, bands)
     buckets = 1
     while buckets * bucket_keys < 0.3 * (total or 0):
@@ -432,7 +470,7 @@ def near_duplicates(
     sized = signed.select("doc_id", "n", F.struct("one", "two").alias("set"))
     least = sized.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"))
     nodes = salted_lookup(sized, least, key="set", spread_by=["doc_id"], how="left", hot_rows=hot_rows)
-    nodes = materialize(nodes.select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
+    nodes = materialize(nodes.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
 
     found = materialize(
         rows.where("doc_id is not null").mapInArrow(_emit(n, plan, hot, limit, buckets), "bucket int, shared boolean, keys binary, ids binary")
@@ -443,15 +481,16 @@ def near_duplicates(
         found.join(broadcast_if_small(named), found["id"] == named["doc_id"]).select("key", F.col("rep").alias("id")).distinct(), "keys")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.smaller(batches):
             for a, b, sets in text_sets(batch.column(1), n):
+                grams = pa.ListArray.from_arrays(pa.array(sets.offsets.astype(np.int32)), pa.array(sets.values.view(np.int64)))
+                words = sketches(sets)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, SKETCH, dtype=np.int32)), pa.array(words.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
-                     pa.array([sets.values[x:y].tobytes() for x, y in zip(sets.offsets[:-1], sets.offsets[1:], strict=True)], pa.binary())],
-                    ["id", "grams"])
+                    [batch.column(0).slice(a, b - a), pa.array(sets.sizes()), sketch, grams], ["id", "n", "sketch", "grams"])
 
     wanted = found.select(F.col("id").alias("doc_id")).distinct()
-    grams = materialize(rows.join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(as_sets, "id long, grams binary"), "sets")
+    grams = materialize(rows.join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(as_sets, "id long, n long, sketch array<long>, grams array<long>"), "sets")
 
     linked, part = _connect(found, grams, limit, hot_rows)
     if part is None:
@@ -483,19 +522,23 @@ def _connect(found: DataFrame, grams: DataFrame, limit: Limit, hot_rows: int) ->
         few = pairs <= 2 * n_rows
         stuck = last is not None and pairs > last / 2
         if few or stuck:
-            # What is left: all pairs in different components. The pairs of one key are dealt to many tasks.
-            parts = max(1, int(pairs // 50_000_000)) if pairs else 1
-            left = open_rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(parts)))
-            right = open_rows.select("key", F.col("id").alias("dst"), F.col("component").alias("other")).withColumn(
-                "_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-            edges = (left.join(right, ["key", "_s"]).where("id < dst and component <> other")
-                     .select(F.col("id").alias("src"), "dst").distinct())
+            # What is left: all members of a key in different components. A large key is dealt into parts, and every
+            # two parts meet in a block of their own.
+            parts = F.ceil(F.col("size") / BLOCK)
+            rows = salted_lookup(open_rows, state.select("key", parts.alias("parts")), key="key", spread_by=["id"], hot_rows=hot_rows)
+            rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            block = F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q"))
+            groups = max(1, int(n_rows // GROUP_ROWS))
+            rows = (rows.join(grams.select("id", "n", "sketch"), "id").select(block.alias("block"), "id", "component", "n", "sketch")
+                    .withColumn("group", F.pmod("block", F.lit(groups))))
+            edges = rows.groupBy("group").applyInArrow(_across(limit), "src long, dst long").distinct()
         else:
-            order = F.struct(F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn)), "id", "component")
-            lead = open_rows.groupBy("key").agg(F.min(order).alias("lead"))
-            edges = salted_lookup(open_rows, lead, key="key", spread_by=["id"], hot_rows=hot_rows)
-            edges = (edges.where("component <> lead.component")
-                     .select(F.least("id", "lead.id").alias("src"), F.greatest("id", "lead.id").alias("dst")).distinct())
+            rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+            lead = open_rows.groupBy("key").agg(
+                F.min(F.struct(rank.alias("rank"), F.col("id").alias("lead"), F.col("component").alias("other"))).alias("first"))
+            edges = salted_lookup(open_rows, lead.select("key", "first.lead", "first.other"), key="key", spread_by=["id"], hot_rows=hot_rows)
+            edges = (edges.where("component <> other")
+                     .select(F.least("id", "lead").alias("src"), F.greatest("id", "lead").alias("dst")).distinct())
         new = materialize(links(edges, grams, limit), "links")
         linked = new if linked is None else linked.unionByName(new)
         if new.limit(1).count():
@@ -504,3 +547,22 @@ def _connect(found: DataFrame, grams: DataFrame, limit: Limit, hot_rows: int) ->
             break
         last, open_rows = pairs, open_rows.select("key", "id")
     return linked, part
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` without near duplicates: of each component the document with the least id stays, columns as they are.
+
+    Rows without an id, and rows whose texts have no words, stay. Rows that
+    repeat an id that stays are one document if their texts are equal; one of
+    them stays.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(broadcast_if_small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+    again = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "again")
+    if not again.limit(1).count():
+        return kept
+    repeated = broadcast_if_small(again)
+    same = F.col(doc_id) == F.col("_id")
+    return kept.join(repeated, same, "left_anti").unionByName(
+        kept.join(repeated, same, "left_semi").dropDuplicates([doc_id, text]))

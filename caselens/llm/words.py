@@ -101,6 +101,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = end
 
 
+def smaller(rows: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches whose second column, texts, holds up to ``limit`` bytes (or one longer text)."""
+    for batch in rows:
+        _, offsets = texts_buffer(batch.column(1))
+        for a, b in slices(offsets, limit):
+            yield batch.slice(a, b - a)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = NOT_SPACE, *, lower: bool = True) -> Words:
     """Words (runs of member bytes) of the texts that ``offsets`` cut ``data`` into."""
     data = _LOWER[data] if lower else data
