@@ -63,7 +63,9 @@ ORDINARY = [
     "permission to land was refused", "a licence to print money", "source and binary stars", "all rights and no duties",
     "the MIT campus is in Cambridge", "an apache helicopter landed", "free of charge for members", "creative people share common ideas",
     "the fishing licence costs ten dollars", "version 2.0 of the software was slow", "the rights of the public were reserved for later",
-    "copies of the file are distributed by post", "without permission he used the car",
+    "copies of the file are distributed by post", "without permission he used the car", "she renewed her hunting licence in spring",
+    "the driver showed a licence at the gate", "a new license plate", "the pilot has a license", "poetic licence is common in the work",
+    "the council gave the pub a licence", "copyright law changed in the last century", "the terms of the sale were public",
 ]
 
 CLASSES = (*sorted(TEMPLATES), UNKNOWN, OTHER)
@@ -178,8 +180,13 @@ class Found:
     probability: np.ndarray
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, model: Model, *, least: float = 0.5, share: float = 0.6) -> tuple[Found, np.ndarray]:
-    """Licences in the texts that ``offsets`` cut ``data`` into, and the number of paragraphs with words of each text."""
+def scan(data: np.ndarray, offsets: np.ndarray, model: Model, *, least: float = 0.5, share: float = 0.6,
+         sure: float = 0.9) -> tuple[Found, np.ndarray]:
+    """Licences in the texts that ``offsets`` cut ``data`` into, and the number of paragraphs with words of each text.
+
+    A family takes a probability of ``least`` and ``share`` of a template's
+    features; ``unknown``, which no template confirms, takes ``sure``.
+    """
     words = W.words(data, offsets, W.ALNUM)
     upto = np.concatenate([[0], np.cumsum(data == 0x0A)])
     text = np.repeat(np.arange(len(offsets) - 1), words.counts())
@@ -203,12 +210,16 @@ def scan(data: np.ndarray, offsets: np.ndarray, model: Model, *, least: float =
     p = model.probabilities(scores)
     like = np.flatnonzero(p[:, -1] < 1 - least)
     end = np.append(first[1:], len(owner))
-    families = []
+    families, kept = [], []
     for k in like.tolist():
         best = int(p[k, :-2].argmax())
         own = feature[first[k]:end[k]]
         held = max((len(np.intersect1d(own, t)) / len(t) for t in model.templates[best]), default=0.0)
-        families.append(CLASSES[best] if p[k, best] >= least and held >= share else UNKNOWN)
+        family = CLASSES[best] if p[k, best] >= least and held >= share else UNKNOWN
+        if family != UNKNOWN or p[k, -1] <= 1 - sure:
+            families.append(family)
+            kept.append(k)
+    like = np.array(kept, np.int64)
     of = owner[first[like]]
     return Found(text[head[of]], number[head[of]], families, 1 - p[like, -1]), counts
 
