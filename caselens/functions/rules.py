@@ -42,8 +42,8 @@ TAG_LINE_WORD_RANGE = (1, 6)
 # Labels of unnamed clusters and of noise.
 UNKNOWN_LABEL, NOISE_LABEL = "Unknown", "Noise/Outlier"
 
-# One summary sentence per month and state.
-SUMMARY_TEMPLATE = "In %s, the state of %s (%s) reported %d %s-related complaints."
+# One summary sentence per month and state: month, name, code, cases, topic.
+SUMMARY_TEMPLATE = "%s: %s (%s) has %d cases about %s."
 SUMMARY_SOURCE = "complaint_summary"
 
 # United States postal codes and names.

@@ -12,7 +12,7 @@ from caselens.functions import rules
 from caselens.functions.text import trim_ws
 from caselens.operators.graph import components
 from caselens.operators.infer import Generate, generate, render_numbered
-from caselens.operators.joins import salted_lookup
+from caselens.operators.joins import numbered, salted_lookup
 from caselens.operators.sampling import sample_per_group
 from caselens.runtime import broadcast_if_small, materialize
 
@@ -57,9 +57,7 @@ def density_clusters(
         components(links, hot_rows=hot_rows).withColumnRenamed("id", "cube_id"), "cube_id", "left")
     roots = materialize(roots.select("cube", "n", F.coalesce("component", "cube_id").alias("root")), "roots")
     sizes = roots.groupBy("root").agg(F.sum("n").alias("size")).where(F.col("size") >= min_size)
-    # One row per cluster: few, and none smaller than min_size.
-    numbers = sizes.select(
-        "root", (F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1).cast("int").alias("cluster"))
+    numbers = numbered(sizes, F.desc("size"), F.col("root"), output="cluster").select("root", "cluster")
     named = salted_lookup(
         roots, numbers, key="root", spread_by=["cube"], hot_rows=hot_rows, n_facts=roots.count()).select("cube", "cluster")
     return (salted_lookup(points, named, key="cube", spread_by=["id"], how="left", hot_rows=hot_rows)
@@ -145,7 +143,8 @@ def class_terms(df: DataFrame, *, by: str, text: str, k: int = 10) -> DataFrame:
     classes = per_class.groupBy(by).agg(F.sum("n").alias("class_n"))
     mean_n = classes.agg(F.avg("class_n")).scalar()
     terms = per_class.groupBy("term").agg(F.sum("n").alias("term_n"))
-    scored = (per_class.join(broadcast_if_small(classes), by).join(terms, "term")
+    named = salted_lookup(per_class, terms, key="term", spread_by=[by])
+    scored = (named.join(broadcast_if_small(classes), by)
               .withColumn("score", F.col("n") / F.col("class_n") * F.log(1 + mean_n / F.col("term_n"))))
     order = Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), "term")
     return (scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1,7 +1,7 @@
 """Density clusters of varying density, chosen from a hierarchy of grids.
 
 The only choice is the least size of a cluster. Cubes are halved from level to
-level. At each level dense cubes that touch form groups; a group lies inside
+level, as long as dense ones hold enough vectors. At each level dense cubes that touch form groups; a group lies inside
 one group of the level above, so the levels form a tree. A cluster lives from
 the level where it parts from its siblings to the level where it breaks up, and
 its stability is the number of vectors it holds, summed over the growing
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from caselens.operators.clusters import touching
 from caselens.operators.graph import components
-from caselens.operators.joins import salted_lookup
+from caselens.operators.joins import numbered, salted_lookup
 from caselens.runtime import materialize
 
 
@@ -42,7 +42,7 @@ def density_hierarchy(
     dims: int = 5,
     min_size: int = 30,
     min_pts: int = 5,
-    levels: int = 8,
+    max_levels: int = 20,
     allow_single: bool = False,
     hot_rows: int = 1_000_000,
 ) -> DataFrame:
@@ -51,12 +51,29 @@ def density_hierarchy(
     A cube with ``min_pts`` vectors is dense. Without ``allow_single`` the one
     group that holds everything is no cluster, so data without structure is
     all noise.
+
+    The coarsest cube spans the middle 98 % of the coordinates, so a few far
+    vectors do not stretch it; the others lie in cubes beyond. Cubes are halved
+    until fewer than ``min_size`` vectors are in dense ones. ``max_levels`` is
+    the resolution: vectors closer than that many halvings are taken as one
+    place.
     """
     head = F.slice(vector, 1, dims)
-    low, high = df.agg(F.min(F.array_min(head)), F.max(F.array_max(head))).first()
-    side = (float(high) - float(low)) / 2 ** levels or 1.0
-    cube = F.transform(head, lambda x: F.floor((x.cast("double") - float(low)) / side))
-    points = materialize(df.select(F.col(case_id).alias("id"), cube.alias("cube")), "cubes")
+    low, high, least, most = df.select(F.explode(head).alias("x")).select(F.col("x").cast("double").alias("x")).agg(
+        F.percentile_approx("x", 0.01, 1_000), F.percentile_approx("x", 0.99, 1_000), F.min("x"), F.max("x")).first()
+    if low is None:
+        return df.select(case_id, F.lit(-1).alias("cluster"))
+    span = (high - low) or (most - least) or 1.0
+    side = span / 2 ** max_levels
+    cube = F.transform(head, lambda x: F.floor((x.cast("double") - low) / side))
+    deepest = materialize(df.select(F.col(case_id).alias("id"), cube.alias("cube")), "deepest")
+    levels = 1
+    for levels in range(1, max_levels + 1):
+        at = _coarse(F.col("cube"), F.lit(max_levels - levels))
+        dense = deepest.groupBy(at.alias("c")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pts)
+        if (dense.agg(F.sum("n")).first()[0] or 0) < min_size:
+            break
+    points = materialize(deepest.select("id", _coarse(F.col("cube"), F.lit(max_levels - levels)).alias("cube")), "cubes")
     finest = materialize(points.groupBy("cube").agg(F.count("*").alias("n"), F.min("id").alias("first")), "finest")
 
     every_level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
@@ -96,9 +113,7 @@ def density_hierarchy(
         tree = tree.withColumn("stability", F.when(F.col("up").isNotNull(), F.col("stability")).otherwise(F.lit(-1.0)))
     chosen = _most_stable(tree, levels)
 
-    # One row per cluster: few, and none smaller than min_size.
-    numbers = chosen.select("grp", (F.row_number().over(
-        Window.orderBy(F.desc("size"), "first")) - 1).cast("int").alias("cluster"))
+    numbers = numbered(chosen, F.desc("size"), F.col("first"), output="cluster").select("grp", "cluster")
     labelled = salted_lookup(
         grouped, numbers, key="grp", spread_by=["node"], hot_rows=hot_rows, n_facts=grouped.count()).select(
         F.struct("level", "cube").alias("cell"), "cluster")

@@ -80,13 +80,16 @@ def generate(
     batch_size: int = 16,
     backoff: float = 0.0,
     concurrency: int | None = None,
+    stop_after: int | None = 100,
 ) -> DataFrame:
     """One ``(case_id, output, status, attempts, error)`` row per case.
 
     ``factory`` builds the model once per partition; ``concurrency`` is the
     number of partitions. ``accept`` turns a reply into the output, '' to ask
-    again, ``max_attempts`` times and then once the model of ``last_factory``
+    again, ``max_attempts`` times (waiting ``backoff`` seconds, doubled each time, in between) and then once the model of ``last_factory``
     (one that does not sample, say). Cases whose ``subject`` (default: prompt) is blank are not asked.
+    After ``stop_after`` failed cases in a row the task fails, so that a dead
+    endpoint does not turn the whole table into errors (None: never).
     Status: ``ok``, ``empty`` (no accepted reply), ``error``, ``blank``. Spark may
     run a task twice; a model may then be asked twice, results stay unique. The
     result is lazy, so every action asks again: write it, or use
@@ -101,6 +104,7 @@ def generate(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = None
+        failed = 0
         for pdf in batches:
             results: list = [("", "blank", 0, None)] * len(pdf)
             todo = [i for i, p in enumerate(pdf["_prompt"]) if isinstance(p, str)]
@@ -110,6 +114,9 @@ def generate(
                 part = todo[start:start + batch_size]
                 for i, result in zip(part, answer([pdf["_prompt"].iat[i] for i in part])):
                     results[i] = result
+                    failed = failed + 1 if result[1] == "error" else 0
+                    if stop_after is not None and failed >= stop_after:
+                        raise RuntimeError(f"{failed} calls in a row failed, the last one with {result[3]}")
             out = pd.DataFrame(results, columns=["output", "status", "attempts", "error"])
             out.insert(0, case_id, pdf[case_id].to_numpy())
             yield out

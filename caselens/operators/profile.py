@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.text import is_blank
+
 
 def profile(df: DataFrame, *, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     """One row per column: rows, nulls, blanks, distinct values, repeated values.
@@ -21,7 +23,7 @@ def profile(df: DataFrame, *, columns: Sequence[str] | None = None, exact: bool
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in names]))
     long = df.select(cells.alias("cell")).select("cell.*")
-    empty = F.length(F.trim("value")) == 0
+    empty = F.col("value").isNotNull() & is_blank("value")
     # Long values travel as digests.
     key = F.when(F.col("value").isNull(), None).otherwise(F.sha2("value", 256))
     per_value = (long.groupBy("column_name", key.alias("d"), F.coalesce(empty, F.lit(False)).alias("blank"))
@@ -45,7 +47,7 @@ def _estimated(df: DataFrame, names: Sequence[str]) -> DataFrame:
             F.lit(c).alias("column_name"),
             F.count("*").alias("n_rows"),
             F.count_if(text.isNull()).alias("n_null"),
-            F.count_if(F.length(F.trim(text)) == 0).alias("n_blank"),
+            F.count_if(text.isNotNull() & is_blank(text)).alias("n_blank"),
             F.approx_count_distinct(c).alias("n_distinct"),
             F.lit(None).cast("bigint").alias("n_repeated")))
     return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.functions.text import trim_ws
 from caselens.operators.infer import Generate, generate
-from caselens.operators.vectors import encode_text, top_k
+from caselens.operators.vectors import Encode, assign_cells, coarse_cells, encode_with, top_k, top_k_probed
 from caselens.runtime import small_enough
-from caselens.sources.tables import append_table, write_table
+from caselens.sources.tables import write_table
 
 
 def chunk_windows(df: DataFrame, *, case_id: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -24,55 +24,43 @@ def chunk_windows(df: DataFrame, *, case_id: str, text: str, size: int = 1000, o
             .select(case_id, "chunk_no", F.substring("_text", F.col("_start"), F.lit(size)).alias("content")))
 
 
-def _merge(pieces: Sequence[str], joiner: str, size: int, overlap: int) -> Iterator[str]:
-    """Pack pieces up to ``size``; the next pack opens with up to ``overlap`` of the last."""
-    pack: list[str] = []
-    width = 0
-    for piece in pieces:
-        gap = len(joiner) if pack else 0
-        if pack and width + gap + len(piece) > size:
-            yield joiner.join(pack)
-            while pack and (width > overlap or width + len(joiner) + len(piece) > size):
-                width -= len(pack.pop(0)) + (len(joiner) if pack else 0)
-            gap = len(joiner) if pack else 0
-        pack.append(piece)
-        width += gap + len(piece)
-    if pack:
-        yield joiner.join(pack)
-
-
-def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Split at the coarsest separator present; pieces still too long at the next one."""
-    rank = next(i for i, s in enumerate(separators) if s == "" or s in text)
-    separator, finer = separators[rank], separators[rank + 1:]
-    pieces = text.split(separator) if separator else list(text)
-    chunks: list[str] = []
-    short: list[str] = []
-    for piece in [p for p in pieces if p] + [None]:
-        if piece is not None and len(piece) <= size:
-            short.append(piece)
-            continue
-        chunks.extend(_merge(short, separator, size, overlap))
-        short = []
-        if piece is not None:
-            chunks.extend(split_text(piece, size, overlap, finer) if finer else [piece])
-    return [c for c in (c.strip() for c in chunks) if c]
-
-
 def chunk_at_separators(
     df: DataFrame, *, case_id: str, text: str, size: int = 1000, overlap: int = 200,
 ) -> DataFrame:
-    """``(case_id, chunk_no, content)``: chunks that end at paragraphs, lines or words."""
-    key_type = df.schema[case_id].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(key, n, chunk) for key, t in zip(pdf[case_id], pdf["_text"])
-                    for n, chunk in enumerate(split_text(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[case_id, "chunk_no", "content"])
-
-    return (df.where(F.length(text) > 0).select(case_id, F.col(text).alias("_text"))
-            .mapInPandas(run, f"`{case_id}` {key_type}, chunk_no int, content string"))
+    """``(case_id, chunk_no, content)``: chunks of whole lines or words, packed by running length.
+
+    A text is cut into pieces of at most ``overlap`` characters: a line, else up
+    to the last space, else as many characters as fit. A piece belongs to the
+    stretch of ``size - 2 * overlap`` characters that it starts in. A chunk
+    holds the pieces of a stretch, and before them those that start in the
+    ``overlap`` characters ahead of its first one. No chunk is longer than
+    ``size``; blank ones are left out. ``size`` must be over three times
+    ``overlap``.
+    """
+    if size <= 3 * overlap or overlap < 1:
+        raise ValueError("size must be over three times overlap, and overlap at least 1")
+    stretch = size - 2 * overlap
+    most, less = overlap, overlap - 1
+    pattern = f"[^\\n]{{0,{less}}}\\n|[^\\n]{{1,{most}}}\\z|[^\\n]{{0,{less}}} |[^\\n]{{1,{most}}}"
+    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,piece:string>>").alias("out"))
+    placed = F.aggregate(pieces, empty, lambda acc, p: F.struct(
+        (acc["at"] + F.length(p)).alias("at"),
+        F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), p.alias("piece")))).alias("out")))["out"]
+    with_pieces = df.where(F.length(text) > 0).select(case_id, placed.alias("_p"))
+
+    def home(p: Column) -> Column:
+        return F.floor(p["start"] / stretch)
+
+    # Every stretch up to the last piece has a first piece, as pieces are shorter than stretches.
+    stretches = F.sequence(F.lit(0).cast("bigint"), home(F.element_at("_p", -1)))
+    firsts = F.transform(stretches, lambda k: F.array_min(
+        F.transform(F.filter("_p", lambda p: home(p) == k), lambda p: p["start"])))
+    marked = with_pieces.withColumn("_first", firsts).withColumn("_k", stretches)
+    contents = F.transform(F.arrays_zip("_k", "_first"), lambda s: trim_ws(F.array_join(F.transform(
+        F.filter("_p", lambda p: (home(p) == s["_k"]) | ((p["start"] < s["_first"]) & (p["start"] >= s["_first"] - overlap))),
+        lambda p: p["piece"]), "")))
+    return marked.select(case_id, F.posexplode(F.filter(contents, lambda c: c != "")).alias("chunk_no", "content"))
 
 
 def as_documents(df: DataFrame, *, doc_id: str, content: str, source: str) -> DataFrame:
@@ -83,11 +71,22 @@ def as_documents(df: DataFrame, *, doc_id: str, content: str, source: str) -> Da
 
 
 def store_documents(
-    model: PipelineModel, documents: DataFrame, path: str, *, append: bool = False,
-) -> None:
-    """Embed documents and write, or append, them to the index table."""
-    embedded = encode_text(model, documents, text="content")
-    (append_table if append else write_table)(embedded, path)
+    encoder: PipelineModel | Callable[[], Encode], documents: DataFrame, path: str, *, append: bool = False,
+    cells: int | None = None, centres: list[list[float]] | None = None,
+) -> list[list[float]] | None:
+    """Embed documents and write, or append, them to the index table.
+
+    ``encoder`` is a fitted pipeline or builds the caller's own encoder. With
+    ``cells`` the index is cut into that many cells, stored apart; the centres
+    are returned, for ``retrieve`` and for appending with ``centres``.
+    """
+    embedded = encode_with(encoder, documents, text="content")
+    if cells:
+        embedded, centres = coarse_cells(embedded, vector="embedding", cells=cells)
+    elif centres:
+        embedded = assign_cells(embedded, centres, vector="embedding")
+    write_table(embedded, path, mode="append" if append else "overwrite", partition_by=["cell"] if centres else [])
+    return centres
 
 
 def assemble_context(
@@ -101,17 +100,20 @@ def assemble_context(
 
 
 def retrieve(
-    model: PipelineModel, questions: DataFrame, index: DataFrame, *, question_id: str, question: str, k: int = 5,
-    max_questions: int = 4096,
+    encoder: PipelineModel | Callable[[], Encode], questions: DataFrame, index: DataFrame, *, question_id: str, question: str,
+    k: int = 5, max_questions: int = 4096, centres: list[list[float]] | None = None, probes: int = 4,
 ) -> DataFrame:
     """The k best documents per question with their content.
 
-    Up to ``max_questions`` questions have a bounded number of hits, which are
-    broadcast to the index; the contents are then read in place, not shuffled.
+    With the ``centres`` of an index stored by cell only the ``probes`` nearest
+    cells of each question are read, so hits may be missed; without, the search
+    is exact. Up to ``max_questions`` questions have a bounded number of hits,
+    which are broadcast to the index; the contents are then read in place, not
+    shuffled.
     """
-    asked = encode_text(model, questions, text=question)
-    hits = top_k(asked, index, query_id=question_id, base_id="doc_id", vector="embedding", k=k,
-                 max_queries=max_questions)
+    asked = encode_with(encoder, questions, text=question)
+    ids = dict(query_id=question_id, base_id="doc_id", vector="embedding", k=k, max_queries=max_questions)
+    hits = top_k(asked, index, **ids) if centres is None else top_k_probed(asked, index, centres, probes=probes, **ids)
     if small_enough(questions, max_questions):
         hits = F.broadcast(hits)
     return index.select(F.col("doc_id").alias("base_id"), "content", "metadata").join(hits, "base_id").select(
@@ -119,7 +121,7 @@ def retrieve(
 
 
 def answer(
-    model: PipelineModel,
+    encoder: PipelineModel | Callable[[], Encode],
     questions: DataFrame,
     index: DataFrame,
     *,
@@ -128,13 +130,14 @@ def answer(
     factory: Callable[[], Generate],
     instruction: str = "Answer the question from the context only.",
     k: int = 5,
+    **search,
 ) -> DataFrame:
     """Retrieve, put the context and the question into a prompt, and ask the model.
 
     Lazy, as ``generate`` is: write the result before using it more than once.
     """
     context = assemble_context(
-        retrieve(model, questions, index, question_id=question_id, question=question, k=k))
+        retrieve(encoder, questions, index, question_id=question_id, question=question, k=k, **search))
     prompts = questions.join(context.withColumnRenamed("query_id", question_id), question_id, "left")
     prompt = F.concat(
         F.lit(instruction + "\n\nContext:\n"), F.coalesce("context", F.lit("")),

@@ -33,7 +33,7 @@ def parse_reply_lines(
 
 
 def add_rule_tags(
-    df: DataFrame, *, text: str, tags: str, output: str = "tags", match: str = "phrase",
+    df: DataFrame, *, text: str, tags: str, output: str = "tags", match: str = "first_word",
     keywords: list[str] | None = None, patterns: list[str] | None = None,
 ) -> DataFrame:
     """Model tags, keyword tags and legal references as one sorted set.

@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caselens.functions.text import words
 
@@ -53,6 +55,29 @@ def encode_text(model: PipelineModel, df: DataFrame, *, text: str, output: str =
             .drop("_tokens", "_tf", "_tfidf", "_unit"))
 
 
+def encode_with(
+    encoder: PipelineModel | Callable[[], Encode], df: DataFrame, *, text: str, output: str = "embedding", batch_size: int = 64,
+) -> DataFrame:
+    """Add the embedding of a text by a fitted pipeline or by the caller's encoder; null texts count as empty.
+
+    Rows are embedded where they lie, with all their columns.
+    """
+    if isinstance(encoder, PipelineModel):
+        return encode_text(encoder, df, text=text, output=output)
+    rows = df.drop(output)
+    shape = T.StructType([T.StructField("row", rows.schema), T.StructField(output, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder()
+        for batch in batches:
+            row = batch.column(0)
+            texts = [t or "" for t in row.field(row.type.get_field_index(text)).to_pylist()]
+            found = [list(map(float, v)) for i in range(0, len(texts), batch_size) for v in model(texts[i:i + batch_size])]
+            yield pa.RecordBatch.from_arrays([row, pa.array(found, pa.list_(pa.float32()))], ["row", output])
+
+    return rows.select(F.struct("*").alias("row")).mapInArrow(run, shape).select("row.*", output)
+
+
 def reduce_dims(df: DataFrame, *, vector: str, k: int = 5, output: str = "reduced") -> DataFrame:
     """Linear reduction to k dimensions (principal components).
 
@@ -233,6 +258,15 @@ def coarse_cells(
     return model.transform(held).drop("_v"), [c.tolist() for c in model.clusterCenters()]
 
 
+def assign_cells(df: DataFrame, centres: list[list[float]], *, vector: str) -> DataFrame:
+    """Give every vector its nearest centre as ``cell``, for appending to an index."""
+    apart = F.array(*[F.aggregate(
+        F.zip_with(vector, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+        for c in centres])
+    return df.withColumn("_apart", apart).withColumn(
+        "cell", (F.array_position("_apart", F.array_min("_apart")) - 1).cast("int")).drop("_apart")
+
+
 def _nearest_cells(unit: np.ndarray, centre: np.ndarray, probes: int) -> np.ndarray:
     distance = (unit ** 2).sum(axis=1)[:, None] - 2 * unit @ centre.T + (centre ** 2).sum(axis=1)
     return np.argsort(distance, axis=1, kind="stable")[:, :probes]

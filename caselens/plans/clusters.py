@@ -43,7 +43,37 @@ def reduced_density_clusters(spark, sf_dir):
 def hierarchy_clusters(spark, sf_dir):
     """Density found per cluster, on the reduced vectors."""
     reduced = vectors.reduce_dims(table(spark, sf_dir, "embeddings"), vector="embedding", k=3)
-    return hierarchy.density_hierarchy(reduced, case_id="vec_id", vector="reduced", dims=3, min_size=20, levels=6)
+    return hierarchy.density_hierarchy(reduced, case_id="vec_id", vector="reduced", dims=3, min_size=20)
+
+
+@query("hierarchy_planted", """
+WITH p AS (SELECT CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN -1
+  WHEN p_partkey % 10 < 5 THEN 0 WHEN p_partkey % 10 < 8 THEN 1 ELSE 2 END AS place FROM part)
+SELECT CAST(place AS INTEGER) AS place, count(*) AS n, true AS found FROM p GROUP BY 1""")
+def hierarchy_planted(spark, sf_dir):
+    """Three places of different sizes and densities, with one part far away from all."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    key, last = F.col("p_partkey"), parts.agg(F.max("p_partkey")).first()[0]
+    rest = key % 10
+    place = F.when(rest < 5, 0.0).when(rest < 8, 60.0).otherwise(130.0)
+    width = F.when(rest < 5, 1.0).when(rest < 8, 2.0).otherwise(0.5)
+
+    def around(salt: int):
+        # The sum of three even draws, from a hash of the key.
+        draw = sum(F.pmod(F.xxhash64("p_partkey", F.lit(salt + i)), F.lit(1000)) / 1000 for i in range(3))
+        return place + width * (draw - 1.5)
+
+    far = key == last
+    spots = parts.select("p_partkey", F.array(F.when(far, 1e6).otherwise(around(1)), F.when(far, 1e6).otherwise(around(11))).alias("v"))
+    found = hierarchy.density_hierarchy(spots, case_id="p_partkey", vector="v", dims=2, min_size=25, min_pts=3)
+    where = F.when(far, -1).when(rest < 5, 0).when(rest < 8, 1).otherwise(2).cast("int")
+    cells = found.select("p_partkey", "cluster").withColumn("place", where).groupBy("place", "cluster").agg(F.count("*").alias("c"))
+    tops = cells.groupBy("place").agg(
+        F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("cluster", "c").alias("cluster"))
+    # Every place has a cluster of its own that holds most of it; the far part is noise.
+    own = F.count("*").over(Window.partitionBy("cluster")) == 1
+    right = F.when(F.col("place") == -1, F.col("cluster") == -1).otherwise((F.col("cluster") >= 0) & (F.col("top") >= 0.7 * F.col("n")))
+    return tops.select("place", "n", (own & right).alias("found"))
 
 
 @query("connected_parts", """

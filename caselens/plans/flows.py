@@ -44,13 +44,16 @@ def select_cases(cases: DataFrame, *, year: int, product: str, issue: str) -> Da
 
 def label_themes(
     cases: DataFrame, *, path: str, factory: Callable[[], infer.Generate], policy: str = "truncate",
-    instruction: str = THEME_INSTRUCTION, cue: str = "Theme Label:", **options,
+    instruction: str = THEME_INSTRUCTION, cue: str = "Theme Label:", done: Sequence[str] = ("ok", "blank", "empty"), **options,
 ) -> DataFrame:
-    """Cases with ``theme``; asks only for the cases that ``path`` has no result for."""
+    """Cases with ``theme``; asks only for the cases that ``path`` has no result for.
+
+    A case without an accepted theme is finished; only failed calls are asked again.
+    """
     check = accept_theme(policy)
     prompts = cases.select("case_id", "narrative", infer.render_prompt(instruction, "narrative", cue).alias("_prompt"))
     results = infer.generate_resumable(
-        prompts, case_id="case_id", path=path, prompt="_prompt", subject="narrative", factory=factory,
+        prompts, case_id="case_id", path=path, prompt="_prompt", subject="narrative", factory=factory, done=done,
         accept=lambda reply: check(reply.split(cue)[-1].strip()), **options)
     return joins.attach(cases, results.select("case_id", F.col("output").alias("theme")), case_id="case_id")
 

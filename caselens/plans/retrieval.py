@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import rules
 from caselens.operators import retrieval, vectors
-from caselens.plans.registry import query, table
+from caselens.plans.registry import SQL, query, table
 from caselens.plans.trends import month_state_docs
 from caselens.runtime import new_path, spread
 
@@ -31,7 +31,15 @@ def chunk_counts(spark, sf_dir):
             .groupBy("source").agg(F.sum("n").alias("n_chunks"), F.sum("chars").alias("n_chars")))
 
 
-@query("chunk_at_separators")
+@query("chunk_at_separators", r"""
+WITH p AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS piece FROM (
+  SELECT doc_id, regexp_extract_all(text, '[^\n]{0,199}\n|[^\n]{1,200}\z|[^\n]{0,199} |[^\n]{1,200}') AS ps FROM documents)),
+s AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+h AS (SELECT *, start // 600 AS k FROM s),
+f AS (SELECT doc_id, k, min(start) AS first FROM h GROUP BY 1, 2),
+c AS (SELECT f.doc_id, f.k, trim(string_agg(piece, '' ORDER BY i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content
+  FROM f JOIN h ON f.doc_id = h.doc_id AND (h.k = f.k OR (h.start < f.first AND h.start >= f.first - 200)) GROUP BY 1, 2)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_no, content FROM c WHERE content <> ''""")
 def chunk_at_separators(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return retrieval.chunk_at_separators(docs, case_id="doc_id", text="text")
@@ -130,11 +138,10 @@ def _index(spark: SparkSession, sf_dir: str):
 @query("index_contents", """
 WITH c AS (
   SELECT 'documents' AS source, CAST(sum(1 + (greatest(length(text) - 200, 1) - 1) // 800) AS BIGINT) AS n_documents FROM documents)
-SELECT * FROM c""")
+SELECT * FROM c UNION ALL SELECT 'complaint_summary', count(*) FROM (""" + SQL["summary_sentences"] + ")")
 def index_contents(spark, sf_dir):
     _, index = _index(spark, sf_dir)
-    return (index.groupBy(F.col("metadata")["source"].alias("source")).agg(F.count("*").alias("n_documents"))
-            .where("source = 'documents'"))
+    return index.groupBy(F.col("metadata")["source"].alias("source")).agg(F.count("*").alias("n_documents"))
 
 
 @query("retrieve_passages")
@@ -144,6 +151,43 @@ def retrieve_passages(spark, sf_dir):
     return retrieval.retrieve(model, questions, index, question_id="item_id", question="text").drop("metadata")
 
 
+def letters_encoder():
+    """A stand-in for the caller's encoder: shares of letter pairs, hashed into 64 slots."""
+    def one(text: str) -> list[float]:
+        out = [0.0] * 64
+        for a, b in zip(text.lower(), text.lower()[1:]):
+            out[(ord(a) * 31 + ord(b)) % 64] += 1.0
+        return out
+    return lambda texts: [one(t) for t in texts]
+
+
+@query("retrieve_through_cells", """
+SELECT item_id AS query_id, 5 AS n_hits, true AS best_found, true AS mostly_found FROM benchmark""")
+def retrieve_through_cells(spark, sf_dir):
+    """The caller's encoder over an index stored by cell: all cells give the exact hits, six of eight most of them."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    chunks = retrieval.chunk_windows(docs, case_id="doc_id", text="text")
+    texts = retrieval.as_documents(
+        chunks.withColumn("key", F.concat_ws("-", "doc_id", "chunk_no")), doc_id="key", content="content", source="documents")
+    path = new_path(spark, "cells")
+    centres = retrieval.store_documents(letters_encoder, texts, path, cells=8)
+    index = spark.read.parquet(path)
+    questions = table(spark, sf_dir, "benchmark").select("item_id", "text")
+
+    def hits(**how):
+        found = retrieval.retrieve(letters_encoder, questions, index, question_id="item_id", question="text", **how)
+        return found.select("query_id", "base_id", F.round("score", 9).alias("score"))
+
+    exact = hits()
+    whole = hits(centres=centres, probes=8).withColumn("all_cells", F.lit(1))
+    most = hits(centres=centres, probes=6).withColumn("most_cells", F.lit(1))
+    key = ["query_id", "base_id", "score"]
+    joined = exact.join(whole, key, "left").join(most, key, "left")
+    total = joined.agg((F.count("most_cells") >= 0.8 * F.count("*")).alias("mostly"))
+    return (joined.groupBy("query_id").agg(F.count("*").cast("int").alias("n_hits"), (F.count("all_cells") == F.count("*")).alias("best_found"))
+            .crossJoin(total).select("query_id", "n_hits", "best_found", F.col("mostly").alias("mostly_found")))
+
+
 def context_size_model():
     """A stand-in model: reports the size of the context it was given."""
     def reply(prompt: str) -> str:

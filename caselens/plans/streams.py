@@ -21,12 +21,13 @@ def arriving(spark: SparkSession, sf_dir: str, name: str):
     return streams.read_stream(spark, f"{sf_dir}/{name}.parque[t]", schema=schema)
 
 
-@query("stream_dedup", "SELECT DISTINCT sha256(text) AS digest, length(text) AS n FROM documents")
+@query("stream_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS digest, length(text) AS n FROM documents GROUP BY text")
 def stream_dedup(spark, sf_dir):
     path = new_path(spark, "stream")
-    unique = streams.stream_dedup(arriving(spark, sf_dir, "documents"), text="text")
-    kept = unique.select(F.lower(F.hex("digest")).alias("digest"), F.length("text").cast("bigint").alias("n"))
-    streams.drain(kept, path=f"{path}/out", checkpoint=f"{path}/state")
+    docs = arriving(spark, sf_dir, "documents").withColumn("n", F.length("text").cast("bigint"))
+    unique = streams.stream_dedup(docs, text="text", case_id="doc_id", columns=["n"])
+    kept = unique.select("doc_id", F.lower(F.hex("digest")).alias("digest"), "n")
+    streams.drain_totals(kept, path=f"{path}/out", checkpoint=f"{path}/state")
     return spark.read.schema(kept.schema).parquet(f"{path}/out")
 
 

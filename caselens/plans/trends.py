@@ -227,7 +227,7 @@ m AS (
   SELECT strftime(ts, '%Y-%m') AS month, state_id, count(*) AS n
   FROM topic JOIN orders ON case_id = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN codes ON c_nationkey = k
   GROUP BY 1, 2)
-SELECT month, state_id, printf('In %s, the state of %s (%s) reported %d {STEM}-related complaints.',
+SELECT month, state_id, printf('%s: %s (%s) has %d cases about {STEM}.',
     month, state_name, state_id, n) AS content, 'complaint_summary' AS source
 FROM m JOIN names USING (state_id)""")
 def summary_sentences(spark, sf_dir):
@@ -243,13 +243,13 @@ def month_state_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("month", "state_id", "content", F.col("metadata")["source"].alias("source"))
 
 
-@query("topic_word_freq", """
-WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS word FROM lineitem JOIN part ON l_partkey = p_partkey),
+@query("topic_word_freq", f"""
+WITH {_TAGGED},
+w AS (SELECT tag AS word FROM topic),
 c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
 SELECT word, n, round(n / (SELECT max(n) FROM c), 6) AS weight FROM c""")
 def topic_word_freq(spark, sf_dir):
-    text = tagged(spark, sf_dir).select(F.array_join("tag_list", " ").alias("text"))
-    return trends.word_freq(text, text="text").withColumn("weight", F.round("weight", 6))
+    return trends.word_freq(on_topic(spark, sf_dir), text="tag").withColumn("weight", F.round("weight", 6))
 
 
 @query("year_counts", """

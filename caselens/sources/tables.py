@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,16 +21,36 @@ RESULT_COLUMNS = "case_id bigint, output string, status string, attempts int, er
 
 def read_cases(
     spark: SparkSession, path: str, *, schema: str | T.StructType = CASE_COLUMNS,
-    null_tokens: Sequence[str] = tuple(rules.NULL_TOKENS),
+    null_tokens: Sequence[str] = tuple(rules.NULL_TOKENS), malformed: str = "fail",
 ) -> DataFrame:
     """Delimited file with a header; texts may hold quotes, commas and newlines.
 
     The schema is always given: inferred postal codes lose their leading zeros.
-    A multi-line file is one split, so convert it to Parquet once.
+    A row that does not fit it (a key that is no number, a missing field) fails
+    the read; with ``malformed="keep"`` it has its raw text in ``_malformed``.
+    A multi-line file is one split, so convert it once (``store_cases``).
     """
-    raw = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-           .option("escape", '"').option("enforceSchema", False).csv(path))
-    return restore_nulls(raw, tokens=null_tokens)
+    reader = (spark.read.option("header", True).option("multiLine", True)
+              .option("escape", '"').option("enforceSchema", False))
+    if malformed == "keep":
+        shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        shape = T.StructType([*shape.fields, T.StructField("_malformed", T.StringType())])
+        reader = reader.schema(shape).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed")
+    elif malformed == "fail":
+        reader = reader.schema(schema).option("mode", "FAILFAST")
+    else:
+        raise ValueError("malformed is 'fail' or 'keep'")
+    return restore_nulls(reader.csv(path), tokens=null_tokens)
+
+
+def store_cases(spark: SparkSession, path: str, out: str, *, key: str = "case_id", **options) -> DataFrame:
+    """Convert a delimited file to Parquet once, and check that every row has a key of its own."""
+    write_table(read_cases(spark, path, **options), out)
+    stored = spark.read.parquet(out)
+    n, keyed, distinct = stored.agg(F.count("*"), F.count(key), F.count_distinct(key)).first()
+    if keyed < n or distinct < keyed:
+        raise ValueError(f"{n - keyed} rows without {key}, {keyed - distinct} that repeat one")
+    return stored
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
@@ -79,3 +100,8 @@ def append_table(df: DataFrame, path: str, *, fmt: str = "parquet") -> None:
 
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """A pipeline model as ``save_model`` stored it."""
+    return PipelineModel.load(path)

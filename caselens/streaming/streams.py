@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,28 +23,27 @@ def read_stream(
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
-def _first_of_each(key: str):
-    """Drop repeats inside an Arrow batch, so that a hot text sheds its copies map-side."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbered = pa.table({"k": batch.column(key), "i": pa.array(range(batch.num_rows))})
-            first = numbered.group_by("k").aggregate([("i", "min")])["i_min"]
-            yield batch.take(first.combine_chunks().sort())
-    return run
+def stream_dedup(stream: DataFrame, *, text: str, case_id: str, columns: Sequence[str] = ()) -> DataFrame:
+    """Row with the least key of every distinct text of a stream: ``digest``, the key, and ``columns``.
+
+    A later file may bring a lesser key, so the rows are a running aggregate
+    for complete or update output (``drain_totals``). Copies meet map-side. The
+    state is one such row per distinct text; for large streams keep it in the
+    RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    keyed = stream.where(F.col(text).isNotNull()).withColumn("digest", digest(text))
+    first = F.min_by(F.struct(case_id, *columns), case_id)
+    return keyed.groupBy("digest").agg(first.alias("_first")).select("digest", "_first.*")
 
 
-def stream_dedup(stream: DataFrame, *, text: str, time: str | None = None, within: str | None = None) -> DataFrame:
-    """First row of every distinct text of a stream, with its ``digest``.
+def stream_dedup_within(stream: DataFrame, *, text: str, time: str, within: str) -> DataFrame:
+    """One row of the copies of a text that arrive within a span of each other: whichever is seen first.
 
-    The state is one 32-byte key per distinct text; for large streams keep it in
-    the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). With ``time`` and ``within``
-    keys expire behind the watermark, and only copies that close are dropped.
+    Keys expire behind the watermark, so the state stays small; which copy is
+    kept depends on the order of arrival.
     """
     keyed = stream.where(F.col(text).isNotNull()).withColumn("digest", digest(text))
-    thinned = keyed.mapInArrow(_first_of_each("digest"), keyed.schema)
-    if time is None:
-        return thinned.dropDuplicates(["digest"])
-    return thinned.withWatermark(time, within).dropDuplicatesWithinWatermark(["digest"])
+    return keyed.withWatermark(time, within).dropDuplicatesWithinWatermark(["digest"])
 
 
 def stream_topic_counts(

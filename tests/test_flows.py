@@ -61,7 +61,7 @@ def test_tags_themes_and_report(spark, prepared):
     assert report.city_by_month().first()["2024-01"] == 2 and report.month_by_city().first()["Addison, TX"] == 2
     assert report.words().first().word == "trafficking" and report.spikes().count() == 1
     facts = report.facts("trafficking")
-    assert facts.first().content == "In 2024-01, the state of Texas (TX) reported 2 trafficking-related complaints."
+    assert facts.first().content == "2024-01: Texas (TX) has 2 cases about trafficking."
 
     docs = retrieval.as_documents(facts, doc_id="month", content="content", source="x")
     encoder = vectors.fit_text_encoder(docs, text="content", dims=64)

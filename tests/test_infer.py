@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from caselens.functions.themes import accept_theme
 from caselens.operators import infer, joins
@@ -120,3 +121,16 @@ def test_resume(spark, cases, tmp_path):
 
 def test_no_results_yet(spark):
     assert read_results(spark, new_path(spark, "nothing")).count() == 0
+
+
+def test_dead_endpoint_stops_the_run(spark):
+    def dead():
+        def call(prompts):
+            raise OSError("no route")
+        return call
+
+    df = spark.range(500).select("id", F.lit("p").alias("p")).coalesce(1)
+    with pytest.raises(Exception, match="calls in a row failed"):
+        infer.generate(df, case_id="id", prompt="p", factory=dead, max_attempts=1).collect()
+    rows = infer.generate(df.limit(20), case_id="id", prompt="p", factory=dead, max_attempts=1).collect()
+    assert {r.status for r in rows} == {"error"} and len(rows) == 20

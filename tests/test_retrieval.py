@@ -1,5 +1,6 @@
+import random
+
 import pytest
-from hypothesis import given, settings, strategies as st
 
 from caselens.operators import retrieval, vectors
 from caselens.runtime import new_path
@@ -21,25 +22,69 @@ def test_windows_cover_the_text(spark):
     assert parts[0] + "".join(p[30:] for p in parts[1:]) == text
 
 
-def test_separators():
-    split = retrieval.split_text
-    assert split("one two three", 100, 10) == ["one two three"]
-    assert split("aaa bbb ccc ddd", 7, 3) == ["aaa bbb", "bbb ccc", "ccc ddd"]
-    assert split("aaa bbb ccc ddd", 7, 0) == ["aaa bbb", "ccc ddd"]
-    assert split("p one\n\np two\n\np three", 12, 0) == ["p one\n\np two", "p three"]
-    assert split("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9]
-    assert split("short\n\n" + "long words here\nand more", 16, 0) == ["short", "long words here", "and more"]
-    assert split("\n\n", 5, 1) == []
+def packed(text, size, overlap):
+    """Pieces by their running length, in plain words."""
+    pieces, at = [], 0
+    while at < len(text):
+        end = text.find("\n", at, at + overlap)
+        if end >= 0:
+            end += 1
+        elif len(text) - at <= overlap and "\n" not in text[at:]:
+            end = len(text)
+        else:
+            line = text.find("\n", at)
+            stop = at + overlap if line < 0 else min(at + overlap, line)
+            end = text.rfind(" ", at, stop) + 1 or stop
+        pieces.append((at, text[at:end]))
+        at = end
+    stretch = size - 2 * overlap
+    out = []
+    for k in range(pieces[-1][0] // stretch + 1 if pieces else 0):
+        first = min(s for s, _ in pieces if s // stretch == k)
+        chunk = "".join(p for s, p in pieces if s // stretch == k or first - overlap <= s < first).strip()
+        out += [chunk] if chunk else []
+    return out
+
+
+def test_separator_chunks(spark):
+    rng = random.Random(5)
+    texts = ["", "one line", "x" * 95, "\n\n \n", "é " * 80, "a\n" * 70, "word " * 60 + "\n" + "y" * 60, " " * 50 + "z"]
+    texts += ["".join(rng.choice("aé  \n") if rng.random() < 0.4 else "b" for _ in range(rng.randint(1, 300))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(999, None)], "id bigint, t string")
+    for size, overlap in ((40, 10), (64, 20), (31, 7)):
+        got = {}
+        for r in retrieval.chunk_at_separators(df, case_id="id", text="t", size=size, overlap=overlap).orderBy("id", "chunk_no").collect():
+            assert r.chunk_no == len(got.setdefault(r.id, [])) and 0 < len(r.content) <= size
+            got[r.id].append(r.content)
+        assert got == {i: packed(t, size, overlap) for i, t in enumerate(texts) if t.strip()}
+    plan = retrieval.chunk_at_separators(df, case_id="id", text="t")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]
+    with pytest.raises(ValueError):
+        retrieval.chunk_at_separators(df, case_id="id", text="t", size=30, overlap=10)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab \n", min_size=1, max_size=300), st.integers(5, 40), st.integers(0, 4))
-def test_separator_chunks_are_whole_and_bounded(text, size, overlap):
-    chunks = retrieval.split_text(text, size, overlap)
-    assert all(0 < len(c) <= size for c in chunks)
-    # Every character but white space is in the chunks, in order.
-    rest = iter("".join(chunks).replace(" ", "").replace("\n", ""))
-    assert all(any(c == d for d in rest) for c in text if c not in " \n")
+def letters():
+    return lambda texts: [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def test_own_encoder_and_cells(spark):
+    docs = spark.createDataFrame([(i, chr(97 + i % 26) * 5 + chr(97 + i // 26)) for i in range(200)], "id bigint, t string")
+    path = new_path(spark, "index")
+    rows = retrieval.as_documents(docs, doc_id="id", content="t", source="x")
+    centres = retrieval.store_documents(letters, rows.where("doc_id < '5'"), path, cells=5)
+    retrieval.store_documents(letters, rows.where("doc_id >= '5'"), path, append=True, centres=centres)
+    index = spark.read.parquet(path)
+    assert index.count() == 200 and 1 < index.select("cell").distinct().count() <= 5
+    questions = spark.createDataFrame([(1, "aaaaac"), (2, "zzz"), (3, None)], "q bigint, t string")
+    ask = lambda **how: sorted((r.query_id, r["rank"], r.base_id) for r in retrieval.retrieve(
+        letters, questions, index, question_id="q", question="t", k=3, **how).collect())
+    exact = ask()
+    assert (1, 1, "52") in exact and ask(centres=centres, probes=5) == exact
+    near = ask(centres=centres, probes=3)
+    assert len(near) == 9 and len(set(near) & set(exact)) >= 0.4 * len(exact)
+    replies = retrieval.answer(letters, questions, index, question_id="q", question="t", k=1, centres=centres, probes=5,
+                               factory=lambda: (lambda prompts: [p.split("Context:\n")[1].split("\n")[0] for p in prompts]))
+    assert {r.q: r.output for r in replies.collect()}[1] == "aaaaac"
 
 
 def test_context_and_answers(spark):
@@ -63,10 +108,3 @@ def test_context_and_answers(spark):
         model, questions, index, question_id="q", question="t", k=2,
         factory=lambda: (lambda prompts: [p.split("Context:\n")[1].split("\n")[0] for p in prompts]))
     assert {r.q: r.output for r in replies.collect()} == {1: "trafficking victims protection act", 2: "late fee on a card"}
-
-
-@pytest.mark.parametrize("size, overlap", [(10, 0), (10, 3)])
-def test_chunks_as_table(spark, size, overlap):
-    df = spark.createDataFrame([("a", "one two three four"), ("b", ""), ("c", None)], "id string, t string")
-    rows = retrieval.chunk_at_separators(df, case_id="id", text="t", size=size, overlap=overlap).collect()
-    assert {r.id for r in rows} == {"a"} and [r.chunk_no for r in rows] == list(range(len(rows)))

@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from caselens.operators import dedup, infer, vectors
@@ -75,18 +77,18 @@ def test_stream_dedup_equals_batch(spark):
     df = spark.range(500).select("id", F.when(F.col("id") != 7, texts).alias("t"))
     path = landed(spark, df, 6)
     out = new_path(spark, "out")
-    unique = streams.stream_dedup(streams.read_stream(spark, path, schema=df.schema, max_files=2), text="t")
-    streams.drain(unique, path=f"{out}/t", checkpoint=f"{out}/c")
+    unique = streams.stream_dedup(streams.read_stream(spark, path, schema=df.schema, max_files=2), text="t", case_id="id", columns=["t"])
+    streams.drain_totals(unique, path=f"{out}/t", checkpoint=f"{out}/c")
     got = spark.read.parquet(f"{out}/t")
     batch = dedup.dedup_exact(df, text="t", case_id="id")
-    assert sorted(r.t for r in got.collect()) == sorted(r.t for r in batch.collect())
+    assert sorted((r.id, r.t) for r in got.collect()) == sorted((r.id, r.t) for r in batch.collect())
 
 
 def test_stream_dedup_with_watermark(spark):
     start = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([(i, start + datetime.timedelta(minutes=i), "same") for i in range(20)], "id int, ts timestamp, t string")
     path, out = landed(spark, df, 2), new_path(spark, "out")
-    unique = streams.stream_dedup(streams.read_stream(spark, path, schema=df.schema), text="t", time="ts", within="1 hour")
+    unique = streams.stream_dedup_within(streams.read_stream(spark, path, schema=df.schema), text="t", time="ts", within="1 hour")
     streams.drain(unique, path=f"{out}/t", checkpoint=f"{out}/c")
     assert spark.read.parquet(f"{out}/t").count() == 1
 
@@ -124,3 +126,30 @@ def test_stream_counts(spark):
     streams.drain(windows, path=f"{out}/w", checkpoint=f"{out}/d")
     spans = spark.read.parquet(f"{out}/w")
     assert {r.n_tags for r in spans.collect()} <= {1, 2, 3, 4} and spans.count() > 4
+
+
+def test_malformed_rows_are_seen(spark, tmp_path):
+    path = str(tmp_path / "cases.csv")
+    with open(path, "w") as f:
+        f.write('case_id,narrative\n1,"a, b"\nabc,text\n3\n4,"two\nlines"\n')
+    schema = "case_id bigint, narrative string"
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_cases(spark, path, schema=schema).collect()
+    kept = {r.narrative: (r.case_id, r._malformed) for r in tables.read_cases(spark, path, schema=schema, malformed="keep").collect()}
+    assert kept["a, b"] == (1, None) and kept["two\nlines"] == (4, None)
+    assert sum(bad is not None for _, bad in kept.values()) == 2
+    with pytest.raises(Exception):
+        tables.store_cases(spark, path, str(tmp_path / "out"), schema=schema)
+    with open(path, "w") as f:
+        f.write("case_id,narrative\n1,x\n1,y\n")
+    with pytest.raises(ValueError, match="repeat"):
+        tables.store_cases(spark, path, str(tmp_path / "out"), schema=schema)
+
+
+def test_model_is_saved_and_loaded(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c"), (2, "c d")], "id bigint, t string")
+    model = vectors.fit_text_encoder(df, text="t", dims=32)
+    tables.save_model(model, str(tmp_path / "model"))
+    again = tables.load_model(str(tmp_path / "model"))
+    want, got = ([r.embedding for r in vectors.encode_text(m, df, text="t").orderBy("id").collect()] for m in (model, again))
+    assert want == got

@@ -66,7 +66,7 @@ def test_patterns(spark):
 
 def test_merging(spark):
     df = spark.createDataFrame([("fraud under the FCRA", ["b", "a"]), ("x", None)], "t string, g array<string>")
-    merged = tag_ops.add_rule_tags(df, text="t", tags="g").collect()
+    merged = tag_ops.add_rule_tags(df, text="t", tags="g", match="phrase").collect()
     assert [r.tags for r in merged] == [["FCRA", "a", "b", "fraud"], []]
     assert df.select(tags_to_text(union_tags("g", "g"))).first()[0] == "a, b"
 

@@ -129,7 +129,7 @@ def test_indicators_meet_the_counts(spark):
 def test_sentences(spark):
     df = spark.createDataFrame([("2024-07", "Virginia", "VA", 3, "trafficking")], "m string, s string, i string, n bigint, t string")
     row = trends.summary_sentences(df, template=rules.SUMMARY_TEMPLATE, columns=["m", "s", "i", "n", "t"], source="x").first()
-    assert row.content == "In 2024-07, the state of Virginia (VA) reported 3 trafficking-related complaints."
+    assert row.content == "2024-07: Virginia (VA) has 3 cases about trafficking."
     assert row.metadata == {"source": "x"}
 
 

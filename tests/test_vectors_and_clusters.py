@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caselens.operators import clusters, evaluate, hierarchy, profile, vectors
+from caselens.operators import clusters, evaluate, hierarchy, joins, profile, vectors
 
 
 def frame(spark, matrix, start=0):
@@ -200,9 +200,30 @@ def clusters_of(df):
 
 def test_hierarchy_without_structure_is_noise(spark):
     flat = frame(spark, np.random.default_rng(2).uniform(0, 1, (400, 2)))
-    options = dict(case_id="id", vector="v", dims=2, min_size=60, min_pts=4, levels=5)
+    options = dict(case_id="id", vector="v", dims=2, min_size=60, min_pts=4, max_levels=5)
     assert set(clusters_of(hierarchy.density_hierarchy(flat, **options)).values()) == {-1}
     one = clusters_of(hierarchy.density_hierarchy(flat, allow_single=True, hot_rows=20, **options))
     assert list(one.values()).count(0) > 350
     same = frame(spark, np.ones((50, 2)))
     assert set(clusters_of(hierarchy.density_hierarchy(same, allow_single=True, **options | {"min_size": 30})).values()) == {0}
+
+
+def test_one_far_point_does_not_hide_the_clusters(spark):
+    rng = np.random.default_rng(7)
+    blobs = np.vstack([rng.normal(c, 0.5, (200, 2)) for c in (0.0, 10.0, 20.0)])
+    options = dict(case_id="id", vector="v", dims=2, min_size=30, min_pts=4)
+    near = clusters_of(hierarchy.density_hierarchy(frame(spark, blobs), **options))
+    far = clusters_of(hierarchy.density_hierarchy(frame(spark, np.vstack([blobs, [[1e4, 1e4]]])), **options))
+    for got in (near, far):
+        tops = [max(set(part), key=part.count) for part in ([got[i] for i in range(k, k + 200)] for k in (0, 200, 400))]
+        assert sorted(tops) == [0, 1, 2]
+        assert sum(got[i] == tops[i // 200] for i in range(600)) > 560
+    assert far[600] == -1
+
+
+def test_numbers_without_one_task(spark):
+    df = spark.range(1000).select("id", F.pmod(F.xxhash64("id"), F.lit(50)).alias("size"))
+    out = joins.numbered(df, F.desc("size"), F.col("id"), output="n").orderBy("n").collect()
+    assert [r.n for r in out] == list(range(1000))
+    assert [(-r.size, r.id) for r in out] == sorted((-r.size, r.id) for r in out)
+    assert joins.numbered(df.limit(0), F.col("id"), output="n").count() == 0
