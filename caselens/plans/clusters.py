@@ -178,6 +178,28 @@ def reduced_vectors(spark, sf_dir):
     return reduced.select("vec_id", "reduced")
 
 
+@query("reduced_norms", "SELECT vec_id, true AS kept FROM embeddings")
+def reduced_norms(spark, sf_dir):
+    """With as many components as a vector has entries, the reduction only turns it: its length stays."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    width = len(v.first()["embedding"])
+
+    def length(c: str):
+        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double")))
+
+    turned = vectors.reduce_dims(v, vector="embedding", k=width)
+    return turned.select("vec_id", (F.abs(length("reduced") - length("embedding")) <= 1e-4 * length("embedding")).alias("kept"))
+
+
+@query("kmeans_settled", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS astray FROM embeddings")
+def kmeans_settled(spark, sf_dir):
+    """No vector is nearer to another centre than to its own."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    placed, centres = vectors.coarse_cells(v, vector="embedding", cells=8)
+    again = vectors.assign_cells(placed.withColumnRenamed("cell", "own"), centres, vector="embedding")
+    return again.agg(F.count("*").alias("n"), F.count_if(F.col("own") != F.col("cell")).alias("astray"))
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(spark, sf_dir):
     return vectors.kmeans(table(spark, sf_dir, "embeddings"), vector="embedding", k=8).select("vec_id", "cluster")
@@ -258,12 +280,34 @@ def classify_cases(spark, sf_dir):
     return evaluate.classify(model, test, text="text").select("doc_id", "quality", "predicted")
 
 
+@query("classify_coverage", """
+SELECT count(*) AS n_cases, true AS all_split, CAST(0 AS BIGINT) AS n_strange FROM documents JOIN labels USING (doc_id)""")
+def classify_coverage(spark, sf_dir):
+    """Every labelled case is either learnt from or predicted, and only known labels are predicted."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cases = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    train, test = evaluate.hash_split(cases, case_id="doc_id")
+    model = evaluate.fit_classifier(train, text="text", label="quality")
+    rows = evaluate.classify(model, test, text="text").select("doc_id", F.col("predicted").cast("string").alias("p"))
+    known = train.select("doc_id", F.lit(None).cast("string").alias("p"))
+    both = rows.unionByName(known)
+    strange = F.col("p").isNotNull() & ~F.col("p").cast("double").isin(0.0, 1.0)
+    return both.agg(F.count("*").alias("n_cases"), (F.count_distinct("doc_id") == F.count("*")).alias("all_split"),
+                    F.count_if(strange).alias("n_strange"))
+
+
 @query("topic_model")
 def topic_model(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return evaluate.topic_terms(evaluate.fit_topics(docs, text="text", k=5, max_iter=5))
 
 
+@query("topic_coverage", "SELECT count(*) AS n_documents FROM documents")
+def topic_coverage(spark, sf_dir):
+    """Every document has one topic."""
+    return topic_assignments(spark, sf_dir).agg(F.sum("n").alias("n_documents"))
+
+
 @query("topic_assignments")
 def topic_assignments(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

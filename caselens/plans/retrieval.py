@@ -99,6 +99,15 @@ def topk_probed(spark, sf_dir):
     return _probed(spark, sf_dir, probes=3, k=5)
 
 
+@query("topk_recall_floor", "SELECT 5 * count(*) AS n_exact, true AS high FROM embeddings")
+def topk_recall_floor(spark, sf_dir):
+    """Six of eight cells find at least 0.8 of the nearest neighbours."""
+    v = _vectors(spark, sf_dir)
+    exact = vectors.top_k(v, v, query_id="vec_id", base_id="vec_id", vector="embedding", k=5)
+    found = vectors.recall(exact, _probed(spark, sf_dir, probes=6, k=5))
+    return found.select("n_exact", (F.col("recall") >= 0.8).alias("high"))
+
+
 @query("topk_recall")
 def topk_recall(spark, sf_dir):
     v = _vectors(spark, sf_dir)
