@@ -253,7 +253,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
         key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
         if shard:
             out = materialize(out, "spans")
-        out = out.mapInArrow(_finder(spark.sparkContext.broadcast((key, items)), text, window), StructType(fields))
+        out = out.mapInArrow(W.lean(_finder(spark.sparkContext.broadcast((key, items)), text, window)), StructType(fields))
     return out
 
 

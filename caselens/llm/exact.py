@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.llm import fuse
+from caselens.llm import words as W
 from caselens.operators.joins import salted_lookup
 from caselens.runtime import materialize
 
@@ -54,7 +55,7 @@ class Snapshot:
             return pa.table({"shard": pa.array(group["shard"].to_numpy()[:1]),
                              "filter": pa.array([fuse.build(keys)], pa.binary())})
 
-        filters = kept.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(one, "shard int, filter binary")
+        filters = kept.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(W.lean_group(one), "shard int, filter binary")
         return cls(kept, materialize(filters, "filters"), shards)
 
     def screen(self, incoming: DataFrame) -> DataFrame:

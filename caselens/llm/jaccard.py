@@ -448,7 +448,7 @@ def near_duplicates(
     limit = Limit(*threshold)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(rows.mapInArrow(
-        _signatures(n), "doc_id long, n long, one long, two long, hot array<long>, times array<long>"), "signatures")
+        W.lean(_signatures(n)), "doc_id long, n long, one long, two long, hot array<long>, times array<long>"), "signatures")
 
     # Not rare: held by HOT_SHARE of the documents. Their number is at most 2 / HOT_SHARE times the mean size.
     total, n_rows = signed.agg(F.sum("n"), F.count("*")).first()
@@ -473,8 +473,8 @@ def near_duplicates(
     nodes = materialize(nodes.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
 
     found = materialize(
-        rows.where("doc_id is not null").mapInArrow(_emit(n, plan, hot, limit, buckets), "bucket int, shared boolean, keys binary, ids binary")
-        .groupBy("bucket").applyInArrow(_meet, "key long, id long"), "keys")
+        rows.where("doc_id is not null").mapInArrow(W.lean(_emit(n, plan, hot, limit, buckets)), "bucket int, shared boolean, keys binary, ids binary")
+        .groupBy("bucket").applyInArrow(W.lean_group(_meet), "key long, id long"), "keys")
     ids = found.select(F.col("id").alias("doc_id")).distinct()
     named = nodes.join(broadcast_if_small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = materialize(
@@ -490,7 +490,7 @@ def near_duplicates(
                     [batch.column(0).slice(a, b - a), pa.array(sets.sizes()), sketch, grams], ["id", "n", "sketch", "grams"])
 
     wanted = found.select(F.col("id").alias("doc_id")).distinct()
-    grams = materialize(rows.join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(as_sets, "id long, n long, sketch array<long>, grams array<long>"), "sets")
+    grams = materialize(rows.join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(W.lean(as_sets), "id long, n long, sketch array<long>, grams array<long>"), "sets")
 
     linked, part = _connect(found, grams, limit, hot_rows)
     if part is None:
@@ -531,7 +531,7 @@ def _connect(found: DataFrame, grams: DataFrame, limit: Limit, hot_rows: int) ->
             groups = max(1, int(n_rows // GROUP_ROWS))
             rows = (rows.join(grams.select("id", "n", "sketch"), "id").select(block.alias("block"), "id", "component", "n", "sketch")
                     .withColumn("group", F.pmod("block", F.lit(groups))))
-            edges = rows.groupBy("group").applyInArrow(_across(limit), "src long, dst long").distinct()
+            edges = rows.groupBy("group").applyInArrow(W.lean_group(_across(limit)), "src long, dst long").distinct()
         else:
             rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
             lead = open_rows.groupBy("key").agg(

@@ -255,7 +255,7 @@ def find(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "
                     [batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(hits, _HIT)], ["doc_id", "n_paragraphs", "licences"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_paragraphs long, licences array<struct<paragraph:int,family:string,probability:double>>")
+        W.lean(run), f"doc_id {kind}, n_paragraphs long, licences array<struct<paragraph:int,family:string,probability:double>>")
 
 
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -118,11 +118,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _one_hot(bins: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(bins), width), np.float32)
-    out[np.arange(len(bins))[:, None], bins] = 1
-    out[:, -1] = 1
-    return out
+@dataclass(frozen=True)
+class _Rows:
+    """Rows with one bin per measure and the constant, as a sparse matrix."""
+
+    bins: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, bins: np.ndarray, width: int) -> _Rows:
+        return cls(np.concatenate([bins, np.full((len(bins), 1), width - 1)], axis=1), width)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return w[self.bins].sum(1)
+
+    def mean(self, values: np.ndarray) -> np.ndarray:
+        """Mean over the rows of each row times its value."""
+        return np.bincount(self.bins.ravel(), np.repeat(values, self.bins.shape[1]), minlength=self.width) / len(values)
 
 
 def _descend(gradient, width: int, rounds: int, rate: float, decay: float) -> np.ndarray:
@@ -162,31 +174,31 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, *, prior: float | None = N
     model = Model(edges, np.zeros(width), 0.5)
     if not len(positive) or not len(unlabelled):
         return model
-    p, u = _one_hot(model.bins(positive), width), _one_hot(model.bins(unlabelled), width)
+    p, u = _Rows.of(model.bins(positive), width), _Rows.of(model.bins(unlabelled), width)
 
     given = prior
     if prior is None:
-        half_p, half_u = p[::2], u[::2]
+        half_p, half_u, rest_p, rest_u = (_Rows(x.bins[i::2], width) for i, x in ((0, p), (0, u), (1, p), (1, u)))
 
         def against(w: np.ndarray) -> np.ndarray:
-            return 0.5 * (half_p.T @ (_sigmoid(half_p @ w) - 1) / len(half_p) + half_u.T @ _sigmoid(half_u @ w) / len(half_u))
+            return 0.5 * (half_p.mean(_sigmoid(half_p.times(w)) - 1) + half_u.mean(_sigmoid(half_u.times(w))))
 
         w = _descend(against, width, rounds // 2, rate, 10 * decay)
-        prior = estimate_prior(p[1::2] @ w, u[1::2] @ w)
+        prior = estimate_prior(rest_p.times(w), rest_u.times(w))
 
     def risk(w: np.ndarray) -> np.ndarray:
-        s_p, s_u = _sigmoid(p @ w), _sigmoid(u @ w)
+        s_p, s_u = _sigmoid(p.times(w)), _sigmoid(u.times(w))
         # Logistic losses: of "good" -log(s), of "bad" -log(1 - s).
         bad = -np.log1p(-np.minimum(s_u, 1 - 1e-7)).mean() + prior * np.log1p(-np.minimum(s_p, 1 - 1e-7)).mean()
-        g_bad = u.T @ s_u / len(u) - prior * (p.T @ s_p) / len(p)
-        g_good = prior * (p.T @ (s_p - 1)) / len(p)
+        g_bad = u.mean(s_u) - prior * p.mean(s_p)
+        g_good = prior * p.mean(s_p - 1)
         return g_good + g_bad if bad >= 0 else -g_bad
 
     w = _descend(risk, width, rounds, rate, decay)
     if given is None:  # the fitted model tells the two apart better than the first one
-        prior = min(prior, estimate_prior(p @ w, u @ w))
+        prior = min(prior, estimate_prior(p.times(w), u.times(w)))
         w = _descend(risk, width, rounds, rate, decay)
-    w[-1] -= cut(p @ w, u @ w, prior)
+    w[-1] -= cut(p.times(w), u.times(w), prior)
     return Model(edges, w, prior)
 
 
@@ -232,7 +244,7 @@ def train(docs: DataFrame, positives: DataFrame, *, doc_id: str = "doc_id", text
                 [batch.column(1), batch.column(2), pa.array(list(measures(batch.column(0))), pa.list_(pa.float64()))],
                 ["any", "good", "x"])
 
-    got = rows.mapInArrow(run, "any boolean, good boolean, x array<double>").toArrow()
+    got = rows.mapInArrow(W.lean(run), "any boolean, good boolean, x array<double>").toArrow()
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(MEASURES))
     is_any, is_good = got["any"].to_numpy(), got["good"].to_numpy()
     order = np.lexsort(x.T)  # the fit does not depend on the order of arrival
@@ -251,7 +263,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             x = measures(row.field(row.type.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([row, pa.array(shipped.value.score(x))], ["row", "score"])
 
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, shape)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(W.lean(run), shape)
 
 
 def trusted(docs: DataFrame, labels: DataFrame, *, fold: int = 1, folds: int = 3, doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -190,7 +190,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", false_s
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = StructType([StructField("doc_id", rows.schema["doc_id"].dataType)])
     names = kind.simpleString()[len("struct<"):-1].replace("doc_id:", "doc_id ", 1)
-    seen = materialize(rows.mapInArrow(_scan, f"{names}, found {_FOUND_DDL}, tested {_TESTED_DDL}, letters array<long>"), "secrets")
+    seen = materialize(rows.mapInArrow(W.lean(_scan), f"{names}, found {_FOUND_DDL}, tested {_TESTED_DDL}, letters array<long>"), "secrets")
 
     letters = np.zeros(256, np.int64)
     for r in seen.where("letters is not null").select(F.posexplode("letters")).groupBy("pos").agg(F.sum("col").alias("n")).collect():

@@ -88,7 +88,7 @@ class PieceEncoder:
     first, the second tells, and the text is encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most_pieces: int = 2_000_000):
+    def __init__(self, path: str, end_id: int, most_pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -98,14 +98,14 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted, with the row of each
-        self.key_rows = np.zeros(0, np.int64)
+        self.key_rows = np.zeros(0, np.int32)
         self.checks = np.zeros(1, np.uint64)  # by row: second hash, where its ids start, how many they are
-        self.start = np.zeros(1, np.int64)
-        self.count = np.zeros(1, np.int64)  # row 0 has no ids
+        self.start = np.zeros(1, np.int32)
+        self.count = np.zeros(1, np.int32)  # row 0 has no ids
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.near_keys = np.zeros(1 << 20, np.uint64)  # the last piece seen of each slot
-        self.near_rows = np.zeros(1 << 20, np.int64)
+        self.near_keys = np.zeros(1 << 19, np.uint64)  # the last piece seen of each slot
+        self.near_rows = np.zeros(1 << 19, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,17 +122,17 @@ class PieceEncoder:
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[self.used:self.used + len(flat)] = flat
         rows = len(self.count) + np.arange(len(count))
-        self.start = np.concatenate([self.start, self.used + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
+        self.start = np.concatenate([self.start, (self.used + np.cumsum(count) - count).astype(np.int32)])
+        self.count = np.concatenate([self.count, count.astype(np.int32)])
         self.checks = np.concatenate([self.checks, checks])
         self.used += len(flat)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.key_rows = np.insert(self.key_rows, at, rows)
+        self.key_rows = np.insert(self.key_rows, at, rows.astype(np.int32))
         return rows
 
     def _rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        slot = (keys >> np.uint64(44)).astype(np.int64)
+        slot = (keys >> np.uint64(45)).astype(np.int64)
         row = np.where(self.near_keys[slot] == keys, self.near_rows[slot], 0)
         far = np.flatnonzero(row == 0)
         if len(far):
@@ -162,7 +162,7 @@ class PieceEncoder:
         keys, checks = pieces.hashes(), pieces.hashes(second=True)
         row = self._rows(data, start, end, keys, checks)
         # The ids of all pieces, each text followed by the end id.
-        count = self.count[row]
+        count = self.count[row].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         ends = total[pieces.offsets[1:]] + np.arange(1, len(offsets))
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, path: str, *, end_id: int, doc_id: str = "doc_id", t
                     ["doc_id", "n", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n long, ids binary")
+        W.lean(run), "doc_id long, n long, ids binary")
 
 
 def id_counts(encoded: DataFrame, vocabulary: int, width: int = 2) -> np.ndarray:
@@ -227,7 +227,7 @@ def id_counts(encoded: DataFrame, vocabulary: int, width: int = 2) -> np.ndarray
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = encoded.select("ids").mapInArrow(W.lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
     for r in rows.collect():  # at most one row per id of the vocabulary
         counts[r["id"]] = r["n"]
@@ -278,7 +278,7 @@ def write(encoded: DataFrame, path: str, *, vocabulary: int, width: int = 2,
 
     parts = max(1, -(-int(counts.sum()) // part_ids))
     (encoded.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-     .mapInArrow(run, _BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks"))
+     .mapInArrow(W.lean(run), _BLOCK_DDL).write.option("compression", "none").parquet(f"{path}/blocks"))
 
 
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("bits", pa.int64()),
@@ -314,7 +314,7 @@ def read(spark: SparkSession, path: str, *, ids: bool = False) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.groupBy("part").agg(F.sum("n").alias("_n")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # one row per part
-    rows = blocks.select("part", "at", "n", "doc_ids", "sizes", "checkpoints", "payload").mapInArrow(run, schema)
+    rows = blocks.select("part", "at", "n", "doc_ids", "sizes", "checkpoints", "payload").mapInArrow(W.lean(run), schema)
     return rows.join(offsets, "part").withColumn("start", F.col("start") + F.col("_before")).drop("part", "_before")
 
 

@@ -6,13 +6,16 @@ by the one text that is longer). A word is known by a 64-bit hash of its bytes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they can be divided by
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -33,6 +36,7 @@ ALNUM = ~classes((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+_PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -70,9 +74,14 @@ class Words:
     def hashes(self, *, second: bool = False) -> np.ndarray:
         """One 64-bit hash per word, the same wherever the word stands; ``second`` is another one."""
         up, down = _powers(len(self.data) + 1, _BASES[second])
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:len(self.data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        terms = _PLUS_ONE[self.data]
+        terms *= up[:len(terms)]
+        total = np.zeros(len(terms) + 1, np.uint64)
+        np.cumsum(terms, out=total[1:])
+        out = total[self.ends]
+        out -= total[self.starts]
+        out *= down[self.starts]
+        return mix(out)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
@@ -112,14 +121,14 @@ def smaller(rows: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = NOT_SPACE, *, lower: bool = True) -> Words:
     """Words (runs of member bytes) of the texts that ``offsets`` cut ``data`` into."""
     data = _LOWER[data] if lower else data
-    inside = np.zeros(len(data) + 2, np.int8)
+    inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = member[data]
-    edge = np.diff(inside)  # edge[i]: from byte i-1 to byte i
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+    ends = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
     # A word that runs over the end of a text is cut there.
     cuts = offsets[1:-1]
     cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
-    cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
+    cuts = cuts[inside[cuts] & inside[cuts + 1]]
     if len(cuts):
         starts = np.sort(np.concatenate([starts, cuts]))
         ends = np.sort(np.concatenate([ends, cuts]))
@@ -159,6 +168,34 @@ def within(offsets: np.ndarray, size: int) -> np.ndarray:
     return ok
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept, and what they hold is missed elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A function over the batches of a task that releases memory when it is done."""
+    @functools.wraps(run)
+    def wrapped(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(rows)
+        finally:
+            release()
+    return wrapped
+
+
+def lean_group(run):
+    """A function over one group that releases memory when it is done."""
+    @functools.wraps(run)
+    def wrapped(group: pa.Table) -> pa.Table:
+        out = run(group)
+        release()
+        return out
+    return wrapped
+
+
 class Lookup:
     """Positions of 64-bit keys in a fixed array of distinct keys, for many keys at once."""
 
