@@ -54,7 +54,7 @@ class Types:
         out = np.empty(len(place), np.int64)
         out[place >= 0] = self.of_word[place[place >= 0]]
         rare = np.flatnonzero(place < 0)
-        out[rare] = self.of_ending(endings(words)[rare])
+        out[rare] = self.of_ending(endings(words, rare))
         return out, place
 
     def of_ending(self, tail: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def train(docs: DataFrame, *, text: str = "text", shipped: int = SHIPPED, types:
     kinds.of_word = np.concatenate([np.arange(len(head)), kinds.of_ending(ending[len(head):].astype(np.int64))])
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(
-        _bigrams(spark.sparkContext.broadcast(kinds)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        W.lean(_bigrams(spark.sparkContext.broadcast(kinds))), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(size * size)  # bounded by the number of types
     pairs[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     pairs = pairs.reshape(size, size)
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, doc_id: str = "do
     """
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _score(docs.sparkSession.sparkContext.broadcast(model)),
+        W.lean(_score(docs.sparkSession.sparkContext.broadcast(model))),
         f"row_id long, doc_id {kind}, n_tokens long, n_known long, base double, model double, "
         "rare array<struct<word:long,times:int,class:int>>"), "scores")
     each = rows.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.times", "r.class")

@@ -7,8 +7,8 @@ removed; a line is compared with all earlier ones, removed or not.
 Words are ordered from rare to frequent. Two similar sets share a word of their
 prefixes, so only prefixes are exchanged (Chaudhuri et al., 2006; Xiao et al.,
 "Efficient similarity joins for near duplicate detection", 2008). Where two
-prefixes meet, the sizes, the positions of the shared word and a 64-bit
-signature of the sets bound what they can have in common; pairs that pass are
+prefixes meet, the sizes, the positions of the shared word and a 128-bit parity
+sketch of the sets bound what they can have in common; pairs that pass are
 verified on the sets. A line needs one earlier match only: it is tried with the
 earliest few candidates of each word first, and only lines that none of these
 removes are compared with all the others.
@@ -17,10 +17,11 @@ removes are compared with all the others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.llm import words as W
@@ -29,8 +30,8 @@ from caselens.runtime import broadcast_if_small, materialize
 
 #: Frequent words that are shipped with their counts; entries of a bucket; rows of a word before its entries are split.
 SHIPPED, BUCKET_ENTRIES, PART_ROWS = 1 << 18, 1 << 19, 1_000_000
-#: Candidates of a line and word that are tried first.
-FIRST = 3
+#: Candidates of a line and word that are tried first, if there are more than ``ALL``; else all of them.
+FIRST, ALL = 6, 192
 #: Lines compared with all others in one go.
 SLOW_LINES = 200_000
 
@@ -38,9 +39,10 @@ _NOT_LINE = ~W.classes((0x0A, 0x0A))
 PAIR, EQUAL, DOC, MORE = range(4)
 _OUT = "kind int, doc long, line int, other_doc long, other_line int"
 
-#: One prefix word of one line.
-_ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("bits", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4"),
-                   ("part", "<i2"), ("slow", "<i2")])
+#: One prefix word of one line; the key is a hash of the word, as entries of a bucket only. `at` is the position, at
+#: most 32,767, with the top bit for lines that are compared with all others.
+_ENTRY = np.dtype([("doc", "<i8"), ("low", "<u8"), ("high", "<u8"), ("key", "<u4"), ("set", "<u4"), ("line", "<i4"), ("size", "<i4"), ("at", "<u2")])
+_SLOW = 1 << 15
 
 
 def need(total: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -56,138 +58,188 @@ class Order:
         self.counts = counts[by]
         self.lookup = W.Lookup(words[by])
 
-    def rank(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(rank, parts)``: sort key of each word (ties by hash), and into how many parts its entries go."""
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        """Below 2**44; two words that are not shipped may share a rank."""
         place = self.lookup.find(hashes)
-        parts = np.ones(len(hashes), np.int64)
-        known = place >= 0
-        parts[known] = 1 + self.counts[place[known]] // PART_ROWS
-        return place + 1, parts
+        return np.where(place >= 0, (1 << 43) + place, (hashes >> np.uint64(21)).astype(np.int64))
 
-
-def line_sets(words: W.Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with words: ``(text, number, start)`` of each, ``start`` into the sorted distinct word hashes, and those."""
-    breaks = np.cumsum(words.data == 0x0A)
-    upto = np.concatenate([[0], breaks])
+    def parts(self, hashes: np.ndarray) -> np.ndarray:
+        """Into how many parts the entries of a word go."""
+        place = self.lookup.find(hashes)
+        out = np.ones(len(hashes), np.int64)
+        out[place >= 0] += self.counts[place[place >= 0]] // PART_ROWS
+        return out
+
+
+@dataclass
+class Lines:
+    """Lines with words: their text, their number in it (from 1), and their distinct words from rare to frequent."""
+
+    text: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    value: np.ndarray
+
+    def size(self) -> np.ndarray:
+        return np.diff(self.start)
+
+    def take(self, pick: np.ndarray) -> Lines:
+        size = self.size()[pick]
+        at = np.repeat(self.start[pick] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return Lines(self.text[pick], self.number[pick], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), self.value[at])
+
+    def ids(self, salt: int) -> np.ndarray:
+        """One 64-bit number per set."""
+        if not len(self.text):
+            return np.zeros(0, np.uint64)
+        return W.mix(np.add.reduceat(W.mix(self.value ^ np.uint64(salt)), self.start[:-1]) + self.size().astype(np.uint64))
+
+    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parity of the words in each of 128 cells. Two sets differ in at least as many words as sketches in bits."""
+        if not len(self.text):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        cell = W.mix(self.value.copy())
+        bit = np.uint64(1) << (cell >> np.uint64(58))
+        upper = (cell & np.uint64(1)).astype(np.uint64)
+        return (np.bitwise_xor.reduceat(bit * (np.uint64(1) - upper), self.start[:-1]),
+                np.bitwise_xor.reduceat(bit * upper, self.start[:-1]))
+
+
+def lines_of(words: W.Words, offsets: np.ndarray, order: Order | None, wanted=None) -> Lines:
+    """Lines of a slice of texts. ``wanted(text, number, hashes)`` may give a mask of words whose lines are left out."""
+    breaks = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
     text = np.repeat(np.arange(len(offsets) - 1), words.counts())
-    number = upto[words.starts] - upto[offsets[text]] + 1
-    line = np.cumsum(np.concatenate([[True], (number[1:] != number[:-1]) | (text[1:] != text[:-1])])) - 1 if len(text) else text
+    number = breaks[words.starts] - breaks[offsets[text]] + 1 if len(text) else text
     hashes = words.hashes()
-    order = np.argsort(hashes)
-    order = order[np.argsort(line[order], kind="stable")]
-    h, of = hashes[order], line[order]
-    first = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
-    head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    start = np.concatenate([[0], np.cumsum(np.bincount(of[first], minlength=len(head)))])
-    return text[head], number[head], start, h[first]
-
-
-def _batch(batch: pa.RecordBatch):
-    """All lines of a batch: documents, numbers, starts, words, two ids of each set."""
-    names = batch.column(0).to_numpy(zero_copy_only=False)
-    docs, numbers, sizes, values = [], [], [], []
-    data, offsets = W.texts_buffer(batch.column(1))
+    if wanted is not None and len(text):
+        keep = wanted(text, number, hashes)
+        text, number, hashes = text[keep], number[keep], hashes[keep]
+    if not len(text):
+        none = np.zeros(0, np.int64)
+        return Lines(none, none, np.zeros(1, np.int64), np.zeros(0, np.uint64))
+    new = np.concatenate([[True], (number[1:] != number[:-1]) | (text[1:] != text[:-1])])
+    line = np.cumsum(new) - 1
+    rank = order.rank(hashes) if order is not None else (hashes >> np.uint64(20)).astype(np.int64)
+    if line[-1] < 1 << 19:
+        key = (line << 44) | rank
+        by = np.argsort(key)
+        key, h = key[by], hashes[by]
+        same = key[1:] == key[:-1]
+        tied = bool((same & (h[1:] != h[:-1])).any())
+    else:
+        tied = True
+    if tied:
+        by = np.lexsort((hashes, rank, line))
+        h = hashes[by]
+    of = line[by]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+    start = np.concatenate([[0], np.cumsum(np.bincount(of[first]))])
+    return Lines(text[new], number[new], start, h[first])
+
+
+def _batch_lines(texts: pa.Array, order: Order | None, wanted=None) -> Lines:
+    """Lines of all texts of a batch."""
+    data, offsets = W.texts_buffer(texts)
+    found = []
     for a, b in W.slices(offsets):
         part = offsets[a:b + 1]
         own = part - part[0]
-        text, number, start, h = line_sets(W.words(data[part[0]:part[-1]], own), own)
-        docs.append(text + a)
-        numbers.append(number)
-        sizes.append(np.diff(start))
-        values.append(h)
-    text, number, size, value = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, numbers, sizes, values))
-    start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    ids = []
-    for salt in (0x452821E638D01377, 0xBE5466CF34E90C6C):
-        total = np.zeros(len(size), np.uint64)
-        np.add.at(total, np.repeat(np.arange(len(size)), size), W.mix(value.astype(np.uint64) ^ np.uint64(salt)))
-        ids.append(W.mix(total + size.astype(np.uint64)))
-    return names, text, number.astype(np.int32), start, value.astype(np.uint64), ids[0], ids[1]
-
-
-def prefixes(start: np.ndarray, value: np.ndarray, order: Order, num: int, den: int) -> tuple[np.ndarray, ...]:
-    """Prefix words of each line: ``(line, position, word, parts)``."""
-    size = np.diff(start)
-    line = np.repeat(np.arange(len(size)), size)
-    rank, parts = order.rank(value)
-    by = np.argsort(rank, kind="stable")  # words of a line are in order of their hashes already
-    by = by[np.argsort(line[by], kind="stable")]
-    position = np.arange(len(value)) - np.repeat(start[:-1], size)
-    own = size[line]
-    inside = position < own - (-(-num * own // den)) + 1
-    by = by[inside]
-    return line[inside], position[inside], value[by], parts[by]
-
-
-def _bits(start: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Signature: one bit per word, folded."""
-    bit = np.uint64(1) << (W.mix(value.copy()) >> np.uint64(58))
-    out = np.zeros(len(start) - 1, np.uint64)
-    if len(value):
-        full = np.diff(start) > 0
-        out[full] = np.bitwise_or.reduceat(bit, start[:-1][full])
-    return out
+        ask = None if wanted is None else (lambda t, n, h, a=a: wanted(t + a, n, h))
+        one = lines_of(W.words(data[part[0]:part[-1]], own), own, order, ask)
+        one.text += a
+        found.append(one)
+    if not found:
+        none = np.zeros(0, np.int64)
+        return Lines(none, none, np.zeros(1, np.int64), np.zeros(0, np.uint64))
+    size = np.concatenate([x.size() for x in found])
+    return Lines(np.concatenate([x.text for x in found]), np.concatenate([x.number for x in found]),
+                 np.concatenate([[0], np.cumsum(size)]).astype(np.int64), np.concatenate([x.value for x in found]))
+
+
+def prefixes(own: Lines, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix words of each line: ``(line, position, word)``."""
+    size = own.size()
+    length = size - (-(-num * size // den)) + 1
+    line = np.repeat(np.arange(len(size)), length)
+    position = np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length)
+    return line, position, own.value[own.start[line] + position]
+
+
+def _entries(own: Lines, doc: np.ndarray, ident: np.ndarray, order: Order, num: int, den: int, words=None) -> tuple[np.ndarray, np.ndarray]:
+    """``(bucket hash, entries)`` of the prefixes; ``words`` (sorted): of these words only."""
+    line, position, word = prefixes(own, num, den)
+    if words is not None:
+        keep = words[np.minimum(np.searchsorted(words, word), len(words) - 1)] == word
+        line, position, word = line[keep], position[keep], word[keep]
+    low, high = own.signatures()
+    out = np.zeros(len(line), _ENTRY)
+    for field, x in (("doc", doc[line]), ("set", (ident >> np.uint64(32))[line]), ("line", own.number[line]), ("low", low[line]), ("high", high[line]), ("size", own.size()[line]),
+                     ("at", np.minimum(position, _SLOW - 1))):
+        out[field] = x
+    # The entries of a very frequent word are dealt into parts, and every two parts meet in a block of their own.
+    parts = order.parts(word)
+    block = np.zeros(len(out), np.int64)
+    if len(parts) and parts.max() > 1:
+        part = (W.mix(out["doc"].astype(np.uint64) * np.uint64(31) + out["line"].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+        copies = np.repeat(np.arange(len(out)), parts)
+        other = np.arange(len(copies)) - np.repeat(np.cumsum(parts) - parts, parts)
+        mine = part[copies]
+        block = np.minimum(mine, other) * parts[copies] + np.maximum(mine, other)
+        out, word = out[copies], word[copies]
+    key = W.mix(word + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out["key"] = key & np.uint64(0xFFFFFFFF)
+    return key >> np.uint64(40), out
 
 
 def _emit(order, num: int, den: int, buckets: int, slow=None):
     """Prefix entries of the first line of each distinct set of a batch, the other lines, and line counts.
 
-    ``slow`` (documents, lines, keys, sorted): only entries of these keys, the given lines marked.
+    ``slow`` (documents, lines, words): only entries of these words, the given lines marked.
     """
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Order = order.value
-        marked = slow.value if slow is not None else None
-        for batch in rows:
-            names, text, number, start, value, one, two = _batch(batch)
-            by = np.lexsort((number, names[text], two, one)) if len(text) else np.zeros(0, np.int64)
+        ranks: Order = order.value
+        docs, numbers, asked = slow.value if slow is not None else (None, None, None)
+        for batch in W.smaller(rows):
+            names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            wanted = None
+            if asked is not None:
+                words = W.Lookup(asked)
+
+                def wanted(text, number, hashes, words=words):  # lines that hold one of the words
+                    line = np.cumsum(np.concatenate([[True], (number[1:] != number[:-1]) | (text[1:] != text[:-1])])) - 1
+                    return np.bincount(line, words.find(hashes) >= 0)[line] > 0
+
+            own = _batch_lines(batch.column(1), ranks, wanted)
+            doc = names[own.text]
+            one, two = own.ids(0x452821E638D01377), own.ids(0xBE5466CF34E90C6C)
+            by = np.lexsort((own.number, doc, two, one))
             head = np.concatenate([[True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])]) if len(by) else np.zeros(0, bool)
             lead = by[head]
-            group = np.cumsum(head) - 1
-            doc = names[text].astype(np.int64) if len(text) else np.zeros(0, np.int64)
-            if marked is None:
+            if slow is None:
                 rest = by[~head]
-                of = lead[group[~head]]
-                other = (doc[rest] != doc[of]) | (number[rest] != number[of])
-                rest, of = rest[other], of[other]
+                of = lead[(np.cumsum(head) - 1)[~head]]
+                later = (doc[rest] != doc[of]) | (own.number[rest] != own.number[of])
+                rest, of = rest[later], of[later]
                 table = np.zeros(len(rest) + len(names), _ROW)
                 table["kind"][:len(rest)] = EQUAL
-                for field, x in (("doc", doc[rest]), ("line", number[rest]), ("other_doc", doc[of]), ("other_line", number[of])):
+                for field, x in (("doc", doc[rest]), ("line", own.number[rest]), ("other_doc", doc[of]), ("other_line", own.number[of])):
                     table[field][:len(rest)] = x
                 table["kind"][len(rest):] = DOC
                 table["doc"][len(rest):] = names
-                table["line"][len(rest):] = np.bincount(text, minlength=len(names)) if len(text) else 0
-                anywhere = (W.mix(table["doc"].view(np.uint64) if table["doc"].flags.c_contiguous else
-                                  np.ascontiguousarray(table["doc"]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                yield from _pack(anywhere, table, "rows")
+                table["line"][len(rest):] = np.bincount(own.text, minlength=len(names))
+                anywhere = W.mix(table["doc"].astype(np.uint64))
+                yield from _pack((anywhere % np.uint64(buckets)).astype(np.int64), table, "rows")
                 sets = np.zeros(len(lead), _SET)
-                for field, x in (("one", one[lead]), ("two", two[lead]), ("doc", doc[lead]), ("line", number[lead])):
+                for field, x in (("one", one[lead]), ("two", two[lead]), ("doc", doc[lead]), ("line", own.number[lead])):
                     sets[field] = x
-                yield from _pack((one[lead] >> np.uint64(40)).astype(np.int64) % buckets, sets, "sets")
-            size = np.diff(start)[lead]
-            at = np.repeat(start[lead] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            line, position, word, parts = prefixes(begin, value[at], own, num, den)
-            bits = _bits(begin, value[at])
-            entries = np.zeros(len(line), _ENTRY)
-            for field, x in (("doc", doc[lead][line]), ("line", number[lead][line]), ("bits", bits[line]), ("size", size[line]), ("at", position)):
-                entries[field] = x
-            # The entries of a very frequent word are dealt into parts; every two parts meet in a block of their own.
-            part = (W.mix(entries["doc"].astype(np.uint64) * np.uint64(31) + entries["line"].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-            entries["part"] = part
-            copies = np.repeat(np.arange(len(entries)), parts)
-            other = np.arange(len(copies)) - np.repeat(np.cumsum(parts) - parts, parts)
-            mine = part[copies]
-            block = np.minimum(mine, other) * parts[copies] + np.maximum(mine, other)
-            entries = entries[copies]
-            entries["key"] = W.mix(word[copies] + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            if marked is not None:
-                docs, lines, keys = marked
-                found = np.minimum(np.searchsorted(keys, entries["key"]), len(keys) - 1)
-                entries = entries[keys[found] == entries["key"]]
-                ref = _ref(entries["doc"], entries["line"])
-                refs = np.sort(_ref(docs, lines))
-                entries["slow"] = refs[np.minimum(np.searchsorted(refs, ref), len(refs) - 1)] == ref
-            yield from _pack((entries["key"] >> np.uint64(40)).astype(np.int64) % buckets, entries, "entries")
+                yield from _pack(((one[lead] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64), sets, "sets")
+            lead = np.sort(lead)
+            kept = own.take(lead)
+            where, entries = _entries(kept, doc[lead], one[lead], ranks, num, den, asked)
+            if slow is not None and len(entries):
+                ref, refs = _ref(entries["doc"], entries["line"]), np.sort(_ref(docs, numbers))
+                entries["at"] |= np.where(np.isin(ref, refs), _SLOW, 0).astype(np.uint16)
+            yield from _pack((where % np.uint64(buckets)).astype(np.int64), entries, "entries")
     return run
 
 
@@ -219,53 +271,105 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(first, np.arange(len(x)), 0)) if len(x) else np.zeros(0, np.int64)
 
 
-def candidates(e: np.ndarray, num: int, den: int, keep: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of entries that may be similar: ``(earlier, later)``, and entries with pairs that were left out.
+def candidates(e: np.ndarray, num: int, den: int, keep: int | None, most: int = ALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of entries that may be similar, ``(earlier, later)``, and later entries of pairs that were left out.
 
-    With ``keep``, the earliest ``keep`` partners of each later entry; without, all pairs with a marked entry.
+    With ``keep``, the earliest ``keep`` partners of each later entry that has more than ``most``, and all of the
+    others; without, all pairs with a marked entry. Lines of equal sets (same size, sketch and 32 bits of the set's
+    hash) have equal keys: the earliest one stands for them, as the others are removed anyway.
     """
-    e = e[np.lexsort((e["line"], e["doc"], e["size"], e["key"]))]
+    e = _first_of_sets(e)
     n = len(e)
-    size = e["size"].astype(np.int64)
+    size, low, high = e["size"].astype(np.int64), e["low"].copy(), e["high"].copy()
+    at, slow = (e["at"] & (_SLOW - 1)).astype(np.int64), e["at"] >= _SLOW
+    place = np.empty(n, np.int64)  # in order of the lines
+    place[np.lexsort((e["line"], e["doc"]))] = np.arange(n)
+    place = _same_line(e, place)
     # Sizes rise within a key: partners of i from i + 1 on, up to the largest size that can match.
     joint = _runs(e["key"]) * (int(size.max()) * den + 1 if n else 1) + size
     top = np.searchsorted(joint, joint - size + size * den // num, "right")
     count = top - np.arange(n) - 1
-    lefts, rights = [], []
-    at = 0
     total = np.concatenate([[0], np.cumsum(count)])
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(total, total[at] + 4_000_000, "right")) - 1)
-        i = np.repeat(np.arange(at, end), count[at:end])
-        j = i + 1 + np.arange(len(i)) - (total[i] - total[at])
+    early, late = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    done = held = 0
+    while done < n:
+        end = max(done + 1, int(np.searchsorted(total, total[done] + 500_000, "right")) - 1)
+        i = np.repeat(np.arange(done, end), count[done:end])
+        j = i + 1 + np.arange(len(i)) - (total[i] - total[done])
+        done = end
         if keep is None:
-            some = (e["slow"][i] | e["slow"][j]) > 0
+            some = slow[i] | slow[j]
             i, j = i[some], j[some]
-        a, b = size[i], size[j]
-        common = need(a + b, num, den)
-        ok = 1 + np.minimum(a - e["at"][i] - 1, b - e["at"][j] - 1) >= common
-        i, j, a, b, common = i[ok], j[ok], a[ok], b[ok], common[ok]
-        ok = np.bitwise_count(e["bits"][i] ^ e["bits"][j]) <= a + b - 2 * common
-        # Blocks of two parts only compare across; the entries of one part meet in its own block.
+        both = size[i] + size[j]
+        common = need(both, num, den)
+        ok = 1 + np.minimum(size[i] - at[i] - 1, size[j] - at[j] - 1) >= common
+        i, j, room = i[ok], j[ok], (both - 2 * common)[ok]
+        ok = np.bitwise_count(low[i] ^ low[j]).astype(np.int64) + np.bitwise_count(high[i] ^ high[j]) <= room
         i, j = i[ok], j[ok]
-        lefts.append(i)
-        rights.append(j)
-        at = end
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lefts, rights))
-    doc, line = e["doc"], e["line"]
-    swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
-    early, late = np.where(swap, j, i), np.where(swap, i, j)
+        other = place[i] != place[j]
+        i, j = i[other], j[other]
+        swap = place[i] > place[j]
+        found.append((np.where(swap, j, i), np.where(swap, i, j)))
+        held += len(i)
+        if keep is not None and held > 2_000_000:  # one more than `most` tells that there are too many
+            early, late = _earliest(*map(np.concatenate, zip(*found, strict=True)), place, most + 1)
+            found, held = [(early, late)], len(early)
+    if found:
+        early, late = map(np.concatenate, zip(*found, strict=True))
     left_out = np.zeros(0, np.int64)
     if keep is not None and len(late):
-        by = np.lexsort((line[early], doc[early], late))
-        early, late = early[by], late[by]
-        nth = np.arange(len(late)) - _runs(late)
-        left_out = np.unique(np.concatenate([early[nth >= keep], late[nth >= keep]]))
-        early, late = early[nth < keep], late[nth < keep]
+        early, late = _earliest(early, late, place, most + 1)
+        begin = _runs(late)
+        many = np.bincount(begin, minlength=len(late))[begin] > most
+        out = many & (np.arange(len(late)) - begin >= keep)
+        left_out = np.unique(late[out])
+        early, late = early[~out], late[~out]
     return e[early], e[late], e[left_out]
 
 
-def _meet(num: int, den: int, keep: int | None):
+def _first_of_sets(e: np.ndarray) -> np.ndarray:
+    """Entries by key and size, the first line of each set only."""
+    joint = e["key"].astype(np.uint64) << np.uint64(32) | e["size"].astype(np.uint64)
+    order = np.argsort(joint)
+    e, joint = e[order], joint[order]
+    if len(e) < 2:
+        return e
+    same = joint[1:] == joint[:-1]
+    several = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    part = e[several]
+    part = part[np.lexsort((part["line"], part["doc"], part["set"], part["high"], part["low"], joint[several]))]
+    e[several] = part
+    new = np.ones(len(e), bool)
+    new[1:] = ~same
+    for field in ("low", "high", "set"):
+        new[1:] |= e[field][1:] != e[field][:-1]
+    first = np.flatnonzero(new)
+    marked = np.maximum.reduceat(e["at"] & _SLOW, first)
+    e = e[first]
+    e["at"] |= marked
+    return e
+
+
+def _same_line(e: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Equal places for entries of the same line."""
+    order = np.argsort(place)
+    doc, line = e["doc"][order], e["line"][order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]) if len(e) else np.zeros(0, bool)
+    out = np.empty(len(e), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _earliest(early: np.ndarray, late: np.ndarray, place: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` earliest partners of each later entry."""
+    order = np.lexsort((place[early], late))
+    early, late = early[order], late[order]
+    kept = np.arange(len(late)) - _runs(late) < most
+    return early[kept], late[kept]
+
+
+def _meet(num: int, den: int, keep: int | None, most: int = ALL):
     def run(group: pa.Table) -> pa.Table:
         def joined(what: str) -> np.ndarray:
             rows = group.filter(pa.array(np.array(group["what"].to_pylist()) == what))
@@ -277,7 +381,7 @@ def _meet(num: int, den: int, keep: int | None):
         lead = np.maximum(_runs(sets["one"]), _runs(sets["two"]))
         rest = np.flatnonzero((sets["doc"] != sets["doc"][lead]) | (sets["line"] != sets["line"][lead]))
         out.append(_rows(EQUAL, sets[rest], sets[lead[rest]]))
-        early, late, more = candidates(joined("entries"), num, den, keep)
+        early, late, more = candidates(joined("entries"), num, den, keep, most)
         pairs = _rows(PAIR, late, early)
         out += [np.unique(pairs) if len(pairs) else pairs, _rows(MORE, more, more)]
         every = np.concatenate(out)
@@ -293,21 +397,8 @@ def _rows(kind: int, own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verify(num: int, den: int):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            a, b = batch.column(4), batch.column(5)
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good[i] = den * common >= num * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)], ["doc", "line", "other_doc", "other_line"]).filter(pa.array(good))
-    return run
-
-
 def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: tuple[int, int] = (4, 5),
-                  shipped: int = SHIPPED, first: int = FIRST, bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
+                  shipped: int = SHIPPED, first: int = FIRST, all_up_to: int = ALL, bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """``(removed, counts)``: the lines to remove (``doc, line``) and ``doc, lines`` of every row with an id."""
     spark = docs.sparkSession
     num, den = threshold
@@ -321,91 +412,81 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         buckets *= 2
 
     def exchange(keep: int | None, slow=None) -> DataFrame:
-        packed = rows.mapInArrow(_emit(order, num, den, buckets, slow), "bucket int, what string, data binary")
-        return materialize(packed.groupBy("bucket").applyInArrow(_meet(num, den, keep), _OUT), "lines")
+        packed = rows.mapInArrow(W.lean(_emit(order, num, den, buckets, slow)), "bucket int, what string, data binary")
+        return materialize(packed.groupBy("bucket").applyInArrow(W.lean_group(_meet(num, den, keep, all_up_to)), _OUT), "lines")
 
     found = exchange(first)
     equal = found.where(F.col("kind") == EQUAL).select("doc", "line", "other_doc", "other_line")
-    # Lines that stand for a set in a batch, but are not the first one of it: pairs are moved to the first one.
-    alias = materialize(_firsts(equal), "alias")
     removed = equal.select("doc", "line")
 
-    def settle(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("doc", "line", "other_doc", "other_line")
-        for own, line in (("doc", "line"), ("other_doc", "other_line")):
-            to = alias.select(F.col("doc").alias(own), F.col("line").alias(line), "to_doc", "to_line")
-            pairs = (pairs.join(to, [own, line], "left").withColumn(own, F.coalesce("to_doc", own))
-                     .withColumn(line, F.coalesce("to_line", line)).drop("to_doc", "to_line"))
-        here = F.struct("doc", "line")
-        there = F.struct(F.col("other_doc").alias("doc"), F.col("other_line").alias("line"))
-        pairs = pairs.select(F.greatest(here, there).alias("l"), F.least(here, there).alias("e")).where("l <> e")
-        pairs = materialize(pairs.select(F.col("l.doc").alias("doc"), F.col("l.line").alias("line"),
-                                         F.col("e.doc").alias("other_doc"), F.col("e.line").alias("other_line")).distinct(), "pairs")
-        refs = pairs.select("doc", "line").union(pairs.select("other_doc", "other_line")).distinct()
-        sets = _sets(rows, refs)
+    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The later lines of the pairs that are similar."""
         a = sets.select("doc", "line", F.col("words").alias("a"))
         b = sets.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("b"))
-        both = pairs.join(a, ["doc", "line"]).join(b, ["other_doc", "other_line"]).select("doc", "line", "other_doc", "other_line", "a", "b")
-        return materialize(both.mapInArrow(_verify(num, den), "doc long, line int, other_doc long, other_line int")
-                           .select("doc", "line").distinct(), "similar")
+        both = pairs.join(a, ["doc", "line"]).join(b, ["other_doc", "other_line"])
+        common = F.size(F.array_intersect("a", "b"))
+        return materialize(both.where(common * den >= (F.size("a") + F.size("b") - common) * num).select("doc", "line").distinct(), "similar")
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        # Words that a pair shares in the prefixes: the partner with most of them is tried first.
+        pairs = materialize(pairs.groupBy("doc", "line", "other_doc", "other_line").agg(F.count("*").alias("votes")), "pairs")
+        sets = _sets(rows, pairs.select("doc", "line").union(pairs.select("other_doc", "other_line")).distinct())
+        best = Window.partitionBy("doc", "line").orderBy(F.desc("votes"), "other_doc", "other_line")
+        ranked = pairs.withColumn("rank", F.row_number().over(best)).drop("votes")
+        gone = similar(ranked.where("rank = 1").drop("rank"), sets)
+        rest = materialize(ranked.where("rank > 1").drop("rank").join(gone, ["doc", "line"], "left_anti"), "pairs")
+        return gone.unionByName(similar(rest, sets)) if rest.limit(1).count() else gone
 
     gone = settle(found.where(F.col("kind") == PAIR))
     removed = removed.unionByName(gone)
     more = found.where(F.col("kind") == MORE).select("doc", "line").distinct()
     more = materialize(more.join(removed.distinct(), ["doc", "line"], "left_anti"), "more")
-    left = more.count()
-    rounds = -(-left // SLOW_LINES)
+    rounds = -(-more.count() // SLOW_LINES)
     for turn in range(rounds):
         own = more.where(F.pmod(F.xxhash64("doc", "line"), F.lit(rounds)) == turn)
         refs = own.toArrow()  # about SLOW_LINES rows
-        doc, line = refs["doc"].to_numpy(), refs["line"].to_numpy()
-        keys = _keys(rows, own, order, num, den).toArrow()["key"].to_numpy().view(np.uint64)
-        slow = spark.sparkContext.broadcast((doc, line, np.sort(keys)))
+        words = _prefix_words(rows, own, order, num, den).toArrow()["word"].to_numpy().view(np.uint64)
+        slow = spark.sparkContext.broadcast((refs["doc"].to_numpy(), refs["line"].to_numpy(), np.sort(words)))
         removed = removed.unionByName(settle(exchange(None, slow).where(F.col("kind") == PAIR)))
     return removed.distinct(), found.where(F.col("kind") == DOC).select("doc", F.col("line").alias("lines"))
 
 
-def _firsts(equal: DataFrame) -> DataFrame:
-    """First line of the set of each line that is not the first: the pointers are followed twice, batch and then table."""
-    one = equal.groupBy("doc", "line").agg(F.min(F.struct("other_doc", "other_line")).alias("to"))
-    two = one.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("to").alias("next"))
-    return (one.select("doc", "line", F.col("to.other_doc").alias("to_doc"), F.col("to.other_line").alias("to_line"))
-            .join(two, ["to_doc", "to_line"], "left")
-            .select("doc", "line", F.coalesce("next.other_doc", "to_doc").alias("to_doc"), F.coalesce("next.other_line", "to_line").alias("to_line")))
-
-
 def _wanted(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """Documents with the lines asked for, as ``doc, text, lines``."""
     lines = refs.groupBy("doc").agg(F.collect_set("line").alias("lines"))  # at most the lines of one document
     return rows.join(broadcast_if_small(lines), "doc")
 
 
+def _asked(batch: pa.RecordBatch, order: Order | None) -> Lines:
+    """The lines of a batch that its third column asks for."""
+    lists = batch.column(2)
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    asked = np.sort(owner.astype(np.int64) << 32 | lists.flatten().to_numpy().astype(np.int64))
+
+    def wanted(text, number, hashes):
+        key = text.astype(np.int64) << 32 | number
+        return asked[np.minimum(np.searchsorted(asked, key), len(asked) - 1)] == key
+
+    return _batch_lines(batch.column(1), order, wanted)
+
+
 def _sets(rows: DataFrame, refs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, text, number, start, value, _, _ = _batch(batch)
-            asked = [set(x) for x in batch.column(2).to_pylist()]
-            pick = [i for i, (t, k) in enumerate(zip(text.tolist(), number.tolist(), strict=True)) if k in asked[t]]
+            own = _asked(batch, None)
+            names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[text[pick]].astype(np.int64) if pick else np.zeros(0, np.int64)), pa.array(number[pick] if pick else np.zeros(0, np.int32)),
-                 pa.array([value[start[i]:start[i + 1]].tobytes() for i in pick], pa.binary())], ["doc", "line", "words"])
-    return materialize(_wanted(rows, refs).mapInArrow(run, "doc long, line int, words binary").dropDuplicates(["doc", "line"]), "sets")
+                [pa.array(names[own.text]), pa.array(own.number.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(own.start.astype(np.int32)), pa.array(own.value.view(np.int64)))], ["doc", "line", "words"])
+    return materialize(_wanted(rows, refs).mapInArrow(W.lean(run), "doc long, line int, words array<long>").dropDuplicates(["doc", "line"]), "sets")
 
 
-def _keys(rows: DataFrame, refs: DataFrame, order, num: int, den: int) -> DataFrame:
-    """Keys of the prefix entries of some lines."""
+def _prefix_words(rows: DataFrame, refs: DataFrame, order, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = _emit(order, num, den, 1)
         for batch in batches:
-            asked = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc", "text"])
-            wanted = np.concatenate([_ref(np.full(len(x), d), np.array(x)) for d, x in zip(
-                batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)])
-            for out in emit(iter([asked])):
-                if out.column(1)[0].as_py() == "entries":
-                    e = np.frombuffer(out.column(2)[0].as_buffer(), _ENTRY)
-                    keys = np.unique(e["key"][np.isin(_ref(e["doc"], e["line"]), wanted)])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
-    return _wanted(rows, refs).mapInArrow(run, "key long").distinct()
+            _, _, word = prefixes(_asked(batch, order.value), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(word).view(np.int64))], ["word"])
+    return _wanted(rows, refs).mapInArrow(W.lean(run), "word long").distinct()
 
 
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -14,48 +14,77 @@ from caselens.llm import words as W
 _FLUSH = 2_000_000
 
 
-def endings(words: W.Words) -> np.ndarray:
-    """The last three bytes of each word as one number; shorter words have zeros in front."""
-    out = np.zeros(len(words.starts), np.int64)
+def endings(words: W.Words, pick: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The last three bytes of each word (or of the picked ones) as one number; shorter words have zeros in front."""
+    starts, ends = words.starts[pick], words.ends[pick]
+    out = np.zeros(len(starts), np.int64)
     for k in range(1, 4):
-        at = words.ends - k
-        out |= np.where(at >= words.starts, words.data[np.maximum(at, 0)], 0).astype(np.int64) << (8 * (k - 1))
+        at = ends - k
+        out |= np.where(at >= starts, words.data[np.maximum(at, 0)], 0).astype(np.int64) << (8 * (k - 1))
     return out
 
 
-def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of a task, flushed when they are many."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def sums() -> tuple[np.ndarray, ...]:
-        keys, tail, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        return distinct, tail[first], np.bincount(which, n, minlength=len(distinct)).astype(np.int64)
-
-    def flush() -> pa.RecordBatch:
-        keys, tail, n = sums()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(n)], ["word", "ending", "n"])
-
-    size = 0
-    for batch in rows:
-        for _, _, words in W.batches(batch.column(0)):
-            keys, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-            held.append((keys, endings(words)[first], n))
-            size += len(keys)
-            if size > _FLUSH:
-                held = [sums()]
-                size = len(held[0][0])
-                if size > _FLUSH // 2:
-                    yield flush()
-                    held, size = [], 0
-    if held:
-        yield flush()
-
-
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """``word`` (64-bit hash), ``ending`` and ``n`` of every word."""
-    return (docs.select(F.col(text).alias("text")).mapInArrow(_count, "word long, ending int, n long")
-            .groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")))
+_COUNT = np.dtype([("word", "<u8"), ("n", "<i8"), ("ending", "<i4")])
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    order = np.argsort(rows["word"])
+    word = rows["word"][order]
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    out = np.zeros(len(first), _COUNT)
+    out["word"], out["ending"] = word[first], rows["ending"][order[first]]
+    if len(first):
+        out["n"] = np.add.reduceat(rows["n"][order], first)
+    return out
+
+
+def _count(buckets: int):
+    """Counts of the words of a task, in one packed value per bucket of words."""
+    def packed(rows: np.ndarray) -> pa.RecordBatch:
+        bucket = (rows["word"] >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order].astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        end = np.append(first[1:], len(bucket))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[first]), pa.array([rows[a:b].tobytes() for a, b in zip(first, end, strict=True)], pa.binary())], ["bucket", "data"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in rows:
+            for _, _, words in W.batches(batch.column(0)):
+                hashes = words.hashes()
+                order = np.argsort(hashes)
+                hashes = hashes[order]
+                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else order
+                one = np.zeros(len(first), _COUNT)
+                one["word"], one["ending"], one["n"] = hashes[first], endings(words, order[first]), np.diff(np.append(first, len(hashes)))
+                held.append(one)
+                size += len(one)
+                if size > _FLUSH:
+                    held = [_summed(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > _FLUSH // 2:
+                        yield packed(held[0])
+                        held, size = [], 0
+        if size:
+            yield packed(_summed(np.concatenate(held)))
+    return run
+
+
+def _merged(group: pa.Table) -> pa.Table:
+    rows = _summed(np.concatenate([np.frombuffer(x.as_buffer(), _COUNT) for x in group["data"]]))
+    return pa.table({"word": rows["word"].view(np.int64), "ending": rows["ending"].copy(), "n": rows["n"].copy()})
+
+
+def word_counts(docs: DataFrame, text: str, *, buckets: int = 256) -> DataFrame:
+    """``word`` (64-bit hash), ``ending`` and ``n`` of every word. A task sends each of its words once.
+
+    A bucket holds one entry per distinct word and task: ``buckets`` should rise with the vocabulary.
+    """
+    return (docs.select(F.col(text).alias("text")).mapInArrow(W.lean(_count(buckets)), "bucket int, data binary")
+            .groupBy("bucket").applyInArrow(W.lean_group(_merged), "word long, ending int, n long"))
 
 
 def _level() -> Column:
