@@ -8,10 +8,12 @@ Its alphabet is inferred from its characters; then
 * runs: do they cross the middle of the alphabet as often as even draws do?
 * serial correlation: are neighbours unrelated?
 
-A string that fails one of them is not random. For one that passes, the
-p-value under the null "ordinary text" is the chance that letters drawn as the
-corpus has them are spread as evenly. Short strings have little power, so
-discoveries are controlled per alphabet and length band (Benjamini-Hochberg).
+A string that fails one of them is not random. For one that passes, the null
+"ordinary text" says that its characters follow each other as they do in the
+corpus (pairs of characters, counted over all texts, without case). Its p-value
+is the likelihood under the null over that under even draws: a ratio of
+likelihoods is under x with a chance of x at most. Discoveries are controlled
+per alphabet and length band (Benjamini-Hochberg).
 """
 
 from __future__ import annotations
@@ -50,12 +52,20 @@ ALPHABETS = (
     ("lower36", _DIGITS + _LOWER), ("upper36", _DIGITS + _UPPER), ("base62", _UPPER + _LOWER + _DIGITS),
     ("base64", _UPPER + _LOWER + _DIGITS + b"+/"), ("base64url", _UPPER + _LOWER + _DIGITS + b"-_"),
 )
+#: Characters without case, for the pairs of the corpus; all others have one code.
+_PLAIN = _DIGITS + _LOWER + b"+/-_"
+_OTHER = len(_PLAIN)
+_FOLD = np.full(256, _OTHER, np.int64)
+_FOLD[list(_PLAIN)] = np.arange(_OTHER)
+_FOLD[list(_UPPER)] = _FOLD[list(_LOWER)]
 _RANK = np.full((len(ALPHABETS), 256), -1, np.int64)
 for _i, (_, _letters) in enumerate(ALPHABETS):
     _RANK[_i, list(_letters)] = np.arange(len(_letters))
 
 #: Least length of a string that is tested, level of the three tests, share of false discoveries.
 LEAST_RANDOM, LEVEL, FALSE_SHARE = 20, 0.001, 0.01
+#: Weight of the single characters against the pairs that begin with a character.
+_BACK_OFF = 10.0
 _BINS = 400  # of -10 * log10(p)
 
 
@@ -92,14 +102,37 @@ def battery(value: bytes) -> tuple[int, int, bool] | None:
     return kind, pairs, all(2 * _tail(abs(z)) >= LEVEL for z in (z_chi, z_runs, z_serial))
 
 
-def p_ordinary(kind: int, n: int, pairs: int, letters: np.ndarray) -> float:
-    """Chance that ``n`` characters drawn as in ``letters`` (256 counts), within the alphabet, have as few equal pairs."""
-    q = letters[list(ALPHABETS[kind][1])] + 1.0
-    q = q / q.sum()
-    s2, s3 = float((q**2).sum()), float((q**3).sum())
-    mean = n * (n - 1) * s2
-    spread = 2 * n * (n - 1) * (s2 - s2**2) + 4 * n * (n - 1) * (n - 2) * (s3 - s2**2)
-    return _tail((mean - pairs) / math.sqrt(spread)) if spread > 0 else 1.0
+def neighbours(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each character follows each other one within the texts, by codes without case."""
+    codes = _FOLD[data]
+    if len(codes) < 2:
+        return np.zeros((_OTHER + 1, _OTHER + 1), np.int64)
+    pairs = codes[:-1] * (_OTHER + 1) + codes[1:]
+    cuts = offsets[1:-1]
+    pairs[cuts[(cuts > 0) & (cuts < len(data))] - 1] = (_OTHER + 1) ** 2 - 1  # from text to text
+    return np.bincount(pairs, minlength=(_OTHER + 1) ** 2).reshape(_OTHER + 1, -1)
+
+
+class Ordinary:
+    """The null of ordinary text against even draws, from the ``neighbours`` of all texts."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.first, self.then = [], []
+        for _, letters in ALPHABETS:
+            even = np.bincount(_FOLD[list(letters)], minlength=_OTHER)[:_OTHER] / len(letters)
+            held = even > 0
+            single = np.where(held, pairs.sum(axis=0)[:_OTHER] + 1.0, 0.0)
+            single /= single.sum()
+            double = np.where(held, pairs[:_OTHER, :_OTHER], 0) + _BACK_OFF * single
+            double /= double.sum(axis=1, keepdims=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                self.first.append(np.log10(single / even))
+                self.then.append(np.log10(double / even))
+
+    def log_p(self, kind: int, value: bytes) -> float:
+        """Decimal logarithm of the p-value, 0 at most."""
+        codes = _FOLD[np.frombuffer(value, np.uint8)]
+        return min(0.0, float(self.first[kind][codes[0]] + self.then[kind][codes[:-1], codes[1:]].sum()))
 
 
 def band(n: int) -> int:
@@ -118,7 +151,11 @@ def cutoffs(histogram: dict[tuple[int, int], np.ndarray], share: float) -> dict[
 
 
 def bin_of(p: float) -> int:
-    return min(_BINS - 1, int(-10 * math.log10(max(p, 1e-300))))
+    return bin_of_log(math.log10(max(p, 1e-300)))
+
+
+def bin_of_log(log_p: float) -> int:
+    return min(_BINS - 1, int(-10 * log_p))
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -141,14 +178,17 @@ def scan_text(text: str) -> list[tuple[int, int, int]]:
 
 
 _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-_TESTED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("alphabet", pa.int32()), ("pairs", pa.int64()),
-                              ("random", pa.bool_())]))
+_TESTED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("alphabet", pa.int32()), ("value", pa.binary())]))
 _FOUND_DDL = "array<struct<kind:int,start:int,end:int>>"
-_TESTED_DDL = "array<struct<start:int,end:int,alphabet:int,pairs:long,random:boolean>>"
+_TESTED_DDL = "array<struct<start:int,end:int,alphabet:int,value:binary>>"  # no value: not random
 
 
 def _scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is found and tested in every row; a last row without either has the pairs of the task's texts."""
+    pairs = np.zeros((_OTHER + 1, _OTHER + 1), np.int64)
+    ids = None
     for batch in rows:
+        ids = batch.column(0).type
         texts = batch.column(1)
         data, offsets = W.texts_buffer(texts)
         for a, b in W.slices(offsets):
@@ -166,18 +206,22 @@ def _scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = points(i, start, end)
                 found[i].append((x, 2, y))
             for i, start, end in runs(raw, ends, _CODE, LEAST_RANDOM):
-                result = battery(raw[start:end].tobytes())
+                value = raw[start:end].tobytes()
+                result = battery(value)
                 if result:
                     x, y = points(i, start, end)
                     if not any(x < e and s < y for s, _, e in found[i]):
-                        tested[i].append({"start": x, "end": y, "alphabet": result[0], "pairs": result[1], "random": result[2]})
-            letters = np.bincount(raw, minlength=256)
+                        tested[i].append({"start": x, "end": y, "alphabet": result[0], "value": value if result[2] else None})
+            pairs += neighbours(raw, ends)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a),
                  pa.array([[{"kind": k, "start": s, "end": e} for s, k, e in sorted(spans)] for spans in found], _FOUND),
-                 pa.array(tested, _TESTED),
-                 pa.array([letters.tolist(), *[None] * (b - a - 1)], pa.list_(pa.int64()))],
-                ["doc_id", "found", "tested", "letters"])
+                 pa.array(tested, _TESTED), pa.nulls(b - a, pa.list_(pa.int64()))],
+                ["doc_id", "found", "tested", "neighbours"])
+    if ids is not None:
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, ids), pa.nulls(1, _FOUND), pa.nulls(1, _TESTED), pa.array([pairs.ravel().tolist()], pa.list_(pa.int64()))],
+            ["doc_id", "found", "tested", "neighbours"])
 
 
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
@@ -190,12 +234,14 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", false_s
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = StructType([StructField("doc_id", rows.schema["doc_id"].dataType)])
     names = kind.simpleString()[len("struct<"):-1].replace("doc_id:", "doc_id ", 1)
-    seen = materialize(rows.mapInArrow(W.lean(_scan), f"{names}, found {_FOUND_DDL}, tested {_TESTED_DDL}, letters array<long>"), "secrets")
+    seen = materialize(rows.mapInArrow(W.lean(_scan), f"{names}, found {_FOUND_DDL}, tested {_TESTED_DDL}, neighbours array<long>"), "secrets")
 
-    letters = np.zeros(256, np.int64)
-    for r in seen.where("letters is not null").select(F.posexplode("letters")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
-        letters[r["pos"]] = r["n"]  # 256 rows
+    pairs = np.zeros((_OTHER + 1) ** 2, np.int64)
+    for r in seen.where("neighbours is not null").select(F.posexplode("neighbours")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        pairs[r["pos"]] = r["n"]  # 1,681 rows
+    ordinary = Ordinary(pairs.reshape(_OTHER + 1, -1))
 
+    seen = seen.where("found is not null")
     tested = seen.where(F.size("tested") > 0)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +249,8 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", false_s
             out: list[tuple[int, int, int]] = []
             for row in batch.column(0).to_pylist():
                 for t in row:
-                    n = t["end"] - t["start"]
-                    out.append((t["alphabet"], band(n), bin_of(p_ordinary(t["alphabet"], n, t["pairs"], letters)) if t["random"] else 0))
+                    at = bin_of_log(ordinary.log_p(t["alphabet"], t["value"])) if t["value"] else 0
+                    out.append((t["alphabet"], band(t["end"] - t["start"]), at))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int32()) for i in range(3)], ["alphabet", "band", "bin"])
 
     # All tested strings count as hypotheses; at most alphabets x bands x bins rows come back.
@@ -218,8 +264,8 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", false_s
             out = []
             for found, strings in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for t in strings:
-                    n = t["end"] - t["start"]
-                    if t["random"] and bin_of(p_ordinary(t["alphabet"], n, t["pairs"], letters)) >= limits.get((t["alphabet"], band(n)), _BINS):
+                    limit = limits.get((t["alphabet"], band(t["end"] - t["start"])), _BINS)
+                    if t["value"] and bin_of_log(ordinary.log_p(t["alphabet"], t["value"])) >= limit:
                         found.append({"kind": 3, "start": t["start"], "end": t["end"]})
                 out.append(sorted(found, key=lambda s: (s["start"], s["kind"])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _FOUND)], ["doc_id", "spans"])

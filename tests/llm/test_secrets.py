@@ -74,3 +74,28 @@ def test_false_discovery_control():
 
 def test_no_documents(documents):
     assert secrets.report(documents([])).collect() == []
+
+
+def test_short_keys_are_found_amid_many_ordinary_strings(documents, rng):
+    syllables = [a + b for a in "bcdfglmnprstv" for b in "aeiou"] + ["ing", "tion", "er", "st", "al", "con"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(3_000)]
+    kinds = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase,
+             "lower36": string.ascii_lowercase + string.digits, "upper36": string.ascii_uppercase + string.digits,
+             "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/",
+             "base64url": string.ascii_letters + string.digits + "-_"}
+    lengths = {"hex": (20, 23)}  # 24 or more are a known form
+    texts, keys = [], {}
+    for name, letters in kinds.items():
+        for n in lengths.get(name, (20, 24, 32)):
+            for _ in range(20):
+                keys[len(texts)] = (name, n)
+                texts.append("the key " + "".join(rng.choice(letters) for _ in range(n)) + " is here")
+    made = [rng.choice([str.lower, str.upper, str.title])(rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.randint(3, 5)))).replace(" ", "")
+            + rng.choice(["", "", "7", "2024"]) for _ in range(6_000)]
+    ordinary = range(len(texts), len(texts) + len(made))
+    texts += ["see " + w + " there" for w in made]
+    texts += [" ".join(rng.choice(words) for _ in range(200)) + f" {rng.randint(1, 99)} Of {rng.randint(1900, 2024)}." for _ in range(300)]
+    got = {r.doc_id: r.n_random for r in secrets.report(documents(texts)).collect()}
+    recall = {g: np.mean([got[i] > 0 for i, k in keys.items() if k == g]) for g in set(keys.values())}
+    assert min(recall.values()) >= 0.8, recall
+    assert sum(got[i] for i in ordinary) <= 0.02 * sum(got[i] for i in keys)
