@@ -1,8 +1,9 @@
 """Secrets in texts: known forms, and strings that look drawn at random.
 
 Known forms (assignments, access keys, long hexadecimal runs) are patterns.
-Every other long run of encoding characters goes through a battery of tests.
-Its alphabet is inferred from its characters; then
+Every other long run of encoding characters goes through a battery of tests, and
+so do its long pieces between + and /, between - and _, and between all four.
+The alphabet is inferred from the characters; then
 
 * chi-squared: do the characters agree with even draws from that alphabet?
 * runs: do they cross the middle of the alphabet as often as even draws do?
@@ -13,11 +14,13 @@ A string that fails one of them is not random. For one that passes, the null
 corpus (pairs of characters, counted over all texts, without case). Its p-value
 is the likelihood under the null over that under even draws: a ratio of
 likelihoods is under x with a chance of x at most. Discoveries are controlled
-per alphabet and length band (Benjamini-Hochberg).
+per alphabet and length band (Benjamini-Hochberg). Of discoveries that overlap,
+the least ordinary one stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -45,6 +48,9 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _HEX = W.classes((0x30, 0x39), (0x61, 0x66))
 _CODE = W.classes((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x2D, 0x2D), (0x5F, 0x5F))
 
+#: Pieces of a run between + and /, between - and _, and between all four.
+_CUTS = tuple(re.compile(rb"[^" + cut + rb"]+") for cut in (rb"+/", rb"\-_", rb"+/\-_"))
+
 _DIGITS, _UPPER, _LOWER = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: Alphabets from narrow to wide; a string has the first that holds all its characters.
 ALPHABETS = (
@@ -166,6 +172,24 @@ def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, least: int)
     return list(zip(text.tolist(), found.starts[long].tolist(), found.ends[long].tolist(), strict=True))
 
 
+def pieces(value: bytes) -> list[tuple[int, int]]:
+    """Ranges of a run that are tested: the whole of it, and its long pieces between separators."""
+    out = {(0, len(value))}
+    for cut in _CUTS:
+        out.update(m.span() for m in cut.finditer(value) if m.end() - m.start() >= LEAST_RANDOM)
+    return sorted(out)
+
+
+def apart(spans: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """Of ``(log p, start, end)`` the ranges that are left when each one hides those of a higher p that overlap it."""
+    kept: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
+        at = bisect.bisect_left(kept, (a, b))
+        if (at == len(kept) or b <= kept[at][0]) and (at == 0 or kept[at - 1][1] <= a):
+            kept.insert(at, (a, b))
+    return kept
+
+
 def scan_text(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of assignments and access keys, in code points."""
     out = []
@@ -206,12 +230,15 @@ def _scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = points(i, start, end)
                 found[i].append((x, 2, y))
             for i, start, end in runs(raw, ends, _CODE, LEAST_RANDOM):
-                value = raw[start:end].tobytes()
-                result = battery(value)
-                if result:
-                    x, y = points(i, start, end)
-                    if not any(x < e and s < y for s, _, e in found[i]):
-                        tested[i].append({"start": x, "end": y, "alphabet": result[0], "value": value if result[2] else None})
+                run, first = raw[start:end].tobytes(), None
+                for c, d in pieces(run):
+                    value = run[c:d]
+                    result = battery(value)
+                    if result:
+                        first = points(i, start, end)[0] if first is None else first
+                        x, y = first + c, first + d
+                        if not any(x < e and s < y for s, _, e in found[i]):
+                            tested[i].append({"start": x, "end": y, "alphabet": result[0], "value": value if result[2] else None})
             pairs += neighbours(raw, ends)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a),
@@ -263,10 +290,12 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", false_s
         for batch in batches:
             out = []
             for found, strings in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                random = []
                 for t in strings:
-                    limit = limits.get((t["alphabet"], band(t["end"] - t["start"])), _BINS)
-                    if t["value"] and bin_of_log(ordinary.log_p(t["alphabet"], t["value"])) >= limit:
-                        found.append({"kind": 3, "start": t["start"], "end": t["end"]})
+                    log_p = ordinary.log_p(t["alphabet"], t["value"]) if t["value"] else 0.0
+                    if t["value"] and bin_of_log(log_p) >= limits.get((t["alphabet"], band(t["end"] - t["start"])), _BINS):
+                        random.append((log_p, t["start"], t["end"]))
+                found += [{"kind": 3, "start": a, "end": b} for a, b in apart(random)]
                 out.append(sorted(found, key=lambda s: (s["start"], s["kind"])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _FOUND)], ["doc_id", "spans"])
 

@@ -99,3 +99,37 @@ def test_short_keys_are_found_amid_many_ordinary_strings(documents, rng):
     recall = {g: np.mean([got[i] > 0 for i, k in keys.items() if k == g]) for g in set(keys.values())}
     assert min(recall.values()) >= 0.8, recall
     assert sum(got[i] for i in ordinary) <= 0.02 * sum(got[i] for i in keys)
+
+
+def test_tokens_within_paths_are_found(documents, rng, vocabulary):
+    def key(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    base62 = string.ascii_letters + string.digits
+    forms = [("/v1/my-app/{}", base62), ("files_new/{}", base62), ("/usr/share/app/{}/main", base62), ("a/my_app/{}/x", base62 + "-_"),
+             ("my-app_{}", base62 + "+/")]
+    rows, want = [], {}
+    for form, letters in forms:
+        for _ in range(20):
+            k = "Q" + key(letters, 38) + "7"
+            text = "see " + form.format(k) + " there"
+            want[len(rows)] = (form, text.index(k), text.index(k) + len(k))
+            rows.append(text)
+    first = len(rows)
+    rows += ["see /" + "/".join(rng.choice(["-", "_"]).join(vocabulary(3)) for _ in range(5)).replace("é", "e") + " there" for _ in range(500)]
+    rows += [" ".join(vocabulary(300)) for _ in range(30)]
+    got = {r.doc_id: r for r in secrets.report(documents(rows)).collect()}
+    for form, _ in forms:
+        hits = 0
+        for i, (f, a, b) in want.items():
+            spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("random")]
+            assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+            hits += f == form and any(min(b, y) - max(a, x) >= 20 for x, y in spans)
+        assert hits >= 15, (form, hits)
+    assert sum(got[i].n_random for i in range(first, len(rows))) <= 2
+
+
+def test_pieces():
+    assert secrets.pieces(b"a" * 25) == [(0, 25)]
+    assert secrets.pieces(b"v1/my-app/" + b"k" * 20) == [(0, 30), (6, 30), (10, 30)]
+    assert secrets.apart([(-9.0, 10, 30), (-3.0, 0, 30), (-2.0, 40, 60), (-1.0, 25, 45)]) == [(10, 30), (40, 60)]
