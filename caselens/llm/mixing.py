@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.runtime import materialize
+from caselens.runtime import broadcast_if_small, materialize
 
 #: Parts of the rows of a source in the one join by source.
 SLICES = 16
@@ -76,6 +76,7 @@ def mix(
     cell_rows: int = 20_000,
     pool_rows: int = 2_000,
     refills: int = 4,
+    to_end: bool = True,
 ) -> DataFrame:
     """How often each document enters the mix.
 
@@ -85,8 +86,8 @@ def mix(
     id); it is joined when the texts are gone. Without a row, or null, it is 1;
     0 or less is drawn after all others. A part of a document is never taken: the draw takes the
     longest prefix of the sorted rows that fits, then fills the gap with later
-    rows that fit, ``refills`` times, out of the next ``pool_rows`` rows or so.
-    Cells hold about ``cell_rows / 4`` rows of the whole table at most.
+    rows that fit, ``refills`` times out of the next ``pool_rows`` rows or so, then
+    (``to_end``) out of all rows of the source until none with words fits. Cells hold about ``cell_rows / 4`` rows of the whole table at most.
 
     Null or blank texts have no words and a null ``doc_id`` is an ordinary
     value. Rows equal in id and size are interchangeable. No rows give no rows.
@@ -140,11 +141,61 @@ def mix(
         edge = edge.withColumn("extra", F.when(open_row & (run <= F.col("gap")), 1).otherwise(F.col("extra")))
         used = F.sum(F.col("size") * F.col("extra")).over(of_source)
         edge = edge.withColumn("gap", F.col("left") - F.col("inside") - used)
-    out = settled.select(*_OUT).unionByName(edge.select(*_OUT))
+    if to_end:
+        edge = materialize(edge, "edge")
+    out = settled.select(*_OUT, "cell", "key").unionByName(edge.select(*_OUT, "cell", "key"))
+    gaps = edge.groupBy("source").agg(F.max("gap").alias("gap")).where("gap >= 1")
+    if to_end and gaps.limit(1).count():
+        # Equal rows are told apart by their number.
+        place = F.struct("key", "doc_id", "size", "number")
+        out = materialize(out.withColumn("number", F.monotonically_increasing_id()), "drawn").withColumn("place", place)
+        turns = _fill(out.where("extra = 0 and size > 0").select("source", "cell", "place", "size"), gaps)
+        found = turns.groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("after", "until", "gap")).alias("turns"))
+        taken = F.exists("turns", lambda t: _within(F.col("place"), t["after"], t["until"]) & (F.col("size") <= t["gap"]))
+        out = (out.join(broadcast_if_small(found), F.col("source").eqNullSafe(F.col("s")), "left")
+               .withColumn("extra", F.when((F.col("extra") == 0) & (F.col("size") > 0) & F.coalesce(taken, F.lit(False)), 1).otherwise(F.col("extra"))))
     times = F.col("epochs") + F.col("extra")
     return out.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
+def _within(place: Column, after: Column, until: Column) -> Column:
+    return (after.isNull() | (place > after)) & (until.isNull() | (place < until))
+
+
+def _fill(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Fill the gap of each source with its rows in order, passing over those that do not fit, until none fits.
+
+    Rows are ``source, cell, place, size``, gaps ``source, gap``. Returns turns ``source, after, until, gap``: taken are the
+    rows between the places ``after`` and ``until`` (open where null) of at most ``gap`` words. A turn ends before the first
+    row that fits no more; it is found by the words per cell, and only one cell of each source is sorted.
+    """
+    state = materialize(gaps.withColumn("after", F.lit(None).cast(rows.schema["place"].dataType)), "gaps")
+    turns = None
+    while state.limit(1).count():
+        known = broadcast_if_small(state.withColumnRenamed("source", "s"))
+        fits = (rows.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("gap"))).drop("s")
+                .where(_within(F.col("place"), F.col("after"), F.lit(None))))
+        upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        cells = fits.groupBy("source", "cell", "gap", "after").agg(F.sum("size").alias("words")).withColumn("to_words", F.sum("words").over(upto))
+        over = F.col("to_words") > F.col("gap")
+        ends = materialize(cells.groupBy("source", "gap", "after").agg(
+            F.min(F.when(over, F.col("cell"))).alias("stop"),
+            F.coalesce(F.max(F.when(~over, F.col("to_words"))), F.lit(0)).alias("whole")), "ends")
+        last = broadcast_if_small(ends.select(F.col("source").alias("s"), "stop", "whole"))
+        run = F.sum("size").over(Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+        sorted_rows = (fits.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("stop"))).drop("s")
+                       .withColumn("run", run + F.col("whole")))
+        blocked = F.col("run") > F.col("gap")
+        found = sorted_rows.groupBy(F.col("source").alias("s")).agg(
+            F.min(F.when(blocked, F.col("place"))).alias("until"), F.max(F.when(~blocked, F.col("run"))).alias("used"))
+        turn = materialize(
+            ends.join(broadcast_if_small(found), F.col("source").eqNullSafe(F.col("s")), "left")
+            .select("source", "after", "until", "gap", (F.col("gap") - F.coalesce("used", "whole")).alias("rest")), "turn")
+        turns = turn if turns is None else turns.unionByName(turn)
+        state = materialize(turn.where("until is not null and rest >= 1").select("source", F.col("rest").alias("gap"), F.col("until").alias("after")), "gaps")
+    return turns
+
+
 _OUT = ["doc_id", "source", "size", "source_size", "target", "epochs", "extra"]
 
 

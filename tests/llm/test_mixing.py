@@ -1,5 +1,7 @@
 """Mix of sources: targets against a loop, draws against their rules."""
 
+import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -108,3 +110,28 @@ def test_repeated_rows_are_written_out(documents):
     assert out.columns == docs.columns
     times = {r.doc_id: r.times for r in mixed.collect() if r.times}
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == times
+
+
+@pytest.mark.parametrize("large", [1_500, 3_000])
+def test_later_rows_fill_the_gap_behind_a_long_document(documents, large):
+    """The draw is the one of going through a source's rows in order and taking each that still fits."""
+    def key(i):
+        return -math.log((int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
+
+    size = {i: 1 + i % 7 for i in range(1_200)}
+    order = sorted(size, key=lambda i: (key(i), i))
+    for at in (400, 500, 560):
+        size[order[at]] = large
+    rows, sources = [(i, " ".join(["w"] * n)) for i, n in size.items()], ["ab"[i % 2] for i in size]
+    got = mixing.mix(documents(rows, 4, source=sources), share=0.5, cell_rows=80, pool_rows=10).collect()
+    times = {r.doc_id: r.times for r in got}
+    for s in "ab":
+        members = [i for i in order if "ab"[i % 2] == s]
+        r = next(r for r in got if r.source == s)
+        epochs = int(r.target // r.source_size)
+        gap = r.target - epochs * r.source_size
+        for i in members:
+            extra = size[i] <= gap
+            gap -= extra * size[i]
+            assert times[i] == epochs + extra, (s, i)
+        assert gap < 1
