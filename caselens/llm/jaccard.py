@@ -394,12 +394,12 @@ def links(pairs: DataFrame, sets: DataFrame, limit: Limit) -> DataFrame:
 
 
 def _across(limit: Limit):
-    """Pairs of a block in different components whose sketches are near enough."""
+    """Pairs of a block in different components whose sketches are near enough; with sides, only pairs across them."""
     def run(group: pa.Table) -> pa.Table:
         key, ident, part = group["block"].to_numpy(), group["id"].to_numpy(), group["component"].to_numpy()
         order = np.argsort(key, kind="stable")
         key, ident, part = key[order], ident[order], part[order]
-        size = group["n"].to_numpy()[order]
+        size, side = group["n"].to_numpy()[order], group["side"].to_numpy()[order]
         words = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)[order]
         n = len(key)
         count = np.searchsorted(key, key, "right") - np.arange(n) - 1
@@ -411,7 +411,7 @@ def _across(limit: Limit):
             i = np.repeat(np.arange(done, end), count[done:end])
             j = i + 1 + np.arange(len(i)) - (total[i] - total[done])
             done = end
-            other = part[i] != part[j]
+            other = (part[i] != part[j]) & ((side[i] < 0) | (side[i] != side[j]))
             i, j = i[other], j[other]
             for k in range(0, len(i), 100_000):
                 x, y = i[k:k + 100_000], j[k:k + 100_000]
@@ -525,11 +525,13 @@ def _connect(found: DataFrame, grams: DataFrame, limit: Limit, hot_rows: int) ->
             # What is left: all members of a key in different components. A large key is dealt into parts, and every
             # two parts meet in a block of their own.
             parts = F.ceil(F.col("size") / BLOCK)
+            dealt = state.agg(F.sum(F.col("size") * parts)).first()[0]  # rows: each one goes to a block for every part
             rows = salted_lookup(open_rows, state.select("key", parts.alias("parts")), key="key", spread_by=["id"], hot_rows=hot_rows)
             rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             block = F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q"))
-            groups = max(1, int(n_rows // GROUP_ROWS))
-            rows = (rows.join(grams.select("id", "n", "sketch"), "id").select(block.alias("block"), "id", "component", "n", "sketch")
+            side = F.when(F.col("p") == F.col("q"), -1).otherwise((F.col("p") > F.col("q")).cast("int"))
+            groups = max(1, int(dealt // GROUP_ROWS))
+            rows = (rows.join(grams.select("id", "n", "sketch"), "id").select(block.alias("block"), side.alias("side"), "id", "component", "n", "sketch")
                     .withColumn("group", F.pmod("block", F.lit(groups))))
             edges = rows.groupBy("group").applyInArrow(W.lean_group(_across(limit)), "src long, dst long").distinct()
         else:

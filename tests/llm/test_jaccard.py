@@ -134,3 +134,33 @@ def test_every_allocation_finds_all_links(exact, near):
         sets = jaccard.Sets(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
         keys, docs = jaccard.keys_of(sets, plan, hot, limit)
         assert np.intersect1d(keys[docs == 0], keys[docs == 1]).size
+
+
+def test_last_groups_are_sized_by_the_rows_they_get(spark, rng, tmp_path, monkeypatch):
+    """A key of many unlinked members: every group of the last step stays near GROUP_ROWS, and the few links are found."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 500)
+    real, log = jaccard._across, str(tmp_path / "rows")
+
+    def across(limit):
+        run = real(limit)
+
+        def logged(group):
+            with open(log, "a") as file:
+                file.write(f"{len(group)}\n")
+            return run(group)
+        return logged
+
+    monkeypatch.setattr(jaccard, "_across", across)
+    grams = [sorted(rng.sample(range(1, 1 << 60), 60)) for _ in range(400)]
+    want = {(2 * k + 1, 2 * k + 2) for k in range(100, 140)}
+    for a, b in want:
+        grams[b] = sorted([*grams[a][:58], *grams[b][:2]])
+    flat = np.array([g for one in grams for g in one], np.uint64)
+    sketch = jaccard.sketches(jaccard.Sets(flat, np.arange(0, len(flat) + 1, 60))).view(np.int64).reshape(400, -1)
+    sets = spark.createDataFrame([(i, 60, sketch[i].tolist(), grams[i]) for i in range(400)], "id long, n long, sketch array<long>, grams array<long>")
+    found = spark.createDataFrame([(1, i) for i in range(400)], "key long, id long")
+    linked, part = jaccard._connect(found, sets, Limit(85, 100), 1_000_000)
+    assert {(r.src, r.dst) for r in linked.collect()} == want
+    sizes = [int(n) for n in open(log)]
+    assert sum(sizes) >= 400 * 20 and max(sizes) <= 1_000
