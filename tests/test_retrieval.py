@@ -108,3 +108,9 @@ def test_context_and_answers(spark):
         model, questions, index, question_id="q", question="t", k=2,
         factory=lambda: (lambda prompts: [p.split("Context:\n")[1].split("\n")[0] for p in prompts]))
     assert {r.q: r.output for r in replies.collect()} == {1: "trafficking victims protection act", 2: "late fee on a card"}
+
+
+def test_registered_probes_reach_the_recall(spark):
+    from caselens.plans.retrieval import topk_recall
+
+    assert topk_recall(spark, "/root/testdata/sf0.01").first()["recall"] >= 0.9
