@@ -18,8 +18,8 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
 
 
-def brute(rows, num=85, den=100):
-    sets = [(i, shingles(t)) for i, t in rows]
+def brute(rows, num=85, den=100, n=4):
+    sets = [(i, shingles(t, n)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
     def find(x):
