@@ -218,8 +218,9 @@ _SCANNERS: dict[str, Scanner] = {}
 
 
 def _scanner(key: str, items: list[tuple[str, str]], window: int) -> Scanner:
-    if key not in _SCANNERS:  # kept while the Python worker lives
+    if key not in _SCANNERS:
         _SCANNERS.clear()
+        W.keep("decontam", _SCANNERS.clear)  # until another operator's task
         _SCANNERS[key] = Scanner([(name, item_words(text)) for name, text in items], window)
     return _SCANNERS[key]
 
@@ -253,7 +254,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
         key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
         if shard:
             out = materialize(out, "spans")
-        out = out.mapInArrow(W.lean(_finder(spark.sparkContext.broadcast((key, items)), text, window)), StructType(fields))
+        out = out.mapInArrow(W.lean(_finder(spark.sparkContext.broadcast((key, items)), text, window), keeps="decontam"), StructType(fields))
     return out
 
 

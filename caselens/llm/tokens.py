@@ -88,12 +88,12 @@ class PieceEncoder:
     first, the second tells, and the text is encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, most_bytes: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.most = most_pieces
+        self.most = most_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -107,6 +107,10 @@ class PieceEncoder:
         self.near_keys = np.zeros(1 << 19, np.uint64)  # the last piece seen of each slot
         self.near_rows = np.zeros(1 << 19, np.int32)
 
+    def held(self) -> int:
+        """Bytes that the known pieces take."""
+        return sum(x.nbytes for x in (self.keys, self.key_rows, self.checks, self.start, self.count)) + self.used * self.flat.itemsize
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -154,7 +158,7 @@ class PieceEncoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, sizes)`` of the texts that ``offsets`` cut ``data`` (UTF-8) into, each with the end id."""
-        if len(self.keys) > self.most:
+        if self.held() > self.most:
             self._clear()
         start = cuts(data, offsets) if len(data) else np.zeros(0, np.int64)
         end = np.append(start[1:], len(data)) if len(start) else start
@@ -182,9 +186,10 @@ class PieceEncoder:
         return np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _encoder(path: str, end_id: int) -> PieceEncoder:
-    return PieceEncoder(path, end_id)  # kept while the Python worker lives
+    W.keep("tokens", _encoder.cache_clear)  # until another operator's task
+    return PieceEncoder(path, end_id)
 
 
 def encode(docs: DataFrame, path: str, *, end_id: int, doc_id: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
@@ -209,7 +214,7 @@ def encode(docs: DataFrame, path: str, *, end_id: int, doc_id: str = "doc_id", t
                     ["doc_id", "n", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        W.lean(run), "doc_id long, n long, ids binary")
+        W.lean(run, keeps="tokens"), "doc_id long, n long, ids binary")
 
 
 def id_counts(encoded: DataFrame, vocabulary: int, width: int = 2) -> np.ndarray:

@@ -9,13 +9,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Words are hashed so many bytes at a time, or one longer word.
+BLOCK_BYTES = 1 << 18
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they can be divided by
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -50,16 +52,17 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse, modulo 2**64."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        tables = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            table = np.full(size, b, np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
+    """Powers of ``base`` and of its inverse, modulo 2**64. Tables longer than a block are not kept."""
+    if base in _POWERS and len(_POWERS[base][0]) >= n:
+        return _POWERS[base]
+    tables = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        table = np.full(max(n, BLOCK_BYTES + 1), b, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    if n <= BLOCK_BYTES + 1:
         _POWERS[base] = (tables[0], tables[1])
-    return _POWERS[base]
+    return tables[0], tables[1]
 
 
 @dataclass
@@ -73,14 +76,23 @@ class Words:
 
     def hashes(self, *, second: bool = False) -> np.ndarray:
         """One 64-bit hash per word, the same wherever the word stands; ``second`` is another one."""
-        up, down = _powers(len(self.data) + 1, _BASES[second])
-        terms = _PLUS_ONE[self.data]
-        terms *= up[:len(terms)]
-        total = np.zeros(len(terms) + 1, np.uint64)
-        np.cumsum(terms, out=total[1:])
-        out = total[self.ends]
-        out -= total[self.starts]
-        out *= down[self.starts]
+        out = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(out):
+            low = int(self.starts[at])
+            end = max(at + 1, int(np.searchsorted(self.ends, low + BLOCK_BYTES, "right")))
+            data = self.data[low:int(self.ends[end - 1])]
+            starts = self.starts[at:end] - low
+            up, down = _powers(len(data) + 1, _BASES[second])
+            terms = _PLUS_ONE[data]
+            terms *= up[:len(terms)]
+            total = np.zeros(len(terms) + 1, np.uint64)
+            np.cumsum(terms, out=total[1:])
+            part = total[self.ends[at:end] - low]
+            part -= total[starts]
+            part *= down[starts]
+            out[at:end] = part
+            at = end
         return mix(out)
 
     def counts(self) -> np.ndarray:
@@ -175,10 +187,25 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(run):
-    """A function over the batches of a task that releases memory when it is done."""
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, drop: Callable[[], None]) -> None:
+    """Tell that this worker keeps something for the next task of ``owner``, and how to drop it."""
+    _KEPT[owner] = drop
+
+
+def forget(besides: str | None = None) -> None:
+    """Drop what earlier tasks of this worker kept, but for one owner's."""
+    for owner in [o for o in _KEPT if o != besides]:
+        _KEPT.pop(owner)()
+
+
+def lean(run, *, keeps: str | None = None):
+    """A function over the batches of a task that releases memory when it is done, and what other operators kept before."""
     @functools.wraps(run)
     def wrapped(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         try:
             yield from run(rows)
         finally:
@@ -190,6 +217,7 @@ def lean_group(run):
     """A function over one group that releases memory when it is done."""
     @functools.wraps(run)
     def wrapped(group: pa.Table) -> pa.Table:
+        forget()
         out = run(group)
         release()
         return out

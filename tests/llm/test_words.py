@@ -36,3 +36,24 @@ def test_slices_and_lookup():
     assert (found.find(keys) == np.arange(len(keys))).all()
     assert (found.find(np.setdiff1d(rng.integers(0, 2**63, 5_000).astype(np.uint64), keys)) == -1).all()
     assert (W.Lookup(keys[:0]).find(keys) == -1).all()
+
+
+def test_long_texts_are_hashed_in_blocks(rng):
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3 * W.BLOCK_BYTES)) + " " + "x" * (2 * W.BLOCK_BYTES) + " y"
+    text = long + " " + long
+    own = W.words(*W.texts_buffer(pa.array([text])))
+    hashes, n = own.hashes(), len(long.split())
+    assert len(hashes) == 2 * n and (hashes[:n] == hashes[n:]).all()
+    few = W.words(*W.texts_buffer(pa.array([" ".join(long.split()[:50])])))
+    assert (few.hashes() == hashes[:50]).all()
+    assert all(len(t) <= W.BLOCK_BYTES + 1 for pair in W._POWERS.values() for t in pair)
+
+
+def test_a_task_drops_what_others_kept():
+    gone = []
+    W.keep("a", lambda: gone.append("a"))
+    W.keep("b", lambda: gone.append("b"))
+    assert list(W.lean(lambda rows: rows, keeps="b")(iter([1]))) == [1] and gone == ["a"]
+    assert list(W.lean(lambda rows: rows)(iter([2]))) == [2] and gone == ["a", "b"]
+    W.lean_group(lambda group: group)(None)
+    assert gone == ["a", "b"]
