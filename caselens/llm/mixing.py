@@ -7,7 +7,8 @@ keys (Efraimidis and Spirakis, 2006): ``-ln(u) / weight``, smallest first, with
 
 The keys are not sorted as a whole. Words are counted per source and cell of
 the key first; the budget ends in one cell of each source, and only the rows
-there are sorted. A source with a third of all rows has many cells.
+there are sorted. What a long document leaves free is filled from all rows
+behind it, by counts per cell again. A source with a third of all rows has many cells.
 """
 
 from __future__ import annotations
@@ -74,9 +75,6 @@ def mix(
     share: float = 1.0,
     most: float = 3.0,
     cell_rows: int = 20_000,
-    pool_rows: int = 2_000,
-    refills: int = 4,
-    to_end: bool = True,
 ) -> DataFrame:
     """How often each document enters the mix.
 
@@ -84,13 +82,13 @@ def mix(
     target, times, taken`` (``taken = size * times`` words). ``weights`` holds
     the quality of documents, ``doc_id, weight`` (the largest of a repeated
     id); it is joined when the texts are gone. Without a row, or null, it is 1;
-    0 or less is drawn after all others. A part of a document is never taken: the draw takes the
-    longest prefix of the sorted rows that fits, then fills the gap with later
-    rows that fit, ``refills`` times out of the next ``pool_rows`` rows or so, then
-    (``to_end``) out of all rows of the source until none with words fits. Cells hold about ``cell_rows / 4`` rows of the whole table at most.
+    0 or less is drawn after all others. A part of a document is never taken:
+    the rows of a source come in the order of their keys, and each one is taken
+    that fits what is left of the target, until none does. Cells hold about
+    ``cell_rows / 4`` rows of the whole table at most.
 
-    Null or blank texts have no words and a null ``doc_id`` is an ordinary
-    value. Rows equal in id and size are interchangeable. No rows give no rows.
+    Null or blank texts have no words, so that only whole epochs take them, and
+    a null ``doc_id`` is an ordinary value. Rows equal in id and size are interchangeable. No rows give no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
     if weights is not None:
@@ -112,40 +110,33 @@ def mix(
     plan = (plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
             .withColumn("left", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0))))
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    counted = (counted.withColumn("to_words", F.sum("words").over(upto)).withColumn("to_rows", F.sum("rows").over(upto))
+    counted = (counted.withColumn("to_words", F.sum("words").over(upto))
                .join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     over = F.col("to_words") > F.col("left")
-    of_source = Window.partitionBy("source")
-    counted = counted.withColumn("before", F.coalesce(F.max(F.when(~over, F.col("to_rows"))).over(of_source), F.lit(0)))
-    # The draw ends in cell `low`; with the cells up to `high` there are rows enough to fill the gap from.
+    # The cells before `low` fit as a whole.
     ends = materialize(
         counted.groupBy("source", "source_size", "target", "epochs", "left")
         .agg(F.min(F.when(over, F.col("cell"))).alias("low"),
-             F.min(F.when(over & (F.col("to_rows") >= F.col("before") + pool_rows), F.col("cell"))).alias("high"),
              F.coalesce(F.max(F.when(~over, F.col("to_words"))), F.lit(0)).alias("inside"))
-        .withColumn("low", F.coalesce("low", F.lit(cells))).withColumn("high", F.coalesce("high", F.lit(cells))), "plan")
+        .withColumn("low", F.coalesce("low", F.lit(cells))), "plan")
 
     # One row per source, repeated per slice, so that a large source is joined in many tasks.
     dealt = ends.withColumnRenamed("source", "s").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SLICES)).cast("int"))
     joined = rows.join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("_slice") == F.col("slice"))).drop("s", "slice", "_slice")
-    pool = F.col("cell").between(F.col("low"), F.col("high"))
-    settled = joined.where(~pool).withColumn("extra", (F.col("cell") < F.col("low")).cast("int"))
-
-    edge = joined.where(pool).withColumn("extra", F.lit(0)).withColumn("gap", F.col("left") - F.col("inside"))
-    for turn in range(1 + refills):
-        # First the longest prefix that fits, then rows that fit the gap that is left.
-        open_row = (F.col("extra") == 0) & ((F.col("size") <= F.col("gap")) if turn else F.lit(True))
-        per = Window.partitionBy("source", open_row).orderBy("key", "doc_id", "size")
-        run = F.sum("size").over(per.rowsBetween(Window.unboundedPreceding, 0))
-        edge = edge.withColumn("extra", F.when(open_row & (run <= F.col("gap")), 1).otherwise(F.col("extra")))
-        used = F.sum(F.col("size") * F.col("extra")).over(of_source)
-        edge = edge.withColumn("gap", F.col("left") - F.col("inside") - used)
-    if to_end:
-        edge = materialize(edge, "edge")
+    settled = joined.where("cell <> low").withColumn("extra", ((F.col("cell") < F.col("low")) & (F.col("size") > 0)).cast("int"))
+
+    # In the cell `low`, the longest prefix that fits; then rows behind it that fit the gap that is left.
+    upto = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    room = F.col("left") - F.col("inside")
+    edge = joined.where("cell = low").withColumn("run", F.sum("size").over(upto)).withColumn(
+        "extra", ((F.col("run") <= room) & (F.col("size") > 0)).cast("int"))
+    edge = materialize(edge.select(*_OUT, "cell", "key", "left", "inside"), "edge")
+    used = edge.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("size") * F.col("extra")).alias("used"))
+    gaps = (ends.where(F.col("low") < cells).join(used, F.col("source").eqNullSafe(F.col("s")), "left")
+            .select("source", (room - F.coalesce("used", F.lit(0))).alias("gap")).where("gap >= 1"))
     out = settled.select(*_OUT, "cell", "key").unionByName(edge.select(*_OUT, "cell", "key"))
-    gaps = edge.groupBy("source").agg(F.max("gap").alias("gap")).where("gap >= 1")
-    if to_end and gaps.limit(1).count():
+    if gaps.limit(1).count():
         # Equal rows are told apart by their number.
         place = F.struct("key", "doc_id", "size", "number")
         out = materialize(out.withColumn("number", F.monotonically_increasing_id()), "drawn").withColumn("place", place)
@@ -200,7 +191,11 @@ _OUT = ["doc_id", "source", "size", "source_size", "target", "epochs", "extra"]
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their own columns."""
-    how_often = mixed.where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times"))
-    return (docs.join(how_often, F.col(doc_id).eqNullSafe(F.col("_id")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
+    """The rows of ``docs`` as often as the mix takes them, with their own columns, whatever these are called.
+
+    Rows that repeat an id are taken as often as the one that is taken most.
+    """
+    how_often = mixed.where("times > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("times").alias("times"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own"))
+    return (rows.join(how_often, F.col("own").eqNullSafe(F.col("id")))
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*"))

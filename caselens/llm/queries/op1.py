@@ -14,20 +14,13 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, BAD).alias("weight"))
 
 
-_REFILL = """
-f{n} AS (SELECT *, extra = 0 AND size <= gap AS o FROM g{m}),
-r{n} AS (SELECT *, sum(size) OVER (PARTITION BY source, o ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM f{n}),
-e{n} AS (SELECT * REPLACE (CASE WHEN o AND run <= gap THEN 1 ELSE extra END AS extra) FROM r{n}),
-g{n} AS (SELECT * EXCLUDE (o, run) REPLACE (room - inside - sum(size * extra) OVER (PARTITION BY source) AS gap) FROM e{n}),"""
-
 SQL["op1_mix_sources"] = r"""
-WITH k AS (
+WITH RECURSIVE k AS (
   SELECT d.doc_id, d.source, CAST(coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     -ln((CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
     / CASE q.quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) q USING (doc_id)),
-n AS (SELECT 4 * greatest(1, ceil(count(*) / 20000.0)) AS cells FROM k),
-rws AS (SELECT k.*, least(floor((1 - exp(-key)) * cells), cells - 1) AS cell, cells FROM k, n),
+rws AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, size) AS place FROM k),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM rws GROUP BY 1),
 num AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w,
   row_number() OVER (ORDER BY source NULLS LAST) AS i FROM src),
@@ -39,28 +32,22 @@ tg AS (SELECT source, source_size, coalesce(least(source_size * 3.0::DOUBLE,
     (SELECT max(level) FROM lv WHERE level <= most) * w), source_size * 3.0::DOUBLE) AS target FROM lv),
 pl AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM tg),
 ro AS (SELECT *, greatest(target - epochs * source_size, 0) AS room FROM pl),
-ct AS (SELECT source, cell, sum(size) AS words, count(*) AS rows FROM rws GROUP BY 1, 2),
-cu AS (SELECT *, sum(words) OVER p AS to_words, sum(rows) OVER p AS to_rows FROM ct
-  WINDOW p AS (PARTITION BY source ORDER BY cell ROWS UNBOUNDED PRECEDING)),
-cb AS (SELECT cu.*, ro.* EXCLUDE (source), coalesce(max(to_rows) FILTER (to_words <= room) OVER (PARTITION BY cu.source), 0) AS before
-  FROM cu JOIN ro ON cu.source IS NOT DISTINCT FROM ro.source),
-en AS (SELECT source, source_size, target, epochs, room,
-  coalesce(min(cell) FILTER (to_words > room), 1e9) AS low,
-  coalesce(min(cell) FILTER (to_words > room AND to_rows >= before + 2000), 1e9) AS high,
-  coalesce(max(to_words) FILTER (to_words <= room), 0) AS inside FROM cb GROUP BY ALL),
-j AS (SELECT rws.*, en.* EXCLUDE (source) FROM rws JOIN en ON rws.source IS NOT DISTINCT FROM en.source),
-g0 AS (SELECT *, 0 AS extra, room - inside AS gap FROM j WHERE cell BETWEEN low AND high),
-r1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM g0),
-e1 AS (SELECT * REPLACE (CASE WHEN run <= gap THEN 1 ELSE 0 END AS extra) FROM r1),
-g1 AS (SELECT * EXCLUDE (run) REPLACE (room - inside - sum(size * extra) OVER (PARTITION BY source) AS gap) FROM e1),""" + "".join(
-    _REFILL.format(n=n, m=n - 1) for n in range(2, 6)) + """
-u AS (SELECT doc_id, source, size, source_size, target, epochs + extra AS times FROM g5
-  UNION ALL SELECT doc_id, source, size, source_size, target, epochs + CASE WHEN cell < low THEN 1 ELSE 0 END
-  FROM j WHERE NOT (cell BETWEEN low AND high))
-SELECT doc_id, source, size, source_size, target, CAST(times AS INTEGER) AS times, CAST(size * times AS BIGINT) AS taken FROM u"""
+turns(source, gap, after, until) AS (
+  SELECT source, room, 0::BIGINT, 0::BIGINT FROM ro
+  UNION ALL
+  SELECT source, gap - coalesce(max(run) FILTER (run <= gap), 0), after, min(place) FILTER (run > gap)
+  FROM (SELECT t.source, t.gap, t.until AS after, r.place, sum(r.size) OVER (PARTITION BY t.source ORDER BY r.place) AS run
+    FROM turns t JOIN rws r ON r.source IS NOT DISTINCT FROM t.source AND r.place > t.until AND r.size > 0 AND r.size <= t.gap)
+  GROUP BY source, gap, after),
+asked AS (SELECT source, after, until, lag(gap) OVER (PARTITION BY source ORDER BY after, until NULLS LAST) AS gap FROM turns),
+extra AS (SELECT DISTINCT r.source, r.place FROM rws r JOIN asked a ON r.source IS NOT DISTINCT FROM a.source AND r.place > a.after
+  AND (a.until IS NULL OR r.place < a.until) AND r.size > 0 AND r.size <= a.gap)
+SELECT doc_id, rws.source, size, source_size, target, CAST(epochs + (e.place IS NOT NULL)::INTEGER AS INTEGER) AS times,
+  CAST(size * (epochs + (e.place IS NOT NULL)::INTEGER) AS BIGINT) AS taken
+FROM rws JOIN ro ON rws.source IS NOT DISTINCT FROM ro.source
+  LEFT JOIN extra e ON rws.source IS NOT DISTINCT FROM e.source AND rws.place = e.place"""
 
 
 @query("op1_mix_sources")
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL stops after its five passes over the pool; where a gap is left then, filling it on gives more rows than it has.
-    return mixing.mix(table(spark, sf_dir, "documents"), weights=quality_weights(table(spark, sf_dir, "labels")), to_end=False)
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=quality_weights(table(spark, sf_dir, "labels")))

@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 
 from caselens.llm import mixing
+from caselens.llm.queries import QUERIES
 
 
 def loop_targets(sizes, share=1.0, most=3.0):
@@ -61,7 +62,7 @@ def test_targets_and_draw(documents, rng, spread):
     first, got, taken, want = check(docs, rows, sources)
     again, _, _, _ = check(documents(rows[::-1], 2, source=sources[::-1]), rows, sources)
     assert first == again
-    small, _, _, _ = check(docs, rows, sources, cell_rows=40, pool_rows=5)
+    small, _, _, _ = check(docs, rows, sources, cell_rows=40)
     assert sum(small.values()) > 0
     # With many small documents the gap is small.
     assert taken["big"] == pytest.approx(want["big"], rel=0.02)
@@ -123,7 +124,7 @@ def test_later_rows_fill_the_gap_behind_a_long_document(documents, large):
     for at in (400, 500, 560):
         size[order[at]] = large
     rows, sources = [(i, " ".join(["w"] * n)) for i, n in size.items()], ["ab"[i % 2] for i in size]
-    got = mixing.mix(documents(rows, 4, source=sources), share=0.5, cell_rows=80, pool_rows=10).collect()
+    got = mixing.mix(documents(rows, 4, source=sources), share=0.5, cell_rows=80).collect()
     times = {r.doc_id: r.times for r in got}
     for s in "ab":
         members = [i for i in order if "ab"[i % 2] == s]
@@ -135,3 +136,31 @@ def test_later_rows_fill_the_gap_behind_a_long_document(documents, large):
             gap -= extra * size[i]
             assert times[i] == epochs + extra, (s, i)
         assert gap < 1
+
+
+def test_query_meets_the_target_beside_one_huge_document(spark, documents, tmp_path):
+    rows = [(i, " ".join(["w"] * 10)) for i in range(3_000)] + [(9_000, " ".join(["w"] * 20_000))]
+    documents(rows, 4, source=["abc"[i % 3] for i, _ in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["op1_mix_sources"](spark, str(tmp_path)).collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert 0 <= own[0].target - sum(r.taken for r in own) < 10
+
+
+def test_rows_without_words_are_taken_in_whole_epochs_only(documents):
+    rows = [(i, "w " * 100 if i < 200 else None if i % 2 else " ") for i in range(400)]
+    sources = ["a" if i < 100 else "c" if i >= 300 else "b" for i in range(400)]
+    rows += [(500, "w"), (501, "")]
+    got = mixing.mix(documents(rows, 3, source=sources + ["c", "c"])).collect()
+    assert max(r.times for r in got) == 3 and {r.times for r in got if r.source == "c"} == {3}
+
+
+def test_repeated_with_clashing_names(spark):
+    names = "doc_id text source id times row own _id _times _copy size gap".split()
+    docs = spark.createDataFrame([(i, "w " * (1 + i), "ab"[i % 2], *range(9)) for i in range(10)], names)
+    mixed = mixing.mix(docs)
+    out = mixing.repeated(docs, mixed)
+    times = {r.doc_id: r.times for r in mixed.collect()}
+    assert out.columns == names and sorted(tuple(r) for r in out.collect()) == sorted(
+        tuple(r) for r in docs.collect() for _ in range(times[r.doc_id]))
