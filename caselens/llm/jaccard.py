@@ -559,12 +559,14 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     them stays.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(broadcast_if_small(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
-    again = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "again")
-    if not again.limit(1).count():
-        return kept
-    repeated = broadcast_if_small(again)
-    same = F.col(doc_id) == F.col("_id")
-    return kept.join(repeated, same, "left_anti").unionByName(
-        kept.join(repeated, same, "left_semi").dropDuplicates([doc_id, text]))
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    # Rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own"), F.col(text).alias("body"))
+    kept = rows.join(broadcast_if_small(gone), F.col("own") == F.col("gone"), "left_anti")
+    again = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "again")
+    if again.limit(1).count():
+        repeated = broadcast_if_small(again)
+        same = F.col("own") == F.col("again")
+        kept = kept.join(repeated, same, "left_anti").unionByName(
+            kept.join(repeated, same, "left_semi").dropDuplicates(["own", "body"]))
+    return kept.select("row.*")

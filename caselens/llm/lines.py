@@ -514,8 +514,10 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how
 def clean(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` without the removed lines; the columns stay."""
     removed, _ = similar_lines(docs, doc_id=doc_id, text=text, **how)
-    own = removed.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i + 1)), "\n")
-    out = docs.join(own, docs[doc_id] == F.col("_doc"), "left")
-    return out.select(*[(F.when(F.col("_gone").isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c]) for c in docs.columns])
+    own = removed.groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    # Rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id")).join(own, F.col("id") == F.col("doc"), "left")
+    body = F.col("row").getField(text)
+    kept = F.array_join(F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains("gone", i + 1)), "\n")
+    kept = F.when(F.col("gone").isNull(), body).otherwise(kept)
+    return rows.select(*[(kept if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -164,3 +164,11 @@ def test_last_groups_are_sized_by_the_rows_they_get(spark, rng, tmp_path, monkey
     assert {(r.src, r.dst) for r in linked.collect()} == want
     sizes = [int(n) for n in open(log)]
     assert sum(sizes) >= 400 * 20 and max(sizes) <= 1_000
+
+
+def test_one_of_each_with_clashing_names(spark):
+    text = "a b c d e f g h"
+    docs = spark.createDataFrame([(2, text, 1, 2, 3, 4, 5), (1, text, 6, 7, 8, 9, 0), (3, "x", 1, 1, 1, 1, 1)],
+                                 "doc_id long, text string, _gone int, gone int, row int, own int, again int")
+    out = jaccard.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]

@@ -94,3 +94,10 @@ def test_clean_keeps_columns(documents):
     out = {r.doc_id: r.text for r in lines.clean(docs).collect()}
     assert out == {1: "same line here\nown words", 2: "other\n", 3: None}
     assert lines.clean(docs).columns == docs.columns
+
+
+def test_clean_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e\nf g h i j", 5, 6, 7), (2, "a b c d e\nk", 5, 6, 7)],
+                                 "doc_id long, text string, _gone int, gone int, row int")
+    out = lines.clean(docs)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: "a b c d e\nf g h i j", 2: "k"}
