@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.operators import clusters, evaluate, graph, hierarchy, vectors
+from caselens.operators import clusters, evaluate, graph, hierarchy, spanning, vectors
 from caselens.plans.registry import query, table
 from caselens.runtime import spread
 
@@ -46,12 +46,14 @@ def hierarchy_clusters(spark, sf_dir):
     return hierarchy.density_hierarchy(reduced, case_id="vec_id", vector="reduced", dims=3, min_size=20)
 
 
-@query("hierarchy_planted", """
+_PLANTED = """
 WITH p AS (SELECT CASE WHEN p_partkey = (SELECT max(p_partkey) FROM part) THEN -1
   WHEN p_partkey % 10 < 5 THEN 0 WHEN p_partkey % 10 < 8 THEN 1 ELSE 2 END AS place FROM part)
-SELECT CAST(place AS INTEGER) AS place, count(*) AS n, true AS found FROM p GROUP BY 1""")
-def hierarchy_planted(spark, sf_dir):
-    """Three places of different sizes and densities, with one part far away from all."""
+SELECT CAST(place AS INTEGER) AS place, count(*) AS n, true AS found FROM p GROUP BY 1"""
+
+
+def _planted(spark, sf_dir, cluster) -> DataFrame:
+    """Three places of different sizes and densities, with one part far away from all, and what ``cluster`` makes of them."""
     parts = table(spark, sf_dir, "part").select("p_partkey")
     key, last = F.col("p_partkey"), parts.agg(F.max("p_partkey")).first()[0]
     rest = key % 10
@@ -65,7 +67,7 @@ def hierarchy_planted(spark, sf_dir):
 
     far = key == last
     spots = parts.select("p_partkey", F.array(F.when(far, 1e6).otherwise(around(1)), F.when(far, 1e6).otherwise(around(11))).alias("v"))
-    found = hierarchy.density_hierarchy(spots, case_id="p_partkey", vector="v", dims=2, min_size=25, min_pts=3)
+    found = cluster(spots)
     where = F.when(far, -1).when(rest < 5, 0).when(rest < 8, 1).otherwise(2).cast("int")
     cells = found.select("p_partkey", "cluster").withColumn("place", where).groupBy("place", "cluster").agg(F.count("*").alias("c"))
     tops = cells.groupBy("place").agg(
@@ -76,6 +78,18 @@ def hierarchy_planted(spark, sf_dir):
     return tops.select("place", "n", (own & right).alias("found"))
 
 
+@query("hierarchy_planted", _PLANTED)
+def hierarchy_planted(spark, sf_dir):
+    return _planted(spark, sf_dir, lambda spots: hierarchy.density_hierarchy(
+        spots, case_id="p_partkey", vector="v", dims=2, min_size=25, min_pts=3))
+
+
+@query("density_tree_planted", _PLANTED)
+def density_tree_planted(spark, sf_dir):
+    """The same places by a spanning tree of mutual reachability distances."""
+    return _planted(spark, sf_dir, lambda spots: spanning.density_tree(spots, case_id="p_partkey", vector="v", min_size=25, min_pts=5))
+
+
 @query("connected_parts", """
 SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand) AS component FROM part""")
 def connected_parts(spark, sf_dir):

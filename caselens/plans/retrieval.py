@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselens.functions import rules
-from caselens.operators import retrieval, vectors
+from caselens.operators import codes, neighbours, retrieval, vectors
 from caselens.plans.registry import SQL, query, table
 from caselens.plans.trends import month_state_docs
-from caselens.runtime import new_path, spread
+from caselens.runtime import materialize, new_path, spread
 
 
 @query("chunk_windows", """
@@ -115,6 +115,32 @@ def topk_recall(spark, sf_dir):
     return vectors.recall(exact, _probed(spark, sf_dir, probes=6, k=5))
 
 
+@query("codes_recall", "SELECT count(*) * least(5, (SELECT count(*) - 1 FROM embeddings)) AS n_exact, true AS high, true AS few FROM embeddings WHERE vec_id % 50 = 0")
+def codes_recall(spark, sf_dir):
+    """Short codes find 0.9 of the nearest neighbours, and read the vectors of less than a quarter of the rows for it."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = codes.fit(v, case_id="vec_id", vector="embedding", cells=16)
+    index = materialize(codes.build(v, model, case_id="vec_id", vector="embedding"), "coded")
+    model = codes.calibrate(v.where("vec_id % 50 > 0"), index, model, query_id="vec_id", vector="embedding", exclude_self=True)
+    asked = v.where("vec_id % 50 = 0")
+    found = codes.search(asked, index, model, query_id="vec_id", vector="embedding", exclude_self=True)
+    exact = vectors.top_k(asked, v, query_id="vec_id", base_id="vec_id", vector="embedding", k=5, exclude_self=True)
+    few = model.shortlist < 0.25 * index.count()
+    return vectors.recall(exact, found).select("n_exact", (F.col("recall") >= 0.9).alias("high"), F.lit(few).alias("few"))
+
+
+@query("knn_graph_recall", "SELECT count(*) AS n_queries, true AS high FROM embeddings WHERE vec_id % 50 = 0")
+def knn_graph_recall(spark, sf_dir):
+    """The neighbour graph of all rows against exact search for every fiftieth: at least 0.9 of the ten nearest."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    graph = neighbours.knn_graph(v, case_id="vec_id", vector="embedding", k=10)
+    asked = v.where("vec_id % 50 = 0")
+    exact = vectors.top_k(asked, v, query_id="vec_id", base_id="vec_id", vector="embedding", k=10, exclude_self=True)
+    found = graph.select(F.col("id").alias("query_id"), F.col("neighbour").alias("base_id"))
+    return vectors.recall(exact, found).crossJoin(asked.agg(F.count("*").alias("n_queries"))).select(
+        "n_queries", (F.col("recall") >= 0.9).alias("high"))
+
+
 @query("assemble_context", """
 WITH r AS (
   SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)
