@@ -121,7 +121,8 @@ def codes_recall(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     model = codes.fit(v, case_id="vec_id", vector="embedding", cells=16)
     index = materialize(codes.build(v, model, case_id="vec_id", vector="embedding"), "coded")
-    model = codes.calibrate(v.where("vec_id % 50 > 0"), index, model, query_id="vec_id", vector="embedding", exclude_self=True)
+    # Few queries are asked at small scales, so the search aims above the floor that they are held to.
+    model = codes.calibrate(v.where("vec_id % 50 > 0"), index, model, query_id="vec_id", vector="embedding", recall=0.97, exclude_self=True)
     asked = v.where("vec_id % 50 = 0")
     found = codes.search(asked, index, model, query_id="vec_id", vector="embedding", exclude_self=True)
     exact = vectors.top_k(asked, v, query_id="vec_id", base_id="vec_id", vector="embedding", k=5, exclude_self=True)
