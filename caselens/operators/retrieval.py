@@ -42,25 +42,47 @@ def chunk_at_separators(
     stretch = size - 2 * overlap
     most, less = overlap, overlap - 1
     pattern = f"[^\\n]{{0,{less}}}\\n|[^\\n]{{1,{most}}}\\z|[^\\n]{{0,{less}}} |[^\\n]{{1,{most}}}"
-    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,piece:string>>").alias("out"))
-    placed = F.aggregate(pieces, empty, lambda acc, p: F.struct(
-        (acc["at"] + F.length(p)).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), p.alias("piece")))).alias("out")))["out"]
-    with_pieces = df.where(F.length(text) > 0).select(case_id, placed.alias("_p"))
+    rows = _held(df.where(F.length(text) > 0).select(case_id, F.col(text).alias("_text")), [case_id], _t=F.regexp_extract_all(
+        "_text", F.lit(pattern), F.lit(0)))
+    rows = _held(rows, [case_id, "_t"], _s=_starts(F.transform("_t", F.length)), _n=F.size("_t"))
 
-    def home(p: Column) -> Column:
-        return F.floor(p["start"] / stretch)
+    def home(start: Column) -> Column:
+        return F.floor(start / stretch)
 
     # Every stretch up to the last piece has a first piece, as pieces are shorter than stretches.
-    stretches = F.sequence(F.lit(0).cast("bigint"), home(F.element_at("_p", -1)))
-    firsts = F.transform(stretches, lambda k: F.array_min(
-        F.transform(F.filter("_p", lambda p: home(p) == k), lambda p: p["start"])))
-    marked = with_pieces.withColumn("_first", firsts).withColumn("_k", stretches)
-    contents = F.transform(F.arrays_zip("_k", "_first"), lambda s: trim_ws(F.array_join(F.transform(
-        F.filter("_p", lambda p: (home(p) == s["_k"]) | ((p["start"] < s["_first"]) & (p["start"] >= s["_first"] - overlap))),
-        lambda p: p["piece"]), "")))
-    return marked.select(case_id, F.posexplode(F.filter(contents, lambda c: c != "")).alias("chunk_no", "content"))
+    at = F.sequence(F.lit(0), F.col("_n") - 1)
+    firsts = F.filter(at, lambda i: (i == 0) | (home(F.get("_s", i)) != home(F.get("_s", F.greatest(i - 1, F.lit(0))))))
+    rows = _held(rows, [case_id, "_t", "_s", "_n"], _f=firsts)
+    ends = F.concat(F.slice("_f", F.lit(2), F.size("_f")), F.array("_n"))
+
+    def content(span: Column) -> Column:
+        i, end = span["i"], span["end"]
+        # A piece has a character at least, so no more than `overlap` pieces start that close ahead.
+        ahead = F.slice("_s", F.greatest(i - overlap, F.lit(0)) + 1, F.least(i, F.lit(overlap)))
+        back = F.size(F.filter(ahead, lambda s: s >= F.get("_s", i) - overlap))
+        return trim_ws(F.array_join(F.slice("_t", i - back + 1, end - i + back), ""))
+
+    contents = F.transform(F.arrays_zip(F.col("_f").alias("i"), ends.alias("end")), content)
+    return rows.select(case_id, F.posexplode(F.filter(contents, lambda c: c != "")).alias("chunk_no", "content"))
+
+
+def _held(df: DataFrame, keep: Sequence[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns, worked out once per row: the optimizer cannot move them into lambdas behind."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _starts(lengths: Column, group: int = 256) -> Column:
+    """Sum of the lengths before each one. An array grows by copying, so the sums are taken in groups."""
+    def running(values: Column, first: Column) -> Column:
+        empty = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, empty, lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / group).cast("int")),
+                         lambda g: F.slice(lengths, g * group + 1, F.lit(group)))
+    sums = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, n: a + n))
+    return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), running(sums, F.lit(0)).alias("first")),
+                                 lambda x: running(x["g"], x["first"])))
 
 
 def as_documents(df: DataFrame, *, doc_id: str, content: str, source: str) -> DataFrame:
