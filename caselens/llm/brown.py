@@ -3,13 +3,23 @@
     P(text) = product of P(class | class before) * P(word | class)
 
 Words are put in classes by exchange (Martin, Liermann and Ney, 1998): a word
-type moves to the class that raises the likelihood of the class bigrams most,
-until a round moves none. Types are the most frequent words and, for all
-others, the last letters they end in, so every word has a class.
-
-Word counts, class totals and type bigrams cover all training text. Counts stay
-a table, however large. A bounded number of the most frequent words is shipped
-to the tasks; the other words of a text are joined with the table.
+moves to the class that raises the likelihood of the class bigrams most. The
+most frequent words, and the last letters that all others end in, are settled
+one after another. From the class of its ending, every other word above a count
+floor then moves in rounds (Uszkoreit and Brants, 2008): tasks count the classes
+around each word, a task finds its best class against the matrix of class
+bigrams, and half of the words move at once. A round that lowers the likelihood
+is taken back. Words below the floor keep the class of their ending, so every
+word has one. The floor is 3; it only rises where more than ``clustered`` words,
+which are shipped to the tasks with their classes, would lie above it.
+
+Word counts, class totals and bigrams cover all training text. Counts stay a
+table, however large. The counts of the most frequent words are shipped to the
+tasks; the other words of a text are joined with the table.
+
+Of each class a discount per known word is left for unknown ones. It is shared
+evenly by as many unknown words as are estimated to exist (Chao, 1984), at
+least as many as are known.
 """
 
 from __future__ import annotations
@@ -29,8 +39,12 @@ from caselens.llm.quality import remainder
 from caselens.llm.vocabulary import endings, levels_of, most_frequent, word_counts
 from caselens.runtime import materialize
 
-#: Words shipped to the tasks at most; words and endings that are clustered; classes besides that of the end.
-SHIPPED, TYPES, ENDINGS, CLASSES = 1 << 18, 2_048, 1_022, 64
+#: Words whose counts, and whose classes, are shipped to the tasks at most.
+SHIPPED, CLUSTERED = 1 << 18, 1 << 20
+#: Words and endings settled one after another; classes besides that of the end.
+TYPES, ENDINGS, CLASSES = 2_048, 1_022, 64
+#: Least count of the other words that move, and their rounds; each moves one of `PARTS` parts of them.
+FLOOR, ROUNDS, PARTS = 3, 2, 2
 _FLUSH = 2_000_000
 
 
@@ -38,9 +52,8 @@ _FLUSH = 2_000_000
 class Types:
     """Type of each word: one of ``words`` (by hash), else its ending, else the last but one; the last is the end."""
 
-    words: np.ndarray    # shipped words, the most frequent first
-    counts: np.ndarray   # of the shipped words
-    of_word: np.ndarray  # type of the shipped words
+    words: np.ndarray    # listed words, the most frequent first
+    of_word: np.ndarray  # their types
     tails: np.ndarray    # sorted endings
     of_tail: np.ndarray
     size: int
@@ -49,7 +62,7 @@ class Types:
         self.lookup = W.Lookup(self.words)
 
     def of(self, words: W.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Type of each word, and its place among the shipped ones or -1."""
+        """Type of each word, and its place in the list or -1."""
         place = self.lookup.find(hashes)
         out = np.empty(len(place), np.int64)
         out[place >= 0] = self.of_word[place[place >= 0]]
@@ -78,9 +91,9 @@ def _sequence(words: W.Words, kinds: np.ndarray, end: int) -> tuple[np.ndarray,
     return before, kind, owner
 
 
-def _bigrams(types) -> object:
+def _counted(keys_of) -> object:
+    """Task that counts the keys which ``keys_of`` finds in the words of texts."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Types = types.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -91,19 +104,64 @@ def _bigrams(types) -> object:
 
         for batch in rows:
             for _, _, words in W.batches(batch.column(0)):
-                kinds, _ = own.of(words, words.hashes())
-                before, kind, _ = _sequence(words, kinds, own.size - 1)
-                held.append(np.unique(before * own.size + kind, return_counts=True))
+                held.append(np.unique(keys_of(words), return_counts=True))
                 size += len(held[-1][0])
                 if size > _FLUSH:
                     held = [sums()]
                     size = len(held[0][0])
         if held:
             keys, n = sums()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
     return run
 
 
+def _type_pairs(types):
+    def keys(words: W.Words) -> np.ndarray:
+        own: Types = types.value
+        kinds, _ = own.of(words, words.hashes())
+        before, kind, _ = _sequence(words, kinds, own.size - 1)
+        return before * own.size + kind
+    return keys
+
+
+@dataclass
+class Classes:
+    """Class of each type, and of each listed word, which may have left that of its type. The last class is the end."""
+
+    types: Types
+    of_type: np.ndarray
+    of_word: np.ndarray
+    n: int
+
+    def of(self, words: W.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each word, and its place in the list or -1."""
+        kinds, place = self.types.of(words, hashes)
+        out = self.of_type[kinds]
+        out[place >= 0] = self.of_word[place[place >= 0]]
+        return out, place
+
+
+def _contexts(shipped, settled: int, upto: int, part: int):
+    """Keys of class bigrams (below 0), and of the classes around the words of a part at the places ``settled`` to ``upto``.
+
+    A word has ``2 * n + 1`` slots: classes after it, classes before it, and itself after itself.
+    """
+    def keys(words: W.Words) -> np.ndarray:
+        own: Classes = shipped.value
+        k = own.n
+        klass, place = own.of(words, words.hashes())
+        before, kind, _ = _sequence(words, klass, k - 1)
+        out = [-1 - (before * k + kind)]
+        if part >= 0 and len(place):
+            at = np.full(len(kind), -1, np.int64)
+            at[kind != k - 1] = place  # only ends have the last class
+            i = np.flatnonzero((at >= settled) & (at < upto) & (at % PARTS == part))  # a text closes with its end, so a word has a token behind it
+            slot = at[i] * (2 * k + 1)
+            out += [slot + kind[i + 1], slot + k + before[i], slot[at[i + 1] == at[i]] + 2 * k]
+        return np.concatenate(out)
+    return keys
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -140,8 +198,8 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
             both[a, a] += self_pairs
             row[a] -= self_pairs
             column[a] -= self_pairs
-            n = both.sum(1)
-            m = both.sum(0)
+            n = both.sum(1) + column  # whichever class takes w, its neighbours keep their totals
+            m = both.sum(0) + row
             # Gain of putting w into class b; pairs of w with itself fall on (b, b).
             gain = (_f(both + row) - _f(both)).sum(1) + (_f(both + column[:, None]) - _f(both)).sum(0)
             d = np.diagonal(both)
@@ -167,13 +225,99 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     return at
 
 
+def likelihood(both: np.ndarray) -> float:
+    """Of class bigrams, up to what classes cannot change."""
+    return float(_f(both).sum() - _f(both.sum(0)).sum() - _f(both.sum(1)).sum())
+
+
+def best_classes(both: np.ndarray, at: np.ndarray, after: np.ndarray, ahead: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Class of each word that raises the likelihood most if it alone moves, its own where none does.
+
+    ``after[w, c]`` and ``ahead[w, c]`` count class c behind and before w, ``twice[w]`` w behind itself.
+    """
+    out = at.copy()
+    for low in range(0, len(at), 64):
+        a, s = at[low:low + 64], twice[low:low + 64, None].astype(float)
+        row, column = after[low:low + 64].astype(float), ahead[low:low + 64].astype(float)
+        i = np.arange(len(a))
+        rest = np.repeat(both[None].astype(float), len(a), axis=0)  # the matrix without each word
+        rest[i, a, :] -= row
+        rest[i, :, a] -= column
+        rest[i, a, a] += s[:, 0]
+        row[i, a] -= s[:, 0]
+        column[i, a] -= s[:, 0]
+        own = _f(rest)
+        gain = (_f(rest + row[:, None, :]) - own).sum(2) + (_f(rest + column[:, :, None]) - own).sum(1)
+        d = np.diagonal(rest, axis1=1, axis2=2)
+        gain += _f(d + row + column + s) - _f(d + row) - _f(d + column) + _f(d)
+        n, m = rest.sum(2) + column, rest.sum(1) + row  # whichever class takes the word, its neighbours keep their totals
+        gain -= _f(n + row.sum(1, keepdims=True) + s) - _f(n) + _f(m + column.sum(1, keepdims=True) + s) - _f(m)
+        gain[:, -1] = -np.inf  # the end stays alone
+        b = gain.argmax(1)
+        out[low:low + 64] = np.where(gain[i, b] > gain[i, a] + 1e-9, b, a)
+    return out
+
+
+def _moves(matrix) -> object:
+    """Task that finds the best class of words given with the counts of their slots."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, of_word = matrix.value
+        k = len(both)
+        for batch in rows:
+            for low in range(0, len(batch), 4_096):
+                part = batch.slice(low, 4_096)
+                place, slots = part.column(0).to_numpy(), part.column(1)
+                flat = slots.flatten()
+                counts = np.zeros((len(part), 2 * k + 1))
+                owner = np.repeat(np.arange(len(part)), pa.compute.list_value_length(slots).to_numpy())
+                counts[owner, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+                at = of_word[place]
+                to = best_classes(both, at, counts[:, :k], counts[:, k:2 * k], counts[:, 2 * k])
+                moved = to != at
+                yield pa.RecordBatch.from_arrays([pa.array(place[moved]), pa.array(to[moved])], ["place", "class"])
+    return run
+
+
+def _exchange_all(texts: DataFrame, start: Classes, both: np.ndarray, settled: int, upto: int, rounds: int) -> tuple[Classes, np.ndarray]:
+    """Classes after rounds over the words at the places ``settled`` to ``upto``, and their class bigrams."""
+    spark, k = texts.sparkSession, start.n
+    slots = 2 * k + 1
+    best = (likelihood(both), start, both)
+    now = start
+    if settled >= upto or not rounds:
+        return start, both
+    for turn in range(rounds + 1):  # the last turn only measures
+        part = turn % PARTS if turn < rounds else -1
+        counted = texts.mapInArrow(W.lean(_counted(_contexts(spark.sparkContext.broadcast(now), settled, upto, part))), "key long, n long")
+        counted = counted.groupBy("key").agg(F.sum("n").alias("n"))
+        if part >= 0:
+            counted = materialize(counted, "contexts")
+        found = counted.where("key < 0").toArrow()  # one row per pair of classes
+        measured = np.zeros(k * k)
+        measured[-1 - found["key"].to_numpy()] = found["n"].to_numpy()
+        measured = measured.reshape(k, k)
+        if likelihood(measured) < best[0] - 1e-6 * abs(best[0]):
+            break
+        best = (likelihood(measured), now, measured)
+        if part < 0:
+            break
+        around = (counted.where("key >= 0").groupBy(F.floor(F.col("key") / F.lit(slots)).cast("long").alias("place"))
+                  .agg(F.collect_list(F.struct((F.col("key") % slots).cast("int").alias("slot"), "n")).alias("slots")))
+        moved = around.mapInArrow(_moves(spark.sparkContext.broadcast((measured, now.of_word))), "place long, class long").toArrow()
+        of_word = now.of_word.copy()
+        of_word[moved["place"].to_numpy()] = moved["class"].to_numpy()
+        now = Classes(now.types, now.of_type, of_word, k)
+    return best[1], best[2]
+
+
 @dataclass
 class Model:
-    types: Types
-    classes: np.ndarray     # of each type
+    classes: Classes
+    counts: np.ndarray      # of the first listed words
     transition: np.ndarray  # log10 P(class | class before)
     log_size: np.ndarray    # log10 of the tokens of each class
-    log_unseen: np.ndarray  # log10 of the mass of unseen words of each class
+    log_unseen: float       # log10 of the tokens that an unknown word stands for
+    unseen: float           # unknown words that are reckoned with
     discount: float
     tokens: int             # N
     words: int              # V, the end included
@@ -185,7 +329,8 @@ def _log10(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, *, text: str = "text", shipped: int = SHIPPED, types: int = TYPES, tails: int = ENDINGS,
-          classes: int = CLASSES) -> tuple[Model, DataFrame]:
+          classes: int = CLASSES, floor: int = FLOOR, rounds: int = ROUNDS,
+          clustered: int = CLUSTERED) -> tuple[Model, DataFrame]:
     """Model and table of all word counts (``word, ending, n``) of ``docs``."""
     spark = docs.sparkSession
     counts = materialize(word_counts(docs, text), "word-counts")
@@ -193,46 +338,44 @@ def train(docs: DataFrame, *, text: str = "text", shipped: int = SHIPPED, types:
     levels = levels_of(counts)
     total = sum(r["tokens"] for r in levels) + texts
     distinct = sum(r["words"] for r in levels) + (1 if texts else 0)
-    top = most_frequent(counts, shipped, levels)
+    top = most_frequent(counts, max(shipped, clustered), levels)
     by = np.lexsort((top["word"].to_numpy(), -top["n"].to_numpy()))
     words, n, ending = (top[c].to_numpy()[by] for c in ("word", "n", "ending"))
+    upto = min(clustered, int((n >= floor).sum()))
+    listed = max(shipped, upto)
+    words, n, ending = words[:listed], n[:shipped], ending[:listed]
     head = words[:types]
-    own = spark.createDataFrame([(int(w),) for w in head], "word long")
-    rest = counts.join(F.broadcast(own), "word", "left_anti")
+    frequent = spark.createDataFrame([(int(w),) for w in head], "word long")
+    rest = counts.join(F.broadcast(frequent), "word", "left_anti")
     found = rest.groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(tails).toArrow()
     tail = np.sort(found["ending"].to_numpy().astype(np.int64))
     size = len(head) + len(tail) + 2
-    kinds = Types(words.view(np.uint64), n, np.zeros(len(words), np.int64), tail, len(head) + np.arange(len(tail)), size)
+    kinds = Types(words.view(np.uint64), np.zeros(len(words), np.int64), tail, len(head) + np.arange(len(tail)), size)
     kinds.of_word = np.concatenate([np.arange(len(head)), kinds.of_ending(ending[len(head):].astype(np.int64))])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(
-        W.lean(_bigrams(spark.sparkContext.broadcast(kinds))), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    only = docs.select(F.col(text).alias("text"))
+    rows = only.mapInArrow(W.lean(_counted(_type_pairs(spark.sparkContext.broadcast(kinds)))), "key long, n long").groupBy("key").agg(
+        F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(size * size)  # bounded by the number of types
-    pairs[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    pairs[rows["key"].to_numpy()] = rows["n"].to_numpy()
     pairs = pairs.reshape(size, size)
     at = exchange(pairs, classes)
 
     k = classes + 1
     one = np.zeros((size, k))
     one[np.arange(size), at] = 1
-    both = one.T @ pairs @ one
+    own, both = _exchange_all(only, Classes(kinds, at, at[kinds.of_word], k), one.T @ pairs @ one, len(head), upto, rounds)
     n_class, n_before, kinds_after = both.sum(0), both.sum(1), (both > 0).sum(1)
     alone = (n_class + 1) / (n_class.sum() + k)
     # Witten-Bell: as many unseen transitions as there are kinds of seen ones.
     weight = np.maximum(kinds_after, 1)[:, None]
     transition = _log10((both + weight * alone) / (n_before[:, None] + weight))
 
-    # Distinct words of each class: by type, then by class.
-    of_ending = spark.createDataFrame([(int(t), int(i)) for t, i in zip(tail, kinds.of_tail, strict=True)] or [(-1, 0)], "ending int, type int")
-    by_type = np.zeros(size)
-    by_type[:len(head)] = 1
-    for r in rest.join(F.broadcast(of_ending), "ending", "left").groupBy("type").count().collect():  # one row per ending
-        by_type[size - 2 if r["type"] is None else r["type"]] = r["count"]
-    by_type[size - 1] = 1 if texts else 0
-    v_class = one.T @ by_type
     once, twice = sum(r["once"] for r in levels), sum(r["twice"] for r in levels)
     discount = min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
-    model = Model(kinds, at, transition, _log10(np.maximum(n_class, 1)), _log10(discount * np.maximum(v_class, 1)), discount,
+    unseen = max(once * (once - 1) / (2 * (twice + 1)), distinct, 1)
+    # A class leaves `discount` for each of its words, and has its share of the unknown words.
+    model = Model(own, n, transition, _log10(np.maximum(n_class, 1)), math.log10(discount * max(distinct, 1) / unseen), unseen, discount,
                   total, distinct, texts)
     return model, counts
 
@@ -241,21 +384,19 @@ def _score(shipped):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shipped.value
         end = len(m.log_size) - 1
-        top_base = np.log10(m.types.counts + 1.0)
-        top_model = np.log10(m.types.counts - m.discount) if len(m.types.counts) else np.zeros(0)
+        top_base, top_model = np.log10(m.counts + 1.0), np.log10(m.counts - m.discount)
         start = TaskContext.get().partitionId() << 33
         for batch in rows:
             for a, b, words in W.batches(batch.column(1)):
                 n = b - a
                 hashes = words.hashes()
-                kinds, place = m.types.of(words, hashes)
-                klass = m.classes[kinds]
+                klass, place = m.classes.of(words, hashes)
                 before, kind, owner = _sequence(words, klass, end)
                 path = np.bincount(owner, m.transition[before, kind] - m.log_size[kind], minlength=n)
                 word_owner = np.repeat(np.arange(n), words.counts())
-                known = place >= 0
+                known = (place >= 0) & (place < len(m.counts))
                 of, at = word_owner[known], place[known]
-                stop = math.log10(max(m.texts - m.discount, 1e-9)) if m.texts else float(m.log_unseen[end])
+                stop = math.log10(max(m.texts - m.discount, 1e-9)) if m.texts else m.log_unseen
                 base = np.bincount(of, top_base[at], minlength=n) + math.log10(m.texts + 1.0)
                 model = path + np.bincount(of, top_model[at], minlength=n) + stop
                 # The other words of each text, each once.
@@ -267,8 +408,7 @@ def _score(shipped):
                 pick, times = pick[order], times[order]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(word_owner[pick], minlength=n))]).astype(np.int32)
                 listed = pa.StructArray.from_arrays(
-                    [pa.array(hashes[pick].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(klass[pick].astype(np.int32))],
-                    ["word", "times", "class"])
+                    [pa.array(hashes[pick].view(np.int64)), pa.array(times.astype(np.int32))], ["word", "times"])
                 counts = words.counts()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(start + np.arange(n)), batch.column(0).slice(a, n), pa.array(counts + 1),
@@ -284,21 +424,20 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, doc_id: str = "do
 
     The end of a text counts as a token. ``base_score`` sums
     ``log10((c + 1) / (N + V + 1))``; ``score`` is the model's log10
-    probability, in which all unseen words of a class are one event. A null or
-    empty text is its end alone. Ids may be null or repeat.
+    probability; an unknown word has one share of what its class leaves for
+    unknown words. A null or empty text is its end alone. Ids may be null or repeat.
     """
     kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         W.lean(_score(docs.sparkSession.sparkContext.broadcast(model))),
         f"row_id long, doc_id {kind}, n_tokens long, n_known long, base double, model double, "
-        "rare array<struct<word:long,times:int,class:int>>"), "scores")
-    each = rows.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.times", "r.class")
-    unseen = F.element_at(F.array(*[F.lit(float(x)) for x in model.log_unseen]), F.col("class") + 1)
+        "rare array<struct<word:long,times:int>>"), "scores")
+    each = rows.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.times")
     joined = each.join(counts.select("word", "n"), "word", "left")
     sums = joined.groupBy("row_id").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("base_more"),
-        F.sum(F.col("times") * F.coalesce(F.log10(F.col("n") - model.discount), unseen)).alias("model_more"))
+        F.sum(F.col("times") * F.coalesce(F.log10(F.col("n") - model.discount), F.lit(model.log_unseen))).alias("model_more"))
     out = rows.drop("rare").join(sums, "row_id", "left")
     more = lambda c: F.coalesce(c, F.lit(0))
     return out.select(

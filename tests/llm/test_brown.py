@@ -52,19 +52,88 @@ def test_score_does_not_depend_on_what_is_shipped_and_beats_the_base(documents,
     assert np.mean([narrow[k][2] - wide[k][2] for k in wide]) == pytest.approx(0, abs=2)
 
 
+def hashes_of(texts):
+    import pyarrow as pa
+
+    found = brown.W.words(*brown.W.texts_buffer(pa.array(texts, pa.large_string())))
+    return found, found.hashes()
+
+
 def test_probabilities_sum_to_one(documents, rows):
     model, counts = brown.train(documents(rows).where("doc_id is not null"), types=50, tails=20, classes=5)
     assert np.allclose((10**model.transition).sum(1), 1)
     words = {r.word: r.n for r in counts.collect()}
-    kinds = model.types
-    place = kinds.lookup.find(np.array(list(words), np.int64).view(np.uint64))
+    place = model.classes.types.lookup.find(np.array(list(words), np.int64).view(np.uint64))
     assert (place >= 0).all()
-    klass, n = model.classes[kinds.of_word[place]], np.array(list(words.values()))
+    klass, n = model.classes.of_word[place], np.array(list(words.values()))
     for c in range(5):
         known = (n[klass == c] - model.discount).sum() / 10**model.log_size[c]
-        unseen = 10**(model.log_unseen[c] - model.log_size[c])
+        unseen = model.unseen * (klass == c).sum() / model.words * 10**(model.log_unseen - model.log_size[c])
         if (klass == c).any():
             assert known + unseen == pytest.approx(1)
+    assert model.unseen >= model.words
+
+
+@pytest.mark.parametrize("shipped", [1 << 18, 60])
+def test_scores_equal_brute_force(documents, rows, shipped):
+    """Class bigrams, discounts and unknown words by hand, from the class of each word."""
+    docs = documents(rows)
+    train = [t for i, t in rows if not held(i)]
+    model, counts = brown.train(docs.where("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 <> 2"), types=30, tails=20, classes=6, shipped=shipped)
+    found = brown.score(docs, model, counts).collect()
+    every = sorted({w for _, t in rows for w in tokens(t)[:-1]})
+    listed, hashes = hashes_of(every)
+    klass = dict(zip(every, model.classes.of(listed, hashes)[0].tolist(), strict=True)) | {"\0": 6}
+    n = Counter(t for text in train for t in tokens(text))
+    pairs = np.zeros((7, 7))
+    for text in train:
+        for a, b in zip(["\0", *tokens(text)], tokens(text), strict=False):
+            pairs[klass[a], klass[b]] += 1
+    once, twice = (sum(v == x for w, v in n.items() if w != "\0") for x in (1, 2))
+    discount = min(0.95, max(0.05, once / (once + 2 * twice)))
+    unseen = max(once * (once - 1) / (2 * (twice + 1)), len(n))
+    alone, kinds = (pairs.sum(0) + 1) / (pairs.sum() + 7), np.maximum((pairs > 0).sum(1), 1)
+
+    def by_hand(text):
+        out = 0.0
+        for a, b in zip(["\0", *tokens(text)], tokens(text), strict=False):
+            c, d = klass[a], klass[b]
+            out += math.log10((pairs[c, d] + kinds[c] * alone[d]) / (pairs[c].sum() + kinds[c]))
+            out += math.log10((n[b] - discount if n[b] else discount * len(n) / unseen) / max(pairs[:, d].sum(), 1))
+        return out
+
+    assert np.allclose(sorted(r.score for r in found), sorted(by_hand(t) for _, t in rows), rtol=1e-9)
+
+
+def test_best_class_is_the_one_of_the_greatest_likelihood():
+    rng = np.random.default_rng(5)
+    pairs = rng.poisson(0.6, (31, 31)).astype(float)
+    pairs[30, 30] = 0
+    at = np.append(rng.integers(0, 4, 30), 4)
+
+    def both(classes):
+        one = np.eye(5)[classes]
+        return one.T @ pairs @ one
+
+    one = np.eye(5)[at]
+    got = brown.best_classes(both(at), at[:30], (pairs @ one)[:30], (one.T @ pairs).T[:30], np.diagonal(pairs)[:30])
+    for w in range(30):
+        tried = [brown.likelihood(both(np.concatenate([at[:w], [c], at[w + 1:]]))) for c in range(4)]
+        assert tried[got[w]] == pytest.approx(max(tried))
+
+
+def test_words_beyond_the_first_are_clustered(documents, rng):
+    """Two kinds of words alternate; endings say nothing, and only ten words are settled one after another."""
+    kinds = [[f"{a}{i}q" for i in range(60)] for a in "xy"]
+    rows = [(i, " ".join(rng.choice(kinds[k % 2]) for k in range(40))) for i in range(200)]
+    docs = documents(rows)
+    gains = []
+    for rounds in (0, 2):
+        model, counts = brown.train(docs, types=10, tails=5, classes=4, rounds=rounds)
+        gains.append(sum(r.score for r in brown.score(docs, model, counts).collect()))
+    listed, hashes = hashes_of(kinds[0] + kinds[1])
+    klass = model.classes.of(listed, hashes)[0]
+    assert gains[1] > gains[0] and not set(klass[:60]) & set(klass[60:])
 
 
 def test_exchange_finds_the_classes():
