@@ -25,6 +25,7 @@ least as many as are known.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +47,7 @@ TYPES, ENDINGS, CLASSES = 2_048, 1_022, 64
 #: Least count of the other words that move, and their rounds; each moves one of `PARTS` parts of them.
 FLOOR, ROUNDS, PARTS = 3, 2, 2
 _FLUSH = 2_000_000
+_GROUP_WORDS, _GROUPS = 512, 64  # words whose contexts meet in one group; groups of the class bigrams
 
 
 @dataclass
@@ -91,8 +93,8 @@ def _sequence(words: W.Words, kinds: np.ndarray, end: int) -> tuple[np.ndarray,
     return before, kind, owner
 
 
-def _counted(keys_of) -> object:
-    """Task that counts the keys which ``keys_of`` finds in the words of texts."""
+def _counted(keys_of, form) -> object:
+    """Task that counts the keys which ``keys_of`` finds in the words of texts; ``form`` makes rows of keys and counts."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -109,12 +111,51 @@ def _counted(keys_of) -> object:
                 if size > _FLUSH:
                     held = [sums()]
                     size = len(held[0][0])
+                    if size > _FLUSH // 2:
+                        yield form(*held[0])
+                        held, size = [], 0
         if held:
-            keys, n = sums()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+            yield form(*sums())
     return run
 
 
+def _plain(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+
+def _pack(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising keys, as their steps, and counts."""
+    return zlib.compress(np.diff(keys, prepend=0).astype("<u4").tobytes() + n.astype("<u4").tobytes(), 1)
+
+
+def _summed(parts: pa.ChunkedArray, size: int) -> np.ndarray:
+    """Sums by key, ``size`` at most, of what was packed."""
+    out = np.zeros(size)
+    for part in parts:
+        raw = np.frombuffer(zlib.decompress(part.as_py()), "<u4")
+        half = len(raw) // 2
+        out[np.cumsum(raw[:half], dtype=np.int64)] += raw[half:]
+    return out
+
+
+def _grouped(slots: int, groups: int):
+    """Rows of the packed counts of a task: class bigrams in groups below 0, contexts by word in ``groups``."""
+    def form(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        low = keys < 0
+        names, data = [-1 - TaskContext.get().partitionId() % _GROUPS], [_pack(-1 - keys[low][::-1], n[low][::-1])]
+        keys, n = keys[~low], n[~low]
+        place, slot = keys // slots, keys % slots
+        group, own = place % groups, place // groups * slots + slot
+        order = np.lexsort((own, group))
+        group, own, n = group[order], own[order], n[order]
+        cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]) if len(group) else group
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            names.append(int(group[a]))
+            data.append(_pack(own[a:b], n[a:b]))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+    return form
+
+
 def _type_pairs(types):
     def keys(words: W.Words) -> np.ndarray:
         own: Types = types.value
@@ -246,8 +287,13 @@ def best_classes(both: np.ndarray, at: np.ndarray, after: np.ndarray, ahead: np.
         rest[i, a, a] += s[:, 0]
         row[i, a] -= s[:, 0]
         column[i, a] -= s[:, 0]
-        own = _f(rest)
-        gain = (_f(rest + row[:, None, :]) - own).sum(2) + (_f(rest + column[:, :, None]) - own).sum(1)
+        gain = np.zeros(row.shape)
+        w, c = np.nonzero(row)  # a rare word has few classes around it
+        x = rest[w, :, c]
+        np.add.at(gain, w, _f(x + row[w, c][:, None]) - _f(x))
+        w, c = np.nonzero(column)
+        x = rest[w, c, :]
+        np.add.at(gain, w, _f(x + column[w, c][:, None]) - _f(x))
         d = np.diagonal(rest, axis1=1, axis2=2)
         gain += _f(d + row + column + s) - _f(d + row) - _f(d + column) + _f(d)
         n, m = rest.sum(2) + column, rest.sum(1) + row  # whichever class takes the word, its neighbours keep their totals
@@ -258,52 +304,53 @@ def best_classes(both: np.ndarray, at: np.ndarray, after: np.ndarray, ahead: np.
     return out
 
 
-def _moves(matrix) -> object:
-    """Task that finds the best class of words given with the counts of their slots."""
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bigrams(k: int):
+    """Group function that adds up class bigrams: ``key, n``, one row per pair of classes."""
+    def run(group: pa.Table) -> pa.Table:
+        n = _summed(group["data"], k * k)
+        seen = np.flatnonzero(n)
+        return pa.table({"key": seen, "n": n[seen].astype(np.int64)})
+    return run
+
+
+def _moves(matrix, groups: int):
+    """Group function that finds the best class of each word of a group: ``place, class`` of those that move."""
+    def run(group: pa.Table) -> pa.Table:
         both, of_word = matrix.value
         k = len(both)
-        for batch in rows:
-            for low in range(0, len(batch), 4_096):
-                part = batch.slice(low, 4_096)
-                place, slots = part.column(0).to_numpy(), part.column(1)
-                flat = slots.flatten()
-                counts = np.zeros((len(part), 2 * k + 1))
-                owner = np.repeat(np.arange(len(part)), pa.compute.list_value_length(slots).to_numpy())
-                counts[owner, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
-                at = of_word[place]
-                to = best_classes(both, at, counts[:, :k], counts[:, k:2 * k], counts[:, 2 * k])
-                moved = to != at
-                yield pa.RecordBatch.from_arrays([pa.array(place[moved]), pa.array(to[moved])], ["place", "class"])
+        place = np.arange(group["bucket"][0].as_py(), len(of_word), groups)
+        counts = _summed(group["data"], len(place) * (2 * k + 1)).reshape(len(place), 2 * k + 1)
+        met = counts.any(axis=1)
+        place, counts = place[met], counts[met]
+        to = best_classes(both, of_word[place], counts[:, :k], counts[:, k:2 * k], counts[:, 2 * k])
+        moved = to != of_word[place]
+        return pa.table({"place": place[moved], "class": to[moved]})
     return run
 
 
 def _exchange_all(texts: DataFrame, start: Classes, both: np.ndarray, settled: int, upto: int, rounds: int) -> tuple[Classes, np.ndarray]:
     """Classes after rounds over the words at the places ``settled`` to ``upto``, and their class bigrams."""
     spark, k = texts.sparkSession, start.n
-    slots = 2 * k + 1
+    groups = -(-upto // _GROUP_WORDS)
     best = (likelihood(both), start, both)
     now = start
     if settled >= upto or not rounds:
         return start, both
     for turn in range(rounds + 1):  # the last turn only measures
         part = turn % PARTS if turn < rounds else -1
-        counted = texts.mapInArrow(W.lean(_counted(_contexts(spark.sparkContext.broadcast(now), settled, upto, part))), "key long, n long")
-        counted = counted.groupBy("key").agg(F.sum("n").alias("n"))
+        keys = _contexts(spark.sparkContext.broadcast(now), settled, upto, part)
+        counted = texts.mapInArrow(W.lean(_counted(keys, _grouped(2 * k + 1, groups))), "bucket int, data binary")
         if part >= 0:
             counted = materialize(counted, "contexts")
-        found = counted.where("key < 0").toArrow()  # one row per pair of classes
-        measured = np.zeros(k * k)
-        measured[-1 - found["key"].to_numpy()] = found["n"].to_numpy()
-        measured = measured.reshape(k, k)
+        found = counted.where("bucket < 0").groupBy("bucket").applyInArrow(W.lean_group(_bigrams(k)), "key long, n long").toArrow()
+        measured = np.bincount(found["key"].to_numpy(), found["n"].to_numpy(), minlength=k * k).reshape(k, k)
         if likelihood(measured) < best[0] - 1e-6 * abs(best[0]):
             break
         best = (likelihood(measured), now, measured)
         if part < 0:
             break
-        around = (counted.where("key >= 0").groupBy(F.floor(F.col("key") / F.lit(slots)).cast("long").alias("place"))
-                  .agg(F.collect_list(F.struct((F.col("key") % slots).cast("int").alias("slot"), "n")).alias("slots")))
-        moved = around.mapInArrow(_moves(spark.sparkContext.broadcast((measured, now.of_word))), "place long, class long").toArrow()
+        moved = counted.where("bucket >= 0").groupBy("bucket").applyInArrow(
+            W.lean_group(_moves(spark.sparkContext.broadcast((measured, now.of_word)), groups)), "place long, class long").toArrow()
         of_word = now.of_word.copy()
         of_word[moved["place"].to_numpy()] = moved["class"].to_numpy()
         now = Classes(now.types, now.of_type, of_word, k)
@@ -354,7 +401,7 @@ def train(docs: DataFrame, *, text: str = "text", shipped: int = SHIPPED, types:
     kinds.of_word = np.concatenate([np.arange(len(head)), kinds.of_ending(ending[len(head):].astype(np.int64))])
 
     only = docs.select(F.col(text).alias("text"))
-    rows = only.mapInArrow(W.lean(_counted(_type_pairs(spark.sparkContext.broadcast(kinds)))), "key long, n long").groupBy("key").agg(
+    rows = only.mapInArrow(W.lean(_counted(_type_pairs(spark.sparkContext.broadcast(kinds)), _plain)), "key long, n long").groupBy("key").agg(
         F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(size * size)  # bounded by the number of types
     pairs[rows["key"].to_numpy()] = rows["n"].to_numpy()
