@@ -63,6 +63,13 @@ class Types:
     def __post_init__(self):
         self.lookup = W.Lookup(self.words)
 
+    def __getstate__(self) -> dict:  # the lookup is larger than its keys, and built again by whoever gets them
+        return {k: v for k, v in self.__dict__.items() if k != "lookup"}
+
+    def __setstate__(self, state: dict):
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def of(self, words: W.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Type of each word, and its place in the list or -1."""
         place = self.lookup.find(hashes)
@@ -324,7 +331,7 @@ def _moves(matrix, groups: int):
         place, counts = place[met], counts[met]
         to = best_classes(both, of_word[place], counts[:, :k], counts[:, k:2 * k], counts[:, 2 * k])
         moved = to != of_word[place]
-        return pa.table({"place": place[moved], "class": to[moved]})
+        return pa.table({"place": place[moved], "class": to[moved].astype(np.int64)})
     return run
 
 
@@ -385,7 +392,8 @@ def train(docs: DataFrame, *, text: str = "text", shipped: int = SHIPPED, types:
     levels = levels_of(counts)
     total = sum(r["tokens"] for r in levels) + texts
     distinct = sum(r["words"] for r in levels) + (1 if texts else 0)
-    top = most_frequent(counts, max(shipped, clustered), levels)
+    above = sum(r["words"] for r in levels if r["level"] >= int(8 * math.log2(floor) + 1e-9))  # and some below it
+    top = most_frequent(counts, max(shipped, min(above, clustered)), levels)
     by = np.lexsort((top["word"].to_numpy(), -top["n"].to_numpy()))
     words, n, ending = (top[c].to_numpy()[by] for c in ("word", "n", "ending"))
     upto = min(clustered, int((n >= floor).sum()))
@@ -398,7 +406,7 @@ def train(docs: DataFrame, *, text: str = "text", shipped: int = SHIPPED, types:
     tail = np.sort(found["ending"].to_numpy().astype(np.int64))
     size = len(head) + len(tail) + 2
     kinds = Types(words.view(np.uint64), np.zeros(len(words), np.int64), tail, len(head) + np.arange(len(tail)), size)
-    kinds.of_word = np.concatenate([np.arange(len(head)), kinds.of_ending(ending[len(head):].astype(np.int64))])
+    kinds.of_word = np.concatenate([np.arange(len(head)), kinds.of_ending(ending[len(head):].astype(np.int64))]).astype(np.int32)
 
     only = docs.select(F.col(text).alias("text"))
     rows = only.mapInArrow(W.lean(_counted(_type_pairs(spark.sparkContext.broadcast(kinds)), _plain)), "key long, n long").groupBy("key").agg(
@@ -411,7 +419,7 @@ def train(docs: DataFrame, *, text: str = "text", shipped: int = SHIPPED, types:
     k = classes + 1
     one = np.zeros((size, k))
     one[np.arange(size), at] = 1
-    own, both = _exchange_all(only, Classes(kinds, at, at[kinds.of_word], k), one.T @ pairs @ one, len(head), upto, rounds)
+    own, both = _exchange_all(only, Classes(kinds, at, at[kinds.of_word].astype(np.int16), k), one.T @ pairs @ one, len(head), upto, rounds)
     n_class, n_before, kinds_after = both.sum(0), both.sum(1), (both > 0).sum(1)
     alone = (n_class + 1) / (n_class.sum() + k)
     # Witten-Bell: as many unseen transitions as there are kinds of seen ones.
