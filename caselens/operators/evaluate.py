@@ -74,16 +74,19 @@ def errors(df: DataFrame, *, actual: str, predicted: str) -> DataFrame:
 
 def fit_topics(
     df: DataFrame, *, text: str, k: int = 10, vocabulary: int = 1 << 14, min_docs: float = 2.0,
-    max_docs: float = 0.5, max_iter: int = 10, seed: int = 42,
+    max_docs: float = 0.5, max_iter: int = 10, seed: int = 42, round_cases: int = 4096,
 ) -> PipelineModel:
     """Latent Dirichlet allocation over word counts.
 
     Terms in fewer than ``min_docs`` or more than ``max_docs`` cases are left
-    out; below 1 the limits are shares, else numbers of cases.
+    out; below 1 the limits are shares, else numbers of cases. Of the rest the
+    ``vocabulary`` most frequent ones are used. A round reads a twentieth of
+    the cases, at least ``round_cases`` where there are as many.
     """
+    share = min(1.0, max(0.05, round_cases / max(1, df.count())))
     return Pipeline(stages=[
         CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=vocabulary, minDF=min_docs, maxDF=max_docs),
-        LDA(featuresCol="_tf", k=k, maxIter=max_iter, seed=seed, optimizer="online"),
+        LDA(featuresCol="_tf", k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=share),
     ]).fit(_tokens(df, text))
 
 

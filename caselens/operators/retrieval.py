@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from caselens.functions.text import trim_ws
 from caselens.operators.infer import Generate, generate
-from caselens.operators.vectors import Encode, assign_cells, coarse_cells, encode_with, top_k, top_k_probed
+from caselens.operators.vectors import (
+    Cells, Encode, assign_cells, calibrate_probes, coarse_cells, encode_with, top_k, top_k_probed)
 from caselens.runtime import small_enough
 from caselens.sources.tables import write_table
 
@@ -92,15 +93,23 @@ def as_documents(df: DataFrame, *, doc_id: str, content: str, source: str) -> Da
         F.create_map(F.lit("source"), F.lit(source)).alias("metadata"))
 
 
+#: Documents for which the number of cells to read is measured: about, and at most.
+CALIBRATED, MOST_CALIBRATED = 500, 4096
+
+
 def store_documents(
     encoder: PipelineModel | Callable[[], Encode], documents: DataFrame, path: str, *, append: bool = False,
-    cells: int | None = None, centres: list[list[float]] | None = None,
+    cells: int | None = None, centres: list[list[float]] | None = None, recall: float = 0.9, k: int = 5,
 ) -> list[list[float]] | None:
     """Embed documents and write, or append, them to the index table.
 
     ``encoder`` is a fitted pipeline or builds the caller's own encoder. With
     ``cells`` the index is cut into that many cells, stored apart; the centres
-    are returned, for ``retrieve`` and for appending with ``centres``.
+    are returned, for ``retrieve`` and for appending with ``centres``. They say
+    how many cells a search has to read for ``recall`` of the ``k`` best hits:
+    that is measured by exact search for about ``CALIBRATED`` of the stored
+    documents. Where questions are unlike documents, measure with questions
+    (``vectors.calibrate_probes``).
     """
     embedded = encode_with(encoder, documents, text="content")
     if cells:
@@ -108,28 +117,54 @@ def store_documents(
     elif centres:
         embedded = assign_cells(embedded, centres, vector="embedding")
     write_table(embedded, path, mode="append" if append else "overwrite", partition_by=["cell"] if centres else [])
-    return centres
+    if not cells:
+        return centres
+    stored = documents.sparkSession.read.parquet(path)
+    share = max(1, stored.count() // CALIBRATED)
+    sample = stored.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).limit(MOST_CALIBRATED)
+    return Cells(centres, calibrate_probes(
+        sample, stored, centres, query_id="doc_id", base_id="doc_id", vector="embedding", k=k, recall=recall,
+        exclude_self=True, max_queries=MOST_CALIBRATED))
 
 
 def assemble_context(
     hits: DataFrame, *, query_id: str = "query_id", rank: str = "rank", content: str = "content",
-    joiner: str = "\n\n",
+    joiner: str = "\n\n", max_chars: int | None = None,
 ) -> DataFrame:
-    """``(query_id, context)``: the retrieved chunks, best first. A query has k hits."""
+    """``(query_id, context)``: the retrieved chunks, best first. A query has k hits.
+
+    With ``max_chars`` chunks are taken whole as long as the context, joiners
+    included, stays within it; the first that does not fit and all behind it
+    are left out. A best chunk that is too long by itself is cut, so that no
+    query is left without a context.
+    """
     ordered = F.array_sort(F.collect_list(F.struct(rank, content)))
-    return (hits.groupBy(query_id).agg(ordered.alias("_hits"))
-            .select(query_id, F.array_join(F.col(f"_hits.{content}"), joiner).alias("context")))
+    whole = hits.groupBy(query_id).agg(ordered.alias("_hits")).select(query_id, F.col(f"_hits.{content}").alias("_texts"))
+    if max_chars is None:
+        return whole.select(query_id, F.array_join("_texts", joiner).alias("context"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(False).alias("full"))
+
+    def take(acc: Column, text: Column) -> Column:
+        chars = acc["chars"] + F.coalesce(F.length(text), F.lit(0)) + F.when(acc["n"] > 0, len(joiner)).otherwise(0)
+        full = acc["full"] | (chars > max_chars)
+        return F.struct((acc["n"] + F.when(full, 0).otherwise(1)).alias("n"),
+                        F.when(full, acc["chars"]).otherwise(chars).alias("chars"), full.alias("full"))
+
+    fitting = F.aggregate("_texts", start, take)["n"]
+    # The best chunk stays in any case: the cut bites only where it is alone and too long.
+    kept = F.slice("_texts", F.lit(1), F.greatest(fitting, F.lit(1)))
+    return whole.select(query_id, F.substring(F.array_join(kept, joiner), 1, max_chars).alias("context"))
 
 
 def retrieve(
     encoder: PipelineModel | Callable[[], Encode], questions: DataFrame, index: DataFrame, *, question_id: str, question: str,
-    k: int = 5, max_questions: int = 4096, centres: list[list[float]] | None = None, probes: int = 4,
+    k: int = 5, max_questions: int = 4096, centres: list[list[float]] | None = None, probes: int | None = None,
 ) -> DataFrame:
     """The k best documents per question with their content.
 
     With the ``centres`` of an index stored by cell only the ``probes`` nearest
-    cells of each question are read, so hits may be missed; without, the search
-    is exact. Up to ``max_questions`` questions have a bounded number of hits,
+    cells of each question are read (default: as many as were measured when it
+    was stored), so hits may be missed; without, the search is exact. Up to ``max_questions`` questions have a bounded number of hits,
     which are broadcast to the index; the contents are then read in place, not
     shuffled.
     """
@@ -152,14 +187,15 @@ def answer(
     factory: Callable[[], Generate],
     instruction: str = "Answer the question from the context only.",
     k: int = 5,
+    max_chars: int | None = None,
     **search,
 ) -> DataFrame:
     """Retrieve, put the context and the question into a prompt, and ask the model.
 
-    Lazy, as ``generate`` is: write the result before using it more than once.
+    ``max_chars`` bounds the context (``assemble_context``). Lazy, as ``generate`` is: write the result before using it more than once.
     """
     context = assemble_context(
-        retrieve(encoder, questions, index, question_id=question_id, question=question, k=k, **search))
+        retrieve(encoder, questions, index, question_id=question_id, question=question, k=k, **search), max_chars=max_chars)
     prompts = questions.join(context.withColumnRenamed("query_id", question_id), question_id, "left")
     prompt = F.concat(
         F.lit(instruction + "\n\nContext:\n"), F.coalesce("context", F.lit("")),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselens.functions.text import words
+from caselens.runtime import small_enough
 
 Encode = Callable[[list[str]], list[list[float]]]
 
@@ -267,6 +268,38 @@ def assign_cells(df: DataFrame, centres: list[list[float]], *, vector: str) -> D
         "cell", (F.array_position("_apart", F.array_min("_apart")) - 1).cast("int")).drop("_apart")
 
 
+class Cells(list):
+    """Centres of an index by cell, and how many cells a query has to read, as ``calibrate_probes`` measured it."""
+
+    def __init__(self, centres: list[list[float]], probes: int | None = None):
+        super().__init__(centres)
+        self.probes = probes
+
+
+def calibrate_probes(
+    sample: DataFrame, index: DataFrame, centres: list[list[float]], *, query_id: str, base_id: str, vector: str,
+    k: int = 5, recall: float = 0.9, exclude_self: bool = False, max_queries: int = 4096,
+) -> int:
+    """The least number of cells in which ``recall`` of the exact k nearest of ``sample`` lie.
+
+    ``sample`` holds at most ``max_queries`` queries. One exact search and one
+    lookup of the cells of its hits tell the recall of every number of probes.
+    """
+    if not small_enough(sample, max_queries):
+        raise ValueError(f"the sample has over {max_queries} queries")
+    exact = top_k(sample, index, query_id=query_id, base_id=base_id, vector=vector, k=k, exclude_self=exclude_self,
+                  max_queries=max_queries)
+    lying = index.select(F.col(base_id).alias("base_id"), "cell").join(F.broadcast(exact), "base_id")
+    hits = lying.select("query_id", "cell").collect()
+    if not hits:
+        return len(centres)
+    asked = sample.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).collect()
+    near = _nearest_cells(_unit([r["v"] for r in asked]), np.asarray(centres), len(centres))
+    place = {r["q"]: np.argsort(cells) for r, cells in zip(asked, near)}
+    depth = np.sort([place[h["query_id"]][h["cell"]] for h in hits])
+    return int(depth[int(np.ceil(recall * len(depth))) - 1]) + 1
+
+
 def _nearest_cells(unit: np.ndarray, centre: np.ndarray, probes: int) -> np.ndarray:
     distance = (unit ** 2).sum(axis=1)[:, None] - 2 * unit @ centre.T + (centre ** 2).sum(axis=1)
     return np.argsort(distance, axis=1, kind="stable")[:, :probes]
@@ -281,12 +314,15 @@ def top_k_probed(
     base_id: str,
     vector: str,
     k: int = 5,
-    probes: int = 4,
+    probes: int | None = None,
     max_queries: int = 4096,
     block_rows: int = 20_000,
 ) -> DataFrame:
     """Approximate top k: each query looks at its ``probes`` nearest cells only.
 
+    Without ``probes`` as many as were measured for ``centres`` (``Cells``), all
+    where none were.
+
     With the index stored by ``cell`` the other cells' files are not read, and a
     large cell needs no special care: its rows stay spread over their files.
     More than ``max_queries`` queries are matched block by block in each cell.
@@ -294,6 +330,7 @@ def top_k_probed(
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"))
     b = index.select(F.col(base_id).alias("base_id"), F.col(vector).alias("v"), "cell")
     schema = _names(queries, index, query_id, base_id)
+    probes = probes or getattr(centres, "probes", None) or len(centres)
     centre = np.asarray(centres)
     held = q.limit(max_queries + 1).collect()
     if not held:

@@ -10,7 +10,8 @@ from caselens.functions.dates import month_label, parse_date
 from caselens.operators import clean, dedup, joins, profile as profiles
 from caselens.operators.sampling import first_rows
 from caselens.plans.registry import query, table
-from caselens.runtime import spread
+from caselens.runtime import new_path, spread
+from caselens.sources.tables import append_table
 
 # The test texts hold no masks: they are planted around every text, and every
 # fiftieth text consists of masks only.
@@ -231,6 +232,29 @@ def profile_estimated(spark, sf_dir):
     return found.select("column_name", "n_rows", "n_null", "n_blank", near.alias("near"))
 
 
+@query("profile_merged", "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null,
+  count(*) FILTER (WHERE regexp_full_match(CAST({c} AS VARCHAR), '[ \\t\\n\\r]*')) AS n_blank, true AS near, true AS half FROM {_HOLED}""" for c in _PROFILED))
+def profile_merged(spark, sf_dir):
+    """Sketches of two loads, stored one behind the other and merged: distinct values and the median within their errors."""
+    docs = holed(spark, sf_dir)
+    path = new_path(spark, "sketches")
+    for load in (0, 1):
+        rows = docs.where(F.col("doc_id") % 2 == load).withColumn("load", F.lit(load))
+        append_table(profiles.sketch_profile(rows, by=["load"], columns=_PROFILED), path)
+    merged = profiles.merged_profile(spark.read.parquet(path), quantiles=[0.5])
+    true = profiles.profile(docs, columns=_PROFILED, exact=True).select("column_name", F.col("n_distinct").alias("true"))
+    median = F.col("quantiles")[0]
+    ranked = docs.select("n_chars").join(
+        F.broadcast(merged.where("column_name = 'n_chars'").select(median.alias("m"))), F.lit(True)).agg(
+        ((F.count_if(F.col("n_chars") < F.col("m")) <= 0.54 * F.count("n_chars"))
+         & (F.count_if(F.col("n_chars") <= F.col("m")) >= 0.46 * F.count("n_chars"))).alias("half"))
+    near = F.abs(F.col("n_distinct") - F.col("true")) <= 0.07 * F.col("true") + 1
+    half = F.when(F.col("column_name") == "n_chars", F.col("half")).otherwise(F.col("quantiles").isNull())
+    return (merged.join(F.broadcast(true), "column_name").join(F.broadcast(ranked), F.lit(True))
+            .select("column_name", "n_rows", "n_null", "n_blank", near.alias("near"), half.alias("half")))
+
+
 @query("parity", """
 SELECT (SELECT count(*) FROM documents) AS left_rows, (SELECT count(*) FROM labels) AS right_rows,
   (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS only_left,

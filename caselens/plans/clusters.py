@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.operators import clusters, evaluate, graph, hierarchy, spanning, vectors
-from caselens.plans.registry import query, table
-from caselens.runtime import spread
+from caselens.operators import clusters, components, evaluate, graph, hierarchy, spanning, vectors
+from caselens.plans.registry import SQL, query, table
+from caselens.runtime import new_path, spread
 
 CELL, DIMS, MIN_PTS, MIN_SIZE = 0.1, 3, 5, 30
 
@@ -99,6 +99,17 @@ def connected_parts(spark, sf_dir):
     return graph.components(links.where("dst IS NOT NULL"))
 
 
+@query("components_appended", SQL["connected_parts"])
+def components_appended(spark, sf_dir):
+    """The same links in three loads, each joined to what was stored before."""
+    following = F.lead("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), following.alias("dst"))
+    store = components.ComponentStore(spark, new_path(spark, "components"))
+    for load in range(3):
+        store.append(links.where(F.pmod(F.xxhash64("src"), F.lit(3)) == load), load=load)
+    return store.read()
+
+
 _LABELLED = """
 c AS (SELECT vec_id, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster FROM embeddings)"""
 
@@ -310,6 +321,38 @@ def classify_coverage(spark, sf_dir):
                     F.count_if(strange).alias("n_strange"))
 
 
+def _drawn(stem, words: int, n: int) -> list:
+    """``n`` draws from the words of a stem, by a hash of the document's id."""
+    stem = F.lit(stem) if isinstance(stem, str) else stem
+    return [F.concat(stem, F.lit("word"), F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(words)).cast("string")) for i in range(n)]
+
+
+@query("classify_planted", "SELECT count(*) AS n_cases, true AS right FROM documents")
+def classify_planted(spark, sf_dir):
+    """One word among all others tells the class: held-out cases must get theirs."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id"))
+    kind = F.concat(F.lit("kind"), (F.col("doc_id") % 3).cast("string"))
+    cases = docs.select("doc_id", kind.alias("kind"), F.concat_ws(" ", F.concat(F.lit("mark"), kind), *_drawn("any", 40, 10)).alias("text"))
+    train, test = evaluate.hash_split(cases, case_id="doc_id")
+    model = evaluate.fit_classifier(train, text="text", label="kind")
+    told = evaluate.classify(model, test, text="text").select((F.col("predicted") == F.col("kind")).alias("hit"))
+    both = told.unionByName(train.select(F.lit(None).cast("boolean").alias("hit")))
+    return both.agg(F.count("*").alias("n_cases"), (F.count_if("hit") >= 0.95 * F.count("hit")).alias("right"))
+
+
+@query("topics_planted", """
+SELECT doc_id % 4 AS planted, count(*) AS n, true AS found FROM documents GROUP BY 1""")
+def topics_planted(spark, sf_dir):
+    """Texts of four sets of words, eight topics: each set has a topic of its own, which nearly all its texts get."""
+    place = F.concat(F.lit("set"), (F.col("doc_id") % 4).cast("string"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", F.concat_ws(" ", *_drawn(place, 12, 30)).alias("text"))
+    model = evaluate.fit_topics(docs, text="text", k=8, max_iter=20)
+    cells = evaluate.topic_of(model, docs, text="text").groupBy((F.col("doc_id") % 4).alias("planted"), "topic").agg(F.count("*").alias("c"))
+    tops = cells.groupBy("planted").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("topic", "c").alias("topic"))
+    own = F.count("*").over(Window.partitionBy("topic")) == 1
+    return tops.select("planted", "n", (own & (F.col("top") >= 0.9 * F.col("n"))).alias("found"))
+
+
 @query("topic_model")
 def topic_model(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

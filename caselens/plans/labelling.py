@@ -16,7 +16,7 @@ from caselens.functions.themes import accept_theme
 from caselens.operators import infer, joins, sampling, tags as tagging, themes, trends
 from caselens.plans.registry import query, table
 from caselens.runtime import new_path, spread
-from caselens.sources.tables import parse_replies, write_table
+from caselens.sources.tables import parse_replies, parse_variants, variant_fields, write_table
 
 _WS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 
@@ -369,3 +369,18 @@ def json_replies(spark, sf_dir):
     reply = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("Tags: none")
     parsed = parse_replies(events.select("event_id", reply.alias("reply")), reply="reply", schema="k int")
     return parsed.select("event_id", F.coalesce("parsed.k", F.lit(-1)).alias("k"))
+
+
+@query("variant_replies", """
+SELECT event_id, event_id % 5 <> 3 AS is_json,
+  CASE event_id % 5 WHEN 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) WHEN 1 THEN event_id ELSE -1 END AS k,
+  CASE WHEN event_id % 5 = 2 THEN '"many"' END AS misfit FROM events""")
+def variant_replies(spark, sf_dir):
+    """Replies whose field is a number, a number as text, a word, null, or that are no JSON."""
+    kind = F.col("event_id") % 5
+    reply = (F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit('{"k": "'), "event_id", F.lit('"}')))
+             .when(kind == 2, '{"k": "many", "z": [1, 2]}').when(kind == 3, "Tags: none").otherwise('{"k": null}'))
+    replies = parse_variants(table(spark, sf_dir, "events").select("event_id", reply.alias("reply")), reply="reply")
+    found = variant_fields(replies, fields={"k": "bigint", "z": "array<int>"})
+    return found.select("event_id", F.col("value").isNotNull().alias("is_json"),
+                        F.coalesce("k", F.lit(-1)).alias("k"), F.col("misfits")["k"].alias("misfit"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from caselens.operators import codes, neighbours, retrieval, vectors
 from caselens.plans.registry import SQL, query, table
 from caselens.plans.trends import month_state_docs
 from caselens.runtime import materialize, new_path, spread
+from caselens.sources.tables import load_model, save_model
 
 
 @query("chunk_windows", """
@@ -154,6 +157,20 @@ def assemble_context(spark, sf_dir):
     return retrieval.assemble_context(hits)
 
 
+@query("context_capped", """
+WITH r AS (
+  SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+s AS (SELECT *, sum(length(text)) OVER (PARTITION BY source ORDER BY rank) + 2 * (rank - 1) AS upto FROM r WHERE rank <= 5)
+SELECT source AS query_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY rank), 1, 30000) AS context
+FROM s WHERE upto <= 30000 OR rank = 1 GROUP BY source""")
+def context_capped(spark, sf_dir):
+    """Whole passages as far as they fit; a best one that is too long by itself is cut."""
+    order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    hits = (table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+            .select(F.col("source").alias("query_id"), "rank", F.col("text").alias("content")))
+    return retrieval.assemble_context(hits, max_chars=30_000)
+
+
 def _index(spark: SparkSession, sf_dir: str):
     """Chunks of all documents and the sentences of the topic summary, embedded and stored."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -238,3 +255,73 @@ def answer_questions(spark, sf_dir):
     questions = table(spark, sf_dir, "benchmark").select("item_id", "text")
     return retrieval.answer(
         model, questions, index, question_id="item_id", question="text", factory=lambda: context_size_model())
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def alphabet_encoder():
+    """A stand-in for the caller's encoder: how often each letter occurs."""
+    return lambda texts: [[float(t.count(c) + t.count(c.upper())) for c in ALPHABET] for t in texts]
+
+
+def context_digest_model():
+    """A stand-in model: the digest of the context it was given."""
+    def reply(prompt: str) -> str:
+        context = prompt.split("Context:\n", 1)[1].rsplit("\n\nQuestion: ", 1)[0]
+        return hashlib.md5(context.encode()).hexdigest()
+    return lambda prompts: [reply(p) for p in prompts]
+
+
+_LETTERS = "[" + ", ".join(
+    f"CAST(length(text) - length(replace(replace(text, '{c}', ''), '{c.upper()}', '')) AS DOUBLE)" for c in ALPHABET) + "]"
+
+
+@query("answers_checked", f"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS base_id, text, {_LETTERS} AS v FROM documents),
+q AS (SELECT item_id, {_LETTERS} AS v FROM benchmark),
+s AS (
+  SELECT item_id, base_id, d.text, CASE WHEN list_sum(d.v) = 0 OR list_sum(q.v) = 0 THEN 0.0
+    ELSE list_dot_product(q.v, d.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(d.v, d.v)) END AS score FROM q, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, base_id) AS rank FROM s),
+u AS (SELECT *, sum(length(text)) OVER (PARTITION BY item_id ORDER BY rank) + 2 * (rank - 1) AS upto FROM r WHERE rank <= 3)
+SELECT item_id, md5(substr(string_agg(text, chr(10) || chr(10) ORDER BY rank), 1, 2000)) AS output, 'ok' AS status
+FROM u WHERE upto <= 2000 OR rank = 1 GROUP BY item_id""")
+def answers_checked(spark, sf_dir):
+    """From question to reply: the model must have been shown the very passages that the SQL finds."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    path = new_path(spark, "answers")
+    retrieval.store_documents(
+        alphabet_encoder, retrieval.as_documents(docs, doc_id="doc_id", content="text", source="documents"), path)
+    questions = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    replies = retrieval.answer(
+        alphabet_encoder, questions, spark.read.parquet(path), question_id="item_id", question="text", k=3, max_chars=2000,
+        factory=lambda: context_digest_model())
+    return replies.select("item_id", "output", "status")
+
+
+@query("retrieve_default_cells", "SELECT 5 * count(*) AS n_exact, true AS high, true AS few FROM benchmark")
+def retrieve_default_cells(spark, sf_dir):
+    """An index of 32 cells, read as deeply as was measured when it was stored: 0.9 of the hits without reading every cell."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    texts = retrieval.as_documents(docs, doc_id="doc_id", content="text", source="documents")
+    path = new_path(spark, "cells")
+    centres = retrieval.store_documents(letters_encoder, texts, path, cells=32, recall=0.97)
+    index = spark.read.parquet(path)
+    questions = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    ask = {"question_id": "item_id", "question": "text"}
+    exact = retrieval.retrieve(letters_encoder, questions, index, **ask)
+    found = vectors.recall(exact, retrieval.retrieve(letters_encoder, questions, index, centres=centres, **ask))
+    return found.select("n_exact", (F.col("recall") >= 0.9).alias("high"), F.lit(centres.probes < 32).alias("few"))
+
+
+@query("saved_encoder", "SELECT count(*) AS n_cases, count(*) AS n_same FROM documents")
+def saved_encoder(spark, sf_dir):
+    """A fitted encoder, stored and loaded again, gives the same vectors."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = vectors.fit_text_encoder(docs, text="text")
+    path = new_path(spark, "encoder")
+    save_model(model, path)
+    once = vectors.encode_text(model, docs, text="text", output="fitted")
+    both = vectors.encode_text(load_model(path), once, text="text", output="loaded")
+    return both.agg(F.count("*").alias("n_cases"), F.count_if(F.col("fitted") == F.col("loaded")).alias("n_same"))

@@ -111,3 +111,46 @@ def series_scan(spark, sf_dir):
     tables.write_table(events, path)
     found = tables.read_series(spark, path, start="2024-01-05", end="2024-01-20")
     return found.groupBy("series").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value"))
+
+
+@query("places_file", """
+SELECT lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS zip, concat('Port "', c_name, '", ', c_custkey) AS city,
+  CASE WHEN c_nationkey > 0 THEN CAST(c_nationkey AS VARCHAR) END AS state_id FROM customer""")
+def places_file(spark, sf_dir):
+    """A file of places: codes keep their leading zeros, names their quotes and commas, missing states are null."""
+    path = new_path(spark, "places")
+    state = F.when(F.col("c_nationkey") > 0, F.col("c_nationkey").cast("string")).otherwise("N/A")
+    places = table(spark, sf_dir, "customer").select(
+        F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("zip"),
+        F.concat(F.lit('Port "'), "c_name", F.lit('", '), "c_custkey").alias("city"), state.alias("state_id"))
+    tables.write_table(places, path, fmt="csv")
+    return tables.read_places(spark, path)
+
+
+@query("whole_texts", """
+SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars,
+  CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents GROUP BY source""")
+def whole_texts(spark, sf_dir):
+    """All texts in a few files per source, each read as one document."""
+    path = new_path(spark, "texts")
+    table(spark, sf_dir, "documents").select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    files = tables.read_text_files(spark, path).select(
+        F.regexp_extract("source", "source=([^/]+)", 1).alias("source"), F.length("content").alias("chars"),
+        (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))).alias("lines"))
+    return files.groupBy("source").agg(F.sum("chars").alias("n_chars"), F.sum("lines").alias("n_lines"))
+
+
+@query("stream_first_of_session", """
+WITH e AS (SELECT event_id, ts, concat(user_id, ' ', event_type) AS t FROM events),
+g AS (SELECT *, coalesce(ts - lag(ts) OVER w <= INTERVAL 6 HOUR, false) AS again FROM e WINDOW w AS (PARTITION BY t ORDER BY ts, event_id)),
+s AS (SELECT *, count(*) FILTER (WHERE NOT again) OVER (PARTITION BY t ORDER BY ts, event_id) AS no FROM g)
+SELECT t, min(event_id) FILTER (WHERE NOT again) AS event_id, count(*) AS n_copies FROM s GROUP BY t, no
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_first_of_session(spark, sf_dir):
+    """The first of the events of a user and type that follow each other within six hours; the last sessions are still open."""
+    path = new_path(spark, "stream")
+    events = arriving(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "user_id", "event_type").alias("t"))
+    firsts = streams.first_of_session(events, text="t", time="ts", case_id="event_id", gap="6 hours", columns=["t"])
+    streams.drain(firsts, path=f"{path}/out", checkpoint=f"{path}/state")
+    return spark.read.schema(firsts.schema).parquet(f"{path}/out").select("t", "event_id", "n_copies")

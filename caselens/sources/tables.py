@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -58,9 +58,14 @@ def read_places(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_series(spark: SparkSession, path: str, *, start: str, end: str) -> DataFrame:
-    """Staged long table ``(series, ts, value)`` between two dates, both included."""
+    """Staged long table ``(series, ts, value)`` between two dates, both included.
+
+    The range is one of ``ts`` itself, so files and row groups outside are not read.
+    """
     table = spark.read.parquet(path)
-    return table.where(F.to_date("ts").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    kind = table.schema["ts"].dataType
+    after = F.date_add(F.to_date(F.lit(end)), 1)
+    return table.where((F.col("ts") >= F.to_date(F.lit(start)).cast(kind)) & (F.col("ts") < after.cast(kind)))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -84,6 +89,37 @@ def parse_replies(df: DataFrame, *, reply: str, schema: str, output: str = "pars
     return df.withColumn(output, F.from_json(reply, schema, {"mode": "PERMISSIVE"}))
 
 
+def parse_variants(df: DataFrame, *, reply: str, output: str = "value") -> DataFrame:
+    """JSON replies of any shape as VARIANT; null where a reply is no JSON."""
+    return df.withColumn(output, F.try_parse_json(reply))
+
+
+def variant_schema(df: DataFrame, *, value: str = "value") -> str:
+    """The one schema that covers all replies; a field of several types is VARIANT there."""
+    return df.agg(F.schema_of_variant_agg(value)).first()[0]
+
+
+def variant_fields(
+    df: DataFrame, *, fields: Mapping[str, str], value: str = "value", misfits: str = "misfits",
+) -> DataFrame:
+    """A column of the given type per field, read from a VARIANT object.
+
+    A field that is there but does not fit its type is null, and kept as JSON
+    text in the map ``misfits`` (name to text, empty where all fit); a missing
+    field and a JSON null are null only.
+    """
+    typed, kept = {}, []
+    for name, kind in fields.items():
+        if set(name) & set('"\\'):
+            raise ValueError(f"a VARIANT path cannot name the field {name}")
+        path = f'$["{name}"]'
+        raw = F.try_variant_get(value, path, "variant")
+        typed[name] = F.try_variant_get(value, path, kind)
+        bad = raw.isNotNull() & ~F.is_variant_null(raw) & typed[name].isNull()
+        kept.append(F.when(bad, F.struct(F.lit(name).alias("key"), F.to_json(raw).alias("value"))))
+    return df.withColumns({misfits: F.map_from_entries(F.array_compact(F.array(*kept))), **typed})
+
+
 def write_table(df: DataFrame, path: str, *, mode: str = "overwrite", fmt: str = "parquet",
                 partition_by: Sequence[str] = ()) -> None:
     """Write a table. CSV has a header and doubles its quotes, as ``read_cases`` expects."""

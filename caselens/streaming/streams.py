@@ -46,6 +46,27 @@ def stream_dedup_within(stream: DataFrame, *, text: str, time: str, within: str)
     return keyed.withWatermark(time, within).dropDuplicatesWithinWatermark(["digest"])
 
 
+def first_of_session(
+    cases: DataFrame, *, text: str, time: str, case_id: str, gap: str, lateness: str = "1 day", columns: Sequence[str] = (),
+) -> DataFrame:
+    """First row of the copies of a text that follow each other within ``gap``: ``digest, n_copies``, the key, ``time``, ``columns``.
+
+    First is the earliest ``time``, ties to the least key, whatever the order of
+    arrival within ``lateness``. The same rows from a table and from a stream: a
+    stream gives those of sessions that ended behind the watermark and then
+    forgets them, so its state holds one row per text of the last ``lateness``
+    and ``gap`` (append output, ``drain``). Rows later than that are dropped, as
+    by every watermark. ``time`` is a timestamp; null texts and times are left out.
+    """
+    keyed = cases.where(F.col(text).isNotNull() & F.col(time).isNotNull()).withColumn("digest", digest(text))
+    if cases.isStreaming:
+        keyed = keyed.withWatermark(time, lateness)
+    row = F.struct(*dict.fromkeys((case_id, time, *columns)))
+    first = F.min_by(row, F.struct(time, case_id))
+    return (keyed.groupBy(F.session_window(time, gap), "digest")
+            .agg(first.alias("_first"), F.count("*").alias("n_copies")).select("digest", "n_copies", "_first.*"))
+
+
 def stream_topic_counts(
     stream: DataFrame, *, tag: str, time: str, case_id: str, window: str | None = None,
     slide: str | None = None, lateness: str = "1 day",

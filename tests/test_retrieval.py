@@ -114,3 +114,30 @@ def test_registered_probes_reach_the_recall(spark):
     from caselens.plans.retrieval import topk_recall
 
     assert topk_recall(spark, "/root/testdata/sf0.01").first()["recall"] >= 0.9
+
+
+def test_context_stays_within_its_length(spark):
+    hits = spark.createDataFrame(
+        [(1, 1, "aaaa"), (1, 2, "bbb"), (1, 3, "c"), (2, 1, "dddddddddddddd"), (2, 2, "e"), (3, 2, "gg"), (3, 1, "ff")],
+        "query_id int, rank int, content string")
+    ask = lambda n: {r.query_id: r.context for r in retrieval.assemble_context(hits, max_chars=n).collect()}
+    assert ask(9) == {1: "aaaa\n\nbbb", 2: "ddddddddd", 3: "ff\n\ngg"}
+    # The second one does not fit; nothing behind it is taken either.
+    assert ask(8) == {1: "aaaa", 2: "dddddddd", 3: "ff\n\ngg"}
+    assert ask(100)[1] == "aaaa\n\nbbb\n\nc" and ask(5)[3] == "ff"
+
+
+def test_probes_are_measured(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    index, centres = vectors.coarse_cells(df, vector="v", cells=12)
+    index = index.cache()
+    sample, names = df.where("id % 10 = 0"), dict(query_id="id", base_id="id", vector="v", k=5)
+    probes = vectors.calibrate_probes(sample, index, centres, recall=0.9, **names)
+    exact = vectors.top_k(sample, df, **names)
+    reached = lambda p: vectors.recall(exact, vectors.top_k_probed(sample, index, centres, probes=p, **names)).first().recall
+    assert reached(probes) >= 0.9 and (probes == 1 or reached(probes - 1) < 0.9)
+    default = vectors.top_k_probed(sample, index, vectors.Cells(centres, probes), **names)
+    assert vectors.recall(exact, default).first().recall == reached(probes)
+    assert vectors.recall(exact, vectors.top_k_probed(sample, index, centres, **names)).first().recall == 1.0
