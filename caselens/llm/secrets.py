@@ -73,6 +73,7 @@ LEAST_RANDOM, LEVEL, FALSE_SHARE = 20, 0.001, 0.01
 #: Weight of the single characters against the pairs that begin with a character.
 _BACK_OFF = 10.0
 _BINS = 400  # of -10 * log10(p)
+_BLOCK = 1 << 16  # characters
 
 
 def _tail(z: float) -> float:
@@ -83,13 +84,14 @@ def battery(value: bytes) -> tuple[int, int, bool] | None:
     """``(alphabet, coincidences, random)`` of a string: pairs of equal characters, and whether no test speaks against
     even draws. None if there is no alphabet for it or it is all digits."""
     raw = np.frombuffer(value, np.uint8)
-    ranks = _RANK[:, raw]
-    fitting = np.flatnonzero((ranks >= 0).all(axis=1))
-    if not len(fitting) or (raw <= 0x39).all():
+    seen = np.bincount(raw, minlength=256)
+    fitting = np.flatnonzero((_RANK[:, seen > 0] >= 0).all(axis=1))
+    if not len(fitting) or not seen[0x3A:].any():
         return None
     kind = int(fitting[0])
-    rank, n, k = ranks[kind], len(raw), len(ALPHABETS[kind][1])
-    counts = np.bincount(rank, minlength=k)
+    n, k = len(raw), len(ALPHABETS[kind][1])
+    rank = _RANK[kind].astype(np.uint8)[raw]
+    counts = seen[list(ALPHABETS[kind][1])]
     pairs = int((counts * (counts - 1)).sum())  # chi-squared is k / n * (pairs + n) - n
     z_chi = (pairs - n * (n - 1) / k) / math.sqrt(2 * n * (n - 1) * (1 / k - 1 / k**2))
     high = rank >= k / 2
@@ -101,9 +103,15 @@ def battery(value: bytes) -> tuple[int, int, bool] | None:
     mean = 2 * a * b / n + 1
     spread = (mean - 1) * (mean - 2) / (n - 1)
     z_runs = (runs - mean) / math.sqrt(spread) if spread > 0 else 0.0
-    centred = rank - rank.mean()
-    power = float((centred * centred).sum())
-    serial = float((centred[1:] * centred[:-1]).sum()) / power if power else 1.0
+    # Whole sums, block by block: a long string costs a few bytes a character.
+    places = np.arange(k)
+    total, squares = int((counts * places).sum()), int((counts * places * places).sum())
+    following = sum(int(rank[i:i + _BLOCK].astype(np.int64) @ rank[i + 1:i + 1 + _BLOCK].astype(np.int64)) if i + _BLOCK < n
+                    else int(rank[i:n - 1].astype(np.int64) @ rank[i + 1:].astype(np.int64)) for i in range(0, n, _BLOCK))
+    # Both sums of squares and products around the mean, times n.
+    power = n * squares - total * total
+    product = n * following - total * (2 * total - int(rank[0]) - int(rank[-1])) + total * total * (n - 1) / n
+    serial = product / power if power else 1.0
     z_serial = (serial + 1 / n) * math.sqrt(n)
     return kind, pairs, all(2 * _tail(abs(z)) >= LEVEL for z in (z_chi, z_runs, z_serial))
 
