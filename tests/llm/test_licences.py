@@ -31,11 +31,34 @@ def test_held_out_notices(model):
     ("Licensed under the Apache License, Version 2.0 (the \"License\");", "apache"), ("Released under the MIT License.", "mit"),
     ("Copyright 2011 Somebody. All rights reserved.", "proprietary"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
     ("Licensed under the Wobble Frob License 3.1.", "unknown"), ("He renewed his fishing licence in May.", None), ("", None),
-    ("the rights of all and the version of this work", None)])
+    ("the rights of all and the version of this work", None),
+    ("MIT License", "mit"), ("The MIT License (MIT)", "mit"), ("SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache"),
+    ("BSD 3-Clause License", "bsd"), ("GNU General Public License", "gpl"), ("Apache License", "apache"), ("Licensed under GPLv3", "gpl"),
+    ("Mozilla Public License Version 2.0", "mpl"), ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"),
+    ("it under the terms of the GNU General Public License as published by", "gpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
+    ("it under the terms of the GNU Affero General Public License as published by", "agpl"),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+    # Wording that is in no template.
+    ("This file may be used under the terms of the MIT licence only", "mit"), ("see the file COPYING; this is covered by the GNU General Public Licence", "gpl"),
+    ("// Dual licensed software, pick the Apache License if you prefer", "apache"), ("documentation is under Creative Commons Attribution 4.0, see the web site", "cc-by")])
 def test_examples(model, text, family):
     assert classify(model, text) == ([family] if family else [])
 
 
+def test_long_lines(model, vocabulary, rng):
+    before, between = " ".join(vocabulary(300)), " ".join(vocabulary(60))
+    assert classify(model, f"{before} released under the MIT License {between} licensed under the Apache License, Version 2.0 {before}") == ["mit", "apache"]
+    assert classify(model, "Released under the MIT License, parts are licensed under CC BY-NC 4.0.") == ["mit", "cc-by-nc"]
+    assert classify(model, before + " " + between) == []
+
+
+def test_words_of_licences_in_any_order(model, rng):
+    words = "terms under software version public general the of this work source copy use file free person notice and or to a is".split()
+    found = [classify(model, " ".join(rng.choice(words) for _ in range(400))) for _ in range(20)]
+    assert sum(bool(f) for f in found) <= 2, found
+
+
 def test_families_are_confirmed_by_a_template(model):
     """What reads like a family but holds no template of it is unknown."""
     bare = licences.Model(model.features, model.weights, model.constant, model.temperature, [[] for _ in licences.CLASSES])
