@@ -245,7 +245,8 @@ def fit(ordinary: list[str], *, per_class: int = 240, rounds: int = 250, rate: f
         words = _spelt(_word_hashes(text)).tolist()
         if not any(t.find(words, set(words)) for ts in templates for t in ts):
             cut = text.split()
-            plain += [" ".join(cut[i:i + WINDOW]) for i in range(0, min(len(cut), 3 * WINDOW), WINDOW)][:3]
+            at = WINDOW * (len(plain) % max(1, len(cut) // WINDOW))  # one window, from anywhere in it
+            plain.append(" ".join(cut[at:at + WINDOW]))
     texts, classes = notices(rng, per_class)
     texts += plain
     classes += [OTHER] * len(plain)
@@ -263,18 +264,20 @@ def fit(ordinary: list[str], *, per_class: int = 240, rounds: int = 250, rate: f
     out = np.arange(len(texts)) % 4 == 3
     weight = (1 / y[~out].sum(0).clip(1))[y[~out].argmax(1)]
     weight = (weight / weight.sum())[:, None].astype(np.float32)
-    w, b = np.zeros((len(keys), len(CLASSES))), np.zeros(len(CLASSES))
+    w, b = np.zeros((len(keys), len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
+    seen, target = x[~out], y[~out]
+    turned = np.ascontiguousarray(seen.T)
     m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
     for t in range(1, rounds + 1):
-        gap = (_softmax(x[~out] @ w + b) - y[~out]) * weight
-        for k, (p, g) in enumerate(((w, x[~out].T @ gap + decay * w), (b, gap.sum(0)))):
+        gap = (_softmax(seen @ w + b) - target) * weight
+        for k, (p, g) in enumerate(((w, turned @ gap + decay * w), (b, gap.sum(0)))):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             p -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     scores, truth = x[out] @ w + b, y[out].argmax(1)
     loss = lambda t: -np.log(_softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean()
     temperature = min(np.geomspace(0.1, 10, 60), key=loss)
-    return Model(lookup, w, b, float(temperature), templates)
+    return Model(lookup, w.astype(np.float64), b.astype(np.float64), float(temperature), templates)
 
 
 @dataclass
