@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from caselens.operators import dedup, graph, joins
@@ -128,6 +129,33 @@ def test_components(spark):
     assert graph.components(df.where("src = 5")).count() == 0
 
 
+def test_components_by_ranges(spark):
+    """Tasks join ranges of links: chains, hubs, rings and random links, of numbers and of texts."""
+    rng = random.Random(8)
+    ids = rng.sample(range(10_000, 99_999), 900)
+    chain, hub, ring, loose = ids[:300], ids[300:500], ids[500:600], ids[600:]
+    edges = list(zip(chain, chain[1:])) + [(max(hub), h) for h in hub] + list(zip(ring, ring[1:] + ring[:1]))
+    edges += [tuple(rng.sample(loose, 2)) for _ in range(180)]
+    rng.shuffle(edges)
+    least = {}
+    for a, b in edges:
+        group = {k for k in least if least[k] in (least.get(a, a), least.get(b, b))} | {a, b}
+        least |= dict.fromkeys(group, min(group))
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    for one_task, task_rows in ((0, 40), (0, 10_000), (100, 40)):
+        got = graph.components(df, one_task=one_task, task_rows=task_rows, hot_rows=100)
+        assert sorted(map(tuple, got.collect())) == sorted(least.items())
+    got = graph.components(df.select(F.col("src").cast("string"), F.col("dst").cast("string")), one_task=0, task_rows=40)
+    assert sorted(map(tuple, got.collect())) == sorted((str(k), str(v)) for k, v in least.items())
+
+
+def test_long_chains_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_large_star", lambda *_, **__: pytest.fail("a round of stars"))
+    links = spark.range(40_000).select(F.col("id").alias("src"), (F.col("id") + 4).alias("dst"))
+    got = graph.components(links, one_task=5_000).groupBy("component").count()
+    assert sorted(map(tuple, got.collect())) == [(i, 10_001) for i in range(4)]
+
+
 def test_salted_lookup_equals_the_plain_join(spark):
     facts = spark.range(1000).select(
         "id", F.when(F.col("id") % 10 < 7, F.lit(1)).when(F.col("id") % 10 == 7, F.lit(None)).otherwise(F.col("id")).alias("k"))
