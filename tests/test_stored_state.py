@@ -116,3 +116,13 @@ def test_series_range_reaches_the_scan(spark):
     found = tables.read_series(spark, path, start="1970-01-02", end="1970-01-03")
     assert sorted(r.value for r in found.collect()) == [1, 2]
     assert "GreaterThanOrEqual(ts" in found._jdf.queryExecution().toString() and "LessThan(ts" in found._jdf.queryExecution().toString()
+
+
+def test_large_loads_need_no_rounds(spark, monkeypatch, tmp_path):
+    """Loads above what one task joins are cut down by ranges: no round, and no lookup table of a round, is sent about."""
+    monkeypatch.setattr(graph, "_large_star", lambda *_, **__: pytest.fail("a round of stars"))
+    store = ComponentStore(spark, str(tmp_path / "store"))
+    links = spark.range(140_000).select(F.col("id").alias("src"), (F.col("id") + 2).alias("dst"))
+    for load in range(2):
+        store.append(links.where(F.pmod(F.floor(F.col("src") / 2), F.lit(2)) == load), load=load)
+    assert sorted(map(tuple, store.read().groupBy("component").count().collect())) == [(0, 70_001), (1, 70_001)]
