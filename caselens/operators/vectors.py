@@ -20,6 +20,12 @@ from caselens.runtime import small_enough
 
 Encode = Callable[[list[str]], list[list[float]]]
 
+#: Scores that are held at once.
+SCORES = 4_000_000
+#: Rows of a side that meet the other side's in one task; queries of them that are scored together; parts that smaller sides
+#: are cut into for the sake of the cores.
+TILE_ROWS, TILE_QUERIES, TILE_PARTS = 20_000, 2_000, 8
+
 
 def encode(
     df: DataFrame, *, case_id: str, text: str, factory: Callable[[], Encode], batch_size: int = 64,
@@ -118,7 +124,7 @@ class _Best:
         self.n_found = 0
 
     def add(self, base_ids: np.ndarray, b: np.ndarray) -> _Best:
-        step = max(64, 4_000_000 // len(self.q))  # bounds the score matrix
+        step = max(64, SCORES // len(self.q))  # bounds the score matrix
         for start in range(0, len(b), step):
             part = b[start:start + step]
             rough = self.rough_q @ part.astype(np.float32).T
@@ -216,11 +222,17 @@ def _scan(base: DataFrame, held: list, k: int, schema: str) -> DataFrame:
 def _blocks(queries: DataFrame, base: DataFrame, k: int, block_rows: int, schema: str) -> DataFrame:
     """Match every query with the base rows of its cell.
 
-    Cells are cut into blocks of about ``block_rows`` queries and base rows by
-    a hash of the key; each pair of blocks is one task, however full a cell is.
+    Cells are cut into tiles of queries and of base rows by a hash of the key;
+    each pair of tiles is one task, however full a cell is. A tile holds about
+    ``block_rows`` rows, more (``TILE_ROWS``) where that makes over
+    ``TILE_PARTS`` of them, as every row goes to each tile of the other side.
+    A task scores at most ``block_rows`` queries together.
     """
+    together = min(block_rows, TILE_QUERIES)
+
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+        few, many = (F.ceil(F.count("*") / rows) for rows in (max(block_rows, TILE_ROWS), block_rows))
+        return df.groupBy("cell").agg(F.greatest(few, F.least(many, F.lit(TILE_PARTS))).cast("int").alias(name))
 
     # One row per cell; cells that only one side has match nothing.
     sizes = F.broadcast(blocks(queries, "n_q").join(blocks(base, "n_b"), "cell"))
@@ -240,8 +252,9 @@ def _blocks(queries: DataFrame, base: DataFrame, k: int, block_rows: int, schema
     def match(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or bs.empty:
             return pd.DataFrame({"query_id": qs["query_id"][:0], "base_id": bs["base_id"][:0], "score": []})
-        best = _Best(qs["query_id"].to_numpy(), _unit(qs["v"]), k)
-        return best.add(bs["base_id"].to_numpy(), _unit(bs["v"])).result()
+        ids, q, base_ids, b = qs["query_id"].to_numpy(), _unit(qs["v"]), bs["base_id"].to_numpy(), _unit(bs["v"])
+        parts = [slice(at, at + together) for at in range(0, len(q), together)]
+        return pd.concat([_Best(ids[part], q[part], k).add(base_ids, b).result() for part in parts], ignore_index=True)
 
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(match, schema)
 

@@ -40,6 +40,18 @@ def test_top_k_both_ways(spark, cloud):
     assert vectors.top_k(queries.limit(0), base, **args).count() == 0
 
 
+def test_blocks_are_not_sent_to_every_small_block(spark):
+    """Rows of a side go to a few tiles of the other, however small the blocks that are scored together."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((1_500, 8))
+    df, base = (frame(spark, x).select(F.col("id").alias(name), "v", F.lit(0).alias("cell")) for name in ("query_id", "base_id"))
+    partial = vectors._blocks(df, base, 3, 10, "query_id long, base_id long, score double")
+    assert partial.count() <= 1_500 * 3 * vectors.TILE_PARTS
+    got = ranked(vectors._merged(partial, 3))
+    whole = vectors.top_k(df, base, query_id="query_id", base_id="base_id", vector="v", k=3)
+    assert got == ranked(whole)
+
+
 def test_probing(spark, cloud):
     base, queries = frame(spark, cloud), frame(spark, cloud[:40])
     index, centres = vectors.coarse_cells(base, vector="v", cells=6)
