@@ -21,7 +21,7 @@ from caselens.runtime import small_enough
 Encode = Callable[[list[str]], list[list[float]]]
 
 #: Scores that are held at once.
-SCORES = 4_000_000
+SCORES = 1 << 20
 #: Rows of a side that meet the other side's in one task; queries of them that are scored together; parts that smaller sides
 #: are cut into for the sake of the cores.
 TILE_ROWS, TILE_QUERIES, TILE_PARTS = 20_000, 2_000, 8

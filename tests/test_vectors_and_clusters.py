@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,17 @@ def test_blocks_are_not_sent_to_every_small_block(spark):
     assert got == ranked(whole)
 
 
+def test_scores_held_at_once_are_bounded():
+    rng = np.random.default_rng(2)
+    q, b = (vectors._unit(list(rng.standard_normal((n, 8)))) for n in (vectors.TILE_QUERIES, 20_000))
+    best = vectors._Best(np.arange(len(q)), q, 5)
+    tracemalloc.start()
+    best.add(np.arange(len(b)), b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and len(best.result()) == 5 * len(q)
+
+
 def test_probing(spark, cloud):
     base, queries = frame(spark, cloud), frame(spark, cloud[:40])
     index, centres = vectors.coarse_cells(base, vector="v", cells=6)
