@@ -25,6 +25,12 @@ from caselens.operators.neighbours import _vectors, usable
 from caselens.runtime import materialize
 
 
+#: Estimated scores that are held at once.
+GUESSES = 1 << 21
+#: Vectors of queries are sent to every executor up to this size.
+QUERY_BYTES = 32 << 20
+
+
 @dataclass(frozen=True)
 class Codes:
     """Centres of cells, and per part of the dimensions the values that a code stands for."""
@@ -137,44 +143,45 @@ def _codes_of(column: pa.ChunkedArray | pa.Array, parts: int) -> np.ndarray:
 def _listed(codes: Codes, keep: int):
     """The ``keep`` best rows by code of each query, among the cells it looks into."""
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(queries) and len(rows):
             q, cell, code = _unit(_vectors(queries["v"])), rows["cell"].to_numpy(), _codes_of(rows["code"], len(codes.books))
             rank = codes.order(q)
-            step = max(64, 4_000_000 // len(q))
-            for at in range(0, len(cell), step):
+            # A few queries against all rows of the block, so that a query's best are picked once.
+            step = max(1, GUESSES // len(cell))
+            for at in range(0, len(q), step):
                 part = slice(at, at + step)
-                guess = np.where(rank[:, cell[part]] < codes.probes, codes.scores(q, cell[part], code[part]), -np.inf)
+                guess = np.where(rank[part][:, cell] < codes.probes, codes.scores(q[part], cell, code), -np.inf)
                 if guess.shape[1] > keep:
                     best = np.argpartition(-guess, keep - 1, axis=1)[:, :keep]
-                    a, b = np.repeat(np.arange(len(q)), keep), best.ravel()
+                    a, b = np.repeat(np.arange(len(guess)), keep), best.ravel()
                 else:
                     a, b = (x.ravel() for x in np.indices(guess.shape))
                 s = guess[a, b]
                 good = np.isfinite(s)
-                i, j, score = np.concatenate([i, a[good]]), np.concatenate([j, at + b[good]]), np.concatenate([score, s[good]])
-                order = np.lexsort((j, -score, i))
-                i, j, score = i[order], j[order], score[order]
-                start = np.searchsorted(i, i, "left")
-                kept = np.arange(len(i)) - start < keep
-                i, j, score = i[kept], j[kept], score[kept]
+                found.append((at + a[good], b[good], s[good]))
+        i, j, score = (np.concatenate(column) for column in zip(*found, strict=True))
         return pa.table({"query_id": queries["query_id"].take(pa.array(i)), "base_id": rows["id"].take(pa.array(j)), "guess": score})
     return run
 
 
 def search(
     queries: DataFrame, index: DataFrame, codes: Codes, *, query_id: str, vector: str, k: int = 5, exclude_self: bool = False,
-    query_rows: int = 4_096, block_rows: int = 65_536, hot_rows: int = 1_000_000,
+    query_rows: int = 4_096, block_rows: int = 65_536, hot_rows: int = 1_000_000, listed_rows: int = 2_000_000,
 ) -> DataFrame:
     """``query_id, base_id, score, rank`` by cosine similarity: the best ``k`` of each query's short list.
 
-    Queries and codes meet in blocks, each one task. Then only the rows that are
+    Queries and codes meet in blocks, each one task, with fewer than
+    ``query_rows`` queries where their lists would be over ``listed_rows`` long
+    together. Then only the rows that are
     on a list are joined with their vectors. Queries without a usable vector
     find nothing.
     """
     q = usable(queries, case_id=query_id, vector=vector).select(F.col("id").alias("query_id"), "v")
     keep = max(codes.shortlist or 10 * k, k) + exclude_self
-    n_q, n_b = (max(1, -(-df.count() // size)) for df, size in ((q, query_rows), (index, block_rows)))
+    query_rows = max(1, min(query_rows, listed_rows // keep))
+    asked_rows = q.count()
+    n_q, n_b = (max(1, -(-n // size)) for n, size in ((asked_rows, query_rows), (index.count(), block_rows)))
 
     def every(n: int):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -189,8 +196,12 @@ def search(
     best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "base_id")
     listed = materialize(listed.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).select("query_id", "base_id"), "listed")
     own = index.select(F.col("id").alias("base_id"), F.col("v").alias("base"))
-    asked = salted_lookup(salted_lookup(listed, own, key="base_id", spread_by=["query_id"], hot_rows=hot_rows),
-                          q, key="query_id", spread_by=["base_id"], hot_rows=hot_rows)
+    asked = salted_lookup(listed, own, key="base_id", spread_by=["query_id"], hot_rows=hot_rows)
+    # Listed rows with their vectors are many times the queries: they stay where they are if the queries can go there.
+    if 8 * codes.wide * asked_rows <= QUERY_BYTES:
+        asked = asked.join(F.broadcast(q), "query_id")
+    else:
+        asked = salted_lookup(asked, q, key="query_id", spread_by=["base_id"], hot_rows=hot_rows)
 
     def dot(x: str, y: str):
         return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda n, p: n + p)

@@ -42,3 +42,25 @@ def test_few_equal_and_zero_vectors(spark):
     got = {(r.query_id, r["rank"]): (r.base_id, r.score) for r in found.collect()}
     assert got[0, 1] == (0, 1.0) and got[0, 3] == (2, 1.0) and got[6, 1] == (6, 1.0) and got[6, 2] == (0, 0.0)
     assert codes.fit(df.where(F.lit(False)), case_id="key", vector="emb") is None
+
+
+def test_lists_are_picked_once_and_stay_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3_000, 16))
+    df = frame(spark, x)
+    model = codes.fit(df, case_id="key", vector="emb", cells=8, parts=4, levels=16)
+    index = codes.build(df, model, case_id="key", vector="emb").cache()
+    queries = df.where("key < 300").select(F.col("key").alias("query_id"), F.col("emb").alias("v")).toArrow()
+    rows = index.select("id", "cell", "code").toArrow()
+    # Sorting all that was kept so far, step by step, took a task hours.
+    monkeypatch.setattr(np, "lexsort", lambda *_: pytest.fail("lists are sorted again"))
+    monkeypatch.setattr(codes, "GUESSES", 50_000)
+    got = codes._listed(model, 40)(queries, rows).to_pandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cell, code = model.encode(unit)
+    whole = -np.sort(-model.scores(unit[:300], cell, code), axis=1)[:, :40]
+    assert (got.groupby("query_id").size() == 40).all() and len(got) == 300 * 40
+    best = np.stack([-np.sort(-g.to_numpy()) for _, g in got.groupby("query_id")["guess"]])
+    assert np.allclose(best, whole)
+    few, many = (codes.search(df.where("key < 300"), index, model, query_id="key", vector="emb", listed_rows=n, block_rows=1_000) for n in (500, 1 << 20))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
