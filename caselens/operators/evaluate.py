@@ -83,9 +83,13 @@ def fit_topics(
     ``vocabulary`` most frequent ones are used. A round reads a twentieth of
     the cases, at least ``round_cases`` where there are as many.
     """
-    share = min(1.0, max(0.05, round_cases / max(1, df.count())))
+    n = df.count()
+    share = min(1.0, max(0.05, round_cases / max(1, n)))
+    # Given a share, the vectorizer would hold the words of all cases to count them. A limit below one case stays a share.
+    least = min_docs if min_docs >= 1 else max(1.0, min_docs * n)
+    most = max_docs if max_docs >= 1 or max_docs * n < 1 else max_docs * n
     return Pipeline(stages=[
-        CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=vocabulary, minDF=min_docs, maxDF=max_docs),
+        CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=vocabulary, minDF=least, maxDF=most),
         LDA(featuresCol="_tf", k=k, maxIter=max_iter, seed=seed, optimizer="online", subsamplingRate=share),
     ]).fit(_tokens(df, text))
 

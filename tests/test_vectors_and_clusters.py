@@ -188,6 +188,17 @@ def test_classifier_and_topics(spark):
     assert evaluate.topic_of(topics, df, text="t").where("size(topic_weights) = 2").count() == 120
 
 
+def test_topics_hold_no_words_to_count_cases(spark, monkeypatch):
+    given, real = [], evaluate.CountVectorizer
+    monkeypatch.setattr(evaluate, "CountVectorizer", lambda **how: given.append((how["minDF"], how["maxDF"])) or real(**how))
+    df = spark.range(40).select(F.concat(F.lit("all "), F.when(F.col("id") < 20, "half ").otherwise("other "), F.when(F.col("id") < 4, "few")).alias("t"),
+                                "id").select(F.coalesce("t", F.lit("all other")).alias("t"))
+    model = evaluate.fit_topics(df, text="t", k=2, max_iter=1, min_docs=0.1, max_docs=0.5)
+    assert given == [(4.0, 20.0)]
+    want = real(inputCol="w", outputCol="c", minDF=0.1, maxDF=0.5).fit(df.select(F.split("t", " ").alias("w"))).vocabulary
+    assert sorted(model.stages[0].vocabulary) == sorted(w for w in want if w)
+
+
 def test_profile(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (" ", None), (None, 4)], "s string, n int")
     exact = {r.column_name: r for r in profile.profile(df, exact=True).collect()}
