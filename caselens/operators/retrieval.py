@@ -12,7 +12,7 @@ from caselens.functions.text import trim_ws
 from caselens.operators.infer import Generate, generate
 from caselens.operators.vectors import (
     Cells, Encode, assign_cells, calibrate_probes, coarse_cells, encode_with, top_k, top_k_probed)
-from caselens.runtime import small_enough
+from caselens.runtime import materialize, small_enough
 from caselens.sources.tables import write_table
 
 
@@ -113,7 +113,8 @@ def store_documents(
     """
     embedded = encode_with(encoder, documents, text="content")
     if cells:
-        embedded, centres = coarse_cells(embedded, vector="embedding", cells=cells)
+        # Centres and cells are found on the vectors as written: texts are embedded once.
+        embedded, centres = coarse_cells(materialize(embedded, "embedded"), vector="embedding", cells=cells)
     elif centres:
         embedded = assign_cells(embedded, centres, vector="embedding")
     write_table(embedded, path, mode="append" if append else "overwrite", partition_by=["cell"] if centres else [])

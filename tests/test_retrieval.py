@@ -1,8 +1,11 @@
 import random
+import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from caselens.operators import retrieval, vectors
+from caselens.plans.retrieval import letters_encoder
 from caselens.runtime import new_path
 
 
@@ -141,3 +144,31 @@ def test_probes_are_measured(spark):
     default = vectors.top_k_probed(sample, index, vectors.Cells(centres, probes), **names)
     assert vectors.recall(exact, default).first().recall == reached(probes)
     assert vectors.recall(exact, vectors.top_k_probed(sample, index, centres, **names)).first().recall == 1.0
+
+
+def test_texts_are_embedded_once_for_cells(spark, tmp_path):
+    """Centres are found on the vectors as written: the encoder sees every document once."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def encoder():
+        def run(texts):
+            (seen / uuid.uuid4().hex).write_text(str(len(texts)))
+            return [[float(len(t)), float(t.count("a"))] for t in texts]
+        return run
+
+    docs = spark.range(300).select(F.col("id").cast("string").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 17).cast("int")).alias("content"),
+                                   F.create_map(F.lit("source"), F.lit("s")).alias("metadata"))
+    retrieval.store_documents(encoder, docs, str(tmp_path / "index"), cells=4)
+    assert sum(int(f.read_text()) for f in seen.iterdir()) == 300
+
+
+def test_letter_pairs():
+    def plain(text):
+        out = [0.0] * 64
+        for a, b in zip(text.lower(), text.lower()[1:]):
+            out[(ord(a) * 31 + ord(b)) % 64] += 1.0
+        return out
+
+    texts = ["", "a", "Ab", "ÄßİK", "\U0001f600x\ny", "the same same words"]
+    assert [v.tolist() for v in letters_encoder()(texts)] == [plain(t) for t in texts]
