@@ -20,6 +20,8 @@ from caselens.runtime import small_enough
 
 Encode = Callable[[list[str]], list[list[float]]]
 
+#: Batches of the encoder that are sent on together.
+ENCODED = 8
 #: Scores that are held at once.
 SCORES = 1 << 20
 #: Rows of a side that meet the other side's in one task; queries of them that are scored together; parts that smaller sides
@@ -77,10 +79,14 @@ def encode_with(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder()
         for batch in batches:
-            row = batch.column(0)
-            texts = [t or "" for t in row.field(row.type.get_field_index(text)).to_pylist()]
-            found = [list(map(float, v)) for i in range(0, len(texts), batch_size) for v in model(texts[i:i + batch_size])]
-            yield pa.RecordBatch.from_arrays([row, pa.array(found, pa.list_(pa.float32()))], ["row", output])
+            # Texts become strings a few at a time, not a whole batch of Spark's.
+            for start in range(0, len(batch), batch_size * ENCODED):
+                row = batch.column(0).slice(start, batch_size * ENCODED)
+                column, found = row.field(row.type.get_field_index(text)), []
+                for i in range(0, len(row), batch_size):
+                    texts = [t or "" for t in column.slice(i, batch_size).to_pylist()]
+                    found += [np.fromiter(map(float, v), np.float32) for v in model(texts)]
+                yield pa.RecordBatch.from_arrays([row, pa.array(found, pa.list_(pa.float32()))], ["row", output])
 
     return rows.select(F.struct("*").alias("row")).mapInArrow(run, shape).select("row.*", output)
 

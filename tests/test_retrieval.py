@@ -163,6 +163,19 @@ def test_texts_are_embedded_once_for_cells(spark, tmp_path):
     assert sum(int(f.read_text()) for f in seen.iterdir()) == 300
 
 
+def test_long_batches_are_encoded_in_parts(spark):
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    docs = spark.range(0, 3_000, numPartitions=1).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("t"))
+    spark.conf.set(most, 10_000)
+    try:
+        rows = vectors.encode_with(lambda: lambda texts: [[float(t or -1), float(len(texts))] for t in texts], docs, text="t", output="v").collect()
+    finally:
+        spark.conf.set(most, before)
+    assert {r.id: r.v[0] for r in rows} == {i: float(i if i % 7 else -1) for i in range(3_000)}
+    assert {r.id: r.t for r in rows} == {i: str(i) if i % 7 else None for i in range(3_000)} and max(r.v[1] for r in rows) == 64
+
+
 def test_letter_pairs():
     def plain(text):
         out = [0.0] * 64
