@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselens.operators import cells
+from caselens.operators.cells import vectors_of as _vectors
 from caselens.operators.joins import salted_lookup
 from caselens.runtime import broadcast_if_small, materialize
 
@@ -25,11 +27,6 @@ from caselens.runtime import broadcast_if_small, materialize
 GROUP = 2_000
 
 
-def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def usable(df: DataFrame, *, case_id: str, vector: str) -> DataFrame:
     """``id, v`` of the rows with an id and a vector of finite numbers; of rows that repeat an id one."""
     v = F.col(vector).cast("array<double>")
@@ -125,7 +122,8 @@ def knn_graph(
     Lists hold ``width`` neighbours while they are searched (2 k, 24 at least).
     A round compares the members of each list and of as many lists that hold its
     centre; rounds end when less than ``settled`` of the entries change. A table
-    of up to ``leaf`` rows is one leaf, so its graph is exact.
+    of up to ``leaf`` rows is one leaf, so its graph is exact. Vectors of up to
+    ``cells.FLAT`` entries are compared by cells within reach, which is exact, too.
 
     Rows without an id, without a vector or with null, NaN or infinite entries
     take no part; vectors are of one length, and of rows that repeat an id one
@@ -136,7 +134,10 @@ def knn_graph(
     kind = df.schema[case_id].dataType.simpleString()
     pair = f"id {kind}, nb {kind}, d double"
     points = materialize(usable(df, case_id=case_id, vector=vector), "points")
-    n = points.count()
+    n, order = points.count(), Window.partitionBy("id").orderBy("distance", "neighbour")
+    if n > leaf and len(points.first()["v"]) <= cells.FLAT:
+        graph = cells.nearest_in_cells(points, n, k)
+        return (graph.select("id", F.col("nb").alias("neighbour"), F.col("d").alias("distance")).withColumn("rank", F.row_number().over(order)))
     start = _leaves(points, n, trees, leaf, seed).groupBy("tree", "leaf", "part").applyInArrow(_of_leaf(width), pair)
     graph = materialize(_nearest(start.withColumn("new", F.lit(True)), width), "graph")
     groups = max(1, n // GROUP)
@@ -155,6 +156,5 @@ def knn_graph(
         graph = materialize(_nearest(before.unionByName(better.withColumn("new", F.lit(True))), width), "graph")
         if graph.where("new").count() <= settled * n * width:
             break
-    order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return (graph.select("id", F.col("nb").alias("neighbour"), F.col("d").alias("distance"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))

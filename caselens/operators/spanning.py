@@ -5,7 +5,7 @@ Density Estimates", 2013) in steps that Spark distributes: the mutual
 reachability of two vectors is their distance, or the distance to the
 ``min_pts``-th neighbour of either where that is larger. Boruvka rounds pick the
 least edge that leaves each component: from lists of nearest neighbours where
-these settle it, and over all vectors in blocks for the points where they do
+these settle it, and over the cells within reach for the points where they do
 not. The tree's edges are then merged from the shortest to the longest, in tiers of a
 bounded number of edges; in a tier each component is worked through by itself.
 """
@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselens.operators import cells
 from caselens.operators.graph import components
 from caselens.operators.joins import numbered, salted_lookup
 from caselens.operators.neighbours import _vectors, knn_graph, usable
-from caselens.runtime import broadcast_if_small, materialize
+from caselens.runtime import broadcast_if_small, materialize, small_enough
 
 #: Distances below count as this, so that equal vectors have a finite density.
 LEAST = 1e-9
+#: Components, and their shares of cells besides two a cell, up to which outermost points are compared.
+CORNERS = 4_000
 _EDGE = "a long, b long, w double, src long, dst long"
 
 
@@ -91,29 +94,66 @@ def spanning_forest(edges: DataFrame, *, small: int = 200_000, hot_rows: int = 1
 
 
 def _closest(queries: pa.Table, rows: pa.Table) -> pa.Table:
-    """For each component of the queries, the row of another one that is nearest to any of its members."""
-    best: dict[int, tuple[float, int, int, int]] = {}
+    """For each component of the queries, the row of another one that is nearest to any of its members, if within its ``bound``.
+
+    Pairs of tiles whose boxes are farther apart than the least edge so far are left out.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    own, other, ids_x, ids_y = (t[c].to_numpy() for c in ("component", "id") for t in (queries, rows))
+    names, of = np.unique(own, return_inverse=True)
     if len(queries) and len(rows):
-        x, y = _vectors(queries["v"]), _vectors(rows["v"])
-        core_x, core_y, own, other, ids_x, ids_y = (t[c].to_numpy() for c in ("core", "component", "id") for t in (queries, rows))
-        for at in range(0, len(x), 256):
-            part = slice(at, at + 256)
-            square = (x[part] ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :]
-            rough = np.sqrt(np.maximum(square - 2 * (x[part] @ y.T), 0))
-            rough = np.maximum(np.maximum(rough, core_x[part, None]), core_y[None, :])
-            rough[own[part, None] == other[None, :]] = np.inf
-            near = rough <= rough.min(axis=1, keepdims=True) + 1e-6 * (1 + np.sqrt(square))
-            near &= np.isfinite(rough)
-            i, j = np.nonzero(near)
-            w = np.maximum(np.maximum(np.sqrt(((x[at + i] - y[j]) ** 2).sum(1)), core_x[at + i]), core_y[j])
-            for c, d, p, q, o in zip(own[at + i].tolist(), w.tolist(), ids_x[at + i].tolist(), ids_y[j].tolist(), other[j].tolist(), strict=True):
-                edge = (d, min(p, q), max(p, q), o)
-                if c not in best or edge < best[c]:
-                    best[c] = edge
-    names = list(best)
-    return pa.table({"a": pa.array(names, pa.int64()), "b": pa.array([best[c][3] for c in names], pa.int64()),
-                     "w": pa.array([best[c][0] for c in names], pa.float64()), "src": pa.array([best[c][1] for c in names], pa.int64()),
-                     "dst": pa.array([best[c][2] for c in names], pa.int64())})
+        x, y = cells.vectors_of(queries["v"]), cells.vectors_of(rows["v"])
+        core_x, core_y = queries["core"].to_numpy(), rows["core"].to_numpy()
+        best = np.full(len(names), np.inf)
+        np.minimum.at(best, of, queries["bound"].to_numpy())
+        (mine, lo, hi), (theirs, los, his) = cells.tiles(x), cells.tiles(y)
+        least = np.array([core_y[j].min() for j in theirs])
+        pure = np.array([other[j[0]] if (other[j] == other[j[0]]).all() else -1 for j in theirs])
+        mixed = np.array([(other[j] != other[j[0]]).any() for j in theirs])
+        far = np.array([np.maximum(np.maximum(cells.gaps(lo[t], hi[t], los, his), least), core_x[i].min()) for t, i in enumerate(mine)])
+        for t, i in enumerate(mine):
+            if (own[i] == own[i[0]]).all():
+                far[t, ~mixed & (pure == own[i[0]])] = np.inf
+        for t in np.argsort(far.min(axis=1), kind="stable").tolist():
+            i, order = mine[t], np.argsort(far[t], kind="stable")
+            for some in (order[:4], order[4:]):
+                some = some[np.isfinite(far[t, some]) & (far[t, some] <= best[of[i]].max() * cells.ROOM)]
+                if not len(some):
+                    continue
+                j = np.concatenate([theirs[s] for s in some])
+                square = (x[i] ** 2).sum(1)[:, None] + (y[j] ** 2).sum(1)[None, :]
+                rough = np.sqrt(np.maximum(square - 2 * (x[i] @ y[j].T), 0))
+                rough = np.maximum(np.maximum(rough, core_x[i, None]), core_y[None, j])
+                rough[own[i, None] == other[None, j]] = np.inf
+                near = rough <= np.minimum(rough.min(axis=1), best[of[i]])[:, None] + 1e-6 * (1 + np.sqrt(square))
+                near &= np.isfinite(rough)
+                p, q = np.nonzero(near)
+                p, q = i[p], j[q]
+                w = np.maximum(np.maximum(np.sqrt(((x[p] - y[q]) ** 2).sum(1)), core_x[p]), core_y[q])
+                np.minimum.at(best, of[p], w)
+                found.append((of[p], w, np.minimum(ids_x[p], ids_y[q]), np.maximum(ids_x[p], ids_y[q]), other[q]))
+    c, w, src, dst, to = (np.concatenate(f) for f in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+    order = np.lexsort((to, dst, src, w, c))
+    order = order[np.flatnonzero(np.concatenate([[True], np.diff(c[order]) != 0]))] if len(order) else order
+    return pa.table({"a": pa.array(names[c[order]], pa.int64()), "b": pa.array(to[order], pa.int64()), "w": pa.array(w[order], pa.float64()),
+                     "src": pa.array(src[order], pa.int64()), "dst": pa.array(dst[order], pa.int64())})
+
+
+def _tightened(asked: DataFrame, at: DataFrame, wide: int) -> DataFrame:
+    """``asked`` with a lesser ``bound`` where the outermost vectors of each cell show a shorter edge out of the component."""
+    groups = at.groupBy("cell", "component")
+    if not small_enough(groups.count(), CORNERS + 2 * at.select("cell").distinct().count()):
+        return asked
+    outer = F.array(*[by(F.struct("v", "core"), F.col("v")[i]) for i in range(wide) for by in (F.min_by, F.max_by)])
+    corners = groups.agg(outer.alias("o")).select("component", F.explode("o").alias("o")).select("component", "o.v", "o.core")
+    corners = materialize(corners.distinct(), "corners")
+    mine = corners.join(broadcast_if_small(asked.select("component").distinct()), "component").repartition(corners.sparkSession.sparkContext.defaultParallelism)
+    theirs = corners.select(F.col("component").alias("other"), F.col("v").alias("y"), F.col("core").alias("core_y"))
+    apart = F.sqrt(sum(((F.col("v")[i] - F.col("y")[i]) ** 2 for i in range(wide)), F.lit(0.0)))
+    shown = (mine.join(F.broadcast(theirs), F.col("component") != F.col("other"))
+             .groupBy("component").agg(F.min(F.greatest(apart, "core", "core_y")).alias("shown")))
+    return (asked.join(broadcast_if_small(materialize(shown, "shown")), "component", "left")
+            .withColumn("bound", F.least("bound", "shown")).drop("shown").where(F.col("radius") <= F.col("bound") * cells.ROOM))
 
 
 def _prim(group: pa.Table) -> pa.Table:
@@ -140,15 +180,12 @@ def _boruvka(points: DataFrame, edges: DataFrame, block_rows: int, hot_rows: int
     What is not in a point's list is at least its ``radius`` away. So the least
     listed edge that leaves a component is the least of all where no radius in
     the component is below it. Otherwise the points with a lesser radius are
-    compared with all points, in blocks.
+    compared with all points of the cells (of ``block_rows`` points) that are no
+    farther than that edge, or than an edge between outermost points of cells.
     """
     state = materialize(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w", "src", "dst"), "edges")
-    at = points.withColumn("component", F.col("id"))
-    blocks = max(1, -(-points.count() // block_rows))
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        return df.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(own), every.alias(other), "id", "v", "core", "component").groupBy("p", "q")
+    n, wide = points.count(), len(points.first()["v"])
+    at = materialize(cells.dealt(points, n, block_rows).withColumn("component", F.col("id")), "at")
 
     tree = None
     while True:
@@ -156,13 +193,17 @@ def _boruvka(points: DataFrame, edges: DataFrame, block_rows: int, hot_rows: int
         least = (at.groupBy("component").agg(F.min("radius").alias("radius"))
                  .join(listed.select(F.col("a").alias("component"), "w"), "component", "left"))
         least = materialize(least.withColumn("w", F.coalesce("w", F.lit(float("inf")))), "least")
-        if least.count() < 2:
+        parts = least.count()
+        if parts < 2:
             return tree if tree is not None else edges.select("src", "dst", "w").limit(0)
         unsafe = least.where("w > radius").select("component", "w")
         chosen = listed
         if unsafe.limit(1).count():
-            asked = materialize(salted_lookup(at, unsafe, key="component", spread_by=["id"], hot_rows=hot_rows).where("radius < w"), "asked")
-            found = dealt(asked, "p", "q").cogroup(dealt(at, "q", "p")).applyInArrow(_closest, _EDGE)
+            asked = materialize(salted_lookup(at, unsafe, key="component", spread_by=["id"], hot_rows=hot_rows).where("radius < w")
+                                .withColumnRenamed("w", "bound"), "asked")
+            if wide <= cells.FLAT and parts <= CORNERS:
+                asked = materialize(_tightened(asked, at, wide), "asked")
+            found = cells.meetings(asked, at, wide, own=True).applyInArrow(_closest, _EDGE)
             every = materialize(listed.unionByName(found), "every")
             chosen = every.groupBy("a").agg(F.min(F.struct("w", "src", "dst", "b")).alias("e")).select("a", "e.b", "e.w", "e.src", "e.dst")
             chosen = materialize(chosen, "chosen")

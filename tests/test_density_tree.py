@@ -1,9 +1,11 @@
 """Neighbour graphs and density clusters against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from caselens.operators import neighbours, spanning
+from caselens.operators import cells, neighbours, spanning
 
 
 def frame(spark, rows, partitions=3):
@@ -132,3 +134,41 @@ def test_small_graphs_are_exact(spark):
     np.fill_diagonal(d, np.inf)
     assert {(r.id, r.rank): r.neighbour for r in graph} == {(i, k + 1): int(j) for i in range(len(x)) for k, j in enumerate(np.argsort(d[i])[:4])}
     assert neighbours.knn_graph(frame(spark, [(1, [1.0])]), case_id="case", vector="vec").collect() == []
+
+
+def test_flat_neighbours_are_exact(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.integers(0, 40, (1_500, 2)) * 1.0, [[9e5, 9e5]]])  # many equal lengths, and one far away
+    graph = neighbours.knn_graph(frame(spark, list(enumerate(x.tolist()))), case_id="case", vector="vec", k=6, leaf=100)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): int(j) for i in range(len(x)) for r, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:6])}
+    assert {(r.id, r.rank): r.neighbour for r in graph.collect()} == want
+    points = spark.createDataFrame([(f"n{i:04d}", v) for i, v in enumerate(x.tolist())], "id string, v array<double>")
+    found = cells.nearest_in_cells(points, len(x), 6, rows=90).collect()
+    assert {(r.id, r.nb) for r in found} == {(f"n{i:04d}", f"n{j:04d}") for (i, _), j in want.items()}
+
+
+@pytest.mark.parametrize("dims", [2, 6])
+def test_tree_of_cells_is_least(spark, dims):
+    x = blobs(4, dims)
+    df = frame(spark, list(enumerate(x.tolist())))
+    trees = [spanning.reachability_tree(df, case_id="case", vector="vec", min_pts=4, whole=w, block_rows=30, leaf=300)[1] for w in (0, 4_096)]
+    a, b = (sorted(r.w for r in t.collect()) for t in trees)
+    assert len(a) == len(x) - 1 and np.allclose(a, b, rtol=1e-12)
+
+
+def test_far_cells_are_not_met(spark):
+    """Of two places far apart only the edges that face each other meet."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.uniform(0, 10, (2_000, 2)), rng.uniform(0, 10, (2_000, 2)) + [40, 0]])
+    rows = [(i, v, 0.0, int(i >= 2_000)) for i, v in enumerate(x.tolist())]
+    points = cells.dealt(spark.createDataFrame(rows, "id long, v array<double>, core double, component long"), len(x), 100)
+    asked = spanning._tightened(points.withColumn("radius", F.lit(0.0)).withColumn("bound", F.lit(float("inf"))), points, 2)
+    met = cells.meetings(asked, points, 2, own=True).applyInArrow(
+        lambda a, b: pa.table({"n": pa.array([len(a) * len(b)], pa.int64())}), "n long").agg(F.sum("n")).first()[0]
+    assert met < 0.02 * 2 * 2_000 ** 2
+    edges = cells.meetings(asked, points, 2, own=True).applyInArrow(spanning._closest, spanning._EDGE)
+    d = np.sqrt(((x[:2_000, None] - x[None, 2_000:]) ** 2).sum(-1))
+    i, j = np.unravel_index(d.argmin(), d.shape)
+    assert edges.orderBy("w").first()[2:] == (d[i, j], i, j + 2_000)
