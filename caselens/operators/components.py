@@ -82,11 +82,11 @@ class ComponentStore:
                  .select(F.coalesce("ca", "a").alias("src"), F.coalesce("cb", "b").alias("dst")))
         merged = materialize(components(roots), "merged")
         # Ids of ``merged`` are stored components and new nodes; a new node is no stored component.
-        new = ends.join(known, "id", "left_anti").join(merged, "id", "left").select(
+        new = ends.join(lookup, "id", "left_anti").join(broadcast_if_small(merged), "id", "left").select(
             "id", F.coalesce("component", "id").alias("component"))
         new.write.mode("overwrite").parquet(f"{self.path}/members/load={load}")
-        became = (known.select("component").distinct().join(merged.select(F.col("id").alias("component"), F.col("component").alias("root")), "component")
-                  .where("component <> root"))
+        became = merged.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("root"))
+        became = broadcast_if_small(known.select("component").distinct()).join(became, "component")
         became = materialize(became, "became")
         onward = broadcast_if_small(became.select(F.col("component").alias("root"), F.col("root").alias("next")))
         older = moves.join(onward, "root", "left").select("component", F.coalesce("next", "root").alias("root"))

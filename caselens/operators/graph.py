@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselens.operators.joins import salted_lookup
-from caselens.runtime import materialize
+from caselens.runtime import materialize, unsent
 
 
 def _large_star(edges: DataFrame, **split) -> DataFrame:
@@ -25,14 +25,14 @@ def _large_star(edges: DataFrame, **split) -> DataFrame:
     up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     least = (edges.unionByName(up).groupBy("u").agg(F.min("v").alias("m"))
              .select("u", F.least("u", "m").alias("m")))
-    return (salted_lookup(up, least, key="u", spread_by=["v"], **split)
+    return (salted_lookup(up, least, key="u", spread_by=["v"], grows=True, **split)
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
 def _small_star(edges: DataFrame, **split) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = (salted_lookup(edges, least, key="u", spread_by=["v"], **split)
+    moved = (salted_lookup(edges, least, key="u", spread_by=["v"], grows=True, **split)
              .where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
     return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
@@ -77,15 +77,15 @@ def _contracted(edges: DataFrame, n: int, task_rows: int, shape: T.StructType) -
     hangs = (F.col("up") == 1) & (F.col("down") == 0)
     # A node has no more rows here than there are tasks.
     others = nodes.where((F.col("up") > 0) & ~hangs).select(F.col("id").alias("u"))
-    return nodes.where(hangs).select("id", "root"), materialize(stars.join(others, "u", "left_semi"), "edges")
+    return nodes.where(hangs).select("id", "root"), materialize(stars.join(unsent(others), "u", "left_semi"), "edges")
 
 
 def _with_hung(members: DataFrame, hung: DataFrame, hot_rows: int) -> DataFrame:
     """``members``, the nodes that hang on others, and those others where nothing else links them."""
     members = materialize(members, "members")
-    found = salted_lookup(hung, members.withColumnRenamed("id", "root"), key="root", spread_by=["id"], how="left", hot_rows=hot_rows)
+    found = salted_lookup(hung, members.withColumnRenamed("id", "root"), key="root", spread_by=["id"], how="left", hot_rows=hot_rows, grows=True)
     found = found.select("id", F.coalesce("component", "root").alias("component"))
-    alone = hung.select(F.col("root").alias("id")).distinct().join(members, "id", "left_anti")
+    alone = hung.select(F.col("root").alias("id")).distinct().join(unsent(members), "id", "left_anti")
     return members.unionByName(found).unionByName(alone.withColumn("component", F.col("id")))
 
 

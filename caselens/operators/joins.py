@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselens.runtime import materialize
+from caselens.runtime import materialize, unsent
 
 
 def salted_lookup(
@@ -19,6 +19,7 @@ def salted_lookup(
     how: str = "inner",
     hot_rows: int = 1_000_000,
     n_facts: int | None = None,
+    grows: bool = False,
 ) -> DataFrame:
     """Join many ``facts`` to a ``dim`` with few rows per key, hot keys split.
 
@@ -26,10 +27,12 @@ def salted_lookup(
     size; its ``dim`` rows are repeated per part. There are at most
     ``count(facts) / hot_rows`` hot keys, which bounds the broadcast list.
     Where the caller knows that there are no more than ``hot_rows`` facts, no
-    key can be hot and the join is a plain one.
+    key can be hot and the join is a plain one. A ``dim`` that ``grows`` with the
+    facts is never sent through the driver.
     """
+    sent = unsent if grows else (lambda df: df)
     if n_facts is not None and n_facts <= hot_rows:
-        return facts.join(dim, key, how)
+        return facts.join(sent(dim), key, how)
     hot = F.broadcast(
         facts.where(F.col(key).isNotNull()).groupBy(key).count()
         .where(F.col("count") > hot_rows)
@@ -37,7 +40,7 @@ def salted_lookup(
     parts = F.coalesce("_parts", F.lit(1))
     left = facts.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int"))
     right = dim.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.drop("_parts").join(right.drop("_parts"), [key, "_part"], how).drop("_part")
+    return left.drop("_parts").join(sent(right.drop("_parts")), [key, "_part"], how).drop("_part")
 
 
 def numbered(df: DataFrame, *order: Column, output: str = "number") -> DataFrame:

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caselens.operators import graph, profile
+from caselens import runtime
+from caselens.operators import graph, joins, profile
 from caselens.operators.components import ComponentStore
 from caselens.runtime import new_path
 from caselens.sources import tables
@@ -126,3 +127,15 @@ def test_large_loads_need_no_rounds(spark, monkeypatch, tmp_path):
     for load in range(2):
         store.append(links.where(F.pmod(F.floor(F.col("src") / 2), F.lit(2)) == load), load=load)
     assert sorted(map(tuple, store.read().groupBy("component").count().collect())) == [(0, 70_001), (1, 70_001)]
+
+
+def test_growing_sides_are_not_sent_through_the_driver(spark):
+    """Spark holds both tables for small enough to be sent; the rows say otherwise, or the caller."""
+    left, right = spark.range(100).withColumn("x", F.col("id")), spark.range(0, 100, 2)
+    for n_facts in (None, 100):
+        for joined in (left.join(runtime.broadcast_if_small(right, 10), "id"),
+                       joins.salted_lookup(left, right, key="id", spread_by=["x"], n_facts=n_facts, grows=True)):
+            assert joined.count() == 50
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "BroadcastHashJoin [id" not in plan.split("SortMergeJoin")[0]
+    assert "BroadcastHashJoin" in left.join(runtime.broadcast_if_small(right, 100), "id")._jdf.queryExecution().executedPlan().toString()
