@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from caselens.functions.text import digest, words
 from caselens.operators.graph import components
 from caselens.operators.joins import salted_lookup
-from caselens.runtime import materialize
+from caselens.runtime import materialize, small_enough
 
 #: 64-bit words of the sketch of a shingle set.
 SKETCH = 8
+#: Ids of texts in pairs, up to which they are sent to where the sets lie.
+ASKED = 1_000_000
+#: Texts, in ``hot_rows``, up to which the rows of one shingle are counted where they lie.
+WINDOW = 10
 
 
 def dedup_exact(df: DataFrame, *, text: str, case_id: str) -> DataFrame:
@@ -79,11 +83,16 @@ def _prefixes(sets: DataFrame, num: int, den: int, hot_rows: int) -> DataFrame:
 
     Two sets similar enough share a shingle that lies in the long prefix of the
     larger and in the short (``indexed``) prefix of the smaller one (Xiao et al.,
-    2008). Shingles of one text only come first and need no row.
+    2008). Shingles of one text only come first and need no row. A text has a
+    shingle once, so up to ``WINDOW`` times ``hot_rows`` texts one task can hold any
+    shingle's rows (on disk if need be), and they are moved only once.
     """
     each = sets.select("id", F.explode("shingles").alias("shingle"))
-    counts = materialize(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "counts")
-    shared = salted_lookup(each, counts, key="shingle", spread_by=["id"], hot_rows=hot_rows)
+    if small_enough(sets, WINDOW * hot_rows):
+        shared = each.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
+    else:
+        counts = materialize(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+        shared = salted_lookup(each, counts, key="shingle", spread_by=["id"], hot_rows=hot_rows, counted="df")
     ranked = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
     n = F.col("n")
     placed = (ranked.join(sets.select("id", F.size("shingles").alias("n")), "id")
@@ -117,7 +126,11 @@ def _maybe_similar(pairs: DataFrame, sets: DataFrame, num: int, den: int, hot_ro
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int, hot_rows: int) -> DataFrame:
-    """The pairs ``(id, lead)`` whose sets are similar enough."""
+    """The pairs ``(id, lead)`` whose sets are similar enough. Only the sets of texts in a pair are moved."""
+    asked = pairs.select(F.explode(F.array("id", "lead")).alias("id")).distinct()
+    sets = sets.select("id", "shingles")
+    if small_enough(asked, ASKED):
+        sets = materialize(sets.join(F.broadcast(asked), "id", "left_semi"), "asked")
     lead_sets = sets.select(F.col("id").alias("lead"), F.col("shingles").alias("lead_shingles"))
     both = salted_lookup(pairs, lead_sets, key="lead", spread_by=["id"], hot_rows=hot_rows).join(sets, "id")
     common = F.size(F.array_intersect("shingles", "lead_shingles"))

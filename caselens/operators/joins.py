@@ -20,6 +20,7 @@ def salted_lookup(
     hot_rows: int = 1_000_000,
     n_facts: int | None = None,
     grows: bool = False,
+    counted: str | None = None,
 ) -> DataFrame:
     """Join many ``facts`` to a ``dim`` with few rows per key, hot keys split.
 
@@ -28,14 +29,17 @@ def salted_lookup(
     ``count(facts) / hot_rows`` hot keys, which bounds the broadcast list.
     Where the caller knows that there are no more than ``hot_rows`` facts, no
     key can be hot and the join is a plain one. A ``dim`` that ``grows`` with the
-    facts is never sent through the driver.
+    facts is never sent through the driver. ``counted`` names a column of ``dim``,
+    whose keys are unique, with the facts of each key, which then are not counted
+    again.
     """
     sent = unsent if grows else (lambda df: df)
     if n_facts is not None and n_facts <= hot_rows:
         return facts.join(sent(dim), key, how)
+    sizes = (dim.select(key, F.col(counted).alias("count")) if counted
+             else facts.where(F.col(key).isNotNull()).groupBy(key).count())
     hot = F.broadcast(
-        facts.where(F.col(key).isNotNull()).groupBy(key).count()
-        .where(F.col("count") > hot_rows)
+        sizes.where(F.col("count") > hot_rows)
         .select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1))
     left = facts.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int"))

@@ -172,3 +172,37 @@ def test_parity_and_values(spark):
     assert tuple(joins.parity(a, b, key="id").first()) == (3, 2, 1, 1, 1, 0)
     got = joins.map_values(spark.createDataFrame([("TX",), ("PR",)], "s string"), {"TX": "Texas"}, key="s", output="n", default="?")
     assert {r.s: r.n for r in got.collect()} == {"TX": "Texas", "PR": "?"}
+
+
+@pytest.mark.parametrize("window", [10, 0])
+def test_few_sets_and_shingles_are_moved(spark, monkeypatch, window):
+    """Only sets of texts in pairs are joined, and shingles are counted once: where they lie, or, of more texts, by a join that reads the counts."""
+    written, looked_up, plain, lookup = [], [], dedup.materialize, dedup.salted_lookup
+
+    def kept(df, name="stage"):
+        out = plain(df, name)
+        written.append((name, out.count()))
+        return out
+
+    def seen(facts, dim, **how):
+        looked_up.append(how)
+        return lookup(facts, dim, **how)
+
+    monkeypatch.setattr(dedup, "WINDOW", window)
+    monkeypatch.setattr(dedup, "materialize", kept)
+    monkeypatch.setattr(dedup, "salted_lookup", seen)
+    words = [" ".join(f"w{i}.{j}" for j in range(40)) for i in range(60)]
+    rows = [*enumerate(words), (100, words[7] + " more"), (101, "two of " + words[9])]
+    groups = dedup.near_dup_groups(spark.createDataFrame(rows, "k long, t string"), case_id="k", text="t").collect()
+    assert {r.k: r.group_id for r in groups} == {**{k: k for k, _ in rows}, 100: 7, 101: 9}
+    asked = [n for name, n in written if name == "asked"]
+    assert asked and max(asked) <= 4 and ("shingles", 62) in written
+    assert any(name == "counts" for name, _ in written) == (not window)
+    assert any(how.get("counted") for how in looked_up) == (not window)
+
+
+def test_counted_lookup_cuts_hot_keys(spark):
+    facts = spark.range(1_000).select(F.col("id").alias("f"), F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("k"))
+    dim = facts.groupBy("k").agg(F.count("*").alias("n"))
+    found = joins.salted_lookup(facts, dim, key="k", spread_by=["f"], hot_rows=50, counted="n")
+    assert sorted(map(tuple, found.select("f", "n").collect())) == [(i, 900 if i < 900 else 1) for i in range(1_000)]
