@@ -34,6 +34,8 @@ SHIPPED, BUCKET_ENTRIES, PART_ROWS = 1 << 18, 1 << 19, 1_000_000
 FIRST, ALL = 6, 192
 #: Lines compared with all others in one go.
 SLOW_LINES = 200_000
+#: Pairs of entries that are looked at together; few enough for the processor's cache.
+PAIRS = 1 << 15
 
 _NOT_LINE = ~W.classes((0x0A, 0x0A))
 PAIR, EQUAL, DOC, MORE = range(4)
@@ -107,9 +109,10 @@ class Lines:
 
 def lines_of(words: W.Words, offsets: np.ndarray, order: Order | None, wanted=None) -> Lines:
     """Lines of a slice of texts. ``wanted(text, number, hashes)`` may give a mask of words whose lines are left out."""
-    breaks = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
+    breaks = np.flatnonzero(words.data == 0x0A)
     text = np.repeat(np.arange(len(offsets) - 1), words.counts())
-    number = breaks[words.starts] - breaks[offsets[text]] + 1 if len(text) else text
+    before = np.cumsum(np.bincount(np.searchsorted(words.starts, breaks), minlength=len(text) + 1))[:len(text)]  # breaks before each word
+    number = before - np.searchsorted(breaks, offsets)[text] + 1
     hashes = words.hashes()
     if wanted is not None and len(text):
         keep = wanted(text, number, hashes)
@@ -139,7 +142,10 @@ def lines_of(words: W.Words, offsets: np.ndarray, order: Order | None, wanted=No
 
 def _batch_lines(texts: pa.Array, order: Order | None, wanted=None) -> Lines:
     """Lines of all texts of a batch."""
-    data, offsets = W.texts_buffer(texts)
+    return _sliced_lines(*W.texts_buffer(texts), order, wanted)
+
+
+def _sliced_lines(data: np.ndarray, offsets: np.ndarray, order: Order | None, wanted=None) -> Lines:
     found = []
     for a, b in W.slices(offsets):
         part = offsets[a:b + 1]
@@ -212,7 +218,7 @@ def _emit(order, num: int, den: int, buckets: int, slow=None):
             own = _batch_lines(batch.column(1), ranks, wanted)
             doc = names[own.text]
             one, two = own.ids(0x452821E638D01377), own.ids(0xBE5466CF34E90C6C)
-            by = np.lexsort((own.number, doc, two, one))
+            by = _by_set(one, two, doc, own.number)
             head = np.concatenate([[True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])]) if len(by) else np.zeros(0, bool)
             lead = by[head]
             if slow is None:
@@ -243,6 +249,16 @@ def _emit(order, num: int, den: int, buckets: int, slow=None):
     return run
 
 
+def _by_set(one: np.ndarray, two: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Lines by set, document and number; only those that share ``one`` are compared further."""
+    by = np.argsort(one)
+    same = one[by][1:] == one[by][:-1]
+    several = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(by) else by
+    part = by[several]
+    by[several] = part[np.lexsort((line[part], doc[part], two[part], one[part]))]
+    return by
+
+
 def _ref(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     out = np.zeros(len(doc), [("d", "<i8"), ("l", "<i4")])
     out["d"], out["l"] = doc, line
@@ -255,6 +271,8 @@ _KINDS = {"rows": _ROW, "sets": _SET, "entries": _ENTRY}
 
 
 def _pack(bucket: np.ndarray, values: np.ndarray, what: str) -> Iterator[pa.RecordBatch]:
+    if len(bucket) and bucket.max() < 1 << 16:  # sorted by digits
+        bucket = bucket.astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
     bucket, values = bucket[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -282,9 +300,7 @@ def candidates(e: np.ndarray, num: int, den: int, keep: int | None, most: int =
     n = len(e)
     size, low, high = e["size"].astype(np.int64), e["low"].copy(), e["high"].copy()
     at, slow = (e["at"] & (_SLOW - 1)).astype(np.int64), e["at"] >= _SLOW
-    place = np.empty(n, np.int64)  # in order of the lines
-    place[np.lexsort((e["line"], e["doc"]))] = np.arange(n)
-    place = _same_line(e, place)
+    place = _places(e)
     # Sizes rise within a key: partners of i from i + 1 on, up to the largest size that can match.
     joint = _runs(e["key"]) * (int(size.max()) * den + 1 if n else 1) + size
     top = np.searchsorted(joint, joint - size + size * den // num, "right")
@@ -294,7 +310,7 @@ def candidates(e: np.ndarray, num: int, den: int, keep: int | None, most: int =
     found: list[tuple[np.ndarray, np.ndarray]] = []
     done = held = 0
     while done < n:
-        end = max(done + 1, int(np.searchsorted(total, total[done] + 500_000, "right")) - 1)
+        end = max(done + 1, int(np.searchsorted(total, total[done] + PAIRS, "right")) - 1)
         i = np.repeat(np.arange(done, end), count[done:end])
         j = i + 1 + np.arange(len(i)) - (total[i] - total[done])
         done = end
@@ -325,14 +341,21 @@ def candidates(e: np.ndarray, num: int, den: int, keep: int | None, most: int =
         out = many & (np.arange(len(late)) - begin >= keep)
         left_out = np.unique(late[out])
         early, late = early[~out], late[~out]
+    # Two lines that meet by several words are one pair.
+    once = np.unique(place[late] * (n + 1) + place[early], return_index=True)[1]
+    early, late = early[once], late[once]
     return e[early], e[late], e[left_out]
 
 
 def _first_of_sets(e: np.ndarray) -> np.ndarray:
-    """Entries by key and size, the first line of each set only."""
+    """Entries by key and size, the first line of each set only; entries that share their key with no other are left out."""
     joint = e["key"].astype(np.uint64) << np.uint64(32) | e["size"].astype(np.uint64)
     order = np.argsort(joint)
-    e, joint = e[order], joint[order]
+    joint = joint[order]
+    key = joint >> np.uint64(32)
+    meet = key[1:] == key[:-1]
+    meet = np.flatnonzero(np.concatenate([meet, [False]]) | np.concatenate([[False], meet])) if len(e) else order
+    e, joint = e[order[meet]], joint[meet]
     if len(e) < 2:
         return e
     same = joint[1:] == joint[:-1]
@@ -351,9 +374,9 @@ def _first_of_sets(e: np.ndarray) -> np.ndarray:
     return e
 
 
-def _same_line(e: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Equal places for entries of the same line."""
-    order = np.argsort(place)
+def _places(e: np.ndarray) -> np.ndarray:
+    """Numbers in order of the lines, equal ones for entries of the same line."""
+    order = np.lexsort((e["line"], e["doc"]))
     doc, line = e["doc"][order], e["line"][order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]) if len(e) else np.zeros(0, bool)
     out = np.empty(len(e), np.int64)
@@ -377,13 +400,12 @@ def _meet(num: int, den: int, keep: int | None, most: int = ALL):
 
         out = [joined("rows")]
         sets = joined("sets")
-        sets = sets[np.lexsort((sets["line"], sets["doc"], sets["two"], sets["one"]))]
+        sets = sets[_by_set(sets["one"], sets["two"], sets["doc"], sets["line"])]
         lead = np.maximum(_runs(sets["one"]), _runs(sets["two"]))
         rest = np.flatnonzero((sets["doc"] != sets["doc"][lead]) | (sets["line"] != sets["line"][lead]))
         out.append(_rows(EQUAL, sets[rest], sets[lead[rest]]))
         early, late, more = candidates(joined("entries"), num, den, keep, most)
-        pairs = _rows(PAIR, late, early)
-        out += [np.unique(pairs) if len(pairs) else pairs, _rows(MORE, more, more)]
+        out += [_rows(PAIR, late, early), _rows(MORE, more, more)]
         every = np.concatenate(out)
         return pa.table({"kind": every["kind"], "doc": every["doc"], "line": every["line"],
                          "other_doc": every["other_doc"], "other_line": every["other_line"]})
@@ -403,9 +425,9 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     num, den = threshold
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null")
-    counts = materialize(word_counts(rows, "text"), "word-counts")
+    counts = materialize(word_counts(rows, "text", ends=False, singly=False), "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = most_frequent(counts, shipped)
+    top = most_frequent(counts.where("word is not null"), shipped)
     order = spark.sparkContext.broadcast(Order(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()))
     buckets = 1
     while buckets * bucket_entries < 0.2 * total:
@@ -458,21 +480,30 @@ def _wanted(rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def _asked(batch: pa.RecordBatch, order: Order | None) -> Lines:
-    """The lines of a batch that its third column asks for."""
+    """The lines of a batch that its third column asks for. They are cut out first, so that no other words are looked at."""
     lists = batch.column(2)
     owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
-    asked = np.sort(owner.astype(np.int64) << 32 | lists.flatten().to_numpy().astype(np.int64))
-
-    def wanted(text, number, hashes):
-        key = text.astype(np.int64) << 32 | number
-        return asked[np.minimum(np.searchsorted(asked, key), len(asked) - 1)] == key
-
-    return _batch_lines(batch.column(1), order, wanted)
+    asked = np.unique(owner.astype(np.int64) << 32 | lists.flatten().to_numpy().astype(np.int64))
+    text, number = asked >> 32, asked & 0xFFFFFFFF
+    data, offsets = W.texts_buffer(batch.column(1))
+    breaks = np.flatnonzero(data == 0x0A)
+    before = np.searchsorted(breaks, offsets)
+    there = number <= np.diff(before)[text] + 1  # rows that repeat an id may have fewer lines
+    text, number = text[there], number[there]
+    # A line is what lies between two breaks; each text has one in front, and one at its end.
+    first = before[text] + number - 1
+    cuts = np.concatenate([[-1], breaks, [len(data)]])
+    start = np.maximum(cuts[first] + 1, offsets[text])
+    end = np.minimum(cuts[first + 1], offsets[text + 1])
+    size = end - start
+    total = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    own = _sliced_lines(data[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total, order)
+    return Lines(text[own.text], number[own.text], own.start, own.value)
 
 
 def _sets(rows: DataFrame, refs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.smaller(batches):
             own = _asked(batch, None)
             names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -483,7 +514,7 @@ def _sets(rows: DataFrame, refs: DataFrame) -> DataFrame:
 
 def _prefix_words(rows: DataFrame, refs: DataFrame, order, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.smaller(batches):
             _, _, word = prefixes(_asked(batch, order.value), num, den)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(word).view(np.int64))], ["word"])
     return _wanted(rows, refs).mapInArrow(W.lean(run), "word long").distinct()

@@ -38,8 +38,8 @@ def _summed(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count(buckets: int):
-    """Counts of the words of a task, in one packed value per bucket of words."""
+def _count(buckets: int, ends: bool = True):
+    """Counts of the words of a task, in one packed value per bucket of words; without ``ends``, endings are 0."""
     def packed(rows: np.ndarray) -> pa.RecordBatch:
         bucket = (rows["word"] >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
@@ -55,11 +55,13 @@ def _count(buckets: int):
         for batch in rows:
             for _, _, words in W.batches(batch.column(0)):
                 hashes = words.hashes()
-                order = np.argsort(hashes)
-                hashes = hashes[order]
-                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else order
+                order = np.argsort(hashes) if ends else None
+                hashes = hashes[order] if ends else np.sort(hashes)
+                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
                 one = np.zeros(len(first), _COUNT)
-                one["word"], one["ending"], one["n"] = hashes[first], endings(words, order[first]), np.diff(np.append(first, len(hashes)))
+                one["word"], one["n"] = hashes[first], np.diff(np.append(first, len(hashes)))
+                if ends:
+                    one["ending"] = endings(words, order[first])
                 held.append(one)
                 size += len(one)
                 if size > _FLUSH:
@@ -73,18 +75,26 @@ def _count(buckets: int):
     return run
 
 
-def _merged(group: pa.Table) -> pa.Table:
-    rows = _summed(np.concatenate([np.frombuffer(x.as_buffer(), _COUNT) for x in group["data"]]))
-    return pa.table({"word": rows["word"].view(np.int64), "ending": rows["ending"].copy(), "n": rows["n"].copy()})
+def _merged(singly: bool):
+    def run(group: pa.Table) -> pa.Table:
+        rows = _summed(np.concatenate([np.frombuffer(x.as_buffer(), _COUNT) for x in group["data"]]))
+        once = 0
+        if not singly:
+            several = rows["n"] > 1
+            once, rows = len(rows) - int(several.sum()), rows[several]
+        out = pa.table({"word": rows["word"].copy().view(np.int64), "ending": rows["ending"].copy(), "n": rows["n"].copy()})
+        return pa.concat_tables([out, pa.table({"word": [None], "ending": [0], "n": [once]}, out.schema)]) if once else out
+    return run
 
 
-def word_counts(docs: DataFrame, text: str, *, buckets: int = 256) -> DataFrame:
-    """``word`` (64-bit hash), ``ending`` and ``n`` of every word. A task sends each of its words once.
+def word_counts(docs: DataFrame, text: str, *, buckets: int = 256, ends: bool = True, singly: bool = True) -> DataFrame:
+    """``word`` (64-bit hash), ``ending`` (0 without ``ends``) and ``n`` of every word. A task sends each of its words once.
 
     A bucket holds one entry per distinct word and task: ``buckets`` should rise with the vocabulary.
+    Without ``singly``, the words that occur once are a row per bucket, with a null ``word``.
     """
-    return (docs.select(F.col(text).alias("text")).mapInArrow(W.lean(_count(buckets)), "bucket int, data binary")
-            .groupBy("bucket").applyInArrow(W.lean_group(_merged), "word long, ending int, n long"))
+    return (docs.select(F.col(text).alias("text")).mapInArrow(W.lean(_count(buckets, ends)), "bucket int, data binary")
+            .groupBy("bucket").applyInArrow(W.lean_group(_merged(singly)), "word long, ending int, n long"))
 
 
 def _level() -> Column:

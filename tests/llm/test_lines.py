@@ -101,3 +101,40 @@ def test_clean_with_clashing_names(spark):
                                  "doc_id long, text string, _gone int, gone int, row int")
     out = lines.clean(docs)
     assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()} == {1: "a b c d e\nf g h i j", 2: "k"}
+
+
+def test_only_lines_asked_for_are_looked_at(monkeypatch):
+    """Of a long text whose lines 2 and 4 are asked for, no other line is cut into words."""
+    seen = []
+    own_words = lines.W.words
+
+    def words(data, *how, **more):
+        seen.append(len(data))
+        return own_words(data, *how, **more)
+
+    monkeypatch.setattr(lines.W, "words", words)
+    texts = ["x y\n" * 5_000, "a b\n\u00e9 B\n" + "c " * 5_000 + "\nlast One", "", None, "one\n", "end"]
+    asked = [[], [4, 2, 2], [1], [1], [2, 1, 7], [1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts), pa.array(asked, pa.list_(pa.int32()))], ["doc", "text", "lines"])
+    own = lines._asked(batch, None)
+    assert sum(seen) < 100
+    assert list(zip(own.text.tolist(), own.number.tolist(), strict=True)) == [(1, 2), (1, 4), (4, 1), (5, 1)]
+    whole = lines._batch_lines(pa.array(texts), None)
+    want = {(t, n): whole.value[a:b].tolist() for t, n, a, b in zip(whole.text.tolist(), whole.number.tolist(), whole.start[:-1], whole.start[1:], strict=True)}
+    got = {(t, n): own.value[a:b].tolist() for t, n, a, b in zip(own.text.tolist(), own.number.tolist(), own.start[:-1], own.start[1:], strict=True)}
+    assert got == {at: want[at] for at in got}
+
+
+def test_lines_that_meet_by_several_words_are_one_pair():
+    texts = pa.array(["a b c d e f g h i j k l", "a b c d e f g h i j k m"])
+    own = lines._batch_lines(texts, None)
+    _, entries = lines._entries(own, np.arange(2), np.arange(2, dtype=np.uint64) << np.uint64(32), lines.Order(own.value[:0], np.zeros(0, np.int64)), 4, 5)
+    early, late, more = lines.candidates(entries, 4, 5, 6)
+    assert early["doc"].tolist() == [0] and late["doc"].tolist() == [1] and not len(more)
+
+
+def test_words_that_occur_once_are_counted_together(documents):
+    docs = documents(["a b c", "a a d", None, ""])
+    counts = lines.word_counts(docs, "text", ends=False, singly=False, buckets=1).collect()
+    assert sorted((r.word is None, r.n) for r in counts) == [(False, 3), (True, 3)]
+    assert sorted(r.n for r in lines.word_counts(docs, "text").collect()) == [1, 1, 1, 3]
