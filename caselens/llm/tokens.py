@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -32,10 +33,36 @@ from caselens.runtime import materialize, new_path
 BLOCK_IDS = 1 << 18
 PART_IDS = 1 << 23
 
-_MARKS = W.classes((0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x21, 0x21), (0x3F, 0x3F))  # , . : ; ! ?
-_ALPHA = W.classes((0x41, 0x5A), (0x61, 0x7A))
-_SEEN = W.classes((0x21, 0x7E))  # ASCII that is no white space
-_LEAD = W.classes((0xC3, 0xC5))  # first bytes of U+00C0 to U+017F: letters but for two signs, no white space
+#: The character that byte-level models know a byte by: bytes that can be seen stand for themselves, others for U+0100 and on.
+_BYTE_CHARS = np.arange(256, dtype="<u2")
+_BYTE_CHARS[~W.classes((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))] = np.arange(256, 256 + 68)
+
+
+def _alpha(data: np.ndarray) -> np.ndarray:
+    return (data | np.uint8(0x20)) - np.uint8(0x61) < 26
+
+
+def _seen(data: np.ndarray) -> np.ndarray:
+    """ASCII that is no white space."""
+    return data - np.uint8(0x21) < 94
+
+
+def _marks(data: np.ndarray) -> np.ndarray:
+    """, . : ; ! ?"""
+    return (data == 0x2C) | (data == 0x2E) | (data - np.uint8(0x3A) < 2) | (data == 0x21) | (data == 0x3F)
+
+
+def _leads(data: np.ndarray) -> np.ndarray:
+    """First bytes of U+00C0 to U+017F: letters but for two signs, no white space."""
+    return data - np.uint8(0xC3) < 3
+
+
+def _letter_leads(data: np.ndarray) -> np.ndarray:
+    """First bytes of the letters among these; the last byte given is left out."""
+    out = _leads(data)
+    out[:-1] &= (data[:-1] != 0xC3) | ((data[1:] != 0x97) & (data[1:] != 0xB7))
+    out[-1:] = False
+    return out
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -50,28 +77,23 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     pad = np.zeros(n + 4, np.uint8)  # pad[i + 2] is byte i; zeros count as white space
     pad[2:n + 2] = data
-    here, back, ahead = pad[2:n + 2], pad[1:n + 1], pad[3:n + 3]
-    lead = _LEAD[here]
-    sign = lead & ((ahead == 0x97) | (ahead == 0xB7)) & (here == 0xC3)
-    letter_start = _ALPHA[here] | (lead & ~sign)
-    seen_start = _SEEN[here] | lead
+
+    def beside(of: np.ndarray, k: int = 0) -> np.ndarray:
+        return of[2 + k:n + 2 + k]
+
+    alpha, seen, marks, leads, letters = _alpha(pad), _seen(pad), _marks(pad), _leads(pad), _letter_leads(pad)
+    here = beside(pad)
+    letter_start = beside(alpha) | beside(letters)
     # Of the character that ends right before each byte.
-    before_lead = np.zeros(n, bool)
-    before_lead[2:] = lead[:-2]
-    before_sign = np.zeros(n, bool)
-    before_sign[2:] = sign[:-2]
-    letter_end = _ALPHA[back] | (before_lead & ~before_sign)
-    seen_end = _SEEN[back] | before_lead
-    seen_next = np.zeros(n, bool)
-    seen_next[:-1] = seen_start[1:]
-    cut = (here == 0x20) & (back > 0x20) & (ahead > 0x20) & (seen_end | seen_next)
-    cut |= _MARKS[here] & letter_end
-    cut |= _MARKS[back] & letter_start
-    line = here == 0x0A
-    cut |= line & seen_end
-    lone = np.zeros(n, bool)
-    lone[1:] = (line & seen_end)[:-1]
-    cut |= lone & letter_start
+    letter_end = beside(alpha, -1) | beside(letters, -2)
+    seen_end = beside(seen, -1) | beside(leads, -2)
+    seen_next = beside(seen, 1) | beside(leads, 1)
+    cut = (here == 0x20) & (beside(pad, -1) > 0x20) & (beside(pad, 1) > 0x20) & (seen_end | seen_next)
+    cut |= beside(marks) & letter_end
+    cut |= beside(marks, -1) & letter_start
+    line = (here == 0x0A) & seen_end
+    cut |= line
+    cut[1:] |= line[:-1] & letter_start[1:]
     # The bytes next to the ends of a text look at another text.
     inner = offsets[1:-1]
     for at in (inner - 1, inner, inner + 1):
@@ -81,9 +103,29 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def _plain(tokenizer) -> bool:
+    """True if a word of letters with a space or none before it goes to the model as it is, byte by byte."""
+    told = json.loads(tokenizer.to_str())
+    first = told["pre_tokenizer"] or {}
+    added = [np.frombuffer(t["content"].encode(), np.uint8) for t in told["added_tokens"]]
+    return (not told["normalizer"] and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first["add_prefix_space"]
+            and all(_seen(t).any() and not _alpha(t[_seen(t)]).all() for t in added))
+
+
+def _words(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of the pieces that begin at ``start`` are letters, with a space or none before them."""
+    letters = _letter_leads(data)
+    fits = _alpha(data) | letters
+    fits[1:] |= letters[:-1]
+    last = np.append(start[1:], len(data)) - 1
+    fits[start[(data[start] == 0x20) & (last > start)]] = True
+    return np.logical_and.reduceat(fits, start)
+
+
 class PieceEncoder:
     """Encode texts piece by piece, each distinct piece once (see ``cuts``).
 
+    Pieces that are one word of letters go to the tokenizer's model, others to the whole tokenizer.
     Pieces are known by two 64-bit hashes; were two pieces ever to share the
     first, the second tells, and the text is encoded whole.
     """
@@ -92,6 +134,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = _plain(self.tokenizer)
         self.end_id = end_id
         self.most = most_bytes
         self._clear()
@@ -114,11 +157,26 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> np.ndarray:
-        """Rows of new pieces; ``keys`` are sorted."""
+    def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[list[list[int]]]:
+        """Ids of the pieces at these places, some at a time."""
+        size = end - start
+        at = np.cumsum(size) - size
+        own = data[np.repeat(start - at, size) + np.arange(int(size.sum()))]
+        word = _words(own, at) if self.plain else np.zeros(len(at), bool)
+        chars = _BYTE_CHARS[own].tobytes().decode("utf-16-le")
+        raw = own.tobytes()
+        model = self.tokenizer.model
+        ends, words = (at + size).tolist(), word.tolist()
+        begins = at.tolist()
+        for i in range(0, len(begins), 2_000):  # an encoding takes far more memory than its ids
+            places = list(zip(begins[i:i + 2_000], ends[i:i + 2_000], words[i:i + 2_000], strict=True))
+            rest = iter(self._encode([raw[a:b].decode("utf-8") for a, b, one in places if not one]))
+            yield [[t.id for t in model.tokenize(chars[a:b])] if one else next(rest) for a, b, one in places]
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: Iterator[list[list[int]]]) -> np.ndarray:
+        """Rows of new pieces, given by their ids; ``keys`` are sorted."""
         counts, flats = [], []
-        for i in range(0, len(texts), 2_000):  # an encoding takes far more memory than its ids
-            ids = self._encode(texts[i:i + 2_000])
+        for ids in pieces:
             counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
             flats.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts[-1].sum())))
         count, flat = np.concatenate(counts), np.concatenate(flats)
@@ -147,10 +205,8 @@ class PieceEncoder:
             found[known] = self.key_rows[at[known]]
             new = np.flatnonzero(~known)
             if len(new):
-                raw = data.tobytes()
                 one = far[first[new]]
-                texts = [raw[a:b].decode("utf-8") for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-                found[new] = self._learn(distinct[new], checks[one], texts)
+                found[new] = self._learn(distinct[new], checks[one], self._new(data, start[one], end[one]))
             row[far] = found[which]
             self.near_keys[slot[far]] = keys[far]
             self.near_rows[slot[far]] = row[far]

@@ -61,6 +61,27 @@ def test_pieces_equal_the_tokenizer(rng):
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_words_go_to_the_model(monkeypatch):
+    encoder, asked = tokens.PieceEncoder(PATH, END_ID), []
+    whole = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: asked.extend(texts) or whole(texts))
+    texts = ["Words überall, and žý. So", " nine9 × ÷", "", "é", " ", "a×b çÇ"]
+    ids, sizes = encoder(*W.texts_buffer(pa.array(texts)))
+    want = [whole([t])[0] + [END_ID] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    assert sorted(asked) == sorted({",", ".", " nine9", " ×", " ÷", " ", "a×b"})
+
+
+def test_added_tokens_of_letters_are_found(tmp_path):
+    whole = tokenizers.Tokenizer.from_file(PATH)
+    whole.add_tokens(["foo"])
+    whole.save(str(tmp_path / "t.json"))
+    encoder = tokens.PieceEncoder(str(tmp_path / "t.json"), END_ID)
+    assert not encoder.plain and tokens.PieceEncoder(PATH, END_ID).plain
+    ids, _ = encoder(*W.texts_buffer(pa.array(["a xfooy"])))
+    assert ids.tolist() == whole.encode("a xfooy").ids + [END_ID]
+
+
 def brute(rows):
     whole = tokenizers.Tokenizer.from_file(PATH)
     out, at = [], 0
