@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from caselens.llm import decontam, jaccard, mixing, quality, tokens
 from caselens.llm.queries.op1 import quality_weights
 from caselens.llm.queries.op6 import END_ID, VOCABULARY, tokenizer_path
-from caselens.runtime import materialize
+from caselens.runtime import bound_batches, materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from labels outside the held-out fold."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(*quality.trusted(docs.select("doc_id", "text"), labels))
     return quality.score(docs, model).where("score >= 0.5").select("row.*")
@@ -25,11 +26,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id."""
+    bound_batches(spark)
     return jaccard.one_of_each(docs, n=4, threshold=(85, 100))
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without test items; long test passages in documents that stay are cut out."""
+    bound_batches(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -41,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all rows, read back: ``doc_id, start, n_tokens, ids_crc32``."""
+    bound_batches(spark)
     return tokens.read(spark, tokens.tokenize(docs, tokenizer_path(), end_id=END_ID, vocabulary=VOCABULARY))
 
 

@@ -66,3 +66,25 @@ def test_run_is_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, path).collect()
     assert len(rows) > 100 and len({r.start for r in rows}) == len(rows)
     assert all(r.ids_crc32 == r.ids_crc32 & 0xFFFFFFFF for r in rows) and zlib.crc32(b"") == 0
+
+
+def test_texts_travel_in_small_batches(spark, folder):
+    path, _ = folder
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(most, None)
+    try:
+        spark.conf.unset(most)
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "mix":
+                spark.conf.unset(most)
+                stage(spark, docs, path)
+                assert int(spark.conf.get(most)) == 8 << 20
+        long = docs.limit(1).crossJoin(spark.range(0, 400, 1, 1)).selectExpr("repeat('x', 100000) AS text")
+        sizes = long.mapInArrow(lambda rows: (r.from_pydict({"n": [r.nbytes]}) for r in rows), "n long").collect()
+        assert len(sizes) > 3 and max(r.n for r in sizes) < 9 << 20
+        spark.conf.set(most, "4m")
+        corpus_pipeline.drop_near_copies(spark, docs, path)
+        assert spark.conf.get(most) == "4m"
+    finally:
+        spark.conf.unset(most) if before is None else spark.conf.set(most, before)
