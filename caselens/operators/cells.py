@@ -49,9 +49,14 @@ def _splits(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return dims, cuts
 
 
+def depth_of(n: int, rows: int) -> int:
+    """The splits above each cell. A cell's lowest ``depth_of`` bits are its place in the tree, so cells near each other share the upper ones."""
+    return max(0, math.ceil(math.log2(max(1, n / rows))))
+
+
 def dealt(points: DataFrame, n: int, rows: int) -> DataFrame:
     """``points`` (with ``id`` and ``v``) and the ``cell`` of each, of about ``rows`` vectors; cells over four times that are cut into parts."""
-    depth = max(0, math.ceil(math.log2(max(1, n / rows))))
+    depth = depth_of(n, rows)
     if not depth:
         return points.withColumn("cell", F.lit(0).cast("long"))
     wide = len(points.first()["v"])
@@ -181,6 +186,11 @@ def _nearest(queries: pa.Table, rows: pa.Table, k: int, own: bool) -> tuple[np.n
 
 def nearest_in_cells(points: DataFrame, n: int, k: int, *, rows: int = 8_192) -> DataFrame:
     """``id, nb, d``: the ``k`` nearest other ``points`` (``id, v``) of each, exactly; ties by id."""
+    return listed_in_cells(points, n, k, rows=rows).select("id", F.explode("near").alias("e")).select("id", "e.nb", "e.d")
+
+
+def listed_in_cells(points: DataFrame, n: int, k: int, *, rows: int = 8_192) -> DataFrame:
+    """``id, v, cell, near``: each of ``points`` (``id, v``), and the ``k`` nearest others as ``(d, nb)``, exactly; ties by id."""
     wide, kind = len(points.first()["v"]), points.schema["id"].dataType.simpleString()
     cells = materialize(dealt(points, n, rows), "cells")
     near = f"near array<struct<d: double, nb: {kind}>>"
@@ -205,6 +215,5 @@ def nearest_in_cells(points: DataFrame, n: int, k: int, *, rows: int = 8_192) ->
     plain = found.select("id", "v", F.lit(0.0).alias("core"), F.lit(None).cast(kind).alias("component"), "cell", "bound")
     more = meetings(plain, plain.drop("bound"), wide, own=False).applyInArrow(across, f"id {kind}, {near}").where(F.size("near") > 0)
     more = materialize(more, "across").groupBy("id").agg(F.flatten(F.collect_list("near")).alias("more"))
-    both = found.select("id", "near").join(more, "id", "left").select(
-        "id", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.slice(F.array_sort(F.concat("near", "more")), 1, k)).alias("near"))
-    return both.select("id", F.explode("near").alias("e")).select("id", "e.nb", "e.d")
+    return found.select("id", "v", "cell", "near").join(more, "id", "left").select(
+        "id", "v", "cell", F.when(F.col("more").isNull(), F.col("near")).otherwise(F.slice(F.array_sort(F.concat("near", "more")), 1, k)).alias("near"))

@@ -172,3 +172,47 @@ def test_far_cells_are_not_met(spark):
     d = np.sqrt(((x[:2_000, None] - x[None, 2_000:]) ** 2).sum(-1))
     i, j = np.unravel_index(d.argmin(), d.shape)
     assert edges.orderBy("w").first()[2:] == (d[i, j], i, j + 2_000)
+
+
+@pytest.mark.parametrize("kind", ["blobs", "ties"])
+def test_flat_vectors_need_no_rounds_over_all_points(spark, monkeypatch, kind):
+    """Cells and groups of cells settle most by themselves; one task, and components by name, do the rest."""
+    rng = np.random.default_rng(12)
+    if kind == "blobs":
+        x = np.vstack([rng.normal(c, s, (n, 2)) for c, s, n in ((0, 1.0, 900), (9, 0.4, 500), (13, 2.0, 300))] + [rng.uniform(-30, 40, (60, 2)), [[900.0, 900.0]]])
+    else:  # many equal lengths, and more equal vectors than are listed
+        x = np.vstack([rng.integers(0, 25, (900, 2)), rng.integers(0, 15, (500, 2)) + [60, 0], np.full((80, 2), 40.0), [[500.0, 0.0]]]).astype(float)
+    df = frame(spark, list(enumerate(x.tolist())))
+    options = {"case_id": "case", "vector": "vec", "min_pts": 4}
+
+    def result(**how):
+        if kind == "blobs":
+            return clusters(spanning.density_tree(df, min_size=20, tier_edges=2_000, **options, **how).collect())
+        return [round(w, 9) for w in sorted(r.w for r in spanning.reachability_tree(df, **options, **how)[1].collect())]
+
+    want = result()
+    monkeypatch.setattr(spanning, "components", None)
+    monkeypatch.setattr(spanning, "_boruvka", None)
+    monkeypatch.setattr(spanning, "GROUP", 400)
+    assert len(want) >= 2 and result(whole=0, block_rows=100) == want
+
+
+def test_groups_of_cells_merge_as_the_whole(spark):
+    """Merging by groups first leaves the same clusters, with edges that lie in two groups and of one length."""
+    rng = np.random.default_rng(5)
+    n, w = 800, rng.integers(1, 60, 799) / 10
+    rows = [(i, int(rng.integers(max(0, i - 30), i)), float(w[i - 1])) for i in range(1, n)]
+    plain = spark.createDataFrame(rows, "src long, dst long, w double")
+    ids = spark.range(n).select("id")
+    want = spanning.condensed_clusters(ids, plain, min_size=12).collect()
+    cell = lambda c: F.floor(F.col(c) / 100).cast("long")
+    got = spanning.condensed_clusters(ids.withColumn("cell", cell("id")), plain.withColumn("sc", cell("src")).withColumn("dc", cell("dst")),
+                                      min_size=12, tier_edges=200, depth=3).collect()
+
+    def sets(found):
+        out = {}
+        for r in found:
+            out.setdefault(r.cluster, set()).add(r.id)
+        return out.pop(None, set()), sorted(map(sorted, out.values()))
+
+    assert len({r.cluster for r in want}) > 2 and sets(got) == sets(want)
