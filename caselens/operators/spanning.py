@@ -635,6 +635,32 @@ def _merged_in_cells(comps: DataFrame, edges: DataFrame, depth: int, min_size: i
     return comps, edges, events
 
 
+def _uppermost(group: pa.Table) -> pa.Table:
+    """The uppermost of the winners above each cluster, itself included, in one task."""
+    cluster, wins = group["cluster"].to_pylist(), group["wins"].to_pylist()
+    up, own = dict(zip(cluster, group["parent"].to_pylist(), strict=True)), dict(zip(cluster, wins, strict=True))
+    top: dict[str, str | None] = {}
+    for c in cluster:
+        way = []
+        while c in up and c not in top:
+            way.append(c)
+            c = up[c]
+        found = top.get(c)
+        for c in reversed(way):
+            found = top[c] = found if found is not None else c if own[c] else None
+    return pa.table({"cluster": group["cluster"], "top": pa.array([top[c] for c in cluster], pa.string())})
+
+
+def _jumped(clusters: DataFrame) -> DataFrame:
+    """The same by doubling the way up."""
+    jump = materialize(clusters.select("cluster", F.when(F.col("wins"), F.col("cluster")).alias("top"), F.col("parent").alias("up")), "jump")
+    while jump.where("up is not null").limit(1).count():
+        above = jump.select(F.col("cluster").alias("up"), F.col("top").alias("top_above"), F.col("up").alias("next"))
+        jump = materialize(jump.join(broadcast_if_small(above), "up", "left").select(
+            "cluster", F.coalesce("top_above", "top").alias("top"), F.col("next").alias("up")), "jump")
+    return jump
+
+
 def condensed_clusters(
     points: DataFrame, tree: DataFrame, *, min_size: int = 30, tier_edges: int = 1_000_000, hot_rows: int = 1_000_000, depth: int = 0,
 ) -> DataFrame:
@@ -700,12 +726,11 @@ def condensed_clusters(
         homes = done.where("kind = 'home'").select(F.col("comp").alias("id"), "cluster").unionByName(came)
     clusters = functools.reduce(DataFrame.unionByName, ended)
     clusters = materialize(clusters, "clusters")
-    # The uppermost of the winners above a cluster (itself included): by doubling the way up.
-    jump = materialize(clusters.select("cluster", F.when(F.col("wins"), F.col("cluster")).alias("top"), F.col("parent").alias("up")), "jump")
-    while jump.where("up is not null").limit(1).count():
-        above = jump.select(F.col("cluster").alias("up"), F.col("top").alias("top_above"), F.col("up").alias("next"))
-        jump = materialize(jump.join(broadcast_if_small(above), "up", "left").select(
-            "cluster", F.coalesce("top_above", "top").alias("top"), F.col("next").alias("up")), "jump")
+    if small_enough(clusters, ONE_TASK // 2):
+        one = clusters.select("cluster", "parent", "wins", F.lit(0).alias("one")).groupBy("one")
+        jump = materialize(one.applyInArrow(_uppermost, "cluster string, top string"), "jump")
+    else:
+        jump = _jumped(clusters)
     named = salted_lookup(materialize(homes, "homes"), jump.select("cluster", "top"), key="cluster", spread_by=["id"], hot_rows=hot_rows)
     return points.select("id").join(named.select("id", F.col("top").alias("cluster")), "id", "left")
 
