@@ -8,6 +8,8 @@ least edge that leaves each component: from lists of nearest neighbours where
 these settle it, and over the cells within reach for the points where they do
 not. The tree's edges are then merged from the shortest to the longest, in tiers of a
 bounded number of edges; in a tier each component is worked through by itself.
+Vectors of few entries lie in cells, and groups of cells do most of both by
+themselves before.
 """
 
 from __future__ import annotations
